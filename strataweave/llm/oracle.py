@@ -32,3 +32,30 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged
 """
+
+OP7 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::UBIGINT), 60, '0') AS h FROM documents
+), p AS (
+  SELECT rid, doc_id, bytes, d, substr(h, 1, d) AS prefix FROM (SELECT *, unnest(generate_series(0, 60)) AS d FROM d)
+), s AS (
+  SELECT *, sum(bytes) OVER w AS shard_bytes, count(*) OVER w AS n_docs FROM p WINDOW w AS (PARTITION BY d, prefix)
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d) AS r FROM s WHERE shard_bytes <= 1048576 OR n_docs = 1
+)
+SELECT doc_id, bytes, prefix AS shard, d::INT AS depth, shard_bytes::BIGINT AS shard_bytes, n_docs FROM f WHERE r = 1
+"""
+
+# Base32 of a SHA-1: 160 bits as 32 groups of five.
+OP4 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(range(40), lambda i: lpad(bin(('0x' || hex[i + 1])::UTINYINT), 4, '0')), '') AS bits, max(page_id) OVER (PARTITION BY hex) AS first FROM p
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM b
+"""

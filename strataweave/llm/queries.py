@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataweave.llm import oracle, packing, quality_classifier, quality_rules, simhash
+from strataweave.llm import html_text, mixing, neighbours, oracle, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc
 from strataweave.llm.tables import load
 
 
@@ -21,6 +22,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+#: <|endoftext|> of word_bpe_49k.json.
+END_OF_TEXT = 49407
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_OF_TEXT)
+
+
+def op3_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"))
 
@@ -29,9 +46,37 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(load(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op5_quality_rules, op6_quality_classifier, op8_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": oracle.OP5}
+def mix_levels() -> dict[str, Column]:
+    """Sources fall into four domains by a checksum of their names."""
+    domain = F.concat(F.lit("d"), (F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")) % 4).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+#: Two domains count double, and English three times as much as another language.
+MIX_WEIGHTS = {("d0",): 2.0, ("d1",): 2.0, **{(f"d{i}", "en"): 3.0 for i in range(4)}}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), mix_levels(), weights=MIX_WEIGHTS, epochs=2.0).drop("_row")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(load(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_token_counts, op3_approximate_nearest_neighbours, op4_warc, op5_quality_rules,
+        op6_quality_classifier, op7_sharding, op8_simhash_near_dedup, op9_mixing, op10_html_extraction,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": oracle.OP5, "op7_sharding": oracle.OP7, "op4_warc": oracle.OP4}

@@ -22,6 +22,7 @@ has a null component; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,6 +214,74 @@ def links(fps: DataFrame, tau: int = 2, fp: str = "fp", crowd: int = CROWD) -> D
     return edges.unionByName(stars).distinct()
 
 
+def plan_bands(n: int, similarity: float, recall: float = 0.93) -> tuple[int, int, float]:
+    """(bits per band, bands, expected share of differing bits) for n fingerprints.
+
+    Bands are wide enough that chance alone fills a bucket with few of n, and
+    as many as find a pair of just this similarity with the asked probability.
+    """
+    cosine = 2 * similarity / (1 + similarity)  # of shingle counts, for a Jaccard similarity
+    differs = math.acos(cosine) / math.pi
+    width = min(24, max(12, n.bit_length() - 2))
+    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** width))
+    return width, bands, differs
+
+
+def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """key, id_col and root for every row: rows of equal root are near-duplicates.
+
+    For similarities that 64 bits can't resolve: fingerprints of many words are
+    cut into bands (groups of bits with threshold zero, enough of them for the
+    asked recall), candidates that share a band are verified, first on one
+    word, then on the whole fingerprint. In a bucket of more than `crowd`
+    members each is a candidate with the member of the smallest id; in
+    smaller ones all pairs are. root is a hash of the group's first fingerprint.
+    """
+    n = docs.count()
+    width, bands, differs = plan_bands(n, similarity)
+    per_word = 64 // width
+    words = -(-bands // per_word)
+    bits = 64 * words
+    limit = int(differs * bits + math.sqrt(differs * (1 - differs) * bits))
+    rough = math.ceil(64 * differs + 4.5 * math.sqrt(differs * (1 - differs) * 64))
+    tagged = docs.select(F.struct(key.alias("k"), F.col(id_col).alias("i")).alias("row"), F.col(text).alias("text"))
+    own = stored(fingerprints(tagged, "row", "text", shingle, words).select("row.k", "row.i", "bits").withColumn("node", F.xxhash64("bits")), "wide-fingerprints")
+    nodes = stored(own.groupBy("node").agg(F.min("i").alias("least"), F.first("bits").alias("bits")), "wide-nodes")
+    masks = [np.uint64(((1 << width) - 1) << (width * j)) for j in range(per_word)]
+    band = [F.struct(F.lit(b).alias("g"), F.col("bits")[b // per_word].bitwiseAND(F.lit(signed(masks[b % per_word]))).alias("key")) for b in range(bands)]
+    posts = nodes.select("node", "least", F.col("bits")[words - 1].alias("word"), F.explode(F.array(*band)).alias("p")).select("node", "least", "word", "p.g", "p.key")
+    heads = posts.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("least", "node", "word")).alias("head")).filter(F.col("n") > crowd)
+    met = stored(posts.join(heads, ["g", "key"], "left"), "wide-bands")
+
+    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= rough
+    held = F.collect_list(F.struct("node", "word"))
+    few = met.filter(F.col("n").isNull()).groupBy("g", "key").agg(held.alias("held")).filter(F.size("held") > 1)
+    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & close(x["word"], y["word"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    candidates = few.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+    many = met.filter((F.col("n") > crowd) & (F.col("head.node") != F.col("node")) & close(F.col("word"), F.col("head.word")))
+    candidates = candidates.unionByName(many.select(F.col("head.node").alias("a"), F.col("node").alias("b"))).distinct()
+    left, right = nodes.select(F.col("node").alias("a"), F.col("bits").alias("x")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d)
+    edges = candidates.join(left, "a").join(right, "b").filter(apart <= limit).select("a", "b")
+    roots = components(edges).withColumnRenamed("node", "_node")
+    joined = own.join(roots, own["node"] == roots["_node"], "left")
+    return joined.select(F.col("k").alias("key"), F.col("i").alias(id_col), F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The document of the smallest id of each group, with the columns docs came with."""
+    key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    groups = stored(similar_groups(docs, key, id_col, text, shingle, similarity), "similar-groups")
+    kept = groups.groupBy("root").agg(F.min(F.struct(id_col, "key")).alias("first")).select(F.col("first.key").alias("_key"), F.lit(1).alias("_kept"))
+    kept = stored(kept, "kept-rows")
+    # Rows alike in every column share a key; they are told apart by nothing, so one stays.
+    repeated = groups.groupBy("key").count().filter(F.col("count") > 1).select(F.col("key").alias("_key"))
+    left = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    return left.dropDuplicates(["_key"]).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, tau: int = 2) -> DataFrame:
     """One row per document: id_col, fingerprint (hex), component_id."""
     own = stored(fingerprints(docs, id_col, text, shingle).select(id_col, F.col("bits")[0].alias("fp")), "fingerprints")
