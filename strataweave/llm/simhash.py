@@ -34,6 +34,8 @@ from strataweave.llm.components import components
 from strataweave.llm.tables import stored
 
 CROWD = 48
+#: A probe is a row that is shuffled twice: the work of about so many verifications.
+PROBE_WORK = 8
 #: Fingerprints from which bit groups and thresholds are planned.
 PLAN_ROWS = 4000
 LANES = np.uint64(0x0101010101010101)
@@ -155,7 +157,8 @@ def allot(sample: np.ndarray, masks: list[np.uint64], tau: int, n: int) -> list[
         row = [0.0]
         for t in range(tau + 1):
             share = max(_ball(width, t) / 2.0**width, float((d <= t).mean()) if d.size else 0.0)
-            row.append((_ball(width, t) if t else 1) + n * share)
+            # A crowded bucket costs a member its 65 centres, whatever the bucket's size.
+            row.append(PROBE_WORK * (_ball(width, t) if t else 1) + min(n * share, 65.0))
         work.append(row)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in work:
