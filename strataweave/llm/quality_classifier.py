@@ -156,4 +156,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = fit(learn, "_label")
     names = [F.col(f"`{c}`") for c in docs.columns]
     counted = S.with_words(docs, text).select(*names, *(c.alias(n) for n, c in counts().items()))
-    return counted.withColumn("_x", F.array(*statistics())).filter(model.score("_x") >= THRESHOLD).select(*names)
+    return S.only(counted.withColumn("_x", F.array(*statistics())), model.score("_x") >= THRESHOLD).select(*names)

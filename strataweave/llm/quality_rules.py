@@ -107,7 +107,7 @@ def passes(order: list[Rule]) -> Column:
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
     order = [m.rule for m in plan(docs, rules, text)]
-    return prepared(docs, text).filter(passes(order)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return S.only(prepared(docs, text), passes(order)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -217,7 +217,7 @@ def links(fps: DataFrame, tau: int = 2, fp: str = "fp", crowd: int = CROWD) -> D
     return edges.unionByName(stars).distinct()
 
 
-def plan_bands(n: int, similarity: float, recall: float = 0.93) -> tuple[int, int, float]:
+def plan_bands(n: int, similarity: float, recall: float = 0.96) -> tuple[int, int, float]:
     """(bits per band, bands, expected share of differing bits) for n fingerprints.
 
     Bands are wide enough that chance alone fills a bucket with few of n, and
@@ -245,7 +245,7 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
     per_word = 64 // width
     words = -(-bands // per_word)
     bits = 64 * words
-    limit = int(differs * bits + math.sqrt(differs * (1 - differs) * bits))
+    limit = int(differs * bits + 1.5 * math.sqrt(differs * (1 - differs) * bits))
     rough = math.ceil(64 * differs + 4.5 * math.sqrt(differs * (1 - differs) * 64))
     tagged = docs.select(F.struct(key.alias("k"), F.col(id_col).alias("i")).alias("row"), F.col(text).alias("text"))
     own = stored(fingerprints(tagged, "row", "text", shingle, words).select("row.k", "row.i", "bits").withColumn("node", F.xxhash64("bits")), "wide-fingerprints")

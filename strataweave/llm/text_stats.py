@@ -101,3 +101,12 @@ def n_repeat_words(width: int = 8) -> Column:
     ranked = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     counted = let(ranked, lambda r: covered(repeated(r)))
     return F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0)).otherwise(counted).cast("long")
+
+
+def only(rows: DataFrame, keep: Column) -> DataFrame:
+    """rows.filter(keep) with keep computed after the columns it reads.
+
+    A plain filter would be pushed below them and repeat their expressions for
+    every use; one that depends on a row's place stays where it is.
+    """
+    return rows.withColumn("_kept", F.when(keep, F.monotonically_increasing_id())).filter(F.col("_kept").isNotNull()).drop("_kept")
