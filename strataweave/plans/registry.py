@@ -4,7 +4,559 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from strataweave.functions import json, urls
+from strataweave.functions import text as T
+from strataweave.functions import vectors as V
+from strataweave.operators import crawl, embedding, graph, retrieval, store, throttling, validation
+from strataweave.plans import derived as D
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def six(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles to six places, as SQL gives them."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+CHUNKS, MARKDOWN = f"WITH RECURSIVE {D.chunks_sql()}", f"WITH RECURSIVE {D.chunks_sql(True)}"
+QUERY = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+SIM = "CASE WHEN len(embedding) > 0 THEN list_cosine_similarity(embedding, q) END"
+WORDS = "the"
+
+# --- retrieval ---------------------------------------------------------------
+
+
+@query(f"{CHUNKS} SELECT id, url, chunk_number, content, source_id, round({SIM}, 6) AS similarity FROM chunks, {QUERY} ORDER BY {SIM} DESC NULLS LAST, id LIMIT 10")
+def rag_01_match_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return six(retrieval.match(D.chunks(spark, d), D.query_vector(spark, d), 10).drop("metadata"), "similarity")
+
+
+@query(f"{CHUNKS} SELECT id, source_id, round({SIM}, 6) AS similarity FROM chunks, {QUERY} WHERE source_id = 'src3' ORDER BY {SIM} DESC NULLS LAST, id LIMIT 10")
+def rag_01_match_chunks_of_metadata(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.match(D.chunks(spark, d), D.query_vector(spark, d), 10, {"source": "src3"}, "src3")
+    return six(found.select("id", "source_id", "similarity"), "similarity")
+
+
+EXAMPLES = f"""WITH RECURSIVE {D.MARKDOWN_SQL}, lines AS (
+  SELECT doc_id, source_id, url, len(string_split(text, '```')) AS n, string_split(text, '```') AS p FROM page_docs
+), raw AS (
+  SELECT doc_id, source_id, url, i // 2 - 1 AS k, p[i] AS body FROM (SELECT *, unnest(generate_series(2, n - 1, 2)) AS i FROM lines)
+), named AS (
+  SELECT *, instr(body, chr(10)) AS nl, CASE WHEN instr(body, chr(10)) > 0 THEN trim(substr(body, 1, instr(body, chr(10)) - 1)) ELSE '' END AS first FROM raw
+), blocks AS (
+  SELECT doc_id, source_id, url, k, CASE WHEN nl > 0 AND first <> '' AND NOT contains(first, ' ') AND length(first) < 20 THEN first ELSE '' END AS language,
+    regexp_replace(CASE WHEN nl > 0 AND (first = '' OR (NOT contains(first, ' ') AND length(first) < 20)) THEN substr(body, nl + 1) ELSE body END, '^\\s+|\\s+$', '', 'g') AS code FROM named
+), kept AS (
+  SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS block FROM blocks WHERE length(code) >= 200
+), examples AS (
+  SELECT doc_id * 1000 + block AS id, url, block AS chunk_number, code AS content, 'Code example of ' || source_id AS summary, source_id, language, embedding::DOUBLE[] AS embedding
+  FROM kept LEFT JOIN embeddings ON vec_id = doc_id AND block = 0
+)"""
+
+
+@query(f"{EXAMPLES} SELECT id, summary, source_id, round({SIM}, 6) AS similarity FROM examples, {QUERY} ORDER BY {SIM} DESC NULLS LAST, id LIMIT 10")
+def rag_02_match_code_examples(spark: SparkSession, d: str) -> DataFrame:
+    return six(retrieval.match(D.examples(spark, d), D.query_vector(spark, d), 10).select("id", "summary", "source_id", "similarity"), "similarity")
+
+
+@query(f"{CHUNKS} SELECT id, source_id, content FROM chunks WHERE content ILIKE '%{WORDS}%' AND source_id = 'src1' ORDER BY id LIMIT 10")
+def rag_05_keyword(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.keyword(D.chunks(spark, d), WORDS, 10, "src1").select("id", "source_id", "content")
+
+
+def hybrid_sql(table: str, k: int, where: str = "true", words: str = f"content ILIKE '%{WORDS}%'") -> str:
+    return f"""v AS (SELECT id, {SIM} AS similarity FROM {table}, {QUERY} WHERE {where} ORDER BY similarity DESC NULLS LAST, id LIMIT {k}),
+w AS (SELECT id FROM {table} WHERE {where} AND {words} ORDER BY id LIMIT {k}),
+h AS (SELECT coalesce(v.id, w.id) AS id, CASE WHEN v.id IS NOT NULL AND w.id IS NOT NULL THEN least(1.0, similarity * 1.2) WHEN v.id IS NOT NULL THEN similarity ELSE 0.5 END AS similarity,
+  CASE WHEN v.id IS NOT NULL AND w.id IS NOT NULL THEN 0 WHEN v.id IS NOT NULL THEN 1 ELSE 2 END AS class, v.similarity AS own FROM v FULL JOIN w ON v.id = w.id)"""
+
+
+@query(f"{CHUNKS}, {hybrid_sql('chunks', 20)} SELECT id, round(similarity, 6) AS similarity, class FROM h")
+def rag_06_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return six(retrieval.search(D.chunks(spark, d), D.query_vector(spark, d), WORDS, 10).select("id", "similarity", "class"), "similarity")
+
+
+@query(f"""{CHUNKS}, s AS (SELECT id, source_id, content, {SIM} AS similarity FROM chunks, {QUERY} WHERE source_id IN ('src1', 'src2', 'src3')),
+v AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC NULLS LAST, id) <= 5),
+w AS (SELECT * FROM s WHERE content ILIKE '%{WORDS}%' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id) <= 5),
+h AS (SELECT coalesce(v.id, w.id) AS id, coalesce(v.source_id, w.source_id) AS source_id, CASE WHEN v.id IS NOT NULL AND w.id IS NOT NULL THEN least(1.0, v.similarity * 1.2) WHEN v.id IS NOT NULL THEN v.similarity ELSE 0.5 END AS similarity,
+  CASE WHEN v.id IS NOT NULL AND w.id IS NOT NULL THEN 0 WHEN v.id IS NOT NULL THEN 1 ELSE 2 END AS class FROM v FULL JOIN w ON v.id = w.id)
+SELECT id, source_id, round(similarity, 6) AS similarity, class FROM h ORDER BY h.similarity DESC NULLS LAST, class, id LIMIT 5""")
+def rag_07_multi_source(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.multi_source(D.chunks(spark, d), D.query_vector(spark, d), ["src1", "src2", "src3"], 5, WORDS)
+    return six(found.select("id", "source_id", "similarity", "class"), "similarity")
+
+
+@query(f"""{CHUNKS}, v AS (SELECT id, content FROM chunks, {QUERY} ORDER BY {SIM} DESC NULLS LAST, id LIMIT 20)
+SELECT id, round(len(list_intersect(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> ''), ['the', 'and', 'of'])) / 3.0, 6) AS rerank_score FROM v""")
+def rag_08_rerank(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.match(D.chunks(spark, d), D.query_vector(spark, d), 20)
+    return six(retrieval.rerank(found, "The and of", embedding.word_overlap).select("id", "rerank_score"), "rerank_score")
+
+
+@query(f"{CHUNKS} SELECT id, round({SIM}, 6) AS similarity FROM chunks, {QUERY} WHERE source_id NOT IN ('src0', 'src1') ORDER BY {SIM} DESC NULLS LAST, id LIMIT 5")
+def rag_09_documents_but_two_sources(spark: SparkSession, d: str) -> DataFrame:
+    rest = D.chunks(spark, d).filter(~F.col("source_id").isin("src0", "src1"))
+    return six(retrieval.match(rest, D.query_vector(spark, d), 5).select("id", "similarity"), "similarity")
+
+
+@query(f"""{EXAMPLES}, {hybrid_sql('examples', 10, words="(content ILIKE '%the%' OR summary ILIKE '%the%')")} SELECT id, round(similarity, 6) AS similarity, class FROM h
+ORDER BY class, coalesce(row_number() OVER (PARTITION BY own IS NULL ORDER BY own DESC, id), 0), id LIMIT 5""")
+def rag_10_search_code(spark: SparkSession, d: str) -> DataFrame:
+    return six(retrieval.search_code(D.examples(spark, d), D.query_vector(spark, d), WORDS, 5).select("id", "similarity", "class"), "similarity")
+
+
+SOURCES = "sources AS (SELECT source_id, 'Content from ' || source_id AS summary, sum(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')))::BIGINT AS total_word_count FROM chunks GROUP BY source_id)"
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    counted = D.chunks(spark, d).groupBy("source_id").agg(F.sum(T.word_count(F.col("content"))).alias("total_word_count"))
+    return counted.select("source_id", F.concat(F.lit("Content from "), "source_id").alias("summary"), "total_word_count")
+
+
+@query(f"{CHUNKS}, {SOURCES} SELECT source_id, summary, total_word_count FROM sources")
+def rag_11_available_sources(spark: SparkSession, d: str) -> DataFrame:
+    return sources(spark, d).orderBy("source_id")
+
+
+@query()
+def rag_12_hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return embedding.embed(D.table(spark, d, "documents"), embedding.HashedWords(64), "text").select("doc_id", "embedding")
+
+
+@query("""SELECT doc_id, CASE WHEN length(s) > 500 THEN substr(s, 1, 500) || '...' ELSE s END AS summary FROM (
+  SELECT doc_id, CASE WHEN f = '' THEN 'Content from ' || source ELSE f END AS s FROM (
+    SELECT doc_id, source, regexp_replace(regexp_extract(text, '^\\s*([^\\n]*?[.!?](?:\\s|$)|[^\\n]*)', 1), '^\\s+|\\s+$', '', 'g') AS f FROM documents))""")
+def rag_18_source_summaries(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.table(spark, d, "documents")
+    return docs.select("doc_id", embedding.first_sentence(F.col("text"), F.concat(F.lit("Content from "), "source")).alias("summary"))
+
+
+# --- text ----------------------------------------------------------------------
+
+
+@query(f"{CHUNKS} SELECT id, url, chunk_number, content FROM chunks")
+def str_01_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return D.chunks(spark, d).select("id", "url", "chunk_number", "content")
+
+
+@query(f"{MARKDOWN} SELECT id, url, chunk_number, content FROM chunks")
+def str_01_chunks_of_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return D.chunks(spark, d, True).select("id", "url", "chunk_number", "content")
+
+
+@query(f"""{MARKDOWN} SELECT id, array_to_string(list_transform(generate_series(1, len(m)), lambda i: m[i] || ' ' || t[i]), '; ') AS headers, length(content)::INT AS char_count,
+  len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> ''))::INT AS word_count
+FROM (SELECT *, regexp_extract_all(content, '(?m)^(#+)\\s+(.+)$', 1) AS m, regexp_extract_all(content, '(?m)^(#+)\\s+(.+)$', 2) AS t FROM chunks)""")
+def str_02_section_info(spark: SparkSession, d: str) -> DataFrame:
+    return T.with_section_info(D.chunks(spark, d, True)).select("id", "headers", "char_count", "word_count")
+
+
+@query(f"{EXAMPLES} SELECT id, content, language FROM examples")
+def str_03_code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    found = D.examples(spark, d)
+    return found.select("id", "content", F.get_json_object("metadata", "$.language").alias("language"))
+
+
+@query("""SELECT doc_id, CASE WHEN instr(reverse(text), ' .') = 0 THEN -1 ELSE length(text) - instr(reverse(text), ' .') - 1 END::INT AS last_stop,
+  regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS stripped, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS short FROM documents""")
+def str_04_05_rfind_strip_truncate(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return D.table(spark, d, "documents").select("doc_id", T.rfind(t, ". ").alias("last_stop"), T.strip(t).alias("stripped"), T.truncated(t, 300).alias("short"))
+
+
+@query("""SELECT doc_id, substr(text, 1, 200) || chr(10) || '---' || chr(10) || text AS contextual, text || chr(10) || chr(10) || 'Summary: ' || lang AS code_text,
+  'Code example for ' || source || chr(10) || chr(10) || 'Summary: Example code showing ' || source AS expanded FROM documents""")
+def str_07_09_10_model_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return D.table(spark, d, "documents").select("doc_id", T.contextual_text(F.substring(t, 1, 200), t).alias("contextual"), T.code_embedding_text(t, F.col("lang")).alias("code_text"), T.code_query(F.col("source")).alias("expanded"))
+
+
+def patterned(word: str) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all(text, '{word}\\s+(\\w+)', 1)))"
+
+
+@query(f"""SELECT doc_id, nullif(regexp_extract(text, 'device\\s+(\\w+)', 1), '') AS device_name, array_to_string({patterned('is')}, ',') AS templates, array_to_string({patterned('implement')}, ',') AS interfaces,
+  len(string_split(text, chr(10)))::INT AS line_count FROM (SELECT doc_id, replace(replace(text, 'á', 'a'), 'é', 'e') || ' device uart is plain method go' AS text FROM documents WHERE lang = 'en')""")
+def str_11_device_metadata(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.table(spark, d, "documents").filter("lang = 'en'")
+    text = F.concat(F.replace(F.replace("text", F.lit("á"), F.lit("a")), F.lit("é"), F.lit("e")), F.lit(" device uart is plain method go"))
+    found = docs.select("doc_id", T.device_metadata(text).alias("m"))
+    return found.select("doc_id", "m.device_name", F.array_join("m.templates", ",").alias("templates"), F.array_join("m.interfaces", ",").alias("interfaces"), "m.line_count")
+
+
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'class\\s+(\\w+)', 1))), ',') AS classes, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'def\\s+(\\w+)', 1))), ',') AS functions,
+  array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, 'import\\s+(simics\\S*)', 1), regexp_extract_all(t, 'from\\s+(simics\\S*)', 1)))), ',') AS library_imports
+FROM (SELECT doc_id, 'import simics' || (doc_id % 3) || chr(10) || 'class A' || doc_id || ': pass' || chr(10) || 'def f(): pass' || chr(10) || 'from simics.api import x' AS t FROM documents)""")
+def str_12_python_metadata(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    text = F.concat(F.lit("import simics"), (i % 3).cast("string"), F.lit("\nclass A"), i.cast("string"), F.lit(": pass\ndef f(): pass\nfrom simics.api import x"))
+    found = D.table(spark, d, "documents").select("doc_id", T.python_metadata(text).alias("m"))
+    return found.select("doc_id", *(F.array_join(f"m.{c}", ",").alias(c) for c in ("classes", "functions", "library_imports")))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'simics-dml' WHEN 'O' THEN 'simics-python' ELSE 'simics-source' END AS source_id FROM orders")
+def str_14_source_of_kind(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "dml").when(F.col("o_orderstatus") == "O", "python").otherwise("other")
+    return D.table(spark, d, "orders").select("o_orderkey", T.source_of_kind(kind).alias("source_id"))
+
+
+# --- URLs and crawling -------------------------------------------------------------
+
+
+@query("""SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS source_id, string_split(url, '#')[1] AS defragmented, CASE WHEN ends_with(url, '.txt') THEN 'text_file'
+  WHEN ends_with(url, 'sitemap.xml') OR contains(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), 'sitemap') THEN 'sitemap' ELSE 'webpage' END AS crawl_type FROM pages""")
+def url_01_02_src_02_pages(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return D.table(spark, d, "pages").select("page_id", urls.source_id(u).alias("source_id"), urls.defragmented(u).alias("defragmented"), urls.crawl_type(u).alias("crawl_type"))
+
+
+@query("""SELECT page_id, replace(h, '.', '_') || '_' || CASE WHEN l = '' THEN 'index' WHEN s = '' THEN 'page' ELSE s END || '_' || substr(md5(url), 1, 8) AS file_name FROM (
+  SELECT *, regexp_replace(regexp_replace(l, '\\.html?$', ''), '[^A-Za-z0-9_-]', '', 'g') AS s FROM (
+    SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS h, regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1) AS l FROM pages))""")
+def src_15_file_names(spark: SparkSession, d: str) -> DataFrame:
+    return D.table(spark, d, "pages").select("page_id", urls.safe_file_name(F.col("url")).alias("file_name"))
+
+
+@query("""SELECT c_custkey, u AS url, CASE WHEN trim(u) = '' THEN false WHEN NOT (contains(lower(u), 'github.com') OR ends_with(u, '.git')) THEN false WHEN NOT (starts_with(u, 'https://') OR starts_with(u, 'git@')) THEN false ELSE true END AS valid,
+  CASE WHEN (contains(lower(u), 'github.com') OR ends_with(u, '.git')) AND (starts_with(u, 'https://') OR starts_with(u, 'git@')) THEN replace(string_split(u, '/')[-1], '.git', '') END AS repo_name
+FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://github.com/a/r' || c_custkey || '.git' WHEN 1 THEN 'http://github.com/a/b' WHEN 2 THEN 'https://example.com/x' ELSE '' END AS u FROM customer)""")
+def flt_19_url_05_repository_urls(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    url = F.when(k % 4 == 0, F.concat(F.lit("https://github.com/a/r"), k.cast("string"), F.lit(".git"))).when(k % 4 == 1, "http://github.com/a/b").when(k % 4 == 2, "https://example.com/x").otherwise("")
+    found = D.table(spark, d, "customer").select("c_custkey", url.alias("url")).withColumn("c", urls.repo_url_check(F.col("url")))
+    return found.select("c_custkey", "url", "c.valid", "c.repo_name")
+
+
+@query("""WITH RECURSIVE l AS (SELECT page_id AS s, unnest([2 * page_id + 1, 2 * page_id + 2, 0]) AS t FROM pages), r AS (SELECT 0::BIGINT AS p, 0 AS depth UNION ALL SELECT t, depth + 1 FROM r JOIN l ON s = p WHERE depth < 3)
+SELECT p AS page, min(depth)::INT AS depth FROM r GROUP BY p""")
+def src_08_crawl(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("page_id")
+    edges = D.table(spark, d, "pages").select(p.cast("string").alias("src"), F.explode(F.transform(F.array(2 * p + 1, 2 * p + 2, F.lit(0)), lambda x: x.cast("string"))).alias("dst"))
+    found = crawl.crawl(edges, spark.createDataFrame([("0",)], "url string"), 4)
+    return found.select(F.col("url").cast("bigint").alias("page"), "depth")
+
+
+@query("""SELECT DISTINCT page_id, h || string_split(l, '#')[1] AS dst FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS h, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS l FROM pages) WHERE starts_with(l, '/')""")
+def src_08_page_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = D.table(spark, d, "pages")
+    links = crawl.page_links(pages)
+    return links.join(pages.select("page_id", F.col("url").alias("src")), "src").select("page_id", "dst").distinct()
+
+
+@query("""SELECT DISTINCT page_id, link FROM (SELECT page_id, 'https://x.org/docs/' || regexp_replace(l, '^[./]+', '') AS link FROM (
+  SELECT page_id, unnest(regexp_extract_all(replace(html, '">', '.html">'), 'href="([^"]*\\.html[^"]*)"', 1)) AS l FROM pages) WHERE NOT starts_with(l, 'http')) WHERE ends_with(link, '.html')""")
+def src_13_index_links(spark: SparkSession, d: str) -> DataFrame:
+    html = F.replace("html", F.lit('">'), F.lit('.html">'))
+    return D.table(spark, d, "pages").select("page_id", F.explode(crawl.index_links(html, "https://x.org/docs/index.html")).alias("link"))
+
+
+# --- filters and projections ----------------------------------------------------------
+
+
+@query(f"{CHUNKS} SELECT id FROM chunks WHERE source_id = 'src2' AND chunk_number = 1")
+def flt_01_json_containment(spark: SparkSession, d: str) -> DataFrame:
+    return D.chunks(spark, d).filter(json.contains(F.col("metadata"), {"source": "src2", "chunk": {"index": 1}})).select("id")
+
+
+@query(f"{CHUNKS} SELECT id FROM chunks WHERE content ILIKE '%th_ %' OR url ILIKE '%th_ %'")
+def flt_03_04_keywords_with_wildcards(spark: SparkSession, d: str) -> DataFrame:
+    return D.chunks(spark, d).filter(retrieval.has_keyword("th_ ", ("content", "url"))).select("id")
+
+
+@query(f"""{CHUNKS} SELECT source_id, count(*) AS n, count_if(embedding IS NULL)::BIGINT AS without, count_if(embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) = 0)::BIGINT AS zero FROM chunks WHERE source_id NOT IN ('src0', 'src9') GROUP BY source_id""")
+def flt_06_07_08_vectors_by_source(spark: SparkSession, d: str) -> DataFrame:
+    rest = D.chunks(spark, d).filter(~F.col("source_id").isin("src0", "src9"))
+    v = F.col("embedding")
+    return rest.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("without"), F.count_if(V.is_zero(v)).alias("zero"))
+
+
+@query(f"{CHUNKS} SELECT source_id, count(*) AS n FROM chunks WHERE source_id NOT IN (SELECT s FROM (SELECT DISTINCT source AS s FROM documents) WHERE s < 'src5') GROUP BY source_id")
+def jon_01_orphans(spark: SparkSession, d: str) -> DataFrame:
+    known = D.table(spark, d, "documents").select(F.col("source").alias("source_id")).filter("source_id < 'src5'").distinct()
+    return store.orphans(D.chunks(spark, d), known).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id < 5""")
+def mth_01_cosine(spark: SparkSession, d: str) -> DataFrame:
+    e = D.table(spark, d, "embeddings")
+    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return six(e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", V.cosine_similarity(F.col("q"), F.col("embedding")).alias("similarity")), "similarity")
+
+
+# --- aggregates and windows ----------------------------------------------------------------
+
+
+@query("SELECT source AS source_id, count(DISTINCT doc_id) AS urls, (sum(length(text)) // 4)::BIGINT AS words, min_by(substr(text, 1, 5000), doc_id) AS first_text FROM documents GROUP BY source")
+def agg_07_08_09_sources(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.table(spark, d, "documents")
+    return docs.groupBy(F.col("source").alias("source_id")).agg(F.countDistinct("doc_id").alias("urls"), F.expr("sum(char_length(text)) div 4").alias("words"), F.min_by(F.substring("text", 1, 5000), "doc_id").alias("first_text"))
+
+
+@query("SELECT event_type, count(*) AS n, round(100.0 * count_if(value > 50) / count(*), 6) AS success_rate FROM events GROUP BY event_type")
+def agg_16_success_rate(spark: SparkSession, d: str) -> DataFrame:
+    rate = F.try_divide(F.count_if(F.col("value") > 50) * F.lit(100.0), F.count(F.lit(1)))
+    return six(D.table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), rate.alias("success_rate")), "success_rate")
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    e = D.table(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"))
+
+
+@query("""SELECT event_id AS id, count(*) OVER a AS last_minute, count(*) OVER b AS last_ten, count(*) OVER a >= 3 OR count(*) OVER b >= 2 AS throttled FROM (SELECT event_id, user_id, epoch_us(ts) AS t FROM events)
+WINDOW a AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 9999999 PRECEDING AND 1 PRECEDING)""")
+def win_08_sliding_counts(spark: SparkSession, d: str) -> DataFrame:
+    return throttling.sliding_counts(requests(spark, d), per_minute=3, burst=2).select("id", "last_minute", "last_ten", "throttled")
+
+
+@query("""WITH i AS (SELECT event_id, user_id, ts, event_type = 'error' AS bad, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
+s AS (SELECT event_id, sum(bad::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS errors FROM i)
+SELECT event_id AS id, errors::BIGINT AS errors, CASE WHEN errors > 0 THEN least(pow(2.0, least(errors, 10)), 30.0) ELSE 0.0 END AS backoff_s FROM s""")
+def win_09_error_streaks(spark: SparkSession, d: str) -> DataFrame:
+    return throttling.error_streaks(requests(spark, d)).select("id", "errors", "backoff_s")
+
+
+@query(f"{CHUNKS} SELECT id, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS running, ((row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) // 20)::BIGINT AS batch FROM chunks")
+def win_02_07_running_index_and_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The running index is local order plus the sizes of the sources before, so no window spans the table."""
+    rows = D.chunks(spark, d).select("id", "source_id").withColumn("doc", F.floor(F.col("id") / 1000))
+    per = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("doc") / 1024))
+    blocks = per.groupBy("block").agg(F.sum("n").alias("b")).withColumn("before", F.coalesce(F.sum("b").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "before")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = per.withColumn("inside", inside).join(blocks, "block").select("doc", (F.col("before") + F.col("inside")).alias("start"))
+    local = F.row_number().over(Window.partitionBy("doc").orderBy("id")) - 1
+    batch = F.floor((F.row_number().over(Window.partitionBy("source_id").orderBy("id")) - 1) / 20).cast("bigint")
+    return rows.withColumn("local", local).join(starts, "doc").select("id", (F.col("start") + F.col("local")).cast("bigint").alias("running"), batch.alias("batch"))
+
+
+# --- store ----------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE substr(text, 1, 20) END AS content FROM documents UNION ALL SELECT doc_id + 1000000, 'new' FROM documents WHERE doc_id % 30 = 0")
+def snk_01_upsert(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.table(spark, d, "documents")
+    old = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("content"))
+    fresh = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("new").alias("content"))
+    more = docs.filter("doc_id % 30 = 0").select((F.col("doc_id") + 1000000).alias("id"), F.lit("new").alias("content"))
+    return store.upsert(old, fresh.unionByName(more), ["id"])
+
+
+@query("SELECT source || '/' || lang AS url, doc_id AS n FROM documents WHERE NOT (source = 'src1' AND lang = 'en') UNION ALL SELECT 'src1/en', -1")
+def snk_01_replace_urls(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("url"), F.col("doc_id").alias("n"))
+    return store.replace_urls(docs, spark.createDataFrame([("src1/en", -1)], "url string, n bigint"))
+
+
+@query("SELECT source AS source_id, CASE WHEN source < 'src3' THEN 'fresh' ELSE 'old' END AS summary, CASE WHEN source < 'src3' THEN 7 ELSE count(*) END AS total_word_count FROM documents GROUP BY source")
+def snk_03_upsert_sources(spark: SparkSession, d: str) -> DataFrame:
+    counted = D.table(spark, d, "documents").groupBy(F.col("source").alias("source_id")).agg(F.count(F.lit(1)).alias("total_word_count"))
+    old = counted.select("source_id", F.lit("old").alias("summary"), "total_word_count")
+    fresh = old.filter("source_id < 'src3'").select("source_id", F.lit("fresh").alias("summary"), F.lit(7).cast("bigint").alias("total_word_count"))
+    return store.upsert_sources(old, fresh)
+
+
+@query("SELECT l_orderkey, arg_min(l_partkey, l_linenumber) AS l_partkey FROM lineitem GROUP BY l_orderkey")
+def snk_04_first_write_wins(spark: SparkSession, d: str) -> DataFrame:
+    return store.latest(D.table(spark, d, "lineitem"), ["l_orderkey"], [F.col("l_linenumber")]).select("l_orderkey", "l_partkey")
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE source <> 'src4' GROUP BY source")
+def snk_05_delete_source(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.table(spark, d, "documents").withColumn("source_id", F.col("source"))
+    return store.without_source(docs, "src4").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- graph -----------------------------------------------------------------------------------
+
+KG = f"WITH {D.GRAPH_SQL}"
+
+
+@query("SELECT r_name AS name FROM region")
+def kg_01_repositories(spark: SparkSession, d: str) -> DataFrame:
+    return graph.repos(D.graph(spark, d))
+
+
+@query(f"""{KG} SELECT r_name AS repo_name, (SELECT count(*) FROM kg_file f WHERE f.repo_name = r_name) AS files, (SELECT count(DISTINCT full_name) FROM kg_class c WHERE c.repo_name = r_name) AS classes,
+  (SELECT count(*) FROM (SELECT DISTINCT file_path, name FROM kg_function k WHERE k.repo_name = r_name)) AS functions, (SELECT count(*) FROM (SELECT DISTINCT class_name, name FROM kg_method m WHERE m.repo_name = r_name)) AS methods,
+  (SELECT count(*) FROM (SELECT DISTINCT full_name, attribute FROM kg_class c WHERE c.repo_name = r_name)) AS attributes FROM region""")
+def kg_02_09_explore(spark: SparkSession, d: str) -> DataFrame:
+    return graph.explore(D.graph(spark, d))
+
+
+@query(f"{KG} SELECT repo_name, list_sort(list_distinct(list(name)))[1:5] AS sample_name FROM kg_class GROUP BY repo_name")
+def agg_04_samples(spark: SparkSession, d: str) -> DataFrame:
+    return graph.samples(D.graph(spark, d).class_, "repo_name", "name")
+
+
+@query(f"{KG} SELECT name, full_name FROM kg_class WHERE repo_name = 'ASIA' ORDER BY name, full_name LIMIT 20")
+def kg_03_classes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.classes(D.graph(spark, d), "ASIA")
+
+
+@query(f"""{KG}, c AS (SELECT * FROM kg_class WHERE name = (SELECT min(name) FROM kg_class) ORDER BY full_name LIMIT 1)
+SELECT 'method' AS kind, m.name, ['value:float', 'status:str=' || status] AS params, CASE WHEN status = 'O' THEN 'Any' ELSE 'float' END AS type FROM kg_method m JOIN c ON class_name = full_name
+UNION ALL SELECT 'attribute', attribute, []::VARCHAR[], 'str' FROM c""")
+def kg_04_class(spark: SparkSession, d: str) -> DataFrame:
+    g = D.graph(spark, d)
+    return graph.describe_class(g, g.class_.agg(F.min("name")).first()[0])
+
+
+@query(f"""{KG} SELECT class_name, class_short, name, ['value:float', 'status:str=' || status] AS params, CASE WHEN status = 'O' THEN 'Any' ELSE 'float' END AS type FROM kg_method WHERE name = 'order_7' ORDER BY class_name, name LIMIT 20""")
+def kg_05_method(spark: SparkSession, d: str) -> DataFrame:
+    return graph.find_method(D.graph(spark, d), "order_7")
+
+
+@query(f"{KG} SELECT a.path AS src_path, b.path AS dst_path FROM kg_file a JOIN kg_file b ON starts_with(b.module_name, string_split(a.module_name, '.')[1])")
+def jon_07_import_edges(spark: SparkSession, d: str) -> DataFrame:
+    files = D.graph(spark, d).file
+    return graph.import_edges(files.select("path", F.split_part("module_name", F.lit("."), F.lit(1)).alias("module")), files)
+
+
+@query(f"{KG} SELECT DISTINCT a.path AS file, b.module_name AS imported FROM kg_file a JOIN kg_file b ON starts_with(b.module_name, string_split(a.module_name, '.')[1]) WHERE contains(b.module_name, 'nation_1')")
+def kg_08_files_importing(spark: SparkSession, d: str) -> DataFrame:
+    return graph.files_importing(D.graph(spark, d), "nation_1")
+
+
+@query(f"{KG} SELECT path, module_name, (module_name = 'asia' OR starts_with(module_name, 'asia.')) AS own FROM kg_file WHERE repo_name = 'ASIA' LIMIT 50")
+def kg_11_13_files_of_module(spark: SparkSession, d: str) -> DataFrame:
+    return graph.files_of_module(D.graph(spark, d), "asia")
+
+
+@query(f"{KG} SELECT DISTINCT 'class' AS kind, name FROM kg_class WHERE repo_name = 'EUROPE' UNION SELECT 'function', name FROM kg_function WHERE repo_name = 'EUROPE'")
+def kg_12_module_contents(spark: SparkSession, d: str) -> DataFrame:
+    return graph.module_contents(D.graph(spark, d), "europe")
+
+
+@query(f"{KG} SELECT DISTINCT name FROM kg_method WHERE class_short = (SELECT min(name) FROM kg_class) AND contains(name, 'ord') ORDER BY name LIMIT 5")
+def kg_15_similar_methods(spark: SparkSession, d: str) -> DataFrame:
+    g = D.graph(spark, d)
+    return graph.similar_methods(g, g.class_.agg(F.min("name")).first()[0], "order_999")
+
+
+@query(f"{KG} SELECT repo_name, count(*) AS methods FROM kg_method WHERE repo_name <> 'ASIA' GROUP BY repo_name")
+def snk_07_clear_repository(spark: SparkSession, d: str) -> DataFrame:
+    g = graph.without_repository(D.graph(spark, d), "ASIA")
+    owner = g.class_.select("repo_name", F.col("full_name").alias("class_name")).distinct()
+    return g.method.join(owner, "class_name").groupBy("repo_name").agg(F.count(F.lit(1)).alias("methods"))
+
+
+# --- validation --------------------------------------------------------------------------------
+
+CALLS_SQL = """calls AS (SELECT 's' || (o_orderkey % 50) AS script, o_orderkey AS line, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'other.Thing' ELSE 'lib.core.C' || (o_orderkey % 4) END AS object_type,
+  'm' || (o_orderkey % 6) AS name, (o_orderkey % 4)::INT AS n_args, CASE WHEN o_orderkey % 3 = 0 THEN ['flag'] WHEN o_orderkey % 11 = 0 THEN ['odd'] ELSE []::VARCHAR[] END AS kwargs FROM orders),
+methods AS (SELECT 'lib.core.C' || i AS class_name, 'm' || j AS name, j, CASE j WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['a:int', 'b:int=1'] WHEN 2 THEN ['a:int', '[var_positional] *rest:Any'] WHEN 3 THEN ['a:int', '[keyword_only] flag:bool'] ELSE ['[var_keyword] **more:Any'] END AS params
+  FROM range(4) x(i), range(5) y(j) WHERE NOT (i = 3 AND j = 1))"""
+CHECK_SQL = """CASE WHEN len(params) = 0 THEN 'UNCERTAIN' WHEN j <> 2 AND n_args > CASE j WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END THEN 'INVALID' WHEN n_args < CASE WHEN j IN (1, 2, 3) THEN 1 ELSE 0 END THEN 'INVALID'
+  WHEN j <> 4 AND len(list_filter(kwargs, lambda x: NOT list_contains(CASE j WHEN 1 THEN ['a', 'b'] WHEN 2 THEN ['a'] WHEN 3 THEN ['a', 'flag'] ELSE []::VARCHAR[] END, x))) > 0 THEN 'INVALID'
+  WHEN j = 3 AND NOT list_contains(kwargs, 'flag') THEN 'INVALID' ELSE 'VALID' END"""
+CHECK_CONFIDENCE = f"""CASE {CHECK_SQL} WHEN 'UNCERTAIN' THEN 0.5 WHEN 'VALID' THEN 0.9 ELSE CASE WHEN (j <> 2 AND n_args > CASE j WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END) OR n_args < CASE WHEN j IN (1, 2, 3) THEN 1 ELSE 0 END THEN 0.8
+  WHEN j <> 4 AND len(list_filter(kwargs, lambda x: NOT list_contains(CASE j WHEN 1 THEN ['a', 'b'] WHEN 2 THEN ['a'] WHEN 3 THEN ['a', 'flag'] ELSE []::VARCHAR[] END, x))) > 0 THEN 0.7 ELSE 0.8 END END::DOUBLE"""
+METHODS_SQL = f"""{CALLS_SQL}, checked AS (SELECT c.script, c.line, c.object_type, c.name,
+  CASE WHEN object_type IS NULL OR object_type = 'other.Thing' THEN 'UNCERTAIN' WHEN m.name IS NULL THEN 'NOT_FOUND' WHEN {CHECK_SQL} = 'INVALID' THEN 'INVALID' ELSE 'VALID' END AS status,
+  CASE WHEN object_type IS NULL THEN 0.3 WHEN object_type = 'other.Thing' THEN 0.8 WHEN m.name IS NULL THEN 0.1 WHEN {CHECK_SQL} = 'INVALID' THEN {CHECK_CONFIDENCE} ELSE 0.9 END::DOUBLE AS confidence
+  FROM calls c LEFT JOIN methods m ON m.class_name = c.object_type AND m.name = c.name)"""
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    kind = F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 5 == 0, "other.Thing").otherwise(F.concat(F.lit("lib.core.C"), (k % 4).cast("string")))
+    kwargs = F.when(k % 3 == 0, F.array(F.lit("flag"))).when(k % 11 == 0, F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>"))
+    return D.table(spark, d, "orders").select(F.concat(F.lit("s"), (k % 50).cast("string")).alias("script"), k.alias("line"), kind.alias("object_type"), F.concat(F.lit("m"), (k % 6).cast("string")).alias("name"), (k % 4).cast("int").alias("n_args"), kwargs.alias("kwargs"))
+
+
+def known_methods(spark: SparkSession) -> DataFrame:
+    params = {0: [], 1: ["a:int", "b:int=1"], 2: ["a:int", "[var_positional] *rest:Any"], 3: ["a:int", "[keyword_only] flag:bool"], 4: ["[var_keyword] **more:Any"]}
+    rows = [(f"lib.core.C{i}", f"m{j}", params[j]) for i in range(4) for j in range(5) if (i, j) != (3, 1)]
+    return spark.createDataFrame(rows, "class_name string, name string, params array<string>")
+
+
+def modules(spark: SparkSession) -> DataFrame:
+    return spark.range(50).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("script"), F.array(F.lit("lib")).alias("modules"))
+
+
+def checked(spark: SparkSession, d: str) -> DataFrame:
+    return validation.check_methods(calls(spark, d), modules(spark), known_methods(spark))
+
+
+@query(f"WITH {CALLS_SQL} SELECT line, {CHECK_SQL} AS status, {CHECK_CONFIDENCE} AS confidence FROM calls c JOIN methods m ON m.class_name = 'lib.core.C0' AND m.name = c.name")
+def val_11_parameters(spark: SparkSession, d: str) -> DataFrame:
+    known = known_methods(spark).filter("class_name = 'lib.core.C0'").select("name", "params")
+    met = calls(spark, d).join(F.broadcast(known), "name")
+    return met.select("line", validation.parameter_check(F.col("params"), F.col("n_args"), F.col("kwargs")).alias("c")).select("line", "c.status", "c.confidence")
+
+
+@query(f"WITH {METHODS_SQL} SELECT script, line, object_type, name, status, confidence FROM checked")
+def val_08_methods(spark: SparkSession, d: str) -> DataFrame:
+    return checked(spark, d)
+
+
+@query("""WITH i AS (SELECT DISTINCT 's' || (o_orderkey % 50) AS script, CASE o_orderkey % 3 WHEN 0 THEN 'lib.core' WHEN 1 THEN 'lib' ELSE 'elsewhere.x' END AS module FROM orders)
+SELECT script, module, starts_with(module, 'lib') AS in_graph, CASE WHEN starts_with(module, 'lib') THEN 'VALID' ELSE 'UNCERTAIN' END AS status, CASE WHEN starts_with(module, 'lib') THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence FROM i""")
+def val_06_imports(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    used = D.table(spark, d, "orders").select(F.concat(F.lit("s"), (k % 50).cast("string")).alias("script"), F.when(k % 3 == 0, "lib.core").when(k % 3 == 1, "lib").otherwise("elsewhere.x").alias("module")).distinct()
+    return validation.check_imports(used, spark.createDataFrame([("lib.core",), ("lib.util",)], "module_name string"))
+
+
+@query(f"""WITH {CALLS_SQL} SELECT script, line, object_type, name, CASE WHEN object_type IS NULL OR object_type = 'other.Thing' THEN 'UNCERTAIN' WHEN name IN ('m0', 'm2') OR (name = 'm1' AND object_type <> 'lib.core.C3') OR name IN ('m3', 'm4') THEN 'VALID' ELSE 'NOT_FOUND' END AS status,
+  CASE WHEN object_type IS NULL THEN 0.3 WHEN object_type = 'other.Thing' THEN 0.8 WHEN name IN ('m0', 'm2') OR (name = 'm1' AND object_type <> 'lib.core.C3') OR name IN ('m3', 'm4') THEN 0.8 ELSE 0.2 END::DOUBLE AS confidence FROM calls""")
+def val_09_attributes(spark: SparkSession, d: str) -> DataFrame:
+    attributes = spark.createDataFrame([(f"lib.core.C{i}", "m0") for i in range(4)], "class_name string, name string")
+    return validation.check_attributes(calls(spark, d), modules(spark), attributes, known_methods(spark))
+
+
+@query(f"""WITH {METHODS_SQL}, f AS (SELECT DISTINCT script, line, name, object_type FROM checked WHERE status = 'NOT_FOUND')
+SELECT script, line, name, object_type, 'METHOD_NOT_FOUND' AS type FROM f UNION ALL SELECT script, line, name, object_type, 'INVALID_PARAMETERS' FROM checked WHERE status = 'INVALID'""")
+def val_13_hallucinations(spark: SparkSession, d: str) -> DataFrame:
+    methods = checked(spark, d)
+    return validation.hallucinations(methods, methods.filter("status = 'NOT_FOUND'"))
+
+
+@query(f"""WITH {METHODS_SQL} SELECT script, count(*) AS total, count_if(status = 'VALID')::BIGINT AS valid, count_if(status = 'INVALID')::BIGINT AS invalid, count_if(status = 'UNCERTAIN')::BIGINT AS uncertain, count_if(status = 'NOT_FOUND')::BIGINT AS not_found,
+  round(count_if(status IN ('INVALID', 'NOT_FOUND')) / greatest(1, count_if(status <> 'UNCERTAIN')), 6) AS hallucination_rate FROM checked GROUP BY script""")
+def val_14_agg_12_summary(spark: SparkSession, d: str) -> DataFrame:
+    return six(validation.summary(checked(spark, d)), "hallucination_rate")
+
+
+@query(f"WITH {METHODS_SQL} SELECT script, round(coalesce(avg(CASE WHEN object_type IS NOT NULL AND object_type <> 'other.Thing' THEN confidence END), 1.0), 6) AS confidence FROM checked GROUP BY script")
+def val_12_agg_11_confidence(spark: SparkSession, d: str) -> DataFrame:
+    inside = checked(spark, d).withColumn("in_graph", F.col("object_type").isNotNull() & (F.col("object_type") != "other.Thing"))
+    return six(validation.overall_confidence(inside), "confidence")
+
+
+@query(f"WITH {METHODS_SQL}, w AS (SELECT script, count(*) AS n, avg(confidence) AS c FROM checked GROUP BY script) SELECT script, n, round(c, 6) AS mean_confidence FROM w ORDER BY c, script LIMIT 5")
+def agg_14_worst_scripts(spark: SparkSession, d: str) -> DataFrame:
+    worst = checked(spark, d).groupBy("script").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence")).orderBy("mean_confidence", "script").limit(5)
+    return six(worst, "mean_confidence")
+
+
+NAMES_SQL = "(SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'os.path' WHEN 1 THEN '.local' WHEN 2 THEN 'project.core' WHEN 3 THEN 'my_tests' WHEN 4 THEN 'ab' ELSE 'helpers' END AS name FROM part)"
+
+
+@query(f"SELECT p_partkey, name, CASE name WHEN 'os.path' THEN false WHEN '.local' THEN true WHEN 'project.core' THEN true WHEN 'my_tests' THEN false WHEN 'ab' THEN false ELSE true END AS internal FROM {NAMES_SQL}")
+def flt_16_internal_imports(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("os.path", ".local", "project.core", "my_tests", "ab", "helpers")))
+    rows = D.table(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 6).cast("int")).alias("name"))
+    return rows.select("p_partkey", "name", validation.is_internal_import(F.col("name"), F.array(F.lit("project"))).alias("internal"))
+
+
+@query("SELECT p_partkey, p_name, regexp_matches(p_name, '^[A-Z]') OR contains(p_brand || '.Client', 'Client') AND p_partkey % 2 = 0 AS class_call FROM part")
+def flt_18_class_calls(spark: SparkSession, d: str) -> DataFrame:
+    full = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_brand", F.lit(".Client"))).otherwise(F.lit("plain"))
+    return D.table(spark, d, "part").select("p_partkey", "p_name", validation.is_class_call(F.col("p_name"), full).alias("class_call"))
