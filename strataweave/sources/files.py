@@ -37,7 +37,7 @@ def source_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".d
     """path, kind, source of files of these suffixes under root; bytes that aren't UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(root)
     kind = F.when(F.col("path").endswith(".py"), "python").otherwise(F.regexp_extract("path", r"\.([^.]+)$", 1))
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), kind.alias("kind"), F.try_to_number(F.col("length").cast("string"), F.lit("999999999999")).cast("long").alias("length"), _utf8("content").alias("source"))
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), kind.alias("kind"), F.col("length"), _utf8("content").alias("source"))
 
 
 def _utf8(column: str):
@@ -53,12 +53,12 @@ def repository(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root).filter(F.col("length") < LARGEST_FILE)
     base = root.rstrip("/").removeprefix("file://")
     below = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(base) + 2, 1 << 20)
-    parts = F.split(below, "/")
+    parts = F.split("below", "/")
     name = F.element_at(parts, -1)
     folders = F.slice(parts, 1, F.size(parts) - 1)
     pruned = F.exists(folders, lambda f: f.isin(*SKIPPED_FOLDERS) | f.startswith("."))
-    kept = files.withColumn("path", below).filter(~pruned & ~name.startswith("test_") & ~name.isin(*SKIPPED_FILES))
-    return kept.select("path", _utf8("content").alias("source"))
+    kept = files.withColumn("below", below).filter(~pruned & ~name.startswith("test_") & ~name.isin(*SKIPPED_FILES))
+    return kept.select(F.col("below").alias("path"), _utf8("content").alias("source"))
 
 
 class _Markdown(HTMLParser):

@@ -54,6 +54,7 @@ def throttle(requests: DataFrame, per_minute: int = 60, burst: int = 10) -> Data
         state.update((times, errors))
         yield pd.DataFrame(out, columns=["client", "ts", "throttled", "errors", "backoff_s"])
 
+    client = requests.schema["client"].dataType.simpleString()
     return requests.groupBy("client").applyInPandasWithState(
-        step, "client string, ts timestamp, throttled boolean, errors int, backoff_s double", "times array<double>, errors int", "append", GroupStateTimeout.NoTimeout
+        step, f"client {client}, ts timestamp, throttled boolean, errors int, backoff_s double", "times array<double>, errors int", "append", GroupStateTimeout.NoTimeout
     )
