@@ -36,13 +36,13 @@ def repos(g: Graph) -> DataFrame:
 def explore(g: Graph, repo: str | None = None) -> DataFrame:
     """Files, classes, functions and methods of each repository; every branch is counted before it is joined."""
     pick = lambda df: df if repo is None else df.filter(F.col("repo_name") == repo)
-    classes = pick(g.class_).select("repo_name", "full_name").distinct()
+    classes = pick(g.class_).select("repo_name", F.col("full_name").alias("class_name")).distinct()
     counts = [
         pick(g.file).groupBy("repo_name").agg(F.countDistinct("path").alias("files")),
         classes.groupBy("repo_name").agg(F.count(F.lit(1)).alias("classes")),
         pick(g.function).groupBy("repo_name").agg(F.countDistinct("file_path", "name").alias("functions")),
-        classes.join(g.method, F.col("class_name") == classes["full_name"]).groupBy("repo_name").agg(F.countDistinct("class_name", g.method["name"]).alias("methods")),
-        classes.join(g.attribute, F.col("class_name") == classes["full_name"]).groupBy("repo_name").agg(F.countDistinct("class_name", g.attribute["name"]).alias("attributes")),
+        classes.join(g.method.select("class_name", "name"), "class_name").groupBy("repo_name").agg(F.countDistinct("class_name", "name").alias("methods")),
+        classes.join(g.attribute.select("class_name", "name"), "class_name").groupBy("repo_name").agg(F.countDistinct("class_name", "name").alias("attributes")),
     ]
     found = g.repository.select(F.col("name").alias("repo_name"))
     found = found if repo is None else found.filter(F.col("repo_name") == repo)

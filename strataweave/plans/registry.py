@@ -560,3 +560,130 @@ def flt_16_internal_imports(spark: SparkSession, d: str) -> DataFrame:
 def flt_18_class_calls(spark: SparkSession, d: str) -> DataFrame:
     full = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_brand", F.lit(".Client"))).otherwise(F.lit("plain"))
     return D.table(spark, d, "part").select("p_partkey", "p_name", validation.is_class_call(F.col("p_name"), full).alias("class_call"))
+
+
+# --- more of the same families ---------------------------------------------------------------
+
+
+@query("""SELECT doc_id, 'Context before:' || chr(10) || right(substr(text, 1, 900), 500) || chr(10) || chr(10) || 'Code:' || chr(10) || substr(text, 1, 1500) || chr(10) || chr(10) || 'Context after:' || chr(10) || substr(text, 1, 500)
+  || chr(10) || chr(10) || 'Say in a sentence or two what this code shows.' AS prompt, length('<document>' || chr(10) || substr(text, 1, 25000) || chr(10) || '</document>') AS n FROM documents""")
+def str_06_08_prompts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    prompt = T.code_summary_prompt(t, F.substring(t, 1, 900), t)
+    whole = F.char_length(F.substring_index(T.context_prompt(t, F.lit("")), "</document>", 1)) + len("</document>")
+    return D.table(spark, d, "documents").select("doc_id", prompt.alias("prompt"), whole.cast("bigint").alias("n"))
+
+
+@query(f"WITH {CALLS_SQL} SELECT script, line, object_type AS full_name, name, CASE WHEN object_type IS NULL OR object_type = 'other.Thing' THEN 'UNCERTAIN' WHEN object_type = 'lib.core.C3' THEN 'NOT_FOUND' ELSE 'VALID' END AS status, CASE WHEN object_type IS NULL OR object_type = 'other.Thing' THEN 0.8 WHEN object_type = 'lib.core.C3' THEN 0.2 ELSE 0.8 END::DOUBLE AS confidence FROM calls")
+def val_07_classes(spark: SparkSession, d: str) -> DataFrame:
+    known = spark.createDataFrame([(f"lib.core.C{i}", None) for i in range(3)], "full_name string, params array<string>")
+    used = calls(spark, d).withColumnRenamed("object_type", "full_name")
+    return validation.check_named(used, modules(spark), known, True)
+
+
+@query(f"WITH {CALLS_SQL} SELECT script, line, object_type AS full_name, name, CASE WHEN object_type = 'other.Thing' THEN 'UNCERTAIN' WHEN object_type IS NULL OR object_type = 'lib.core.C3' THEN 'NOT_FOUND' WHEN n_args <> 1 OR len(list_filter(kwargs, lambda x: x <> 'flag')) > 0 THEN 'INVALID' ELSE 'VALID' END AS status, CASE WHEN object_type = 'other.Thing' THEN 0.8 WHEN object_type IS NULL OR object_type = 'lib.core.C3' THEN 0.2 WHEN n_args <> 1 THEN 0.8 WHEN len(list_filter(kwargs, lambda x: x <> 'flag')) > 0 THEN 0.7 ELSE 0.8 END::DOUBLE AS confidence FROM calls")
+def val_10_functions(spark: SparkSession, d: str) -> DataFrame:
+    known = spark.createDataFrame([(f"lib.core.C{i}", ["a:int", "[keyword_only] flag:bool=False"]) for i in range(3)], "full_name string, params array<string>")
+    used = calls(spark, d).withColumnRenamed("object_type", "full_name")
+    return validation.check_named(used, modules(spark), known, False)
+
+
+@query(f"""WITH {METHODS_SQL} SELECT string_split(object_type, '.')[1] AS module, 0::BIGINT AS classes, count(*) AS methods, 0::BIGINT AS functions, count_if(status = 'VALID')::BIGINT AS valid, list_sort(list_distinct(list(name))) AS names FROM checked WHERE object_type IS NOT NULL GROUP BY 1""")
+def val_15_agg_13_libraries(spark: SparkSession, d: str) -> DataFrame:
+    used = checked(spark, d).filter("object_type IS NOT NULL")
+    return validation.libraries(used.withColumn("kind", F.lit("method")).withColumn("module", validation.head(F.col("object_type"))))
+
+
+@query(f"""WITH {METHODS_SQL}, c AS (SELECT script, count(DISTINCT CASE WHEN status = 'NOT_FOUND' THEN (line, name, object_type) END) AS m, count_if(status = 'INVALID')::BIGINT AS p, avg(confidence) AS conf FROM checked GROUP BY script)
+SELECT script, list_filter([CASE WHEN m > 0 THEN m || ' methods are not in the known libraries: look them up in the documentation.' END, CASE WHEN p > 0 THEN p || ' calls have parameters that do not fit: check their signatures.' END,
+  CASE WHEN m + p = 0 THEN 'Nothing wrong was found in the known libraries.' END, CASE WHEN conf < 0.7 THEN 'Confidence is moderate: most usage is of libraries that are not known here.' END], lambda x: x IS NOT NULL) AS recommendations FROM c""")
+def val_16_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    methods = checked(spark, d)
+    found = validation.hallucinations(methods, methods.filter("false"))
+    return validation.recommendations(found, methods.groupBy("script").agg(F.avg("confidence").alias("confidence")))
+
+
+SCRIPT = "import lib\nfrom lib.core import Client as C\nc = C({n}, key='v')\nr = c.send('x')\nc.name\nwith c.open() as f:\n    f.read()\n"
+
+
+def scripts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    return D.table(spark, d, "documents").select(F.concat(F.lit("s"), n, F.lit(".py")).alias("path"), F.replace(F.lit(SCRIPT), F.lit("{n}"), n).alias("source"))
+
+
+USED = [("import", "lib", "", 1), ("import_from", "C", "", 2), ("call", "C", "", 3), ("method_call", "send", "lib.core.Client", 4), ("attribute", "name", "lib.core.Client", 5), ("method_call", "open", "lib.core.Client", 6), ("scope", "open", "lib.core.Client", 6), ("method_call", "read", "context_manager_result", 7)]
+
+
+@query("SELECT 's' || doc_id || '.py' AS path, kind, name, object_type, line FROM documents, (VALUES " + ", ".join(f"('{k if (k, n) != ('import_from', 'C') else k}', '{'Client' if k == 'import_from' else n}', '{t}', {line})" for k, n, t, line in USED) + ") v(kind, name, object_type, line)")
+def val_01_05_usage_with_types(spark: SparkSession, d: str) -> DataFrame:
+    from strataweave.operators import python_code
+
+    uses = python_code.typed(python_code.usage(scripts(spark, d)))
+    return uses.select("path", "kind", "name", F.coalesce("object_type", F.lit("")).alias("object_type"), "line")
+
+
+MODULE = "class A{n}:\n    x: int = 1\n    def go(self, a, b=2, *, flag): ...\n    def _no(self): ...\ndef top(n): ...\nimport lib.core\n"
+
+
+@query("SELECT 'm' || doc_id || '.py' AS path, kind, replace(name, '{n}', doc_id::VARCHAR) AS name, params FROM documents, (VALUES ('class', 'A{n}', ''), ('method', 'go', 'a:Any,b:Any=2,[keyword_only] flag:Any'), ('attribute', 'x', ''), ('function', 'top', 'n:Any'), ('import', 'lib.core', '')) v(kind, name, params)")
+def kg_16_17_18_structure(spark: SparkSession, d: str) -> DataFrame:
+    from strataweave.operators import python_code
+
+    n = F.col("doc_id").cast("string")
+    found = D.table(spark, d, "documents").select(F.concat(F.lit("m"), n, F.lit(".py")).alias("path"), F.replace(F.lit(MODULE), F.lit("{n}"), n).alias("source"), F.concat(F.lit("pkg.m"), n).alias("module"))
+    return python_code.structure(found).select("path", "kind", "name", F.array_join("params_detailed", ",").alias("params"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_totalprice > 100000 THEN 'auth' ELSE 'other' END AS kind, (o_totalprice::BIGINT // 4) AS words FROM orders")
+def prj_06_mth_04_classes_and_estimates(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("o_totalprice") > 100000, "auth").otherwise("other")
+    return D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind"), F.expr("cast(round(o_totalprice) as bigint) div 4").alias("words"))
+
+
+@query(f"{CHUNKS} SELECT 'true' AS success, count(*)::VARCHAR AS count FROM (SELECT id FROM chunks WHERE source_id = 'src1' AND content ILIKE '%{WORDS}%' ORDER BY id LIMIT 7)")
+def snk_10_envelope(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.keyword(D.chunks(spark, d), WORDS, 7, "src1").select("id", "url")
+    answer = retrieval.envelope(found, query=WORDS)
+    return answer.select(F.get_json_object("answer", "$.success").alias("success"), F.get_json_object("answer", "$.count").alias("count"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'https://docs.org/p/' || c_custkey || '.html' ELSE 'local://x' || c_custkey END AS url FROM customer")
+def src_11_original_urls(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey").cast("string")
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("docs_"), k, F.lit(".html"))).otherwise(F.concat(F.lit("x"), k, F.lit(".html")))
+    return D.table(spark, d, "customer").select("c_custkey", urls.original_url(name, "docs_", "https://docs.org/p/").alias("url"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'https://h.org/r/blob/abc/f' || c_custkey || '.py' ELSE 'file:///tmp/f' || c_custkey || '.py' END AS url FROM customer")
+def url_04_blob_urls(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey").cast("string")
+    path = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("/src/f")).otherwise(F.lit("/tmp/f")), k, F.lit(".py"))
+    return D.table(spark, d, "customer").select("c_custkey", urls.blob_url(path, "/src", "https://h.org/r", "abc").alias("url"))
+
+
+@query("SELECT source AS source_id, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source ORDER BY documents DESC, source LIMIT 5")
+def agg_05_srt_06_largest_sources(spark: SparkSession, d: str) -> DataFrame:
+    found = D.table(spark, d, "documents").groupBy(F.col("source").alias("source_id")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.char_length("text")).alias("chars"))
+    return found.orderBy(F.desc("documents"), "source_id").limit(5)
+
+
+@query("SELECT vec_id AS id, coalesce(len(embedding), 0) AS dim, embedding IS NULL OR len(embedding) = 0 AS unusable FROM embeddings")
+def flt_08_rag_13_vector_checks(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("embedding")
+    return D.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.coalesce(F.size(v), F.lit(0)).cast("bigint").alias("dim"), (v.isNull() | V.is_zero(v)).alias("unusable"))
+
+
+@query()
+def rag_23_ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
+    from strataweave.plans.config import EngineConfig
+    from strataweave.plans.ingest import ingest
+
+    pages = D.pages_of_documents(spark, d, True).select("url", F.col("text").alias("markdown"))
+    return ingest(pages, EngineConfig(contextual_embeddings=True), embedding.HashedWords(16)).chunks.drop("metadata")
+
+
+@query()
+def src_10_markdown(spark: SparkSession, d: str) -> DataFrame:
+    from strataweave.sources.files import with_markdown
+
+    return with_markdown(D.table(spark, d, "pages")).select("page_id", "markdown")

@@ -48,16 +48,33 @@ def _utf8(column: str):
     return decoded(F.col(column))
 
 
+def empty_files(spark: SparkSession, root: str, suffix: str) -> list[str]:
+    """Paths below root of files without a byte, which file scans pass over. One
+    checkout's listing, made on the driver."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    base = store.makeQualified(folder).toString().rstrip("/") + "/"
+    found, files = [], store.listFiles(folder, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0 and f.getPath().getName().endswith(suffix):
+            found.append(f.getPath().toString().removeprefix(base))
+    return sorted(found)
+
+
 def repository(spark: SparkSession, root: str) -> DataFrame:
     """path (below root) and source of a checkout's Python files, without tests, set-up files and large files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root).filter(F.col("length") < LARGEST_FILE)
     base = root.rstrip("/").removeprefix("file://")
     below = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(base) + 2, 1 << 20)
+    blank = spark.createDataFrame([(x,) for x in empty_files(spark, root, ".py")], "below string")
+    files = files.select(below.alias("below"), "content").unionByName(blank.withColumn("content", F.lit(b"")))
     parts = F.split("below", "/")
     name = F.element_at(parts, -1)
     folders = F.slice(parts, 1, F.size(parts) - 1)
     pruned = F.exists(folders, lambda f: f.isin(*SKIPPED_FOLDERS) | f.startswith("."))
-    kept = files.withColumn("below", below).filter(~pruned & ~name.startswith("test_") & ~name.isin(*SKIPPED_FILES))
+    kept = files.filter(~pruned & ~name.startswith("test_") & ~name.isin(*SKIPPED_FILES))
     return kept.select(F.col("below").alias("path"), _utf8("content").alias("source"))
 
 
