@@ -130,7 +130,8 @@ def mixed_documents(docs: DataFrame, levels: Mapping[str, Column], **options) ->
     chosen = mix(docs, levels, **options).groupBy("_row", "epoch").agg(F.count(F.lit(1)).alias("_n"))
     chosen = stored(chosen.groupBy("_row").agg(F.sum("_n").alias("_times"), F.max("_n").alias("_same")), "mixed-rows")
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    met = docs.withColumn("_row", row).join(chosen, "_row")
+    # The list of selected rows grows with the corpus, so it is never broadcast.
+    met = docs.withColumn("_row", row).join(chosen.hint("merge"), "_row")
     # Rows alike in all columns meet the same count; each takes its part of it.
     times = F.ceil(F.col("_times") / F.col("_same")).cast("int")
     return met.withColumn("_e", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

@@ -152,8 +152,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The documents predicted 1, with the columns they came with."""
-    learn = described(docs.filter(~held_out(id_col)).join(labels.filter(F.col(label).isNotNull()).select(F.col(id_col), F.col(label).alias("_label")), id_col), ["_label"], text)
-    model = fit(learn, "_label")
+    marked = labels.filter(F.col(label).isNotNull()).select(id_col, F.col(label).alias("label"))
+    # Statistics travel to the labels, not texts.
+    model = fit(described(docs.filter(~held_out(id_col)), [id_col], text).join(marked, id_col))
     names = [F.col(f"`{c}`") for c in docs.columns]
     counted = S.with_words(docs, text).select(*names, *(c.alias(n) for n, c in counts().items()))
     return S.only(counted.withColumn("_x", F.array(*statistics())), model.score("_x") >= THRESHOLD).select(*names)

@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 
 from strataweave.llm.components import components
 from strataweave.llm.tables import stored
+from strataweave.llm.text_stats import only
 
 CROWD = 48
 #: A probe is a row that is shuffled twice: the work of about so many verifications.
 PROBE_WORK = 8
+#: Bits of a band of a wide fingerprint: chance puts n / 2**20 others into a bucket.
+BAND_BITS = 20
 #: Fingerprints from which bit groups and thresholds are planned.
 PLAN_ROWS = 4000
 LANES = np.uint64(0x0101010101010101)
@@ -217,17 +220,13 @@ def links(fps: DataFrame, tau: int = 2, fp: str = "fp", crowd: int = CROWD) -> D
     return edges.unionByName(stars).distinct()
 
 
-def plan_bands(n: int, similarity: float, recall: float = 0.96) -> tuple[int, int, float]:
-    """(bits per band, bands, expected share of differing bits) for n fingerprints.
-
-    Bands are wide enough that chance alone fills a bucket with few of n, and
-    as many as find a pair of just this similarity with the asked probability.
-    """
+def plan_bands(similarity: float, recall: float = 0.88, width: int = BAND_BITS) -> tuple[int, float]:
+    """(bands of `width` bits, expected share of differing bits): as many as find
+    a pair of just this similarity with the asked probability. More similar
+    pairs are found more surely: 0.96 at 0.85 and 0.998 at 0.9, for 0.8."""
     cosine = 2 * similarity / (1 + similarity)  # of shingle counts, for a Jaccard similarity
     differs = math.acos(cosine) / math.pi
-    width = min(24, max(12, n.bit_length() - 2))
-    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** width))
-    return width, bands, differs
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** width)), differs
 
 
 def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
@@ -240,8 +239,8 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
     members each is a candidate with the member of the smallest id; in
     smaller ones all pairs are. root is a hash of the group's first fingerprint.
     """
-    n = docs.count()
-    width, bands, differs = plan_bands(n, similarity)
+    width = BAND_BITS
+    bands, differs = plan_bands(similarity)
     per_word = 64 // width
     words = -(-bands // per_word)
     bits = 64 * words
@@ -251,18 +250,19 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
     own = stored(fingerprints(tagged, "row", "text", shingle, words).select("row.k", "row.i", "bits").withColumn("node", F.xxhash64("bits")), "wide-fingerprints")
     nodes = stored(own.groupBy("node").agg(F.min("i").alias("least"), F.first("bits").alias("bits")), "wide-nodes")
     masks = [np.uint64(((1 << width) - 1) << (width * j)) for j in range(per_word)]
-    band = [F.struct(F.lit(b).alias("g"), F.col("bits")[b // per_word].bitwiseAND(F.lit(signed(masks[b % per_word]))).alias("key")) for b in range(bands)]
-    posts = nodes.select("node", "least", F.col("bits")[words - 1].alias("word"), F.explode(F.array(*band)).alias("p")).select("node", "least", "word", "p.g", "p.key")
-    heads = posts.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("least", "node", "word")).alias("head")).filter(F.col("n") > crowd)
-    met = stored(posts.join(heads, ["g", "key"], "left"), "wide-bands")
+    buckets = [F.xxhash64(F.lit(b), F.col("bits")[b // per_word].bitwiseAND(F.lit(signed(masks[b % per_word])))) for b in range(bands)]
+    posts = nodes.select("node", "least", F.col("bits")[words - 1].alias("word"), F.explode(F.array(*buckets)).alias("bucket"))
+    heads = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("head")).filter(F.col("n") > crowd).drop("n")
+    # All posts meet the crowded buckets, few or many, so the work is alike at every size and skew.
+    met = posts.join(stored(heads, "crowded-buckets").hint("merge").withColumn("hot", F.lit(True)), "bucket", "left")
 
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= rough
-    held = F.collect_list(F.struct("node", "word"))
-    few = met.filter(F.col("n").isNull()).groupBy("g", "key").agg(held.alias("held")).filter(F.size("held") > 1)
+    few = only(met, F.col("hot").isNull()).groupBy("bucket").agg(F.collect_list(F.struct("node", "word")).alias("held")).filter(F.size("held") > 1)
     pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & close(x["word"], y["word"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     candidates = few.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
-    many = met.filter((F.col("n") > crowd) & (F.col("head.node") != F.col("node")) & close(F.col("word"), F.col("head.word")))
-    candidates = candidates.unionByName(many.select(F.col("head.node").alias("a"), F.col("node").alias("b"))).distinct()
+    many = only(met, F.col("hot").isNotNull()).select("head", "node").distinct()
+    many = many.join(nodes.select(F.col("least").alias("head"), F.col("node").alias("a")), "head").filter(F.col("a") != F.col("node"))
+    candidates = candidates.unionByName(many.select("a", F.col("node").alias("b"))).distinct()
     left, right = nodes.select(F.col("node").alias("a"), F.col("bits").alias("x")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d)
     edges = candidates.join(left, "a").join(right, "b").filter(apart <= limit).select("a", "b")
@@ -279,7 +279,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     kept = stored(kept, "kept-rows")
     # Rows alike in every column share a key; they are told apart by nothing, so one stays.
     repeated = groups.groupBy("key").count().filter(F.col("count") > 1).select(F.col("key").alias("_key"))
-    left = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
+    # Texts are shuffled once, whatever the size: the list of kept rows grows with them.
+    left = docs.withColumn("_key", key).join(kept.hint("merge"), "_key", "left_semi")
     if repeated.isEmpty():
         return left.select(*docs.columns)
     return left.dropDuplicates(["_key"]).select(*docs.columns)
