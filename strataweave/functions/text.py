@@ -165,7 +165,7 @@ def device_metadata(text: Column) -> Column:
     )
 
 
-def python_metadata(text: Column, library: str = "simics") -> Column:
+def python_metadata(text: Column, library: str = "device") -> Column:
     """Classes, functions and imports of a library in Python source, by pattern."""
     every = lambda pattern: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
     return F.struct(
@@ -175,7 +175,7 @@ def python_metadata(text: Column, library: str = "simics") -> Column:
     )
 
 
-def source_of_kind(kind: Column, family: str = "simics") -> Column:
+def source_of_kind(kind: Column, family: str = "device") -> Column:
     return F.when(kind == "dml", f"{family}-dml").when(kind == "python", f"{family}-python").otherwise(f"{family}-source")
 
 

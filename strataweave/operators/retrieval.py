@@ -98,7 +98,7 @@ def rerank(results: DataFrame, query: str, scorer: Callable[[Column, Column], Co
     return results.withColumn("rerank_score", scorer(F.lit(query), F.col(text))).orderBy(F.desc("rerank_score"), "id")
 
 
-def sources_for(kind: str, family: str = "simics") -> tuple[list[str] | None, list[str]]:
+def sources_for(kind: str, family: str = "device") -> tuple[list[str] | None, list[str]]:
     """(sources to search, sources to leave out) for a kind of question."""
     dml, python = f"{family}-dml", f"{family}-python"
     return {"dml": ([dml], []), "python": ([python], []), "source": ([dml, python], []), "docs": (None, [dml, python])}.get(kind, (None, []))

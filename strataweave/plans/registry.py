@@ -201,16 +201,16 @@ def str_11_device_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'class\\s+(\\w+)', 1))), ',') AS classes, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'def\\s+(\\w+)', 1))), ',') AS functions,
-  array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, 'import\\s+(simics\\S*)', 1), regexp_extract_all(t, 'from\\s+(simics\\S*)', 1)))), ',') AS library_imports
-FROM (SELECT doc_id, 'import simics' || (doc_id % 3) || chr(10) || 'class A' || doc_id || ': pass' || chr(10) || 'def f(): pass' || chr(10) || 'from simics.api import x' AS t FROM documents)""")
+  array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, 'import\\s+(device\\S*)', 1), regexp_extract_all(t, 'from\\s+(device\\S*)', 1)))), ',') AS library_imports
+FROM (SELECT doc_id, 'import device' || (doc_id % 3) || chr(10) || 'class A' || doc_id || ': pass' || chr(10) || 'def f(): pass' || chr(10) || 'from device.api import x' AS t FROM documents)""")
 def str_12_python_metadata(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    text = F.concat(F.lit("import simics"), (i % 3).cast("string"), F.lit("\nclass A"), i.cast("string"), F.lit(": pass\ndef f(): pass\nfrom simics.api import x"))
+    text = F.concat(F.lit("import device"), (i % 3).cast("string"), F.lit("\nclass A"), i.cast("string"), F.lit(": pass\ndef f(): pass\nfrom device.api import x"))
     found = D.table(spark, d, "documents").select("doc_id", T.python_metadata(text).alias("m"))
     return found.select("doc_id", *(F.array_join(f"m.{c}", ",").alias(c) for c in ("classes", "functions", "library_imports")))
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'simics-dml' WHEN 'O' THEN 'simics-python' ELSE 'simics-source' END AS source_id FROM orders")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'device-dml' WHEN 'O' THEN 'device-python' ELSE 'device-source' END AS source_id FROM orders")
 def str_14_source_of_kind(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("o_orderstatus") == "F", "dml").when(F.col("o_orderstatus") == "O", "python").otherwise("other")
     return D.table(spark, d, "orders").select("o_orderkey", T.source_of_kind(kind).alias("source_id"))
