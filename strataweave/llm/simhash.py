@@ -37,6 +37,8 @@ from strataweave.llm.text_stats import only
 CROWD = 48
 #: A probe is a row that is shuffled twice: the work of about so many verifications.
 PROBE_WORK = 8
+#: The same for bands of wide fingerprints, where a bucket's pairs can't be replaced by centres.
+BAND_CROWD = 16
 #: Bits of a band of a wide fingerprint: chance puts n / 2**20 others into a bucket.
 BAND_BITS = 20
 #: Fingerprints from which bit groups and thresholds are planned.
@@ -229,7 +231,7 @@ def plan_bands(similarity: float, recall: float = 0.88, width: int = BAND_BITS)
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** width)), differs
 
 
-def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = BAND_CROWD) -> DataFrame:
     """key, id_col and root for every row: rows of equal root are near-duplicates.
 
     For similarities that 64 bits can't resolve: fingerprints of many words are
