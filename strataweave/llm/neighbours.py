@@ -35,7 +35,7 @@ from strataweave.llm.tables import stored
 SAMPLE_ROWS = 4096
 LEAF_ROWS = 64
 TREES = 6
-SHARE = 0.85
+SHARE = 0.75
 CHUNK_ROWS = 4096
 
 
