@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.llm import text_stats as S
-from strataweave.llm.tables import stored
+from strataweave.llm.tables import boxed, stored
 
 SLICES = 512
 Path = tuple[str | None, ...]
@@ -131,7 +131,7 @@ def mixed_documents(docs: DataFrame, levels: Mapping[str, Column], **options) ->
     chosen = stored(chosen.groupBy("_row").agg(F.sum("_n").alias("_times"), F.max("_n").alias("_same")), "mixed-rows")
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     # The list of selected rows grows with the corpus, so it is never broadcast.
-    met = docs.withColumn("_row", row).join(chosen.hint("merge"), "_row")
+    met = boxed(docs, _row=row).join(chosen.hint("merge"), "_row")
     # Rows alike in all columns meet the same count; each takes its part of it.
     times = F.ceil(F.col("_times") / F.col("_same")).cast("int")
-    return met.withColumn("_e", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return met.select("_doc", F.explode(F.sequence(F.lit(1), times)).alias("_e")).select("_doc.*")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strataweave.llm import quality_rules as R
 from strataweave.llm import text_stats as S
-from strataweave.llm.tables import stored
+from strataweave.llm.tables import boxed, stored
 
 THRESHOLD = 0.7
 #: Shares of the pooled covariance and of the identity in each class covariance.
@@ -155,6 +155,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     marked = labels.filter(F.col(label).isNotNull()).select(id_col, F.col(label).alias("label"))
     # Statistics travel to the labels, not texts.
     model = fit(described(docs.filter(~held_out(id_col)), [id_col], text).join(marked, id_col))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    counted = S.with_words(docs, text).select(*names, *(c.alias(n) for n, c in counts().items()))
-    return S.only(counted.withColumn("_x", F.array(*statistics())), model.score("_x") >= THRESHOLD).select(*names)
+    counted = S.with_words(boxed(docs, _source=F.col(text)), "_source").select("_doc", *(c.alias(n) for n, c in counts().items()))
+    return S.only(counted.withColumn("_x", F.array(*statistics())), model.score("_x") >= THRESHOLD).select("_doc.*")

@@ -9,7 +9,7 @@ work only: a document is kept if no rule rejects it, in whatever order.
 
 Defined results: null text counts as empty and fails the length rule; an
 empty table gives an empty result; repeated rows are judged row by row; extra
-columns are kept as they are (names that begin with an underscore are ours).
+columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm import text_stats as S
+from strataweave.llm.tables import boxed
 
 #: The planner's sample holds about so many documents, whatever the input's size.
 SAMPLE_ROWS = 1000
@@ -107,7 +108,7 @@ def passes(order: list[Rule]) -> Column:
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
     order = [m.rule for m in plan(docs, rules, text)]
-    return S.only(prepared(docs, text), passes(order)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return S.only(prepared(boxed(docs, _source=F.col(text)), "_source"), passes(order)).select("_doc.*")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

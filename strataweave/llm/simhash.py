@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.components import components
-from strataweave.llm.tables import stored
+from strataweave.llm.tables import boxed, stored
 from strataweave.llm.text_stats import only
 
 CROWD = 48
@@ -282,10 +282,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     # Rows alike in every column share a key; they are told apart by nothing, so one stays.
     repeated = groups.groupBy("key").count().filter(F.col("count") > 1).select(F.col("key").alias("_key"))
     # Texts are shuffled once, whatever the size: the list of kept rows grows with them.
-    left = docs.withColumn("_key", key).join(kept.hint("merge"), "_key", "left_semi")
+    left = boxed(docs, _key=key).join(kept.hint("merge"), "_key", "left_semi")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    return left.dropDuplicates(["_key"]).select(*docs.columns)
+        return left.select("_doc.*")
+    return left.dropDuplicates(["_key"]).select("_doc.*")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, tau: int = 2) -> DataFrame:

@@ -6,13 +6,20 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """df's columns in one struct, _doc, beside columns of ours, so that no name
+    of theirs meets one of ours; select("_doc.*") takes them out again."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_doc"), *(c.alias(n) for n, c in more.items()))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
     local folder of our own where the session names none (single machine)."""
