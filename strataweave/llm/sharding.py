@@ -46,14 +46,15 @@ def directory(sizes: DataFrame, limit: int, depth: int) -> DataFrame:
         prefixes = cells.select("cell", "b", "n", F.explode(F.sequence(F.lit(at), F.lit(depth))).alias("d")).withColumn("p", F.substring("cell", F.lit(1), F.col("d")))
         sums = prefixes.groupBy("p", "d").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
         fits = (F.col("b") <= limit) | (F.col("n") == 1) | (F.col("d") == longest)
-        first = prefixes.select("cell", "p", "d").join(sums.filter(fits), ["p", "d"]).groupBy("cell").agg(F.min(F.struct("d", "p", "b", "n")).alias("s"))
+        # These tables grow with the corpus, however well they compress: none is broadcast.
+        first = prefixes.select("cell", "p", "d").join(sums.filter(fits).hint("merge"), ["p", "d"]).groupBy("cell").agg(F.min(F.struct("d", "p", "b", "n")).alias("s"))
         settled = first.select("s.p", "s.b", "s.n").distinct()
         settled = stored(settled.select(F.col("p").alias("shard"), F.col("b").alias("shard_bytes"), F.col("n").alias("n_docs")), "shards")
         found = settled if found is None else found.unionByName(settled)
-        crowded = stored(cells.select("cell").join(first.select("cell"), "cell", "left_anti"), "shard-crowded")
+        crowded = stored(cells.select("cell").join(first.select("cell").hint("merge"), "cell", "left_anti"), "shard-crowded")
         if crowded.isEmpty():
             return found
-        todo = todo.withColumn("cell", F.substring("h", 1, depth)).join(crowded, "cell", "left_semi").drop("cell")
+        todo = todo.withColumn("cell", F.substring("h", 1, depth)).join(crowded.hint("merge"), "cell", "left_semi").drop("cell")
         at, depth = depth + 1, min(longest, depth + STEP)
 
 
@@ -71,7 +72,7 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", tex
     keyed = rows
     for d in depths:
         here = shards.filter(F.length("shard") == d)
-        met = keyed.withColumn("shard", F.substring("h", 1, d)).join(here, "shard")
+        met = keyed.withColumn("shard", F.substring("h", 1, d)).join(here.hint("merge"), "shard")
         placed = met if placed is None else placed.unionByName(met)
     if placed is None:
         placed = keyed.withColumn("shard", F.lit("")).withColumn("shard_bytes", F.lit(0).cast("long")).withColumn("n_docs", F.lit(0).cast("long"))
