@@ -126,7 +126,7 @@ def groups_of_bits(sample: np.ndarray, n: int, width: int | None = None) -> list
     """n masks of a 64-bit part, correlated bits together, each of `width` bits
     (by default all 64 are shared out)."""
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(float)
-    bits -= bits.mean(axis=0)
+    bits -= bits.mean(axis=0) if len(sample) else 0.0
     norm = np.sqrt((bits**2).sum(axis=0))
     corr = np.abs(bits.T @ bits) / np.maximum(np.outer(norm, norm), 1e-9) if len(sample) else np.zeros((64, 64))
     np.fill_diagonal(corr, 0)
