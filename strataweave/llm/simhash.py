@@ -23,7 +23,7 @@ has a null component; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ CROWD = 48
 PROBE_WORK = 8
 #: The same for bands of wide fingerprints, where a bucket's pairs can't be replaced by centres.
 BAND_CROWD = 16
+#: Members of a crowded bucket are compared in squares of about this side.
+CELL = 256
 #: Bits of a band of a wide fingerprint: chance puts n / 2**20 others into a bucket.
 BAND_BITS = 20
 #: Fingerprints from which bit groups and thresholds are planned.
@@ -236,10 +238,11 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
 
     For similarities that 64 bits can't resolve: fingerprints of many words are
     cut into bands (groups of bits with threshold zero, enough of them for the
-    asked recall), candidates that share a band are verified, first on one
-    word, then on the whole fingerprint. In a bucket of more than `crowd`
-    members each is a candidate with the member of the smallest id; in
-    smaller ones all pairs are. root is a hash of the group's first fingerprint.
+    asked recall), candidates that share a band are verified, first on two
+    words, then on the whole fingerprint. All pairs of a bucket are candidates.
+    In one of more than `crowd` members each meets the member of the smallest
+    id first, and then all those that it is not linked to by then (unlinked).
+    root is a hash of the group's first fingerprint.
     """
     width = BAND_BITS
     bands, differs = plan_bands(similarity)
@@ -247,32 +250,56 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
     words = -(-bands // per_word)
     bits = 64 * words
     limit = int(differs * bits + 1.5 * math.sqrt(differs * (1 - differs) * bits))
-    rough = math.ceil(64 * differs + 4.5 * math.sqrt(differs * (1 - differs) * 64))
+    rough = math.ceil(128 * differs + 4.5 * math.sqrt(differs * (1 - differs) * 128))
     tagged = docs.select(F.struct(key.alias("k"), F.col(id_col).alias("i")).alias("row"), F.col(text).alias("text"))
     own = stored(fingerprints(tagged, "row", "text", shingle, words).select("row.k", "row.i", "bits").withColumn("node", F.xxhash64("bits")), "wide-fingerprints")
     nodes = stored(own.groupBy("node").agg(F.min("i").alias("least"), F.first("bits").alias("bits")), "wide-nodes")
     masks = [np.uint64(((1 << width) - 1) << (width * j)) for j in range(per_word)]
     buckets = [F.xxhash64(F.lit(b), F.col("bits")[b // per_word].bitwiseAND(F.lit(signed(masks[b % per_word])))) for b in range(bands)]
-    posts = nodes.select("node", "least", F.col("bits")[words - 1].alias("word"), F.explode(F.array(*buckets)).alias("bucket"))
-    heads = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("head")).filter(F.col("n") > crowd).drop("n")
+    posts = nodes.select("node", "least", F.col("bits")[words - 1].alias("w"), F.col("bits")[max(words - 2, 0)].alias("v"), F.explode(F.array(*buckets)).alias("bucket"))
+    heads = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("least", "node", "w", "v")).alias("head")).filter(F.col("n") > crowd)
     # All posts meet the crowded buckets, few or many, so the work is alike at every size and skew.
-    met = posts.join(stored(heads, "crowded-buckets").hint("merge").withColumn("hot", F.lit(True)), "bucket", "left")
+    met = posts.drop("least").join(stored(heads, "crowded-buckets").hint("merge"), "bucket", "left")
 
-    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= rough
-    few = only(met, F.col("hot").isNull()).groupBy("bucket").agg(F.collect_list(F.struct("node", "word")).alias("held")).filter(F.size("held") > 1)
-    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & close(x["word"], y["word"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    close = lambda x, y: F.bit_count(x["w"].bitwiseXOR(y["w"])) + F.bit_count(x["v"].bitwiseXOR(y["v"])) <= rough
+    few = only(met, F.col("n").isNull()).groupBy("bucket").agg(F.collect_list(F.struct("node", "w", "v")).alias("held")).filter(F.size("held") > 1)
+    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & close(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     candidates = few.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
-    many = only(met, F.col("hot").isNotNull()).select("head", "node").distinct()
-    many = many.join(nodes.select(F.col("least").alias("head"), F.col("node").alias("a")), "head").filter(F.col("a") != F.col("node"))
-    candidates = candidates.unionByName(many.select("a", F.col("node").alias("b"))).distinct()
+    hot = stored(only(met, F.col("n").isNotNull()).select("bucket", "node", "w", "v", "head"), "crowded-posts")
+    star = hot.filter((F.col("head.node") != F.col("node")) & close(F.col("head"), {"w": F.col("w"), "v": F.col("v")}))
+    star = star.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b"))
     left, right = nodes.select(F.col("node").alias("a"), F.col("bits").alias("x")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d)
-    edges = candidates.join(left, "a").join(right, "b").filter(apart <= limit).select("a", "b")
-    roots = components(edges).withColumnRenamed("node", "_node")
+    alike = lambda pairs: stored(pairs.distinct().join(left, "a").join(right, "b").filter(apart <= limit).select("a", "b"), "similar-pairs")
+    edges = alike(candidates.unionByName(star))
+    roots = components(edges)
+    open_ = unlinked(hot.select("bucket", "node", "w", "v"), roots, close)
+    if not (more := alike(open_)).isEmpty():
+        roots = components(edges.unionByName(more))
+    roots = roots.withColumnRenamed("node", "_node")
     joined = own.join(roots, own["node"] == roots["_node"], "left")
     return joined.select(F.col("k").alias("key"), F.col("i").alias(id_col), F.coalesce("root", "node").alias("root"))
 
 
+def unlinked(posts: DataFrame, roots: DataFrame, close: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b), a < b, of all that share a bucket, are close and are not of one root yet.
+
+    A pair within a bucket's largest group is linked already, so members are
+    compared with those outside it only, CELL with CELL at a time: a bucket of
+    many copies and a few others costs its size, not its square.
+    """
+    at = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+    mixed = groups.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    at = stored(at.join(mixed.select("bucket", "all", F.col("all") - F.col("top.m"), F.col("top.root")).toDF("bucket", "all", "others", "top").hint("merge"), "bucket"), "unlinked-posts")
+    cell = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col(n) / CELL)).alias("cell")
+    held = lambda rows, n, seed, name: rows.groupBy("bucket", cell(n, seed)).agg(F.collect_list(F.struct("node", "root", "w", "v")).alias(name)).drop("cell")
+    met = held(at, "all", 0, "xs").join(held(at.filter("root != top"), "others", 1, "ys").hint("merge"), "bucket")
+    pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+    found = F.flatten(F.transform("ys", lambda y: F.transform(F.filter("xs", lambda x: (x["root"] != y["root"]) & close(x, y)), lambda x: pair(x, y))))
+    return met.select(F.explode(found).alias("e")).select("e.a", "e.b")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The document of the smallest id of each group, with the columns docs came with."""
     key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))

@@ -397,6 +397,24 @@ def test_similar_groups(spark, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_crowded_buckets_lose_no_links(spark, monkeypatch):
+    """Every bucket is crowded and headed by an unrelated document."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = [(i, " ".join(f"x{rng.randrange(5000)}" for _ in range(400))) for i in range(20)]
+    for i in range(12):
+        copy = list(base)
+        for at in rng.sample(range(400), 2):
+            copy[at] = f"new{i}"
+        rows.append((100 + i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(simhash, "BAND_BITS", 1)
+    monkeypatch.setattr(simhash, "CELL", 3)
+    monkeypatch.setattr(simhash, "plan_bands", lambda similarity: (4, 0.1515))
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(df, F.col("doc_id"), crowd=2).collect()}
+    assert len({got[100 + i] for i in range(12)}) == 1 and len(set(got.values())) == 21
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5000, 5001 + i) for i in range(200)]
