@@ -415,6 +415,32 @@ def test_crowded_buckets_lose_no_links(spark, monkeypatch):
     assert len({got[100 + i] for i in range(12)}) == 1 and len(set(got.values())) == 21
 
 
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups_hold_to_the_similarity(spark):
+    """Pairs of known similarity around 0.8: none below is merged, nearly all from 0.8 on are."""
+    rng = random.Random(3)
+    rows, at = [], {}
+    for i in range(400):
+        base = [f"w{rng.randrange(50_000)}" for _ in range(300)]
+        copy = list(base)
+        for at_ in rng.sample(range(5, 295), 5 + i % 5):
+            copy[at_] = f"new{i}"
+        pair = " ".join(base), " ".join(copy)
+        at[i] = jaccard(*pair)
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    root = {r["doc_id"]: r["root"] for r in simhash.similar_groups(df, F.col("doc_id")).collect()}
+    found = {i: root[2 * i] == root[2 * i + 1] for i in at}
+    below, above = [found[i] for i in at if at[i] < 0.8], [found[i] for i in at if at[i] >= 0.8]
+    assert len(below) > 100 and len(above) > 100
+    assert not any(below) and sum(above) >= 0.95 * len(above)
+    assert simhash.plan_bands(0.8)[0] == 85
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5000, 5001 + i) for i in range(200)]
