@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.llm import text_stats as S
+from strataweave.llm.packing import counted
 from strataweave.llm.tables import boxed, stored
 
 SLICES = 512
@@ -86,16 +87,21 @@ def seeded(seed: int, epoch: Column, rows: Column) -> Column:
     return F.xxhash64(F.lit(seed), epoch, rows).bitwiseAND(F.lit(2**62 - 1))
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], budget: float | None = None, budget_share: float = 0.8, weights: Mapping[Path, float] | None = None, epochs: float = 1.0, seed: int = 11, id_col: str = "doc_id", tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, levels: Mapping[str, Column], budget: float | None = None, budget_share: float = 0.8, weights: Mapping[Path, float] | None = None, epochs: float = 1.0, seed: int = 11, id_col: str = "doc_id", tokens: Column | None = None, tokenizer: str | None = None) -> DataFrame:
     """Rows (id_col, the levels, tokens, epoch, place) that are selected, with
     _row, a hash of the document's columns. levels: name and expression, from
     the root down. budget: in tokens; by default a share of all there are.
-    tokens: what a document counts for, its words by default."""
+    tokenizer: a vocabulary file, by whose tokens a document counts, as packing
+    counts them. tokens: what it counts for otherwise, its words by default."""
+    if tokens is not None and tokenizer is not None:
+        raise ValueError("a document counts by tokens or by a tokenizer")
     count = F.size(S.words(F.col("text"))) if tokens is None else tokens
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     names = list(levels)
     # Rows alike in all columns would share their place; a number within the partition tells them apart.
-    slim = docs.select(F.col(id_col), *(e.cast("string").alias(f"_l{i}") for i, e in enumerate(levels.values())), count.cast("long").alias("tokens"), row.alias("_row"))
+    size = count.cast("long").alias("tokens") if tokenizer is None else F.col("text").alias("_text")
+    slim = docs.select(F.col(id_col), *(e.cast("string").alias(f"_l{i}") for i, e in enumerate(levels.values())), size, row.alias("_row"))
+    slim = slim if tokenizer is None else counted(slim, tokenizer, "_text")
     slim = stored(slim.filter(F.col("tokens") > 0).withColumn("_nth", F.monotonically_increasing_id()), "mixing")
     at = [f"_l{i}" for i in range(len(names))]
     rows = slim.groupBy(*at).agg(F.sum("tokens").alias("t")).collect()  # as many rows as the tree has leaves

@@ -33,6 +33,7 @@ SALTS = 64
 MEMORY = 600_000
 
 _encoders: dict[str, dict] = {}
+_counters: dict[str, dict] = {}
 
 
 class Encoder(dict):
@@ -72,6 +73,40 @@ def encoder(path: str, width: str = "<u4") -> Encoder:
     return _encoders[key]
 
 
+class Counter(dict):
+    """Maps a blank-free byte string to how many ids it has."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.encoder = Encoder(path)
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self.encoder.__missing__(word)) // 4
+        if len(self) < MEMORY:
+            self[word] = n
+        return n
+
+    def count(self, text: bytes) -> int:
+        return sum(map(self.__getitem__, text.lower().split()))
+
+
+def counted(docs: DataFrame, tokenizer: str, text: str = "text", name: str = "tokens") -> DataFrame:
+    """docs with, in place of text, the number of its tokens (bigint); null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokenizer not in _counters:
+            _counters[tokenizer] = Counter(tokenizer)
+        count = _counters[tokenizer].count
+        for batch in batches:
+            n = pa.array([count(value.as_py()) for value in batch.column(batch.num_columns - 1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*kept, name])
+
+    kept = [c for c in docs.columns if c != text]
+    slim = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_b"))
+    schema = ", ".join([*(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` bigint"])
+    return slim.mapInArrow(run, schema)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, ids: bool = False) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32 and, if asked for, ids (binary)."""
     names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * ids

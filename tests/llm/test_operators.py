@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strataweave.llm import html_text, mixing, neighbours, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc
 from strataweave.llm.components import components
-from strataweave.llm.queries import vocabulary
+from strataweave.llm.queries import QUERIES, vocabulary
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -508,6 +508,18 @@ def test_mixing_edges(awkward, none):
     assert mixing.mix(awkward, levels(), budget=0).count() == 0
 
 
+def test_mixing_counts_tokens_as_packing_does(spark, awkward, documents):
+    sizes = packing.pieces(awkward.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), VOCABULARY).groupBy("doc_id").agg(F.sum("length")).collect()
+    want = {d: n - 1 for d, n in sizes if n > 1}  # without the separator
+    rows = mixing.mix(awkward, levels(), budget_share=1.0, tokenizer=VOCABULARY).collect()
+    assert {r["doc_id"]: r["tokens"] for r in rows if r["doc_id"] is not None} == want
+    blob = spark.createDataFrame([(1, base64.b64encode(bytes(range(256))).decode(), "en", "a")], "doc_id bigint, text string, lang string, source string")
+    assert mixing.mix(blob, levels(), budget_share=1.0, tokenizer=VOCABULARY).first()["tokens"] > 50
+    sizes = {d: n - 1 for d, n in packing.pieces(documents, VOCABULARY).groupBy("doc_id").agg(F.sum("length")).collect()}
+    got = QUERIES["op9_mixing"](spark, DATA).collect()
+    assert got and all(r["tokens"] == sizes[r["doc_id"]] for r in got)
+
+
 # --- 10 HTML ---------------------------------------------------------------------------------------
 
 
