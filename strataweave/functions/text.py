@@ -156,11 +156,15 @@ def line_count(text: Column) -> Column:
     return F.size(F.split(text, "\n"))
 
 
+#: White space and a name, in any script, as in Python.
+THEN_NAME = r"[\s\x1c-\x1f\x85\p{Z}]+([\p{L}\p{N}_]+)"
+
+
 def device_metadata(text: Column) -> Column:
     """Device name, templates, interfaces, register groups and methods of device-modelling source."""
-    every = lambda word: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{word}\s+(\w+)"), F.lit(1))))
+    every = lambda word: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(word + THEN_NAME), F.lit(1))))
     return F.struct(
-        F.nullif(F.regexp_extract(text, r"device\s+(\w+)", 1), F.lit("")).alias("device_name"), every("is").alias("templates"), every("implement").alias("interfaces"),
+        F.nullif(F.regexp_extract(text, "device" + THEN_NAME, 1), F.lit("")).alias("device_name"), every("is").alias("templates"), every("implement").alias("interfaces"),
         every("group").alias("register_groups"), every("method").alias("methods"), line_count(text).alias("line_count"), F.char_length(text).alias("char_count"),
     )
 

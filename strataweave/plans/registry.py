@@ -200,6 +200,13 @@ def str_11_device_metadata(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "m.device_name", F.array_join("m.templates", ",").alias("templates"), F.array_join("m.interfaces", ",").alias("interfaces"), "m.line_count")
 
 
+@query()
+def str_11_device_metadata_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, texts unchanged; DuckDB's word class is ASCII, so a test in Python stands for the SQL."""
+    found = D.table(spark, d, "documents").select("doc_id", T.device_metadata(F.col("text")).alias("m"))
+    return found.select("doc_id", "m.*")
+
+
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'class\\s+(\\w+)', 1))), ',') AS classes, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'def\\s+(\\w+)', 1))), ',') AS functions,
   array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, 'import\\s+(device\\S*)', 1), regexp_extract_all(t, 'from\\s+(device\\S*)', 1)))), ',') AS library_imports
 FROM (SELECT doc_id, 'import device' || (doc_id % 3) || chr(10) || 'class A' || doc_id || ': pass' || chr(10) || 'def f(): pass' || chr(10) || 'from device.api import x' AS t FROM documents)""")
@@ -357,6 +364,17 @@ def snk_01_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(old, fresh.unionByName(more), ["id"])
 
 
+@query("""SELECT doc_id AS id, CASE WHEN lang IS DISTINCT FROM 'en' THEN concat(source, ' ', text) ELSE text END AS content FROM documents
+UNION ALL SELECT -doc_id - 1, text FROM documents WHERE lang IS DISTINCT FROM 'en'""")
+def snk_01_upsert_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts; those of every language but English are replaced, and added once more under new ids."""
+    docs = D.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
+    other = docs.filter("NOT lang <=> 'en'")
+    fresh = other.select("id", F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("content", F.lit(""))).alias("content"))
+    more = other.select((-F.col("id") - 1).alias("id"), "content")
+    return store.upsert(docs.select("id", "content"), fresh.unionByName(more), ["id"])
+
+
 @query("SELECT source || '/' || lang AS url, doc_id AS n FROM documents WHERE NOT (source = 'src1' AND lang = 'en') UNION ALL SELECT 'src1/en', -1")
 def snk_01_replace_urls(spark: SparkSession, d: str) -> DataFrame:
     docs = D.table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("url"), F.col("doc_id").alias("n"))

@@ -1,9 +1,12 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as T
 from strataweave.functions import urls
+from strataweave.plans import registry
 
 
 @settings(max_examples=200, deadline=None)
@@ -57,3 +60,25 @@ def test_urls(spark):
     assert df.select(urls.original_url(F.lit("b.html"), "docs_", "https://h.org/docs/")).first()[0] == "local://b"
     assert df.select(urls.blob_url(F.lit("/src/a.py"), "/src", "https://h.org/r", "abc")).first()[0] == "https://h.org/r/blob/abc/a.py"
     assert df.select(urls.blob_url(F.lit("/x/a.py"), "/src", "https://h.org/r", "abc")).first()[0] == "file:///x/a.py"
+
+
+def device_metadata_of(text):
+    every = lambda word: sorted(set(re.findall(rf"{word}\s+(\w+)", text)))
+    name = re.search(r"device\s+(\w+)", text)
+    return name and name[1], every("is"), every("implement"), every("group"), every("method")
+
+
+def test_device_metadata_reads_names_in_any_script(spark):
+    texts = ["device größe is überwacht implement 信号 group é1 method naïve", "device\u00a0x is\u2003y", "device émetteur", "no such word", ""]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.device_metadata(F.col("t")).alias("m")).collect()
+    assert found[0]["m"]["device_name"] == "größe"
+    for r in found:
+        m = r["m"]
+        assert (m["device_name"], *(m[n] for n in ("templates", "interfaces", "register_groups", "methods"))) == device_metadata_of(r["t"])
+
+
+def test_device_metadata_of_all_documents(spark):
+    d = "/root/testdata/sf0.001"
+    want = {r["doc_id"]: device_metadata_of(r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = registry.QUERIES["str_11_device_metadata_all"](spark, d).collect()
+    assert {r["doc_id"]: (r["device_name"], r["templates"], r["interfaces"], r["register_groups"], r["methods"]) for r in got} == want
