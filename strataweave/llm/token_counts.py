@@ -29,20 +29,36 @@ from strataweave.llm.tables import stored
 
 BLOCK_TOKENS = 1 << 16
 RUN = 1024
+#: Blocks that a task reads at a time from one file: 64 MB of two-byte ids.
+RANGE_BLOCKS = 512
 
 
-def blocks_of_files(spark: SparkSession, path: str, width: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file (its path), block, tokens of the flat files under path."""
+def blocks_of_files(spark: SparkSession, path: str, width: str = "<u2", block_tokens: int = BLOCK_TOKENS, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
+    """file (its path), block, tokens of the flat files under path.
+
+    Files are listed by Spark and read by byte ranges of range_blocks blocks,
+    dealt out over tasks, so a file may be of any size; the store must be one
+    that pyarrow opens. Bytes after the last whole token are not a token.
+    """
+    size = np.dtype(width).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = block_tokens * np.dtype(width).itemsize
+        from pyarrow.fs import FileSystem
+
+        step = block_tokens * size
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = content.as_buffer()
-                starts = list(range(0, data.size, step))
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(starts), pa.string()), pa.array(range(len(starts)), pa.int64()), pa.array([data.slice(s, min(step, data.size - s)).to_pybytes() for s in starts], pa.binary())], names=["file", "block", "tokens"])
+            for name, first, end in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "end")), strict=True):
+                store, at = FileSystem.from_uri(name)
+                with store.open_input_file(at) as source:
+                    for block in range(first, end):
+                        source.seek(block * step)
+                        data = source.read(step)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data[: len(data) // size * size]], pa.binary())], names=["file", "block", "tokens"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block bigint, tokens binary")
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.ceil(F.col("length") / (block_tokens * size)).alias("blocks")).filter("blocks > 0")
+    ranges = files.select("file", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(range_blocks).cast("long"))).alias("first"))
+    ranges = ranges.select("file", "first", F.least(F.col("first") + range_blocks, "blocks").alias("end"))
+    return ranges.repartition("file", "first").mapInArrow(run, "file string, block bigint, tokens binary")
 
 
 def separators(blocks: DataFrame, end: int, width: str = "<u2") -> DataFrame:
@@ -102,7 +118,8 @@ def write_flat(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id"
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = encoder(tokenizer, width).encode, np.dtype(width).itemsize
+        # The separator is a special token, whose string in a text must stay ordinary text.
+        encode, size = encoder(tokenizer, width, plain=True).encode, np.dtype(width).itemsize
         last, step = np.array([end], dtype=width).tobytes(), block_tokens * size
         file, block, first, ids, flat = TaskContext.get().partitionId(), 0, 0, [], bytearray()
 

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -53,12 +54,27 @@ def words(text):
 # --- 1 packing ---------------------------------------------------------------------
 
 
-def ids_of(text):
+@cache
+def tokenizer(plain):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    t.encode_special_tokens = plain
+    return t
+
+
+def ids_of(text, plain=False):
+    return [*tokenizer(plain).encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_words_encode_as_the_tokenizer_does(documents):
+    encode = packing.encoder(VOCABULARY).encode
+    rng = random.Random(1)
+    chars = [chr(c) for c in (*range(32, 127), *range(0xA0, 0x180), 0x300, 0x301, 0x2019, 0x3A3, 0x1E9E, 0x65E5, 0x1F44D)]
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|><|endoftext|>", "don't 'tis we're, a'b ''s x's.", "tab\tnew\nline\x1c\x85\xa0 x", "İstanbul ŉ ſ ΣΑΣ àb"]
+    texts += ["".join(rng.choice(chars) for _ in range(40)) for _ in range(500)] + [r["text"] for r in documents.collect()]
+    for text in texts:
+        assert encode((text or "").encode()) == np.array(ids_of(text)[:-1], dtype="<u4").tobytes(), text
 
 
 def check_packed(rows, texts, capacity):
@@ -82,10 +98,13 @@ def check_packed(rows, texts, capacity):
     return len(by)
 
 
-def test_packing(spark, awkward, documents, none):
+def test_packing(spark, awkward, documents, none, monkeypatch):
     check_packed(packing.pack_documents(awkward, VOCABULARY).collect(), [(r[0], r[1]) for r in AWKWARD], 2048)
     rows = packing.pack_documents(documents, VOCABULARY).collect()
     n = check_packed(rows, [(r["doc_id"], r["text"]) for r in documents.collect()], 2048)
+    monkeypatch.setattr(packing, "RANK_ROWS", 5)
+    check_packed(packing.pack_documents(documents, VOCABULARY, capacity=64).collect(), [(r["doc_id"], r["text"]) for r in documents.collect()], 64)
+    check_packed(packing.pack_documents(awkward.limit(1), VOCABULARY, capacity=1).collect(), [(1, None)], 1)
     assert n <= math.ceil(sum(r["length"] for r in rows) / 2048) + 1
     assert packing.pack_documents(none, VOCABULARY).count() == 0
 
@@ -137,11 +156,15 @@ def test_flat_files(spark, tmp_path):
     (tmp_path / "t.bin").write_bytes(ids.tobytes())
     got = token_counts.count_tokens(token_counts.blocks_of_files(spark, str(tmp_path), block_tokens=2), 9).orderBy("ordinal").collect()
     assert [(r["start"], r["n_tokens"], r["closed"]) for r in got] == [(0, 2, True), (3, 0, True), (4, 1, True), (6, 1, False)]
+    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "odd.bin").write_bytes(np.array([9] * 7, dtype="<u2").tobytes() + b"x")
+    many = token_counts.count_tokens(token_counts.blocks_of_files(spark, str(tmp_path), block_tokens=2, range_blocks=1), 9).collect()
+    assert len(many) == 4 + 7 and sum(r["closed"] for r in many) == 3 + 7
 
 
 def test_token_counts_of_documents(awkward, none):
     got = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.document_counts(awkward, VOCABULARY, 49407).collect())
-    assert got == Counter((r[0], len(ids_of(r[1])) - 1) for r in AWKWARD)
+    assert got == Counter((r[0], len(ids_of(r[1], plain=True)) - 1) for r in AWKWARD)
     assert token_counts.document_counts(none, VOCABULARY, 49407).count() == 0
 
 
