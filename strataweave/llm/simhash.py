@@ -41,12 +41,13 @@ PROBE_WORK = 8
 BAND_CROWD = 16
 #: Members of a crowded bucket are compared in squares of about this side.
 CELL = 256
-#: Bits of a band of a wide fingerprint: chance puts n / 2**20 others into a bucket.
-BAND_BITS = 20
+#: A band has so many bits more than n fingerprints need to be told apart, and LEAST_BITS at least:
+#: chance puts a quarter of another fingerprint into a bucket, whatever n is.
+MARGIN_BITS, LEAST_BITS = 2, 16
 #: Fingerprints from which bit groups and thresholds are planned.
 PLAN_ROWS = 4000
-#: Share of bits in which texts of few shingles may differ at a Jaccard similarity of 0.8, ties included (4 of 5 shared).
-FEW_DIFFER = 3 / 16
+#: Share of bits in which texts of fewer than FEW shingles may differ at a Jaccard similarity of 0.8 (4 of 5 shared; ties count).
+FEW, FEW_DIFFER = 10, 3 / 16
 #: Bits of the map of documents whose shingles are wanted: 2 MB at any size of the corpus.
 WANTED_BITS = 24
 LANES = np.uint64(0x0101010101010101)
@@ -94,12 +95,14 @@ def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, words: int = 1, once: bool = False) -> DataFrame:
-    """id_col and bits, an array of `words` 64-bit parts of the fingerprint. once: repeated shingles count once."""
+    """id_col, bits, an array of `words` 64-bit parts of the fingerprint, and n, how many shingles
+    it is made of. once: repeated shingles count once."""
     source = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, held, n = [], [], 0
+            sizes_ = np.zeros(batch.num_rows, dtype=np.int64)
             found = np.zeros((batch.num_rows, words), dtype=np.uint64)
 
             def close(parts=parts, held=held, found=found) -> None:
@@ -113,6 +116,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
             for row, value in enumerate(batch.column(1)):
                 h = _hashes(value.as_py(), shingle)
                 h = np.unique(h) if once else h
+                sizes_[row] = len(h)
                 if len(h):
                     parts.append(h)
                     held.append(row)
@@ -123,10 +127,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
             close()
             flat = pa.array(found.reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, words, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes_)], names=[id_col, "bits", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, bits array<bigint>")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, bits array<bigint>, n bigint")
 
 
 def groups_of_bits(sample: np.ndarray, n: int, width: int | None = None) -> list[np.uint64]:
@@ -229,7 +233,12 @@ def links(fps: DataFrame, tau: int = 2, fp: str = "fp", crowd: int = CROWD) -> D
     return edges.unionByName(stars).distinct()
 
 
-def plan_bands(similarity: float, recall: float = 0.96, width: int = BAND_BITS) -> tuple[int, float]:
+def band_bits(n: int) -> int:
+    """The width of bands for n fingerprints."""
+    return max(LEAST_BITS, MARGIN_BITS + math.ceil(math.log2(max(n, 1))))
+
+
+def plan_bands(similarity: float, width: int, recall: float = 0.96) -> tuple[int, float]:
     """(bands of `width` bits, expected share of differing bits): as many as find
     a pair of just this similarity with the asked probability. More similar
     pairs are found more surely: 0.992 at 0.85 and 0.999 at 0.9, for 0.8."""
@@ -238,56 +247,84 @@ def plan_bands(similarity: float, recall: float = 0.96, width: int = BAND_BITS)
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** width)), differs
 
 
+def _most(share: float, bits: int, deviations: float) -> int:
+    """Bits in which fingerprints may differ that do so in this share on average."""
+    return math.ceil(share * bits + deviations * math.sqrt(share * (1 - share) * bits))
+
+
 def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = BAND_CROWD) -> DataFrame:
     """key, id_col and root for every row: rows of equal root are near-duplicates.
 
     For similarities that 64 bits can't resolve: fingerprints of many words are
     cut into bands (groups of bits with threshold zero, enough of them for the
-    asked recall), candidates that share a band are verified, first on two
-    words, then on the whole fingerprint, and at last by the exact Jaccard
-    similarity of their sets of shingles. All pairs of a bucket are candidates.
-    In one of more than `crowd` members each meets the member of the smallest
-    id first, and then all those that it is not linked to by then (unlinked).
-    root is a hash of the group's first fingerprint.
+    asked recall, and wide enough for the number of documents), candidates that
+    share a band are verified, first on one word, then on the whole fingerprint,
+    and at last by the exact Jaccard similarity of their sets of shingles.
+
+    All pairs of a bucket are candidates. In buckets of more than `crowd`
+    members each member first meets one hub, the densest member of all its
+    buckets (leaders); then it is compared with all members that it is not
+    linked to by then, on whole fingerprints (unlinked). root is a hash of the
+    group's first fingerprint.
     """
-    width = BAND_BITS
-    bands, differs = plan_bands(similarity)
+    tagged = docs.select(F.struct(key.alias("k"), F.col(id_col).alias("i")).alias("row"), F.col(text).alias("text"))
+    width = band_bits(docs.count())
+    bands, differs = plan_bands(similarity, width)
     per_word = 64 // width
     words = -(-bands // per_word)
     bits = 64 * words
-    most = max(differs, FEW_DIFFER)
-    limit, rough = (math.ceil(most * n + 4.5 * math.sqrt(most * (1 - most) * n)) for n in (bits, 128))
-    tagged = docs.select(F.struct(key.alias("k"), F.col(id_col).alias("i")).alias("row"), F.col(text).alias("text"))
-    own = stored(fingerprints(tagged, "row", "text", shingle, words, once=True).select("row.k", "row.i", "bits").withColumn("node", F.xxhash64("bits")), "wide-fingerprints")
-    nodes = stored(own.groupBy("node").agg(F.min("i").alias("least"), F.min("k").alias("k"), F.first("bits").alias("bits")), "wide-nodes")
+    few = max(differs, FEW_DIFFER)
+    rough, most, most_few = _most(few, 64, 3.5), _most(differs, bits, 3.0), _most(few, bits, 4.5)
+    own = stored(fingerprints(tagged, "row", "text", shingle, words, once=True).select("row.k", "row.i", "bits", "n").withColumn("node", F.xxhash64("bits")), "wide-fingerprints")
+    nodes = stored(own.groupBy("node").agg(F.min("k").alias("k"), F.min("n").alias("n"), F.first("bits").alias("bits")), "wide-nodes")
     masks = [np.uint64(((1 << width) - 1) << (width * j)) for j in range(per_word)]
     buckets = [F.xxhash64(F.lit(b), F.col("bits")[b // per_word].bitwiseAND(F.lit(signed(masks[b % per_word])))) for b in range(bands)]
-    posts = nodes.select("node", "least", F.col("bits")[words - 1].alias("w"), F.col("bits")[max(words - 2, 0)].alias("v"), F.explode(F.array(*buckets)).alias("bucket"))
-    heads = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("least", "node", "w", "v")).alias("head")).filter(F.col("n") > crowd)
+    posts = nodes.select("node", F.col("bits")[words - 1].alias("w"), F.explode(F.array(*buckets)).alias("bucket"))
+    crowded = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > crowd)
     # All posts meet the crowded buckets, few or many, so the work is alike at every size and skew.
-    met = posts.drop("least").join(stored(heads, "crowded-buckets").hint("merge"), "bucket", "left")
-
-    close = lambda x, y: F.bit_count(x["w"].bitwiseXOR(y["w"])) + F.bit_count(x["v"].bitwiseXOR(y["v"])) <= rough
-    few = only(met, F.col("n").isNull()).groupBy("bucket").agg(F.collect_list(F.struct("node", "w", "v")).alias("held")).filter(F.size("held") > 1)
-    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & close(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    candidates = few.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
-    hot = stored(only(met, F.col("n").isNotNull()).select("bucket", "node", "w", "v", "head"), "crowded-posts")
-    star = hot.filter((F.col("head.node") != F.col("node")) & close(F.col("head"), {"w": F.col("w"), "v": F.col("v")}))
-    star = star.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b"))
-    left, right = (nodes.select(F.col("node").alias(n), F.col("k").alias(f"k{n}"), F.col("bits").alias(x)) for n, x in ("ax", "by"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d)
-    near = lambda pairs: stored(pairs.distinct().join(left, "a").join(right, "b").filter(apart <= limit).select("a", "b", "ka", "kb"), "similar-pairs")
-    alike = lambda pairs: verified(near(pairs), docs.select(key.alias("k"), F.col(text).alias("text")), shingle, similarity)
-    edges = alike(candidates.unionByName(star))
+    met = posts.join(stored(crowded, "crowded-buckets").hint("merge"), "bucket", "left")
+
+    alike_word = lambda x, y: F.bit_count(x["w"].bitwiseXOR(y["w"])) <= rough
+    held = only(met, F.col("m").isNull()).groupBy("bucket").agg(F.collect_list(F.struct("node", "w")).alias("held")).filter(F.size("held") > 1)
+    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & alike_word(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    candidates = held.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+    hot = stored(only(met, F.col("m").isNotNull()).select("bucket", "node", "m"), "crowded-posts")
+
+    def close(x: Column, y: Column) -> Column:
+        """By size, then by whole fingerprints."""
+        small, large = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+        apart = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, d: a + d)
+        return (small >= similarity * large - 1e-9) & (apart <= F.when(small < FEW, most_few).otherwise(most))
+
+    left, right = (nodes.select(F.col("node").alias(c), F.col("k").alias(f"k{c}"), F.struct("bits", "n").alias(x)) for c, x in ("ax", "by"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().join(left, "a").join(right, "b").filter(close(F.col("x"), F.col("y"))).select("a", "b", "ka", "kb")
+        return verified(stored(near, "similar-pairs"), docs.select(key.alias("k"), F.col(text).alias("text")), shingle, similarity)
+
+    edges = alike(candidates.unionByName(leaders(hot)))
     roots = components(edges)
-    open_ = unlinked(hot.select("bucket", "node", "w", "v"), roots, close)
-    if not (more := alike(open_)).isEmpty():
+    if not (more := alike(unlinked(hot.select("bucket", "node"), nodes.select("node", "n", "bits"), roots, close))).isEmpty():
         roots = components(edges.unionByName(more))
     roots = roots.withColumnRenamed("node", "_node")
     joined = own.join(roots, own["node"] == roots["_node"], "left")
     return joined.select(F.col("k").alias("key"), F.col("i").alias(id_col), F.coalesce("root", "node").alias("root"))
 
 
+def leaders(posts: DataFrame) -> DataFrame:
+    """A pair (a, b), a < b, for each node of posts (bucket, node, m, its bucket's size): itself and its hub.
+
+    A text that many others are near to meets more of them in its buckets than
+    they meet of each other, so the member with the largest sum of sizes heads
+    a bucket. A node's hub is the densest head of its buckets.
+    """
+    dense = posts.groupBy("node").agg(F.sum("m").alias("d"))
+    ranked = posts.join(dense, "node")
+    heads = ranked.groupBy("bucket").agg(F.max(F.struct("d", "node")).alias("head"))
+    hubs = ranked.join(heads, "bucket").filter(F.col("head.node") != F.col("node")).groupBy("node").agg(F.max("head").alias("head"))
+    return hubs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b; ka and kb are keys of their texts) whose sets of shingles
     have this Jaccard similarity or more. texts: k (bigint) and text.
@@ -317,22 +354,26 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return stored(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "verified-pairs")
 
 
-def unlinked(posts: DataFrame, roots: DataFrame, close: Callable[[Column, Column], Column]) -> DataFrame:
-    """Pairs (a, b), a < b, of all that share a bucket, are close and are not of one root yet.
+def unlinked(posts: DataFrame, nodes: DataFrame, roots: DataFrame, close: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b), a < b, of all nodes that share a bucket, are close and are not of one root yet.
 
-    A pair within a bucket's largest group is linked already, so members are
-    compared with those outside it only, CELL with CELL at a time: a bucket of
-    many copies and a few others costs its size, not its square.
+    posts: bucket and node; nodes: node and what close reads. A pair within a
+    bucket's largest group is linked already, so members are compared with
+    those outside it only, CELL with CELL at a time: a bucket of many copies
+    and a few others costs its size, not its square. Only close pairs become rows.
     """
     at = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
     mixed = groups.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    at = stored(at.join(mixed.select("bucket", "all", F.col("all") - F.col("top.m"), F.col("top.root")).toDF("bucket", "all", "others", "top").hint("merge"), "bucket"), "unlinked-posts")
+    at = at.join(mixed.select("bucket", "all", F.col("all") - F.col("top.m"), F.col("top.root")).toDF("bucket", "all", "others", "top").hint("merge"), "bucket")
+    at = stored(at.join(nodes.hint("merge"), "node"), "unlinked-posts")
     cell = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col(n) / CELL)).alias("cell")
-    held = lambda rows, n, seed, name: rows.groupBy("bucket", cell(n, seed)).agg(F.collect_list(F.struct("node", "root", "w", "v")).alias(name)).drop("cell")
+    member = F.struct("node", "root", (F.col("root") == F.col("top")).alias("in_top"), *(c for c in nodes.columns if c != "node"))
+    held = lambda rows, n, seed, name: rows.groupBy("bucket", cell(n, seed)).agg(F.collect_list(member).alias(name)).drop("cell")
     met = held(at, "all", 0, "xs").join(held(at.filter("root != top"), "others", 1, "ys").hint("merge"), "bucket")
     pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
-    found = F.flatten(F.transform("ys", lambda y: F.transform(F.filter("xs", lambda x: (x["root"] != y["root"]) & close(x, y)), lambda x: pair(x, y))))
+    once = lambda x, y: x["in_top"] | (x["node"] < y["node"])
+    found = F.flatten(F.transform("ys", lambda y: F.transform(F.filter("xs", lambda x: (x["root"] != y["root"]) & once(x, y) & close(x, y)), lambda x: pair(x, y))))
     return met.select(F.explode(found).alias("e")).select("e.a", "e.b")
 
 
@@ -340,15 +381,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     """The document of the smallest id of each group, with the columns docs came with."""
     key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     groups = stored(similar_groups(docs, key, id_col, text, shingle, similarity), "similar-groups")
-    kept = groups.groupBy("root").agg(F.min(F.struct(id_col, "key")).alias("first")).select(F.col("first.key").alias("_key"), F.lit(1).alias("_kept"))
+    kept = groups.groupBy("root").agg(F.min(F.struct(id_col, "key")).alias("first")).select(F.col(f"first.{id_col}").alias("_id"), F.col("first.key").alias("_key"))
     kept = stored(kept, "kept-rows")
     # Rows alike in every column share a key; they are told apart by nothing, so one stays.
-    repeated = groups.groupBy("key").count().filter(F.col("count") > 1).select(F.col("key").alias("_key"))
+    repeated = groups.groupBy("key", id_col).count().filter(F.col("count") > 1)
     # Texts are shuffled once, whatever the size: the list of kept rows grows with them.
-    left = boxed(docs, _key=key).join(kept.hint("merge"), "_key", "left_semi")
+    rows = boxed(docs, _key=key, _own=F.col(id_col))
+    left = rows.join(kept.hint("merge"), (rows["_key"] == kept["_key"]) & rows["_own"].eqNullSafe(kept["_id"]), "left_semi")
     if repeated.isEmpty():
         return left.select("_doc.*")
-    return left.dropDuplicates(["_key"]).select("_doc.*")
+    return left.dropDuplicates(["_key", "_own"]).select("_doc.*")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, tau: int = 2) -> DataFrame:

@@ -431,9 +431,9 @@ def test_crowded_buckets_lose_no_links(spark, monkeypatch):
             copy[at] = f"new{i}"
         rows.append((100 + i, " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    monkeypatch.setattr(simhash, "BAND_BITS", 1)
+    monkeypatch.setattr(simhash, "band_bits", lambda n: 1)
     monkeypatch.setattr(simhash, "CELL", 3)
-    monkeypatch.setattr(simhash, "plan_bands", lambda similarity: (4, 0.1515))
+    monkeypatch.setattr(simhash, "plan_bands", lambda similarity, width: (4, 0.1515))
     got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(df, F.col("doc_id"), crowd=2).collect()}
     assert len({got[100 + i] for i in range(12)}) == 1 and len(set(got.values())) == 21
 
@@ -461,7 +461,72 @@ def test_similar_groups_hold_to_the_similarity(spark):
     below, above = [found[i] for i in at if at[i] < 0.8], [found[i] for i in at if at[i] >= 0.8]
     assert len(below) > 100 and len(above) > 100
     assert not any(below) and sum(above) >= 0.95 * len(above)
-    assert simhash.plan_bands(0.8)[0] == 85
+    assert simhash.plan_bands(0.8, 20)[0] == 85
+    assert [simhash.band_bits(n) for n in (0, 1, 2**14, 2**18, 10**10)] == [16, 16, 16, 20, 36]
+
+
+def near(base, rng, changes, mark):
+    copy = list(base)
+    for at in rng.sample(range(len(base)), changes):
+        copy[at] = f"{mark}{rng.randrange(10**6)}"
+    return copy
+
+
+def test_narrow_bands_full_of_strangers(spark, monkeypatch):
+    """What bands of a fixed width come to as a corpus grows: every bucket holds many unrelated texts."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(20_000)}" for _ in range(80)] for _ in range(2500)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(10_000 + i, " ".join(near(b, rng, 1, "n"))) for i, b in enumerate(base[:100])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(simhash, "band_bits", lambda n: 7)
+    groups = {r["doc_id"]: r["root"] for r in simhash.similar_groups(df, F.col("doc_id")).collect()}
+    assert sum(groups[10_000 + i] == groups[i] for i in range(100)) >= 98
+    assert len({groups[i] for i in range(2500)}) == 2500
+
+
+def test_a_long_common_passage_links_nothing(spark):
+    """Hundreds of texts of pairwise similarity 0.68 stay apart; near copies of some go."""
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(160)]
+    base = [passage + [f"w{rng.randrange(10**6)}" for _ in range(38)] for _ in range(600)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(10_000 + i, " ".join(near(b, rng, 1, "n"))) for i, b in enumerate(base[:40])]
+    assert 0.66 < jaccard(rows[0][1], rows[1][1]) < 0.7 and jaccard(rows[0][1], rows[600][1]) > 0.9
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i for i in range(600)} <= kept and len(kept) <= 601
+
+
+def test_near_copies_of_one_text_and_of_each_other(spark):
+    """A crowd around a hub, many of its members too far from the hub, against brute force."""
+    rng = random.Random(14)
+    hub = [f"h{i}" for i in range(150)]
+    texts = [" ".join(near(hub, rng, rng.choice((1, 2, 3, 4, 6, 8)), f"n{i % 50}")) for i in range(220)]
+    texts += [" ".join(near(t.split(), rng, 1, "m")) for t in texts[:60]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(df, F.col("doc_id")).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = components_of(pairs, range(len(texts)))
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    assert all(want[i] == want[j] for i in got for j in got if got[i] == got[j])
+
+
+def test_similar_groups_of_documents(spark):
+    """All pairs of the table by brute force: at least nine in ten links found, no other pair linked."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = [x.lower() for x in words(r["text"])]
+        sets[r["doc_id"]] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] * bool(w))
+    places = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            places[x].append(d)
+    shared = Counter(p for found in places.values() if len(found) > 1 for i, a in enumerate(found) for p in ((a, b) for b in found[i + 1 :]))
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), F.col("doc_id")).collect()}
+    assert len(pairs) > 30 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    want = components_of(pairs, sets)
+    full = [d for d in got if sets[d]]
+    assert len({(got[d], want[d]) for d in full}) == len({got[d] for d in full})  # no group joins what brute force keeps apart
 
 
 def test_components(spark):
