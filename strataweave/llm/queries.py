@@ -65,7 +65,7 @@ MIX_WEIGHTS = {("d0",): 2.0, ("d1",): 2.0, **{(f"d{i}", "en"): 3.0 for i in rang
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents"), mix_levels(), weights=MIX_WEIGHTS, epochs=2.0, tokenizer=vocabulary("word_bpe_49k.json")).drop("_row")
+    return mixing.mix(load(spark, sf_dir, "documents"), mix_levels(), weights=MIX_WEIGHTS, epochs=2.0, tokenizer=vocabulary("word_bpe_49k.json")).drop("_row", "_row2")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -558,7 +558,9 @@ def levels():
     return {"lang": F.col("lang"), "source": F.col("source")}
 
 
-def test_prefix_of_the_seeded_order(documents):
+@pytest.mark.parametrize("slices", [512, 3])
+def test_prefix_of_the_seeded_order(documents, slices, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICES", slices)
     options = {"budget_share": 0.9, "epochs": 2.0, "weights": {("en",): 5.0}}
     rows = mixing.mix(documents, levels(), **options).collect()
     full = {r["doc_id"]: r for r in documents.withColumn("_row", F.xxhash64(*documents.columns)).collect()}
@@ -596,6 +598,20 @@ def test_mixing_edges(awkward, none):
     assert mixing.mix(awkward, levels(), budget=0).count() == 0
 
 
+def test_repeated_rows_are_mixed_as_selected(spark, monkeypatch):
+    same = [(1, "a b c d", "en", "s", "x")] * 7
+    df = spark.createDataFrame([*same, *((10 + i, "e f g h", "en", "s", "x") for i in range(4))], "doc_id bigint, text string, lang string, source string, _row string")
+    for budget, epochs in ((16, 1.0), (44, 1.0), (60, 2.0), (88, 2.0), (4, 1.0)):
+        picked = Counter(r["doc_id"] for r in mixing.mix(df, levels(), budget=budget, epochs=epochs).collect())
+        rows = mixing.mixed_documents(df, levels(), budget=budget, epochs=epochs)
+        assert rows.columns == df.columns
+        assert Counter(r["doc_id"] for r in rows.collect()) == picked
+        assert sum(picked.values()) == budget / 4
+    with monkeypatch.context() as m, pytest.raises(ValueError, match="leaves"):
+        m.setattr(mixing, "MAX_LEAVES", 1)
+        mixing.mix(df.withColumn("source", F.col("doc_id").cast("string")), levels(), budget=4)
+
+
 def test_mixing_counts_tokens_as_packing_does(spark, awkward, documents):
     sizes = packing.pieces(awkward.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), VOCABULARY).groupBy("doc_id").agg(F.sum("length")).collect()
     want = {d: n - 1 for d, n in sizes if n > 1}  # without the separator
