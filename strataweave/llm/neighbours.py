@@ -7,16 +7,25 @@ queue ordered by margin, nearest leaf first, until the leaves seen hold
 `share` of the sample; candidates are all vectors of those leaves, wherever
 they lie, and are reranked exactly (cosine in double precision).
 
+A vector travels once, not once per tree: the table lies in cells, the leaves
+of the first tree, and a vector carries its leaves in the other trees. A query
+goes to the cells in which some leaf that it visits occurs, and there meets
+each vector that shares a visited leaf with it, in whatever trees, once. So the
+work is a scan's at most, and a small part of it on clustered vectors.
+
 Skew. Equal vectors form one class: it is indexed and searched once, and only
-its k + 1 smallest ids can be answers, so no more travel. Leaves are dealt out
-in chunks of about CHUNK_ROWS, and each task scores one chunk against the
-queries that visit it, so a large leaf is many tasks. No pair leaves a task
-but each query's best few in the chunk.
+its k + 1 smallest ids can be answers, so no more travel. Cells are dealt out
+in chunks of about CHUNK_ROWS and queries in parts of about QUERY_ROWS, and a
+task scores one chunk against one part, so neither a large cell nor many
+queries make a large task. No pair leaves a task but each query's best few in
+the chunk.
 
 Defined results: vectors that are null, zero, empty, of another length than
 the table's most common one, or that hold null or non-finite components take
-no part; a query without a candidate gives no row; ties go to the smaller id;
-rows that repeat id and vector count once; an empty table gives no rows.
+no part; a query without a candidate gives no row; ties, as of vectors that are
+multiples of one another, go to the smaller id; rows that repeat id and vector
+count once; other columns, whatever their names, take no part; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +46,9 @@ LEAF_ROWS = 64
 TREES = 6
 SHARE = 0.75
 CHUNK_ROWS = 4096
+QUERY_ROWS = 4096
+#: Rough scores, by matrix product, differ from exact ones by less than this.
+ROUGH = 1e-9
 
 
 class Forest:
@@ -144,54 +156,77 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = forest.leaves(_unit(_matrix(batch.column("v"))))
-            at = pa.array(np.repeat(np.arange(batch.num_rows), leaf.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.reshape(-1)), batch.column("c").take(at), batch.column("v").take(at)], names=["leaf", "c", "v"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(leaf) + 1, dtype=np.int32) * trees), pa.array(leaf.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[:, 0]), lists, *(batch.column(c) for c in ("c", "least", "v"))], names=["cell", "leaves", "c", "least", "v"])
+
+    id_kind = classes.schema["ids"].dataType.elementType.simpleString()
+    placed = stored(classes.select("c", F.col("ids")[0].alias("least"), "v").mapInArrow(place, f"cell int, leaves array<int>, c bigint, least {id_kind}, v array<double>"), "placed-vectors")
+    # Both have as many rows as the forest has leaves, or pairs of them: bounded by sample_rows and trees.
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    chunks = {cell: -(-m // CHUNK_ROWS) for cell, m in counts.items()}
+    occurs: dict[int, list[int]] = {}
+    for r in placed.select("cell", F.explode("leaves").alias("leaf")).distinct().collect():
+        occurs.setdefault(r["leaf"], []).append(r["cell"])
 
-    placed = classes.select("c", "v").mapInArrow(place, "leaf int, c bigint, v array<double>")
-    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # as many rows as the forest has leaves
-    chunks = {leaf: -(-m // CHUNK_ROWS) for leaf, m in counts.items()}
+    # The class of every query row, then each class searched once.
+    asked = rows.filter("q").select(F.col("id").alias("query_id"), "h", F.col("v").alias("qv")).distinct()
+    asked = stored(asked.join(classes.select("h", "c", "v"), "h").filter(F.col("qv") == F.col("v")).select("query_id", "c"), "asked")
+    queries = classes.join(asked.select("c").distinct(), "c", "left_semi").select("c", "v")
+    parts = -(-asked.count() // QUERY_ROWS)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, leaf, chunk = [], [], []
+            row, cell, chunk, visited = [], [], [], []
             for i, q in enumerate(_unit(_matrix(batch.column("v")))):
-                for x in forest.visit(q, share):
-                    for part in range(chunks.get(x, 0)):
+                seen = forest.visit(q, share)
+                for x in sorted({y for leaf in seen for y in occurs.get(leaf, ())}):
+                    for part in range(chunks[x]):
                         row.append(i)
-                        leaf.append(x)
+                        cell.append(x)
                         chunk.append(part)
+                        visited.append(seen)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), batch.column("c").take(at), batch.column("v").take(at)], names=["leaf", "chunk", "c", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(chunk, pa.int32()), pa.array(visited, pa.list_(pa.int32())), batch.column("c").take(at), batch.column("v").take(at)], names=["cell", "chunk", "visited", "c", "v"])
 
-    # The class of every query row, then each class searched once.
-    asked = rows.filter("q").select(F.col("id").alias("query_id"), "h", F.col("v").alias("qv")).distinct()
-    asked = stored(asked.join(classes.select("h", "c", "v"), "h").filter(F.col("qv") == F.col("v")).select("query_id", "c"), "asked")
-    queries = classes.join(asked.select("c").distinct(), "c", "left_semi").select("c", "v")
-    probes = queries.mapInArrow(visit, "leaf int, chunk int, c bigint, v array<double>")
-    deal = F.create_map(*(x for leaf, m in sorted(chunks.items()) for x in (F.lit(leaf), F.lit(m))))
-    dealt = placed.withColumn("chunk", F.pmod(F.hash("c"), deal[F.col("leaf")]))
+    part = F.pmod(F.xxhash64("c"), F.lit(max(parts, 1))).cast("int")
+    probes = queries.mapInArrow(visit, "cell int, chunk int, visited array<int>, c bigint, v array<double>").withColumn("part", part)
+    deal = F.create_map(*(x for cell, m in sorted(chunks.items()) for x in (F.lit(cell), F.lit(m))))
+    # Each chunk meets each part of the queries.
+    dealt = placed.withColumn("chunk", F.pmod(F.hash("c"), deal[F.col("cell")])).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))))
+    leaves_in_all = len(forest.members)
 
     def score(base: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"qc": [], "c": [], "score": []}).astype({"qc": "int64", "c": "int64", "score": "float64"})
         if not len(base) or not len(asks):
             return none
-        x, ids_ = np.stack(base["v"].to_numpy()), base["c"].to_numpy()
-        ux, keep, out = _unit(x), k + 7, []
+        base = base.sort_values("least")
+        x, ids_, leaves = np.stack(base["v"].to_numpy()), base["c"].to_numpy(), np.stack(base["leaves"].to_numpy())
+        ux, keep, out = _unit(x), k + 2, []  # the query's own class, and one more as its own id may lead it
         for at in range(0, len(asks), 256):
-            part = asks.iloc[at : at + 256]
-            q, qids = np.stack(part["v"].to_numpy()), part["c"].to_numpy()
-            rough = _unit(q) @ ux.T
-            top = np.argpartition(-rough, keep, axis=1)[:, :keep] if rough.shape[1] > keep else np.tile(np.arange(rough.shape[1]), (len(q), 1))
-            a, b = np.repeat(np.arange(len(q)), top.shape[1]), top.reshape(-1)
-            out.append(pd.DataFrame({"qc": qids[a], "c": ids_[b], "score": cosine(q[a], x[b])}))
+            some = asks.iloc[at : at + 256]
+            q, qids = np.stack(some["v"].to_numpy()), some["c"].to_numpy()
+            sees = np.zeros((len(q), leaves_in_all), dtype=bool)
+            for i, seen in enumerate(some["visited"]):
+                sees[i, seen] = True
+            met = np.zeros((len(q), len(x)), dtype=bool)
+            for t in range(leaves.shape[1]):
+                met |= sees[:, leaves[:, t]]
+            rough = np.where(met, _unit(q) @ ux.T, -np.inf)
+            edge = np.partition(rough, rough.shape[1] - keep, axis=1)[:, -keep] if rough.shape[1] > keep else np.full(len(q), -np.inf)
+            # All that may be among the best: those that tie with the last are told apart by their exact scores and ids.
+            a, b = np.nonzero((rough >= edge[:, None] - ROUGH) & met)
+            exact = cosine(q[a], x[b])
+            order = np.lexsort((b, -exact, a))  # base is in order of ids
+            nth = np.arange(len(order)) - np.searchsorted(a[order], a[order])
+            order = order[nth < keep]
+            out.append(pd.DataFrame({"qc": qids[a[order]], "c": ids_[b[order]], "score": exact[order]}))
         return pd.concat(out)
 
-    scored = dealt.groupBy("leaf", "chunk").cogroup(probes.groupBy("leaf", "chunk")).applyInPandas(score, "qc bigint, c bigint, score double")
-    best = scored.groupBy("qc", "c").agg(F.max("score").alias("score"))
-    by_score = Window.partitionBy("qc").orderBy(F.desc("score"), "c")
-    # Equal scores may order differently by class and by id, so ties at the edge stay in.
-    best = best.withColumn("n", F.rank().over(by_score.orderBy(F.desc("score")))).filter(F.col("n") <= k + 1)
-    answers = best.join(classes.select("c", "ids"), "c").select("qc", F.explode("ids").alias("id"), "score")
+    keys = ("cell", "chunk", "part")
+    best = dealt.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(score, "qc bigint, c bigint, score double")
+    best = best.join(classes.select("c", "ids"), "c")
+    by_score = Window.partitionBy("qc").orderBy(F.desc("score"), F.col("ids")[0])
+    answers = best.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k + 2).select("qc", F.explode("ids").alias("id"), "score")
     answers = answers.withColumn("n", F.row_number().over(Window.partitionBy("qc").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k + 1)
     lists = answers.groupBy("qc").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("found"))
     own = asked.join(lists, asked["c"] == lists["qc"]).select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))

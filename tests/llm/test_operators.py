@@ -193,6 +193,38 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.filter("vec_id = 7"), F.lit(True)).count() == 0
 
 
+def test_neighbours_that_tie(spark, monkeypatch):
+    """Multiples of one vector tie with one another, over many chunks and parts; extra columns bear the operator's own names."""
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 4))
+    rows = [(1000 - i, [float(v * 2.0 ** (i % 7)) for v in (1.0, 2.0, 0.5, 0.0)], 1, "v") for i in range(90)] + [(i, [float(v) for v in r], 2, "h") for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, c int, v string").withColumns({n: F.lit("theirs") for n in ("h", "q", "cell", "leaves", "id", "part")})
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") % 10 == 0, share=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    known = {i: np.array(v, dtype=np.float32).astype(float) for i, v, *_ in rows}
+    assert set(got) == {i for i in known if i % 10 == 0}
+    for q, found in got.items():
+        scores = {i: float(neighbours.cosine(known[q][None], v[None])[0]) for i, v in known.items() if i != q}
+        assert found == sorted(scores, key=lambda i: (-scores[i], i))[:5]
+
+
+def test_clustered_vectors_meet_few(spark, monkeypatch):
+    """On clusters a small share finds nearly all, and most vectors are never met."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(100, 16))
+    x = np.concatenate([c + 0.05 * rng.normal(size=(30, 16)) for c in centres])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, share=0.05).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {q: set(np.argsort(-np.where(np.arange(len(u)) == q, -9, u @ u[q]))[:5]) for q in range(0, len(u), 50)}
+    assert np.mean([len(got[q] & best[q]) / 5 for q in best]) > 0.9
+
+
 def test_recall(spark):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet")
     rows = df.collect()
