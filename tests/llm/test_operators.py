@@ -713,11 +713,46 @@ def test_differencing(spark):
     text = {r["page_id"]: r["text"] for r in got}
     assert text[1] == "first text that is long enough" and text[2] == "second text that is long enough"
     assert text[3] == "nothing shared here" and text[4] == "Site head alone on its host"
+    assert html_text.differenced(["x", "y"], [html_text.line_hash("y")]) == ["x", "y"]
     assert text[5] == text[6] == "copied page" and text[7] == "" and text[8] == "Site head kept as it is"
     assert len(got) == 9 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_neighbours_by_path(spark):
+    """Pages without a main element against a plain search of all pages of the host."""
+    rng = random.Random(8)
+    pages = {}
+    for i in range(150):
+        host, path = f"h{rng.randrange(4)}", "/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) + f"/{i}"
+        shared = [f"<p>menu {host} {j}</p>" for j in range(rng.randrange(1, 6))]
+        own = [f"<p>own {i} {j} of this page</p>" for j in range(rng.randrange(0, 4))]
+        pages[i] = (f"http://{host}{path}", page("".join(shared + own) if i % 3 else f"<main>{own}</main>" + "".join(shared)))
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in pages.items()], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    paths = {i: (u.split("/")[2], u[u.index("/", 7) :]) for i, (u, _) in pages.items()}
+    order = sorted(paths, key=paths.get)
+    prefix = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for at, i in enumerate(order):
+        near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order) and paths[order[k]][0] == paths[i][0]]
+        twin = max(near, key=lambda j: prefix(paths[i][1], paths[j][1]), default=None)
+        if twin is not None:  # no page of the host has a longer prefix in common
+            assert prefix(paths[i][1], paths[twin][1]) == max(prefix(paths[i][1], paths[j][1]) for j in paths if j != i and paths[j][0] == paths[i][0])
+        lines = [html_text.line_hash(x) for x in html_text.blocks(pages[twin][1])[1]] if twin is not None else None
+        assert got[i] == html_text.text_of(pages[i][1], lines), i
+
+
+def test_awkward_pages():
+    long = "<article>" + "<p>word</p>" * 50_000 + "</article>"
+    assert html_text.text_of(long, None) == " ".join(["word"] * 50_000)
+    assert html_text.text_of("<article><p>a <a href=\"x>never closed", None) == "a never closed"
+    assert html_text.text_of("<p>a</p><div class='x", None) == "a"
+    assert html_text.text_of("<" * 20_000, None) == "<" * 20_000
+    assert html_text.text_of("<p>x</p>" + "<a" * 20_000, None) == "x"
+    assert html_text.text_of("<p>x</p><!-- open" + "<a" * 20_000, None) == "x"
+    assert html_text.text_of("<p>1 < 2 </3>&lt;b> <", None) == "1 < 2 <b> <"
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     for r in html_text.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
