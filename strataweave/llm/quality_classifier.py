@@ -7,9 +7,11 @@ score is the logistic of the difference of the classes' log densities, which
 are Mahalanobis forms over Cholesky factors that are inverted once, at fitting.
 
 Fitting reads every labelled training row through one aggregate of sums and
-products (its size depends on the number of statistics alone). Statistics are
-computed once per document and stored in the shared folder, as both fitting
-and scoring read them.
+products (its size depends on the number of statistics alone). To score
+documents, statistics are computed once and stored in the shared folder, as
+both fitting and scoring read them. To filter them, the model is fitted on at
+most FIT_ROWS labelled rows, those of the least hashes of their ids, as
+statistics of more texts would be computed for the fit alone.
 
 Defined results: null or empty text has the statistics of a text of no words;
 rows without a label take no part in fitting; if a class has no labelled row,
@@ -33,6 +35,8 @@ from strataweave.llm.tables import boxed, stored
 THRESHOLD = 0.7
 #: Shares of the pooled covariance and of the identity in each class covariance.
 POOLED, RIDGE = 0.1, 0.02
+#: filter_documents fits on so many labelled rows at most.
+FIT_ROWS = 20_000
 
 
 def counts() -> dict[str, Column]:
@@ -150,10 +154,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents predicted 1, with the columns they came with."""
-    marked = labels.filter(F.col(label).isNotNull()).select(id_col, F.col(label).alias("label"))
-    # Statistics travel to the labels, not texts.
-    model = fit(described(docs.filter(~held_out(id_col)), [id_col], text).join(marked, id_col))
+    marked = labels.filter(F.col(label).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
+    marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    # fit_rows ids at most, so the list may be broadcast, and no text moves.
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_source")).join(F.broadcast(marked), "_id")
+    model = fit(described(known, ["_label"], "_source"), "_label")
     counted = S.with_words(boxed(docs, _source=F.col(text)), "_source").select("_doc", *(c.alias(n) for n, c in counts().items()))
     return S.only(counted.withColumn("_x", F.array(*statistics())), model.score("_x") >= THRESHOLD).select("_doc.*")

@@ -6,6 +6,7 @@ import html as entities
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -311,6 +312,19 @@ def test_cascade_is_the_same_in_any_order(awkward, documents):
     assert [m.rank for m in order] == sorted((m.rank for m in order), reverse=True)
 
 
+def test_a_costly_rule_moves_back(documents):
+    """Two rules that reject the same rows, one by a detour; and rules that reject more or less at one cost."""
+    short = lambda n: (lambda: F.size("_words") < n)
+    detour = lambda: F.size(F.array_sort(F.transform("_words", lambda w: F.sha2(F.concat(F.md5(w), F.sha2(w, 512)), 512)))) < 60
+    R = quality_rules.Rule
+    rules = (R("detour", detour), R("few", short(30)), R("many", short(60)))
+    for _ in range(2):
+        found = {m.rule.name: m for m in quality_rules.plan(documents, rules)}
+        assert list(found) == ["many", "few", "detour"]
+        assert found["detour"].rejection == found["many"].rejection > found["few"].rejection > 0
+        assert found["detour"].cost_s > 2 * quality_rules.LEAST_COST > found["many"].cost_s
+
+
 # --- 6 classifier -------------------------------------------------------------------------
 
 
@@ -324,6 +338,42 @@ def test_classifier_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got.select("doc_id", "held_out").collect())
 
 
+def numbers(text):
+    """The counts of quality_classifier.counts(), in plain Python."""
+    w = [x.decode() for x in words(text)]
+    text = text or ""
+    lines = [x for x in text.split("\n") if words(x)]
+    many = lambda chars: sum(text.count(c) for c in chars)
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    return len(w), sum(map(len, w)), many("#*$%&|<>"), many("!"), upper, sum(a == b for a, b in zip(w, w[1:], strict=False)), len(set(w)), len(lines) - len(set(lines)), len(lines), many("0123456789"), many(".,;:")
+
+
+def test_classifier_against_numpy(spark):
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    x = []
+    for r in rows:
+        n, c, sym, exc, up, adj, dis, dup, lin, dig, pun = numbers(r["text"])
+        m, k = max(n, 1), max(c, 1)
+        x.append([math.log1p(n), *(math.log(a / b + e) for a, b, e in ((c, m, 0.5), (sym, m, 0.05), (exc, m, 0.05), (up, k, 0.02), (adj, m, 0.05)))])
+        x[-1] += [math.log(max(dis, 1) / m**0.93), *(math.log(a / b + e) for a, b, e in ((dup, max(lin, 1), 0.1), (dig, k, 0.05), (pun, m, 0.05)))]
+    x = np.array(x)
+    label = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    y = np.array([label.get(r["doc_id"], -1) for r in rows])
+    cov = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    share = [np.mean(y[y >= 0] == k) for k in (0, 1)]
+    common = share[0] * cov[0] + share[1] * cov[1]
+    logs = []
+    for k in (0, 1):
+        s = (1 - quality_classifier.POOLED) * cov[k] + quality_classifier.POOLED * common + quality_classifier.RIDGE * np.trace(common) / len(common) * np.eye(len(common))
+        d = x - x[y == k].mean(axis=0)
+        logs.append(math.log(share[k]) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    want = {r["doc_id"]: 1 / (1 + math.exp(min(a - b, 700))) for r, a, b in zip(rows, *logs, strict=True)}
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score_documents(docs, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6
+
+
 def test_classifier_edges(spark, awkward, none, documents):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     nothing = labels.limit(0)
