@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FENCE = "```"
+#: White space in any script, as Python has it; Java's own class is ASCII.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+INK = r"[^\s\x1c-\x1f\x85\p{Z}]"
+WORD = r"[\p{L}\p{N}_]"
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end (trim() takes spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def rfind(text: Column, part: str) -> Column:
@@ -27,7 +31,7 @@ def truncated(text: Column, n: int) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, SPACE + "+"), lambda w: w != ""))
 
 
 def cut_points(text: str, size: int) -> Iterator[tuple[int, int]]:
@@ -82,7 +86,7 @@ def chunk(docs: DataFrame, text: str = "text", size: int = 5000) -> DataFrame:
 
 def headers(text: Column) -> Column:
     """Markdown headings, as '<marks> <heading>' joined by '; '."""
-    found = lambda g: F.regexp_extract_all(text, F.lit(r"(?m)^(#+)\s+(.+)$"), F.lit(g))
+    found = lambda g: F.regexp_extract_all(text, F.lit(rf"(?m)^(#+){SPACE}+(.+)$"), F.lit(g))
     return F.array_join(F.zip_with(found(1), found(2), lambda marks, title: F.concat_ws(" ", marks, title)), "; ")
 
 
@@ -157,7 +161,7 @@ def line_count(text: Column) -> Column:
 
 
 #: White space and a name, in any script, as in Python.
-THEN_NAME = r"[\s\x1c-\x1f\x85\p{Z}]+([\p{L}\p{N}_]+)"
+THEN_NAME = f"{SPACE}+({WORD}+)"
 
 
 def device_metadata(text: Column) -> Column:
@@ -173,8 +177,8 @@ def python_metadata(text: Column, library: str = "device") -> Column:
     """Classes, functions and imports of a library in Python source, by pattern."""
     every = lambda pattern: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
     return F.struct(
-        every(r"class\s+(\w+)").alias("classes"), every(r"def\s+(\w+)").alias("functions"),
-        F.array_sort(F.array_union(every(rf"import\s+({library}\S*)"), every(rf"from\s+({library}\S*)"))).alias("library_imports"),
+        every("class" + THEN_NAME).alias("classes"), every("def" + THEN_NAME).alias("functions"),
+        F.array_sort(F.array_union(every(f"import{SPACE}+({library}{INK}*)"), every(f"from{SPACE}+({library}{INK}*)"))).alias("library_imports"),
         line_count(text).alias("line_count"), F.char_length(text).alias("char_count"),
     )
 
@@ -189,3 +193,14 @@ def percent(share: Column, digits: int = 1) -> Column:
 
 def title(name: Column) -> Column:
     return F.initcap(F.lower(F.replace(name, F.lit("_"), F.lit(" "))))
+
+
+def chat_content(answer: Column) -> Column:
+    """The text of a chat completion's first choice, stripped; null where there is none."""
+    return strip(F.get_json_object(answer, "$.choices[0].message.content"))
+
+
+def progress(done: Column, total: Column, elapsed_s: Column) -> Column:
+    """percent, per_second and eta_s of a run that has done so many of so many; nulls before the first."""
+    rate = F.try_divide(done, elapsed_s)
+    return F.struct(F.try_divide(done * 100.0, total).alias("percent"), rate.alias("per_second"), F.try_divide(total - done, rate).alias("eta_s"))

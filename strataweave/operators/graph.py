@@ -180,6 +180,11 @@ def result_methods(g: Graph, repo: str = "pydantic_ai") -> DataFrame:
     return g.method.join(held, "class_name").select("class_name", "name").distinct()
 
 
+def limited(rows: DataFrame, n: int = LIMIT) -> DataFrame:
+    """Whether a listing has come to its limit, and how many rows it has."""
+    return rows.agg(F.count(F.lit(1)).alias("count")).select("count", (F.col("count") >= n).alias("limited"))
+
+
 def run(g: Graph, command: str) -> DataFrame:
     """repos | explore <repo> | classes [repo] | class <name> | method <name> [class] | query <SQL over kg_ views>."""
     verb, _, rest = command.strip().partition(" ")

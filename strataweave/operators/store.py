@@ -6,7 +6,7 @@ last and tells which one stands.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,3 +62,25 @@ def create_tables(spark: SparkSession, database: str) -> None:
 
 def truncate(spark: SparkSession, table: str) -> None:
     spark.sql(f"TRUNCATE TABLE {table}")
+
+
+def counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """table_name and row_count of each."""
+    found = None
+    for name, table in tables.items():
+        one = table.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError("a table is wanted")
+    return found
+
+
+def head(table: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in this order."""
+    return table.orderBy(*order).limit(n)
+
+
+def delete_source(tables: Mapping[str, DataFrame], source: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table without the source, and how many rows of each go (table_name, row_count)."""
+    gone = counts({name: t.filter(F.col("source_id").eqNullSafe(source)) for name, t in tables.items()})
+    return {name: without_source(t, source) for name, t in tables.items()}, gone

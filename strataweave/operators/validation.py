@@ -142,7 +142,7 @@ def check_named(calls: DataFrame, modules: DataFrame, known: DataFrame, skip_wit
     """Calls of classes or functions: script, line, full_name, name, n_args, kwargs.
     known: full_name, params. Functions without a full name aren't skipped."""
     met = calls.join(modules, "script", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
-    held = known.groupBy("full_name").agg(F.first("params").alias("params")).withColumn("found", F.lit(True))
+    held = known.groupBy("full_name").agg(F.min_by("params", F.to_json(F.struct("params"))).alias("params")).withColumn("found", F.lit(True))
     tail = known.groupBy(F.substring_index("full_name", ".", -1).alias("name")).agg(F.min_by("params", "full_name").alias("params2")).withColumn("found2", F.lit(True))
     full = met.join(held, "full_name", "left").join(tail, "name", "left")
     outside = ~is_known(F.coalesce("full_name", "name"), F.col("modules"))

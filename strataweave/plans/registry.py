@@ -134,7 +134,9 @@ def rag_11_available_sources(spark: SparkSession, d: str) -> DataFrame:
     return sources(spark, d).orderBy("source_id")
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+c AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::UBIGINT % 64)::INT AS slot, count(*) AS n FROM w GROUP BY ALL)
+SELECT doc_id, list(coalesce(n, 0)::DOUBLE ORDER BY slot) AS embedding FROM (SELECT doc_id, unnest(range(64))::INT AS slot FROM documents) LEFT JOIN c USING (doc_id, slot) GROUP BY doc_id""")
 def rag_12_hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return embedding.embed(D.table(spark, d, "documents"), embedding.HashedWords(64), "text").select("doc_id", "embedding")
 
@@ -188,23 +190,18 @@ def str_07_09_10_model_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patterned(word: str) -> str:
-    return f"list_sort(list_distinct(regexp_extract_all(text, '{word}\\s+(\\w+)', 1)))"
+    return f"list_sort(list_distinct(regexp_extract_all(text, '{word}[\\s\\p{{Z}}]+([\\p{{L}}\\p{{N}}_]+)', 1)))"
 
 
-@query(f"""SELECT doc_id, nullif(regexp_extract(text, 'device\\s+(\\w+)', 1), '') AS device_name, array_to_string({patterned('is')}, ',') AS templates, array_to_string({patterned('implement')}, ',') AS interfaces,
-  len(string_split(text, chr(10)))::INT AS line_count FROM (SELECT doc_id, replace(replace(text, 'á', 'a'), 'é', 'e') || ' device uart is plain method go' AS text FROM documents WHERE lang = 'en')""")
+@query(f"""SELECT doc_id, nullif(regexp_extract(text, 'device[\\s\\p{{Z}}]+([\\p{{L}}\\p{{N}}_]+)', 1), '') AS device_name, array_to_string({patterned('is')}, ',') AS templates, array_to_string({patterned('implement')}, ',') AS interfaces,
+  array_to_string({patterned('group')}, ',') AS register_groups, array_to_string({patterned('method')}, ',') AS methods, len(string_split(text, chr(10)))::INT AS line_count, length(text)::INT AS char_count
+FROM (SELECT doc_id, text || ' device größe is überwacht is plain implement io method naïve' AS text FROM documents)""")
 def str_11_device_metadata(spark: SparkSession, d: str) -> DataFrame:
-    docs = D.table(spark, d, "documents").filter("lang = 'en'")
-    text = F.concat(F.replace(F.replace("text", F.lit("á"), F.lit("a")), F.lit("é"), F.lit("e")), F.lit(" device uart is plain method go"))
-    found = docs.select("doc_id", T.device_metadata(text).alias("m"))
-    return found.select("doc_id", "m.device_name", F.array_join("m.templates", ",").alias("templates"), F.array_join("m.interfaces", ",").alias("interfaces"), "m.line_count")
-
-
-@query()
-def str_11_device_metadata_all(spark: SparkSession, d: str) -> DataFrame:
-    """All documents, texts unchanged; DuckDB's word class is ASCII, so a test in Python stands for the SQL."""
-    found = D.table(spark, d, "documents").select("doc_id", T.device_metadata(F.col("text")).alias("m"))
-    return found.select("doc_id", "m.*")
+    """All documents, whole texts and in any script."""
+    text = F.concat("text", F.lit(" device größe is überwacht is plain implement io method naïve"))
+    found = D.table(spark, d, "documents").select("doc_id", T.device_metadata(text).alias("m"))
+    lists = ("templates", "interfaces", "register_groups", "methods")
+    return found.select("doc_id", "m.device_name", *(F.array_join(f"m.{c}", ",").alias(c) for c in lists), "m.line_count", "m.char_count")
 
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'class\\s+(\\w+)', 1))), ',') AS classes, array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'def\\s+(\\w+)', 1))), ',') AS functions,
@@ -299,11 +296,10 @@ def jon_01_orphans(spark: SparkSession, d: str) -> DataFrame:
     return store.orphans(D.chunks(spark, d), known).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id < 5""")
+@query(f"SELECT vec_id, round({SIM}, 6) AS similarity, round(1 - {SIM}, 6) AS distance FROM embeddings, {QUERY}")
 def mth_01_cosine(spark: SparkSession, d: str) -> DataFrame:
-    e = D.table(spark, d, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return six(e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", V.cosine_similarity(F.col("q"), F.col("embedding")).alias("similarity")), "similarity")
+    found = D.table(spark, d, "embeddings").select("vec_id", V.similarity_to(F.col("embedding"), D.query_vector(spark, d)).alias("similarity"))
+    return six(found.withColumn("distance", 1 - F.col("similarity")), "similarity", "distance")
 
 
 # --- aggregates and windows ----------------------------------------------------------------
@@ -355,18 +351,9 @@ def win_02_07_running_index_and_batches(spark: SparkSession, d: str) -> DataFram
 # --- store ----------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE substr(text, 1, 20) END AS content FROM documents UNION ALL SELECT doc_id + 1000000, 'new' FROM documents WHERE doc_id % 30 = 0")
-def snk_01_upsert(spark: SparkSession, d: str) -> DataFrame:
-    docs = D.table(spark, d, "documents")
-    old = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("content"))
-    fresh = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("new").alias("content"))
-    more = docs.filter("doc_id % 30 = 0").select((F.col("doc_id") + 1000000).alias("id"), F.lit("new").alias("content"))
-    return store.upsert(old, fresh.unionByName(more), ["id"])
-
-
 @query("""SELECT doc_id AS id, CASE WHEN lang IS DISTINCT FROM 'en' THEN concat(source, ' ', text) ELSE text END AS content FROM documents
 UNION ALL SELECT -doc_id - 1, text FROM documents WHERE lang IS DISTINCT FROM 'en'""")
-def snk_01_upsert_whole(spark: SparkSession, d: str) -> DataFrame:
+def snk_01_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts; those of every language but English are replaced, and added once more under new ids."""
     docs = D.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
     other = docs.filter("NOT lang <=> 'en'")
@@ -705,3 +692,104 @@ def src_10_markdown(spark: SparkSession, d: str) -> DataFrame:
     from strataweave.sources.files import with_markdown
 
     return with_markdown(D.table(spark, d, "pages")).select("page_id", "markdown")
+
+
+# --- tools and small functions -----------------------------------------------------------
+
+
+@query(f"{CHUNKS} SELECT 'chunks' AS table_name, count(*) AS row_count FROM chunks UNION ALL SELECT 'sources', count(DISTINCT source) FROM documents UNION ALL SELECT 'with_vector', count(embedding) FROM chunks")
+def agg_10_table_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = D.chunks(spark, d)
+    return store.counts({"chunks": rows, "sources": D.table(spark, d, "documents").filter("source IS NOT NULL").select("source").distinct(), "with_vector": rows.filter("embedding IS NOT NULL")})
+
+
+@query(f"{CHUNKS} SELECT table_name, row_count FROM (SELECT 'chunks' AS table_name, count(*) FILTER (source_id = 'src4') AS row_count FROM chunks UNION ALL SELECT 'left', count(*) FILTER (source_id IS DISTINCT FROM 'src4') FROM chunks UNION ALL SELECT 'documents', count(*) FILTER (source = 'src4') FROM documents)")
+def snk_05_delete_source_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.table(spark, d, "documents").withColumn("source_id", F.col("source"))
+    left, gone = store.delete_source({"chunks": D.chunks(spark, d), "documents": docs}, "src4")
+    return gone.unionByName(store.counts({"left": left["chunks"]}))
+
+
+@query("SELECT doc_id, source, length(text)::INT AS chars FROM documents ORDER BY source, doc_id LIMIT 3")
+def src_20_head(spark: SparkSession, d: str) -> DataFrame:
+    return store.head(D.table(spark, d, "documents"), 3, "source", "doc_id").select("doc_id", "source", F.char_length("text").alias("chars"))
+
+
+@query(f"{KG} SELECT count(*) AS count, count(*) >= 20 AS limited FROM (SELECT full_name FROM kg_class WHERE repo_name = 'ASIA' LIMIT 20)")
+def agg_18_limited(spark: SparkSession, d: str) -> DataFrame:
+    return graph.limited(graph.classes(D.graph(spark, d), "ASIA"))
+
+
+@query("SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer, text IS NOT NULL AS answered FROM conversations")
+def str_21_rag_19_chat_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn's text, packed as a completion's JSON and read from it; the second completer answers where the first has none."""
+    said = F.when(F.col("text").isNotNull(), F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("  "), "text", F.lit("\n")).alias("content")).alias("message"))).alias("choices"))))
+    turns = D.table(spark, d, "conversations").select("conv_id", "turn", said.alias("prompt"))
+    found = embedding.complete(turns, [lambda p: F.lit(None).cast("string"), T.chat_content])
+    return found.select("conv_id", "turn", "answer", F.col("answer").isNotNull().alias("answered"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(100.0 * l_linenumber / 7, 6) AS percent, round(l_linenumber / l_quantity::DOUBLE, 6) AS per_second, round((7 - l_linenumber) / (l_linenumber / l_quantity::DOUBLE), 6) AS eta_s FROM lineitem")
+def mth_06_progress(spark: SparkSession, d: str) -> DataFrame:
+    found = D.table(spark, d, "lineitem").withColumn("p", T.progress(F.col("l_linenumber").cast("double"), F.lit(7.0), F.col("l_quantity").cast("double")))
+    return six(found.select("l_orderkey", "l_linenumber", "p.*"), "percent", "per_second", "eta_s")
+
+
+@query(f"""{EXAMPLES} SELECT id, source_id, round({SIM}, 6) AS similarity FROM examples, {QUERY} WHERE source_id = 'src2' ORDER BY {SIM} DESC NULLS LAST, id LIMIT 5""")
+def rag_21_code_of_source(spark: SparkSession, d: str) -> DataFrame:
+    return six(retrieval.match(D.examples(spark, d), D.query_vector(spark, d), 5, source="src2").select("id", "source_id", "similarity"), "similarity")
+
+
+@query(f"{CHUNKS} SELECT id, round(len(list_intersect(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> ''), ['the', 'and', 'of'])) / 3.0, 6) AS rerank_score FROM chunks WHERE chunk_number = 0")
+def rag_22_scorer_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The first scorer of the chain isn't there, so the second scores."""
+    chosen = embedding.scorer(["cross-encoder", "overlap"], {"overlap": lambda: embedding.word_overlap})
+    first = D.chunks(spark, d).filter("chunk_number = 0")
+    return six(first.select("id", chosen(F.lit("the and of"), F.col("content")).alias("rerank_score")), "rerank_score")
+
+
+@query(f"{KG} SELECT class_name, name FROM (SELECT DISTINCT class_name, name, class_short FROM kg_method WHERE repo_name = 'ASIA') WHERE regexp_matches(class_short, 'Result|Stream|Run')")
+def flt_13_result_methods(spark: SparkSession, d: str) -> DataFrame:
+    return graph.result_methods(D.graph(spark, d), "ASIA")
+
+
+@query("""SELECT doc_id, name, CASE WHEN contains(name, '.') THEN string_split(name, '.')[1] IN ('src1', 'src2') ELSE contains('src1', name) OR contains('src2', name) END AS known
+FROM (SELECT doc_id, unnest([source || '.' || lang, source, lang]) AS name FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)""")
+def flt_15_known_to_reporter(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.table(spark, d, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
+    named = docs.select("doc_id", F.explode(F.array(F.concat_ws(".", "source", "lang"), "source", "lang")).alias("name"))
+    return named.withColumn("known", validation.is_known_to_reporter(F.col("name"), F.array(F.lit("src1"), F.lit("src2"))))
+
+
+@query("SELECT page_id, unnest([url, url || '?a=1&b=2']) AS link FROM pages WHERE url IS NOT NULL")
+def src_05_sitemap_links(spark: SparkSession, d: str) -> DataFrame:
+    """A sitemap for every page, in a namespace of its own, escaped as XML is; one that breaks off has no links."""
+    loc = F.concat(F.lit("<sm:url><sm:loc>\n "), "url", F.lit("</sm:loc></sm:url><sm:url><sm:loc>"), "url", F.lit("?a=1&amp;b=2</sm:loc></sm:url>"))
+    whole = F.concat(F.lit('<?xml version="1.0"?><sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">'), loc, F.lit("</sm:urlset>"))
+    pages = D.table(spark, d, "pages").filter("url IS NOT NULL").select("page_id", F.explode(F.array(whole, loc)).alias("xml"))
+    return pages.select("page_id", F.explode(crawl.sitemap_links(F.col("xml"))).alias("link"))
+
+
+@query("SELECT o_orderkey, printf('%.1f%%', o_totalprice::DOUBLE / 10000) AS percent, CASE o_orderstatus WHEN 'F' THEN 'Method Not Found' ELSE 'Attribute Not Found' END AS title FROM orders WHERE o_totalprice < 100000")
+def str_19_20_labels(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "METHOD_NOT_FOUND").otherwise("ATTRIBUTE_NOT_FOUND")
+    share = F.col("o_totalprice").cast("double") / 1_000_000
+    return D.table(spark, d, "orders").filter("o_totalprice < 100000").select("o_orderkey", T.percent(share).alias("percent"), T.title(kind).alias("title"))
+
+
+@query("SELECT doc_id, lang AS language, 9::BIGINT AS chunk_size, source FROM documents")
+def prj_04_merged_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The later of equal names stands."""
+    fields = {"language": F.col("lang"), "chunk_size": F.lit(1), "source": F.col("source")} | {"chunk_size": F.lit(9)}
+    found = D.table(spark, d, "documents").select("doc_id", json.merged(fields).alias("m"))
+    get = lambda n: F.get_json_object("m", f"$.{n}")
+    return found.select("doc_id", get("language").alias("language"), get("chunk_size").cast("bigint").alias("chunk_size"), get("source").alias("source"))
+
+
+@query("""SELECT doc_id, regexp_replace(substr(text, greatest(pos - 1000, 1), least(pos - 1, 1000)), '^\\s+|\\s+$', '', 'g') AS before, regexp_replace(substr(text, pos + 206, 1000), '^\\s+|\\s+$', '', 'g') AS after
+FROM (SELECT doc_id, length(text) + 1 AS pos, text || '```' || repeat('x', 200) || '```' || reverse(text) AS text FROM documents WHERE NOT contains(text, '```') AND regexp_matches(text, '[^\\s]'))""")
+def win_06_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """A code block between a document and its mirror image: a thousand characters on either side, stripped."""
+    docs = D.table(spark, d, "documents").filter("NOT contains(text, '```')").filter(F.col("text").rlike(r"\S"))
+    made = docs.select("doc_id", F.concat("text", F.lit("```" + "x" * 200 + "```"), F.reverse("text")).alias("text"))
+    return T.code_blocks(made, "text", 200).select("doc_id", F.col("context_before").alias("before"), F.col("context_after").alias("after"))

@@ -72,6 +72,25 @@ def search_code_examples(corpus: Corpus, question: str, config: EngineConfig, em
     return found.select("id", "url", F.col("content").alias("code"), "summary", "metadata", "source_id", "similarity")
 
 
+def query_code(corpus: Corpus, question: str, embedder: E.Embedder, source: str | None = None, kind: str = "all", k: int = 5, docs_source: str | None = None) -> DataFrame:
+    """Code examples by vector: of a source, or of the sources of a kind of question.
+
+    `docs` means the one documentation source alone. url, code, summary, language, source_id, similarity.
+    """
+    spark = corpus.code_examples.sparkSession
+    vector = vector_of(spark, embedder, spark.range(1).select(T.code_query(F.lit(question)).alias("q")).first()["q"])
+    inside, outside = retrieval.sources_for(kind)
+    examples = corpus.code_examples
+    if source is not None:
+        examples = examples.filter(F.col("source_id") == source)
+    elif kind == "docs" and docs_source is not None:
+        examples = examples.filter(F.col("source_id") == docs_source)
+    elif inside is not None or outside:
+        examples = examples.filter(F.col("source_id").isin(*inside) if inside is not None else ~F.col("source_id").isin(*outside))
+    found = retrieval.match(examples, vector, k)
+    return found.select("url", F.col("content").alias("code"), "summary", F.coalesce(F.get_json_object("metadata", "$.language"), F.lit("")).alias("language"), "source_id", "similarity")
+
+
 def parse_repository(spark: SparkSession, root: str, name: str) -> graph.Graph:
     """The graph of a local checkout."""
     found = files.repository(spark, root)

@@ -78,6 +78,23 @@ def repository(spark: SparkSession, root: str) -> DataFrame:
     return kept.select(F.col("below").alias("path"), _utf8("content").alias("source"))
 
 
+def script_check(spark: SparkSession, path: str | None) -> tuple[bool, str | None]:
+    """Whether a path names a Python script that can be read, and if not, why."""
+    if not (path or "").strip():
+        return False, "a script path is required"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(place):
+        return False, f"no such script: {path}"
+    if not path.endswith(".py"):
+        return False, "only Python (.py) files can be checked"
+    try:
+        store.open(place).close()
+    except Exception as e:
+        return False, f"the script can't be read: {e}"
+    return True, None
+
+
 class _Markdown(HTMLParser):
     HEADS = {f"h{i}": "#" * i for i in range(1, 7)}
     SKIP = {"script", "style", "head", "noscript", "template"}

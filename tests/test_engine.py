@@ -154,3 +154,35 @@ def test_throttle_twins_agree(spark, tmp_path):
     assert [r["throttled"] for r in live] == [r["throttled"] for r in batch] == [False, False, True, True, False, False]
     assert [r["errors"] for r in live] == [r["errors"] for r in batch] == [0, 1, 2, 0, 1, 0]
     assert [r["backoff_s"] for r in live] == [r["backoff_s"] for r in batch]
+
+
+def test_a_model_behind_another(spark, tmp_path):
+    """A group of texts that one model fails on, however often it is asked, goes to the next."""
+
+    def remote():
+        def model(texts):
+            raise OSError("no answer")
+
+        return model
+
+    def local():
+        def model(texts):
+            if len(texts) > 2:
+                raise ValueError("two at a time")
+            return [[float(len(t))] for t in texts]
+
+        return model
+
+    df = spark.createDataFrame([(t,) for t in ("a", "bb", "ccc", None, "eeeee")], "t string")
+    got = df.select("t", embedding.ModelEmbedder(remote, 1, local, group=2, delays=(0.0,))(F.col("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in got} == {"a": [1.0], "bb": [2.0], "ccc": [3.0], None: [0.0], "eeeee": [5.0]}
+    assert embedding.scorer(["none"], {}) is None
+
+
+def test_script_check(spark, tmp_path):
+    good, other = tmp_path / "a.py", tmp_path / "b.txt"
+    good.write_text("x = 1")
+    other.write_text("x")
+    assert files.script_check(spark, str(good)) == (True, None)
+    assert [files.script_check(spark, p)[0] for p in (None, " ", str(tmp_path / "no.py"), str(other))] == [False] * 4
+    assert "no such" in files.script_check(spark, str(tmp_path / "no.txt"))[1]

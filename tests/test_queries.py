@@ -25,7 +25,7 @@ def db():
 def rows(frame: pd.DataFrame) -> list[str]:
     def plain(x):
         if isinstance(x, (list, np.ndarray)):
-            return list(x)
+            return [v.item() if isinstance(v, np.generic) else v for v in x]
         return None if x is None or x is pd.NA or (isinstance(x, float) and np.isnan(x)) else x
 
     frame = frame[sorted(frame.columns)].astype(object).map(plain)

@@ -79,6 +79,18 @@ def test_device_metadata_reads_names_in_any_script(spark):
 
 def test_device_metadata_of_all_documents(spark):
     d = "/root/testdata/sf0.001"
-    want = {r["doc_id"]: device_metadata_of(r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    got = registry.QUERIES["str_11_device_metadata_all"](spark, d).collect()
+    end = " device größe is überwacht is plain implement io method naïve"
+    want = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        name, *lists = device_metadata_of(r["text"] + end)
+        want[r["doc_id"]] = (name, *map(",".join, lists))
+    got = registry.QUERIES["str_11_device_metadata"](spark, d).collect()
     assert {r["doc_id"]: (r["device_name"], r["templates"], r["interfaces"], r["register_groups"], r["methods"]) for r in got} == want
+
+
+def test_white_space_of_any_script(spark):
+    texts = ["\u00a0a\u00a0b\u2003", "\x1cx\x85y\u3000", "\u200bz", "café  naïve", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.strip(F.col("t")).alias("s"), T.word_count(F.col("t")).alias("n")).collect()
+    assert [(r["s"], r["n"]) for r in got] == [(t.strip(), len(t.split())) for t in texts]
+    meta = spark.createDataFrame([("class Größe: pass\ndef naïve(): pass\nimport device.é\n",)], "t string").select(T.python_metadata(F.col("t")).alias("m")).first()["m"]
+    assert (meta["classes"], meta["functions"], meta["library_imports"]) == (["Größe"], ["naïve"], ["device.é"])
