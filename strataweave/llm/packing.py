@@ -30,7 +30,7 @@ from strataweave.llm.tables import stored
 
 CAPACITY = 2048
 #: Pieces of one length are ranked in groups of about so many.
-RANK_ROWS = 50_000
+RANK_ROWS = 500
 #: Words whose ids a worker remembers.
 MEMORY = 600_000
 # Letters that normalisation leaves as they are but for their case (Latin-1 and Latin Extended-A, without
