@@ -100,25 +100,25 @@ def files_importing(g: Graph, target: str) -> DataFrame:
     return g.imports.join(wanted, "dst_path").select(F.col("src_path").alias("file"), "imported").distinct()
 
 
+def prefixes(name: Column, boundary: bool = False) -> Column:
+    """All that a name begins with, itself included; with boundary, only whole dotted segments."""
+    if boundary:
+        parts = F.split(name, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    return F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, 1, i)))
+
+
 def import_edges(imports: DataFrame, files: DataFrame, boundary: bool = False) -> DataFrame:
-    """src_path, dst_path where an import names a module or a prefix of its name.
+    """src_path, dst_path where an import names a module or a prefix of its name
+    (with boundary, a prefix of whole segments).
 
-    imports: path, module. A dotted import and a module that begins with it
-    have equal first segments, which makes most of the join an equi-join; the
-    few distinct undotted names may match anywhere (unless only whole segments count).
+    imports: path, module; an empty name imports nothing. Modules are spread
+    over their prefixes, as many as a name has letters or segments, so all
+    edges come from one equi-join.
     """
-    mods = files.select(F.col("path").alias("dst_path"), "module_name", F.split_part("module_name", F.lit("."), F.lit(1)).alias("head"))
-    want = imports.select(F.col("path").alias("src_path"), "module").distinct().withColumn("head", F.split_part("module", F.lit("."), F.lit(1)))
-    dotted = want.join(mods, "head").filter((F.col("module") == F.col("module_name")) | F.col("module_name").startswith(F.concat("module", F.lit(".")) if boundary else F.col("module")))
-    found = dotted.select("src_path", "dst_path")
-    if not boundary:
-        plain = want.filter(~F.col("module").contains("."))
-        # Names that share three letters: undotted prefixes meet on them instead of pairwise.
-        short = plain.withColumn("k", F.substring("module", 1, 3))
-        rest = short.filter(F.length("module") >= 3).join(mods.withColumn("k", F.substring("module_name", 1, 3)).drop("head"), "k").filter(F.col("module_name").startswith(F.col("module")))
-        tiny = short.filter(F.length("module") < 3).join(mods.drop("head"), F.col("module_name").startswith(F.col("module")))
-        found = found.unionByName(rest.select("src_path", "dst_path")).unionByName(tiny.select("src_path", "dst_path"))
-    return found.distinct()
+    mods = files.select(F.col("path").alias("dst_path"), F.explode(prefixes(F.col("module_name"), boundary)).alias("module"))
+    want = imports.filter(F.col("module") != "").select(F.col("path").alias("src_path"), "module").distinct()
+    return want.join(mods, "module").select("src_path", "dst_path").distinct()
 
 
 def normalised(name: Column) -> Column:
@@ -138,6 +138,24 @@ def repository_for(g: Graph, module: str) -> DataFrame:
     return inside.unionByName(like).orderBy("tier", "order", "repo_name").limit(1).select("repo_name")
 
 
+def repositories_for(g: Graph, modules: DataFrame) -> DataFrame:
+    """module, repo_name: what repository_for finds, for every row of modules (module) at once.
+
+    A name that holds another meets it on its substrings, so no pair of names is compared that has nothing in common.
+    """
+    wanted = modules.filter(F.col("module") != "").select("module").distinct()
+    files = g.file.select("repo_name", "path", F.explode(F.array_distinct(prefixes(F.col("module_name"), True))).alias("module"))
+    ranked = [F.lit(0).alias("tier"), F.col("repo_name")]
+    inside = files.join(wanted, "module").groupBy("module", "repo_name").agg(F.count(F.lit(1)).alias("n")).select("module", *ranked, (-F.col("n")).alias("order"))
+    rest = wanted.join(inside.select("module").distinct(), "module", "left_anti").withColumn("like", normalised(F.col("module")))
+    names = g.repository.select(F.col("name").alias("repo_name"), normalised(F.col("name")).alias("like"))
+    spread = lambda df: df.withColumn("like", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("like")), lambda i: prefixes(F.substr("like", i)))))))
+    longer, shorter = spread(rest.filter("like <> ''")).join(names, "like"), spread(names.filter("like <> ''")).join(rest, "like")
+    tier = F.when(F.col("repo_name") == F.col("module"), 1).when(normalised(F.col("repo_name")) == normalised(F.col("module")), 2).otherwise(3)
+    alike = longer.select("module", "repo_name").unionByName(shorter.select("module", "repo_name")).select("module", tier.alias("tier"), "repo_name", F.lit(0).cast("bigint").alias("order"))
+    return inside.unionByName(alike).groupBy("module").agg(F.min_by("repo_name", F.struct("tier", "order", "repo_name")).alias("repo_name"))
+
+
 def files_of_module(g: Graph, module: str, limit: int = 50) -> DataFrame:
     """Files of the best repository for the module: those of the module first, then its others."""
     best = F.broadcast(repository_for(g, module))

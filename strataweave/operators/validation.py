@@ -106,49 +106,76 @@ def known_modules(checked: DataFrame) -> DataFrame:
     return checked.filter("in_graph").groupBy("script").agg(F.array_sort(F.collect_set("module")).alias("modules"))
 
 
-def check_methods(calls: DataFrame, modules: DataFrame, methods: DataFrame) -> DataFrame:
-    """calls: script, line, object_type, name, n_args, kwargs; methods: class_name, name, params.
-    A class matches by its full name, else by its short one."""
-    met = calls.join(modules, "script", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
-    held = methods.select(F.col("class_name").alias("m_class"), F.col("name").alias("name"), F.col("params"))
-    keyed = held.select(F.col("m_class").alias("object_type"), "name", F.lit(0).alias("tier"), "params", "m_class").unionByName(
-        held.select(F.substring_index("m_class", ".", -1).alias("object_type"), "name", F.lit(1).alias("tier"), "params", "m_class")
-    )
-    best = keyed.groupBy("object_type", "name").agg(F.min_by("params", F.struct("tier", "m_class")).alias("params"), F.lit(True).alias("found"))
-    short = F.substring_index("object_type", ".", -1)
-    full = met.join(best, ["object_type", "name"], "left").withColumn("short", short)
-    again = best.select(F.col("object_type").alias("short"), "name", F.col("params").alias("params2"), F.col("found").alias("found2"))
-    full = full.join(again, ["short", "name"], "left")
-    found = F.coalesce("found", "found2", F.lit(False))
-    check = parameter_check(F.coalesce("params", "params2"), F.col("n_args"), F.col("kwargs"))
-    status = F.when(F.col("object_type").isNull(), UNCERTAIN).when(~is_known(F.col("object_type"), F.col("modules")), UNCERTAIN).when(~found, NOT_FOUND).when(check["status"] == INVALID, INVALID).otherwise(VALID)
-    confidence = F.when(F.col("object_type").isNull(), 0.3).when(~is_known(F.col("object_type"), F.col("modules")), 0.8).when(~found, 0.1).when(check["status"] == INVALID, check["confidence"]).otherwise(0.9)
+def module_of(name: Column) -> Column:
+    """A dotted name without its last segment; empty for another."""
+    return F.when(name.contains("."), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise("")
+
+
+def looked_up(uses: DataFrame, owner: str, members: DataFrame, repositories: DataFrame | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+    """uses with `params` and `found`: of the member whose owner has this full
+    name, else this short one, else the last segment of this dotted name within
+    the repository of the module before it (in any, without repositories).
+
+    members: owner, params, the columns `on` and, with repositories, repo_name.
+    repositories: module, repo_name. Of equal members the first in order counts.
+    """
+    short = F.substring_index("_full", ".", -1)
+    repo = F.lit("") if repositories is None else F.col("repo_name")
+    held = members.select(F.col("owner").alias("_full"), "params", *on, repo.alias("_repo")).withColumn("_short", short)
+    first = lambda *order: F.min_by(F.struct("params"), F.struct(*order, F.to_json(F.struct("params"))))["params"]
+    keyed = held.withColumn("_tier", F.lit(0)).withColumn("_owner", F.col("_full")).unionByName(held.withColumn("_tier", F.lit(1)).withColumn("_owner", F.col("_short")))
+    direct = keyed.groupBy("_owner", *on).agg(first("_tier", "_full").alias("_params0"), F.lit(True).alias("_found0"))
+    near = held.groupBy("_repo", "_short", *on).agg(first("_full").alias("_params1"), F.lit(True).alias("_found1"))
+    met = uses.withColumn("_owner", F.col(owner)).join(direct, ["_owner", *on], "left")
+    met = met.withColumn("_short", F.when(F.col("_owner").contains("."), F.substring_index("_owner", ".", -1)))
+    if repositories is None:
+        met = met.withColumn("_repo", F.lit(""))
+    else:
+        met = met.withColumn("_module", module_of(F.col("_owner"))).join(repositories.select(F.col("module").alias("_module"), F.col("repo_name").alias("_repo")), "_module", "left")
+    met = met.join(near, ["_repo", "_short", *on], "left")
+    kept = [c for c in uses.columns if c not in ("params", "found")]
+    return met.select(*kept, F.when(F.col("_found0"), F.col("_params0")).otherwise(F.col("_params1")).alias("params"), F.coalesce("_found0", "_found1", F.lit(False)).alias("found"))
+
+
+def _with_modules(uses: DataFrame, modules: DataFrame) -> DataFrame:
+    return uses.join(modules, "script", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
+
+
+def _repo(df: DataFrame) -> list[str]:
+    return [c for c in ("repo_name",) if c in df.columns]
+
+
+def check_methods(calls: DataFrame, modules: DataFrame, methods: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
+    """calls: script, line, object_type, name, n_args, kwargs; methods: class_name,
+    name, params and, with repositories, repo_name. Classes are found as in looked_up()."""
+    held = methods.select(F.col("class_name").alias("owner"), "name", "params", *_repo(methods))
+    full = looked_up(_with_modules(calls, modules), "object_type", held, repositories, ("name",))
+    found, check = F.col("found"), parameter_check(F.col("params"), F.col("n_args"), F.col("kwargs"))
+    known = is_known(F.col("object_type"), F.col("modules"))
+    status = F.when(F.col("object_type").isNull() | ~known, UNCERTAIN).when(~found, NOT_FOUND).when(check["status"] == INVALID, INVALID).otherwise(VALID)
+    confidence = F.when(F.col("object_type").isNull(), 0.3).when(~known, 0.8).when(~found, 0.1).when(check["status"] == INVALID, check["confidence"]).otherwise(0.9)
     return full.select("script", "line", "object_type", "name", status.alias("status"), confidence.alias("confidence"))
 
 
-def check_attributes(uses: DataFrame, modules: DataFrame, attributes: DataFrame, methods: DataFrame) -> DataFrame:
+def check_attributes(uses: DataFrame, modules: DataFrame, attributes: DataFrame, methods: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
     """uses: script, line, object_type, name. A method used as an attribute counts as one."""
-    met = uses.join(modules, "script", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>"))).withColumn("short", F.substring_index("object_type", ".", -1))
-    held = attributes.select(F.substring_index("class_name", ".", -1).alias("short"), "name").unionByName(methods.select(F.substring_index("class_name", ".", -1).alias("short"), "name")).distinct().withColumn("found", F.lit(True))
-    full = met.join(held, ["short", "name"], "left")
-    known = is_known(F.col("object_type"), F.col("modules"))
-    found = F.coalesce("found", F.lit(False))
+    pick = lambda df: df.select(F.col("class_name").alias("owner"), "name", F.lit(None).cast("array<string>").alias("params"), *_repo(df))
+    held = pick(attributes).unionByName(pick(methods), allowMissingColumns=True).distinct()
+    full = looked_up(_with_modules(uses, modules), "object_type", held, repositories, ("name",))
+    known, found = is_known(F.col("object_type"), F.col("modules")), F.col("found")
     status = F.when(F.col("object_type").isNull() | ~known, UNCERTAIN).when(~found, NOT_FOUND).otherwise(VALID)
     confidence = F.when(F.col("object_type").isNull(), 0.3).when(~known, 0.8).when(~found, 0.2).otherwise(0.8)
     return full.select("script", "line", "object_type", "name", status.alias("status"), confidence.alias("confidence"))
 
 
-def check_named(calls: DataFrame, modules: DataFrame, known: DataFrame, skip_without_name: bool) -> DataFrame:
+def check_named(calls: DataFrame, modules: DataFrame, known: DataFrame, skip_without_name: bool, repositories: DataFrame | None = None) -> DataFrame:
     """Calls of classes or functions: script, line, full_name, name, n_args, kwargs.
-    known: full_name, params. Functions without a full name aren't skipped."""
-    met = calls.join(modules, "script", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
-    held = known.groupBy("full_name").agg(F.min_by("params", F.to_json(F.struct("params"))).alias("params")).withColumn("found", F.lit(True))
-    tail = known.groupBy(F.substring_index("full_name", ".", -1).alias("name")).agg(F.min_by("params", "full_name").alias("params2")).withColumn("found2", F.lit(True))
-    full = met.join(held, "full_name", "left").join(tail, "name", "left")
-    outside = ~is_known(F.coalesce("full_name", "name"), F.col("modules"))
+    known: full_name, params and, with repositories, repo_name. Functions without a full name aren't skipped."""
+    held = known.select(F.col("full_name").alias("owner"), "params", *_repo(known))
+    full = looked_up(_with_modules(calls, modules).withColumn("_called", F.coalesce("full_name", "name")), "_called", held, repositories)
+    outside = ~is_known(F.col("_called"), F.col("modules"))
     outside = outside if skip_without_name else F.col("full_name").isNotNull() & outside
-    found = F.coalesce("found", "found2", F.lit(False))
-    check = parameter_check(F.coalesce("params", "params2"), F.col("n_args"), F.col("kwargs"))
+    found, check = F.col("found"), parameter_check(F.col("params"), F.col("n_args"), F.col("kwargs"))
     status = F.when(outside, UNCERTAIN).when(~found, NOT_FOUND).when(check["status"] == INVALID, INVALID).otherwise(VALID)
     confidence = F.when(outside, 0.8).when(~found, 0.2).when(check["status"] == INVALID, check["confidence"]).otherwise(0.8)
     return full.select("script", "line", "full_name", "name", status.alias("status"), confidence.alias("confidence"))

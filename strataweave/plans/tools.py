@@ -118,16 +118,19 @@ def check_scripts(scripts: DataFrame, g: graph.Graph) -> dict[str, DataFrame]:
     imports = uses.filter(F.col("kind").isin("import", "import_from")).select("script", F.when(F.col("full_name") != "", F.col("full_name")).otherwise(F.col("name")).alias("module")).distinct()
     checked = validation.check_imports(imports, g.file)
     modules = validation.known_modules(checked.withColumn("module", validation.head(F.col("module"))))
-    methods = g.method.select("class_name", "name", graph.parameters().alias("params"))
-    m = validation.check_methods(uses.filter("kind = 'method_call'").select("script", "line", "object_type", "name", *call), modules, methods)
-    a = validation.check_attributes(uses.filter("kind = 'attribute'").select("script", "line", "object_type", "name"), modules, g.attribute, g.method)
+    called = F.coalesce(F.nullif("full_name", F.lit("")), "name")
+    repositories = graph.repositories_for(g, uses.select(F.explode(F.array("object_type", called)).alias("n")).select(validation.module_of(F.col("n")).alias("module")))
+    of_class = g.class_.select(F.col("full_name").alias("class_name"), "repo_name").distinct()
+    methods = g.method.select("class_name", "name", graph.parameters().alias("params")).join(of_class, "class_name")
+    m = validation.check_methods(uses.filter("kind = 'method_call'").select("script", "line", "object_type", "name", *call), modules, methods, repositories)
+    a = validation.check_attributes(uses.filter("kind = 'attribute'").select("script", "line", "object_type", "name"), modules, g.attribute.join(of_class, "class_name"), methods, repositories)
     is_class = validation.is_class_call(F.col("name"), F.col("full_name"))
     calls = uses.filter("kind = 'call'").withColumn("is_class", is_class)
     wanted = ["script", "line", "full_name", "name", *call]
     inits = methods.filter("name = '__init__'").select(F.col("class_name").alias("full_name"), "params")
-    classes = g.class_.select("full_name").join(inits, "full_name", "left")
-    c = validation.check_named(calls.filter("is_class").select(*wanted), modules, classes, True)
-    f = validation.check_named(calls.filter(~F.col("is_class")).select(*wanted), modules, g.function.select("full_name", graph.parameters().alias("params")), False)
+    classes = g.class_.select("full_name", "repo_name").join(inits, "full_name", "left")
+    c = validation.check_named(calls.filter("is_class").select(*wanted), modules, classes, True, repositories)
+    f = validation.check_named(calls.filter(~F.col("is_class")).select(*wanted), modules, g.function.select("full_name", "repo_name", graph.parameters().alias("params")), False, repositories)
     pick = lambda df, kind, what: df.select("script", "line", F.lit(kind).alias("kind"), F.col(what).alias("of"), "name", "status", "confidence")
     rows = pick(m, "method", "object_type").unionByName(pick(a, "attribute", "object_type")).unionByName(pick(c, "class", "full_name")).unionByName(pick(f, "function", "full_name"))
     rows = rows.join(modules, "script", "left").withColumn("in_graph", validation.is_known(F.col("of"), F.coalesce("modules", F.array().cast("array<string>")))).drop("modules")
