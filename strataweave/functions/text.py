@@ -195,6 +195,18 @@ def title(name: Column) -> Column:
     return F.initcap(F.lower(F.replace(name, F.lit("_"), F.lit(" "))))
 
 
+def error_kind(message: Column) -> Column:
+    """auth, connect, database or other, by the first of these kinds whose words a message holds."""
+    low = F.lower(message)
+    has = lambda *words: F.coalesce(low.rlike("|".join(words)), F.lit(False))
+    return F.when(has("authentication", "unauthorized"), "auth").when(has("connection", "refused", "timeout"), "connect").when(has("database"), "database").otherwise("other")
+
+
+def word_estimate(text: Column) -> Column:
+    """About how many words a text has: a quarter of its characters."""
+    return F.floor(F.char_length(F.coalesce(text, F.lit(""))) / 4)
+
+
 def chat_content(answer: Column) -> Column:
     """The text of a chat completion's first choice, stripped; null where there is none."""
     return strip(F.get_json_object(answer, "$.choices[0].message.content"))

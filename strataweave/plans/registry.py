@@ -526,11 +526,23 @@ def val_09_attributes(spark: SparkSession, d: str) -> DataFrame:
     return validation.check_attributes(calls(spark, d), modules(spark), attributes, known_methods(spark))
 
 
-@query(f"""WITH {METHODS_SQL}, f AS (SELECT DISTINCT script, line, name, object_type FROM checked WHERE status = 'NOT_FOUND')
-SELECT script, line, name, object_type, 'METHOD_NOT_FOUND' AS type FROM f UNION ALL SELECT script, line, name, object_type, 'INVALID_PARAMETERS' FROM checked WHERE status = 'INVALID'""")
+#: Attributes a0 to a2 of every call's object, of which a0 is known; and, where the method is missing too, m5.
+ATTRIBUTES_SQL = """wrong AS (SELECT DISTINCT script, line, 'a' || (line % 3) AS name, object_type FROM calls WHERE line % 3 <> 0 AND object_type IS NOT NULL AND object_type <> 'other.Thing')"""
+
+
+def attributes_checked(spark: SparkSession, d: str) -> DataFrame:
+    used = calls(spark, d)
+    both = used.withColumn("name", F.concat(F.lit("a"), (F.col("line") % 3).cast("string"))).unionByName(used.filter("name = 'm5'"))
+    known = spark.createDataFrame([(f"lib.core.C{i}", "a0") for i in range(4)], "class_name string, name string")
+    return validation.check_attributes(both.select("script", "line", "object_type", "name"), modules(spark), known, known_methods(spark))
+
+
+@query(f"""WITH {METHODS_SQL}, {ATTRIBUTES_SQL}, f AS (SELECT DISTINCT script, line, name, object_type FROM checked WHERE status = 'NOT_FOUND')
+SELECT script, line, name, object_type, 'METHOD_NOT_FOUND' AS type FROM f UNION ALL SELECT script, line, name, object_type, 'INVALID_PARAMETERS' FROM checked WHERE status = 'INVALID'
+UNION ALL SELECT script, line, name, object_type, 'ATTRIBUTE_NOT_FOUND' FROM wrong""")
 def val_13_hallucinations(spark: SparkSession, d: str) -> DataFrame:
-    methods = checked(spark, d)
-    return validation.hallucinations(methods, methods.filter("status = 'NOT_FOUND'"))
+    """A name that is missing as a method and as an attribute is reported once."""
+    return validation.hallucinations(checked(spark, d), attributes_checked(spark, d))
 
 
 @query(f"""WITH {METHODS_SQL} SELECT script, count(*) AS total, count_if(status = 'VALID')::BIGINT AS valid, count_if(status = 'INVALID')::BIGINT AS invalid, count_if(status = 'UNCERTAIN')::BIGINT AS uncertain, count_if(status = 'NOT_FOUND')::BIGINT AS not_found,
@@ -599,12 +611,14 @@ def val_15_agg_13_libraries(spark: SparkSession, d: str) -> DataFrame:
     return validation.libraries(used.withColumn("kind", F.lit("method")).withColumn("module", validation.head(F.col("object_type"))))
 
 
-@query(f"""WITH {METHODS_SQL}, c AS (SELECT script, count(DISTINCT CASE WHEN status = 'NOT_FOUND' THEN (line, name, object_type) END) AS m, count_if(status = 'INVALID')::BIGINT AS p, avg(confidence) AS conf FROM checked GROUP BY script)
-SELECT script, list_filter([CASE WHEN m > 0 THEN m || ' methods are not in the known libraries: look them up in the documentation.' END, CASE WHEN p > 0 THEN p || ' calls have parameters that do not fit: check their signatures.' END,
-  CASE WHEN m + p = 0 THEN 'Nothing wrong was found in the known libraries.' END, CASE WHEN conf < 0.7 THEN 'Confidence is moderate: most usage is of libraries that are not known here.' END], lambda x: x IS NOT NULL) AS recommendations FROM c""")
+@query(f"""WITH {METHODS_SQL}, {ATTRIBUTES_SQL}, n AS (SELECT script, count(*) AS a FROM wrong GROUP BY script),
+k AS (SELECT script, count(DISTINCT CASE WHEN status = 'NOT_FOUND' THEN (line, name, object_type) END) AS m, count_if(status = 'INVALID')::BIGINT AS p, avg(confidence) AS conf FROM checked GROUP BY script),
+c AS (SELECT k.*, coalesce(a, 0) AS a FROM k LEFT JOIN n USING (script))
+SELECT script, list_filter([CASE WHEN m > 0 THEN m || ' methods are not in the known libraries: look them up in the documentation.' END, CASE WHEN a > 0 THEN a || ' attributes are not in the known classes: check their names.' END,
+  CASE WHEN p > 0 THEN p || ' calls have parameters that do not fit: check their signatures.' END, CASE WHEN m + a + p = 0 THEN 'Nothing wrong was found in the known libraries.' END, CASE WHEN conf < 0.7 THEN 'Confidence is moderate: most usage is of libraries that are not known here.' END], lambda x: x IS NOT NULL) AS recommendations FROM c""")
 def val_16_recommendations(spark: SparkSession, d: str) -> DataFrame:
     methods = checked(spark, d)
-    found = validation.hallucinations(methods, methods.filter("false"))
+    found = validation.hallucinations(methods, attributes_checked(spark, d))
     return validation.recommendations(found, methods.groupBy("script").agg(F.avg("confidence").alias("confidence")))
 
 
@@ -639,10 +653,14 @@ def kg_16_17_18_structure(spark: SparkSession, d: str) -> DataFrame:
     return python_code.structure(found).select("path", "kind", "name", F.array_join("params_detailed", ",").alias("params"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_totalprice > 100000 THEN 'auth' ELSE 'other' END AS kind, (o_totalprice::BIGINT // 4) AS words FROM orders")
+@query("""SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'auth' WHEN 'de' THEN 'connect' WHEN 'fr' THEN CASE WHEN regexp_matches(lower(text), 'authentication|unauthorized') THEN 'auth' WHEN regexp_matches(lower(text), 'connection|refused|timeout') THEN 'connect' ELSE 'database' END
+  ELSE CASE WHEN regexp_matches(lower(text), 'authentication|unauthorized') THEN 'auth' WHEN regexp_matches(lower(text), 'connection|refused|timeout') THEN 'connect' WHEN contains(lower(text), 'database') THEN 'database' ELSE 'other' END END AS kind,
+  coalesce(length(text), 0) // 4 AS words FROM documents""")
 def prj_06_mth_04_classes_and_estimates(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("o_totalprice") > 100000, "auth").otherwise("other")
-    return D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind"), F.expr("cast(round(o_totalprice) as bigint) div 4").alias("words"))
+    """Every document as an error's message, behind words of a kind of its own by language."""
+    said = F.when(F.col("lang") == "en", "Unauthorized; database: ").when(F.col("lang") == "de", "Connection Refused by ").when(F.col("lang") == "fr", "DATABASE gone ").otherwise("")
+    message = F.when(F.col("lang") == "de", said).otherwise(F.concat(said, F.coalesce("text", F.lit(""))))
+    return D.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.error_kind(message).alias("kind"), T.word_estimate(F.col("text")).alias("words"))
 
 
 @query(f"{CHUNKS} SELECT 'true' AS success, count(*)::VARCHAR AS count FROM (SELECT id FROM chunks WHERE source_id = 'src1' AND content ILIKE '%{WORDS}%' ORDER BY id LIMIT 7)")
@@ -793,3 +811,112 @@ def win_06_contexts(spark: SparkSession, d: str) -> DataFrame:
     docs = D.table(spark, d, "documents").filter("NOT contains(text, '```')").filter(F.col("text").rlike(r"\S"))
     made = docs.select("doc_id", F.concat("text", F.lit("```" + "x" * 200 + "```"), F.reverse("text")).alias("text"))
     return T.code_blocks(made, "text", 200).select("doc_id", F.col("context_before").alias("before"), F.col("context_after").alias("after"))
+
+
+@query(f"""{KG}, o AS (SELECT c_custkey, repo_name, full_name, name FROM kg_class)
+SELECT c_custkey, owner, found FROM (
+  SELECT c_custkey, full_name AS owner, true AS found FROM o UNION ALL SELECT c_custkey, name, true FROM o
+  UNION ALL SELECT c_custkey, 'europe.' || name, repo_name = 'EUROPE' FROM o UNION ALL SELECT c_custkey, 'asia-more.core.' || name, repo_name = 'ASIA' FROM o UNION ALL SELECT c_custkey, 'nowhere.' || name, false FROM o)""")
+def kg_14_jon_15_scoped_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every class by its full and short name, by the head of a repository's modules, by a module that only a repository's name is like, and by one that is none's."""
+    g = D.graph(spark, d)
+    short = lambda head: F.concat(F.lit(head), "name")
+    names = g.class_.select(F.split_part("name", F.lit("#"), F.lit(2)).cast("bigint").alias("c_custkey"), F.explode(F.array("full_name", "name", short("europe."), short("asia-more.core."), short("nowhere."))).alias("owner"))
+    found = graph.repositories_for(g, names.select(validation.module_of(F.col("owner")).alias("module")))
+    members = g.class_.select(F.col("full_name").alias("owner"), "repo_name", F.lit(None).cast("array<string>").alias("params"))
+    return validation.looked_up(names, "owner", members, found).select("c_custkey", "owner", "found")
+
+
+@query(f"{KG} SELECT class_name, class_short, name FROM (SELECT DISTINCT class_name, class_short, name FROM kg_method WHERE name = 'order_7') ORDER BY class_name, name LIMIT 20")
+def kg_07_method_command(spark: SparkSession, d: str) -> DataFrame:
+    return graph.run(D.graph(spark, d), "  METHOD order_7 ").select("class_name", "class_short", "name")
+
+
+@query(f"{KG} SELECT full_name, file_path FROM kg_class WHERE repo_name = 'AFRICA' ORDER BY full_name LIMIT 20")
+def kg_06_srt_08_stm_03_passthrough(spark: SparkSession, d: str) -> DataFrame:
+    return graph.run(D.graph(spark, d), "query SELECT full_name, file_path FROM kg_class WHERE repo_name = 'AFRICA' ORDER BY full_name")
+
+
+@query(f"""{KG} SELECT 'class' AS kind, count(*) AS n FROM (SELECT DISTINCT full_name FROM kg_class WHERE repo_name <> 'ASIA') UNION ALL SELECT 'function', count(*) FROM kg_function WHERE repo_name <> 'ASIA'
+UNION ALL SELECT 'method', count(*) FROM kg_method WHERE repo_name <> 'ASIA'""")
+def kg_19_graph_without_repository(spark: SparkSession, d: str) -> DataFrame:
+    """Analysing a repository again begins with clearing it."""
+    g = graph.without_repository(D.graph(spark, d), "ASIA")
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    return count(g.class_, "class").unionByName(count(g.function, "function")).unionByName(count(g.method, "method"))
+
+
+@query("""SELECT doc_id, CASE source WHEN 'src1' THEN 'inner.m' || doc_id WHEN 'src2' THEN 'src2.inner.m' || doc_id WHEN 'src3' THEN 'src3.inner' ELSE coalesce(source, 'none') || '.inner.m' || doc_id END AS module FROM documents""")
+def str_15_module_names(spark: SparkSession, d: str) -> DataFrame:
+    """By the outermost package folder, else without a leading source folder; a package's own file is the package."""
+    from strataweave.operators import python_code
+
+    n = F.col("doc_id").cast("string")
+    file = F.when(F.col("source") == "src3", "__init__").otherwise(F.concat(F.lit("m"), n))
+    path = F.concat(F.lit("lib/"), F.coalesce("source", F.lit("none")), F.lit("/inner/"), file, F.lit(".py"))
+    dirs = F.array(*map(F.lit, ("lib/src1/inner", "lib/src2", "lib/src2/inner", "lib/src3", "lib/src3/inner")))
+    return D.table(spark, d, "documents").select("doc_id", python_code.module_name(path, dirs).alias("module"))
+
+
+#: A module of each document, different by id and language in what it defines and how.
+VARIED = """import lib.core
+from lib.{lang} import helper as h{n}
+class A{n}(Base):
+    x{m}: int = {n}
+    _hidden: str = ""
+    def go{m}(self, a, b: str = "q", *rest, flag, other={m}, **more) -> bool: ...
+    async def later(self, n: int): ...
+    def _no(self): ...
+def top{m}(n, *, k=None): ...
+def _own(): ...
+"""
+
+
+@query("""SELECT 'm' || doc_id || '.py' AS path, kind, replace(replace(replace(name, '{n}', doc_id::VARCHAR), '{m}', (doc_id % 7)::VARCHAR), '{lang}', coalesce(lang, 'xx')) AS name, replace(params, '{m}', (doc_id % 7)::VARCHAR) AS params
+FROM documents, (VALUES ('class', 'A{n}', ''), ('attribute', 'x{m}', ''), ('method', 'go{m}', 'a:Any;b:str=''q'';[var_positional] *rest:Any;[keyword_only] flag:Any;[keyword_only] other:Any={m};[var_keyword] **more:Dict[str, Any]'),
+  ('method', 'later', 'n:int'), ('function', 'top{m}', 'n:Any;[keyword_only] k:Any=None'), ('import', 'lib.core', ''), ('import', 'lib.{lang}', '')) v(kind, name, params)""")
+def flt_17_kg_16_public_members(spark: SparkSession, d: str) -> DataFrame:
+    """Names that begin with an underscore are left out."""
+    from strataweave.operators import python_code
+
+    n, m = F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string")
+    text = F.replace(F.replace(F.replace(F.lit(VARIED), F.lit("{n}"), n), F.lit("{m}"), m), F.lit("{lang}"), F.coalesce("lang", F.lit("xx")))
+    found = D.table(spark, d, "documents").select(F.concat(F.lit("m"), n, F.lit(".py")).alias("path"), text.alias("source"), F.concat(F.lit("pkg.m"), n).alias("module"))
+    return python_code.structure(found).select("path", "kind", "name", F.array_join(F.coalesce("params_detailed", F.array().cast("array<string>")), ";").alias("params"))
+
+
+#: A call of each document's own with arguments of every kind.
+ARGUMENTS = "import lib\nlib.f({n}, 'é', x, a.b, g{m}(1), [1], *more, k{m}={n}, c=None, **rest)\n"
+
+
+@query("""SELECT 's' || doc_id || '.py' AS path, 'f' AS name, doc_id || ';''é'';x;a.b;g' || (doc_id % 7) || '(...);<List>;<Starred>' AS args, 'c=None;k' || (doc_id % 7) || '=' || doc_id AS kwargs FROM documents""")
+def str_18_map_02_arguments(spark: SparkSession, d: str) -> DataFrame:
+    """What calls are given, each as a short text; a mapping spread over a call is left out."""
+    from strataweave.operators import python_code
+
+    n, m = F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string")
+    text = F.replace(F.replace(F.lit(ARGUMENTS), F.lit("{n}"), n), F.lit("{m}"), m)
+    uses = python_code.usage(D.table(spark, d, "documents").select(F.concat(F.lit("s"), n, F.lit(".py")).alias("path"), text.alias("source"))).filter("name = 'f'")
+    pairs = F.array_sort(F.transform(F.map_entries("kwargs"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return uses.select("path", "name", F.array_join("args", ";").alias("args"), F.array_join(pairs, ";").alias("kwargs"))
+
+
+@query(f"{CHUNKS} SELECT url, content, source_id, round({SIM}, 6) AS similarity, round(len(list_intersect(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> ''), ['the', 'and', 'of'])) / 3.0, 6) AS rerank_score FROM chunks, {QUERY} ORDER BY {SIM} DESC NULLS LAST, id LIMIT 5")
+def rag_03_prj_01_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by vector, reranked and shaped; metadata is read as a field of it."""
+    found = retrieval.rerank(retrieval.match(D.chunks(spark, d), D.query_vector(spark, d), 5), "the and of", embedding.word_overlap)
+    return six(found.select("url", "content", F.get_json_object("metadata", "$.source").alias("source_id"), "similarity", "rerank_score"), "similarity", "rerank_score")
+
+
+@query(f"{EXAMPLES} SELECT url, content AS code, summary, language, source_id, round({SIM}, 6) AS similarity FROM examples, {QUERY} ORDER BY {SIM} DESC NULLS LAST, id LIMIT 5")
+def rag_04_20_prj_02_code(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.match(D.examples(spark, d), D.query_vector(spark, d), 5)
+    language = F.coalesce(F.get_json_object("metadata", "$.language"), F.lit(""))
+    return six(found.select("url", F.col("content").alias("code"), "summary", language.alias("language"), "source_id", "similarity"), "similarity")
+
+
+@query("SELECT DISTINCT source || '.example.com' AS host, 'https://' || source || '.example.com/doc/' || doc_id AS url FROM documents WHERE source IS NOT NULL ORDER BY url")
+def src_01_single_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The source of every page's URL, in order."""
+    found = D.pages_of_documents(spark, d).filter("url IS NOT NULL").select(urls.source_id(F.col("url")).alias("host"), "url")
+    return found.distinct().orderBy("url")
