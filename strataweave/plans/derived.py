@@ -15,6 +15,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream. A stream's path may name a single file only by a pattern."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
+
+
 def pages_of_documents(spark: SparkSession, d: str, markdown: bool = False) -> DataFrame:
     docs = table(spark, d, "documents")
     text = F.col("text")

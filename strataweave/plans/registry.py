@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataweave import shared
 from strataweave.functions import json, urls
 from strataweave.functions import text as T
 from strataweave.functions import vectors as V
 from strataweave.operators import crawl, embedding, graph, retrieval, store, throttling, validation
 from strataweave.plans import derived as D
+from strataweave.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -317,8 +319,8 @@ def agg_16_success_rate(spark: SparkSession, d: str) -> DataFrame:
     return six(D.table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), rate.alias("success_rate")), "success_rate")
 
 
-def requests(spark: SparkSession, d: str) -> DataFrame:
-    e = D.table(spark, d, "events")
+def requests(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    e = D.table(spark, d, "events") if events is None else events
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"))
 
 
@@ -335,6 +337,31 @@ def win_09_error_streaks(spark: SparkSession, d: str) -> DataFrame:
     return throttling.error_streaks(requests(spark, d)).select("id", "errors", "backoff_s")
 
 
+@query("""WITH i AS (SELECT event_id, user_id, ts, event_type = 'error' AS bad, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
+s AS (SELECT event_id, sum(bad::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS errors FROM i),
+n AS (SELECT event_id, count(*) OVER a >= 3 OR count(*) OVER b >= 2 AS throttled FROM (SELECT event_id, user_id, epoch_us(ts) AS t FROM events)
+  WINDOW a AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 9999999 PRECEDING AND 1 PRECEDING))
+SELECT user_id AS client, epoch_us(ts)::BIGINT AS micros, throttled, errors::INT AS errors, CASE WHEN errors > 0 THEN least(pow(2.0, least(errors, 10)), 30.0) ELSE 0.0 END AS backoff_s FROM events JOIN s USING (event_id) JOIN n USING (event_id)""")
+def stm_02_throttled_stream(spark: SparkSession, d: str) -> DataFrame:
+    """All events as a stream through the stateful throttle."""
+    place = shared.fresh_path(spark, "throttled")
+    events = D.stream(spark, d, "events")
+    made = incremental.throttle(requests(spark, d, events), 3, 2).writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/log")
+    made.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/rows").select("client", F.unix_micros("ts").alias("micros"), "throttled", "errors", "backoff_s")
+
+
+@query(f"{CHUNKS} SELECT url, chunk_number, content FROM chunks")
+def stm_01_streamed_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as a stream into a table of chunks, in buckets by URL."""
+    place = shared.fresh_path(spark, "upserts")
+    docs = D.stream(spark, d, "documents")
+    pages = docs.select(F.concat(F.lit("https://"), "source", F.lit(".example.com/doc/"), F.col("doc_id").cast("string")).alias("url"), "text")
+    incremental.stream_upserts(pages, f"{place}/chunks", f"{place}/log", D.SIZE).awaitTermination()
+    schema = spark.read.parquet(f"{place}/chunks").drop("version").schema
+    return incremental.current(spark, f"{place}/chunks", schema).select("url", "chunk_number", "content")
+
+
 @query(f"{CHUNKS} SELECT id, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS running, ((row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) // 20)::BIGINT AS batch FROM chunks")
 def win_02_07_running_index_and_batches(spark: SparkSession, d: str) -> DataFrame:
     """The running index is local order plus the sizes of the sources before, so no window spans the table."""

@@ -10,44 +10,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strataweave.functions.text import chunk
 from strataweave.operators.store import latest, upsert
 
+BUCKETS = 64
 
-def stream_upserts(documents: DataFrame, folder: str, checkpoint: str, size: int = 5000) -> StreamingQuery:
+
+def stream_upserts(documents: DataFrame, folder: str, checkpoint: str, size: int = 5000, buckets: int = BUCKETS) -> StreamingQuery:
     """documents (a stream of url, text): chunks of each batch replace those of
-    the same (url, chunk_number) in folder. A batch's version is named by its
-    number, so a batch that runs again writes the same version again."""
+    the same (url, chunk_number) in folder; current() reads them.
+
+    The table is dealt into buckets by URL, and a batch writes a version of the
+    buckets it touches, named by its number, from versions before it. So a batch
+    that runs again writes the same again, and what a batch costs is bounded by
+    the buckets of its own URLs. As many buckets on every call, please.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = chunk(latest(batch, ["url"], [F.desc(F.length("text"))]), "text", size)
-        before = _version(spark, folder, number - 1, rows)
-        upsert(before, rows).write.mode("overwrite").parquet(f"{folder}/v{number:08d}")
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
+        # At most as many rows as there are buckets.
+        touched = [r[0] for r in batch.select(F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")).distinct().collect()]
+        if not touched:
+            return
+        before = current(spark, folder, rows.schema, number).filter(F.col("bucket").isin(*touched))
+        made = upsert(before, rows).withColumn("version", F.lit(number).cast("bigint"))
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(folder)
 
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _version(spark: SparkSession, folder: str, number: int, like: DataFrame) -> DataFrame:
-    if number < 0:
-        return spark.createDataFrame([], like.schema)
-    return spark.read.schema(like.schema).parquet(f"{folder}/v{number:08d}")
+def _path(spark: SparkSession, folder: str) -> tuple[Any, Any]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def current(spark: SparkSession, folder: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """The chunks of a folder that stream_upserts() writes: each bucket's last
+    version, or its last before a batch's. schema: the chunks' own, with bucket."""
+    path, store = _path(spark, folder)
+    if not store.exists(path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType(schema.fields + [StructField("version", LongType())])).parquet(folder)
+    rows = rows if before is None else rows.filter(F.col("version") < before)
+    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # a row per bucket
+    return rows.join(F.broadcast(last), ["bucket", "version"]).select(*schema.names)
+
+
+def expire(spark: SparkSession, folder: str) -> None:
+    """Deletes versions but the last two of each bucket (the last batch may run again, from the one before)."""
+    path, store = _path(spark, folder)
+    for bucket in store.listStatus(path):
+        if bucket.isDirectory() and bucket.getPath().getName().startswith("bucket="):
+            versions = sorted((v.getPath() for v in store.listStatus(bucket.getPath())), key=lambda v: int(v.getName().partition("=")[2]))
+            for old in versions[:-2]:
+                store.delete(old, True)
 
 
 def throttle(requests: DataFrame, per_minute: int = 60, burst: int = 10) -> DataFrame:
-    """A stream of client, ts, ok, status: for each request whether it comes too
-    soon, and the wait after errors (doubling, at most 30 s). State per client
-    holds the last minute's times and the run of errors."""
+    """A stream of client, ts, ok, status (and id, for the order of equal times):
+    for each request whether it comes too soon, and the wait after errors
+    (doubling, at most 30 s). State per client holds the last minute's times, in
+    microseconds, and the run of errors."""
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times, errors = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values("ts")
+        rows = pd.concat(list(batches))
+        rows = rows.sort_values([c for c in ("ts", "id") if c in rows.columns])
         out = []
         for r in rows.itertuples():
-            now = r.ts.timestamp()
-            times = [t for t in times if now - t < 60]
-            soon = len(times) >= per_minute or sum(now - t < 10 for t in times) >= burst
+            now = r.ts.value // 1000
+            times = [t for t in times if now - t < 60_000_000]
+            soon = sum(t < now for t in times) >= per_minute or sum(0 < now - t < 10_000_000 for t in times) >= burst
             times.append(now)
             errors = 0 if r.ok else errors + (r.status == 429 or r.status >= 500)
             out.append((key[0], r.ts, bool(soon), int(errors), float(min(2**errors, 30)) if errors else 0.0))
@@ -56,5 +93,5 @@ def throttle(requests: DataFrame, per_minute: int = 60, burst: int = 10) -> Data
 
     client = requests.schema["client"].dataType.simpleString()
     return requests.groupBy("client").applyInPandasWithState(
-        step, f"client {client}, ts timestamp, throttled boolean, errors int, backoff_s double", "times array<double>, errors int", "append", GroupStateTimeout.NoTimeout
+        step, f"client {client}, ts timestamp, throttled boolean, errors int, backoff_s double", "times array<bigint>, errors int", "append", GroupStateTimeout.NoTimeout
     )
