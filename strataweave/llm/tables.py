@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.shared import fresh_path, session_dir, shared_dir
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,30 +18,6 @@ def boxed(df: DataFrame, **more: Column) -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_doc"), *(c.alias(n) for n, c in more.items()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the
-    one given to setCheckpointDir. On a single machine (a local master) without
-    either, a local folder of our own; a cluster has to name one."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    context = spark.sparkContext
-    given = context._jsc.sc().getCheckpointDir()
-    if given.isDefined():
-        return given.get().rstrip("/")
-    if not re.match(r"local(\[|$)", context.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "strataweave-shared")
-
-
-def session_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def clean(spark: SparkSession) -> None:
     """Deletes the tables that this application has stored. Results that are not yet written are lost with them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
