@@ -7,7 +7,6 @@ filters of it. Source that doesn't parse gives one row of kind 'error'.
 from __future__ import annotations
 
 import ast
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -208,7 +207,3 @@ def module_name(path: Column, package_dirs: Column) -> Column:
     outer = F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(F.array_contains(package_dirs, folder(i)), i)), lambda i: i.isNotNull()))
     bare = F.array_join(F.when(F.element_at(parts, 1).isin("src", "lib", "source", "python", "pkg", "packages") & (F.size(parts) > 1), F.slice(parts, 2, F.size(parts))).otherwise(parts), ".")
     return F.when(outer.isNotNull(), F.array_join(F.slice(parts, outer, F.size(parts)), ".")).otherwise(bare)
-
-
-def report_json(row: dict) -> str:
-    return json.dumps(row, indent=2, sort_keys=True, default=str)
