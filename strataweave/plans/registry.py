@@ -723,13 +723,20 @@ def flt_08_rag_13_vector_checks(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.coalesce(F.size(v), F.lit(0)).cast("bigint").alias("dim"), (v.isNull() | V.is_zero(v)).alias("unusable"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {D.chunks_sql(True, 5000)}, r AS (
+  SELECT url, chunk_number, '# Document ' || (id // 1000) || chr(10) || '---' || chr(10) || content AS content, content AS raw_content, source_id || '.example.com' AS source_id,
+    len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> ''))::INT AS word_count FROM chunks
+), w AS (SELECT url, chunk_number, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS w FROM r),
+n AS (SELECT url, chunk_number, (('0x' || substr(md5(w), 1, 8))::UBIGINT % 16)::INT AS slot, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT url, chunk_number, list(coalesce(n, 0)::DOUBLE ORDER BY slot) AS embedding FROM (SELECT url, chunk_number, unnest(range(16))::INT AS slot FROM r) LEFT JOIN n USING (url, chunk_number, slot) GROUP BY ALL)
+SELECT r.*, embedding FROM r JOIN v USING (url, chunk_number)""")
 def rag_23_ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way from documents to embedded chunks, but for ids, which are hashes of URL and number, and the time in metadata."""
     from strataweave.plans.config import EngineConfig
     from strataweave.plans.ingest import ingest
 
     pages = D.pages_of_documents(spark, d, True).select("url", F.col("text").alias("markdown"))
-    return ingest(pages, EngineConfig(contextual_embeddings=True), embedding.HashedWords(16)).chunks.drop("metadata")
+    return ingest(pages, EngineConfig(contextual_embeddings=True), embedding.HashedWords(16)).chunks.drop("metadata", "id")
 
 
 @query()
