@@ -649,18 +649,22 @@ def val_16_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return validation.recommendations(found, methods.groupBy("script").agg(F.avg("confidence").alias("confidence")))
 
 
-SCRIPT = "import lib\nfrom lib.core import Client as C\nc = C({n}, key='v')\nr = c.send('x')\nc.name\nwith c.open() as f:\n    f.read()\n"
+#: A script of each document, different by id and language in whom it calls and what.
+SCRIPT = "import lib\nfrom lib.{lang} import Client{m} as C\nc = C({n}, key='v')\nr = c.send{m}('x')\nc.name{m}\nwith c.open() as f:\n    f.read{m}()\n"
 
 
 def scripts(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("doc_id").cast("string")
-    return D.table(spark, d, "documents").select(F.concat(F.lit("s"), n, F.lit(".py")).alias("path"), F.replace(F.lit(SCRIPT), F.lit("{n}"), n).alias("source"))
+    n, m = F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string")
+    source = F.replace(F.replace(F.replace(F.lit(SCRIPT), F.lit("{n}"), n), F.lit("{m}"), m), F.lit("{lang}"), F.coalesce("lang", F.lit("xx")))
+    return D.table(spark, d, "documents").select(F.concat(F.lit("s"), n, F.lit(".py")).alias("path"), source.alias("source"))
 
 
-USED = [("import", "lib", "", 1), ("import_from", "C", "", 2), ("call", "C", "", 3), ("method_call", "send", "lib.core.Client", 4), ("attribute", "name", "lib.core.Client", 5), ("method_call", "open", "lib.core.Client", 6), ("scope", "open", "lib.core.Client", 6), ("method_call", "read", "context_manager_result", 7)]
+OF_CLIENT = "lib.{lang}.Client{m}"
+USED = [("import", "lib", "", 1), ("import_from", "Client{m}", "", 2), ("call", "C", "", 3), ("method_call", "send{m}", OF_CLIENT, 4), ("attribute", "name{m}", OF_CLIENT, 5), ("method_call", "open", OF_CLIENT, 6), ("scope", "open", OF_CLIENT, 6), ("method_call", "read{m}", "context_manager_result", 7)]
+FILLED = "replace(replace({0}, '{{m}}', (doc_id % 7)::VARCHAR), '{{lang}}', coalesce(lang, 'xx'))"
 
 
-@query("SELECT 's' || doc_id || '.py' AS path, kind, name, object_type, line FROM documents, (VALUES " + ", ".join(f"('{k if (k, n) != ('import_from', 'C') else k}', '{'Client' if k == 'import_from' else n}', '{t}', {line})" for k, n, t, line in USED) + ") v(kind, name, object_type, line)")
+@query(f"SELECT 's' || doc_id || '.py' AS path, kind, {FILLED.format('name')} AS name, {FILLED.format('object_type')} AS object_type, line FROM documents, (VALUES " + ", ".join(f"('{k}', '{n}', '{t}', {line})" for k, n, t, line in USED) + ") v(kind, name, object_type, line)")
 def val_01_05_usage_with_types(spark: SparkSession, d: str) -> DataFrame:
     from strataweave.operators import python_code
 
