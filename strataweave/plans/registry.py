@@ -958,3 +958,40 @@ def src_01_single_pages(spark: SparkSession, d: str) -> DataFrame:
     """The source of every page's URL, in order."""
     found = D.pages_of_documents(spark, d).filter("url IS NOT NULL").select(urls.source_id(F.col("url")).alias("host"), "url")
     return found.distinct().orderBy("url")
+
+
+@query("""SELECT 's' || doc_id || '.py' AS script, CASE doc_id % 7 WHEN 3 THEN 0.65 WHEN 4 THEN 0.7 ELSE 0.85 END::DOUBLE AS confidence, 5::BIGINT AS total, CASE WHEN doc_id % 7 IN (3, 4) THEN 3 ELSE 4 END::BIGINT AS valid,
+  CASE doc_id % 7 WHEN 3 THEN 'METHOD_NOT_FOUND send3 lib.' || coalesce(lang, 'xx') || '.Client3' WHEN 4 THEN 'ATTRIBUTE_NOT_FOUND name4 lib.' || coalesce(lang, 'xx') || '.Client4' END AS missing FROM documents""")
+def val_17_18_whole_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's script against a library of one module, in which one class lacks its method and one its attribute; other languages' modules are found by the repository's name."""
+    from strataweave.plans import tools
+
+    classes = [(f"lib.en.Client{i}", i) for i in range(7)]
+    signature = "class_name string, name string, full_name string, params_list array<string>, params_detailed array<string>, return_type string"
+    methods = [(c, n, f"{c}.{n}", p, p, "") for c, i in classes for n, p in ((f"send{i}", ["text:str"]), ("open", [])) if n != "send3"]
+    attributes = [(c, f"name{i}", f"{c}.name{i}", "str") for c, i in classes if i != 4]
+    g = graph.Graph(
+        spark.createDataFrame([("lib",)], "name string"), spark.createDataFrame([("lib", "lib/en.py", "lib.en", 9)], "repo_name string, path string, module_name string, line_count int"),
+        spark.createDataFrame([("lib", "lib/en.py", c, c.rpartition(".")[2]) for c, _ in classes], "repo_name string, file_path string, full_name string, name string"),
+        spark.createDataFrame(methods, signature), spark.createDataFrame(attributes, "class_name string, name string, full_name string, type string"),
+        spark.createDataFrame([], "repo_name string, file_path string, name string, full_name string, params_list array<string>, params_detailed array<string>, return_type string"),
+    )
+    got = tools.check_scripts(scripts(spark, d), g)
+    missing = got["hallucinations"].select("script", F.concat_ws(" ", "type", "name", "object_type").alias("missing"))
+    found = got["confidence"].join(got["summary"], "script").join(missing, "script", "left")
+    return six(found.select("script", "confidence", "total", "valid", "missing"), "confidence")
+
+
+@query("SELECT c_custkey, 'https://h' || (c_custkey % 5) || '.org/' || c_name AS url FROM customer")
+def src_12_url_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' URLs written as JSON files of a thousand each, some as bare lists and some as objects, and read back."""
+    from strataweave.sources import files
+
+    place = shared.fresh_path(spark, "url-lists")
+    k = F.col("c_custkey")
+    named = D.table(spark, d, "customer").select(k, F.floor(k / 1000).alias("block"), F.concat(F.lit("https://h"), (k % 5).cast("string"), F.lit(".org/"), "c_name").alias("url"))
+    listed = named.groupBy("block").agg(F.collect_list("url").alias("urls"))
+    whole = F.when(F.col("block") % 2 == 0, F.to_json("urls")).otherwise(F.to_json(F.struct("urls")))
+    listed.select("block", whole.alias("value")).write.partitionBy("block").text(place)
+    found = files.url_list(spark, f"{place}/*/*.txt")
+    return found.select(F.regexp_extract("url", r"#(\d+)$", 1).cast("bigint").alias("c_custkey"), "url")
