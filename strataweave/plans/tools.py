@@ -119,11 +119,11 @@ def check_scripts(scripts: DataFrame, g: graph.Graph) -> dict[str, DataFrame]:
     checked = validation.check_imports(imports, g.file)
     modules = validation.known_modules(checked.withColumn("module", validation.head(F.col("module"))))
     called = F.coalesce(F.nullif("full_name", F.lit("")), "name")
-    repositories = graph.repositories_for(g, uses.select(F.explode(F.array("object_type", called)).alias("n")).select(validation.module_of(F.col("n")).alias("module")))
+    repositories = graph.repositories_for(g, uses.select(F.explode(F.array("object_type", called)).alias("n")).select(validation.module_of(F.col("n")).alias("module"))).cache()
     of_class = g.class_.select(F.col("full_name").alias("class_name"), "repo_name").distinct()
     methods = g.method.select("class_name", "name", graph.parameters().alias("params")).join(of_class, "class_name")
-    m = validation.check_methods(uses.filter("kind = 'method_call'").select("script", "line", "object_type", "name", *call), modules, methods, repositories)
-    a = validation.check_attributes(uses.filter("kind = 'attribute'").select("script", "line", "object_type", "name"), modules, g.attribute.join(of_class, "class_name"), methods, repositories)
+    m = validation.check_methods(uses.filter("kind = 'method_call'").select("script", "line", "object_type", "name", *call), modules, methods, repositories).cache()
+    a = validation.check_attributes(uses.filter("kind = 'attribute'").select("script", "line", "object_type", "name"), modules, g.attribute.join(of_class, "class_name"), methods, repositories).cache()
     is_class = validation.is_class_call(F.col("name"), F.col("full_name"))
     calls = uses.filter("kind = 'call'").withColumn("is_class", is_class)
     wanted = ["script", "line", "full_name", "name", *call]
