@@ -25,8 +25,8 @@ def crawl(links: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
 
 
 def fetched(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages of a frontier with text; failures (no page, blank text) are left out."""
-    return frontier.join(pages, "url").filter(F.coalesce(F.trim("markdown"), F.lit("")) != "")
+    """Pages of a frontier with text; failures (no page, no text) are left out."""
+    return frontier.join(pages, "url").filter(F.coalesce("markdown", F.lit("")) != "")
 
 
 def hrefs(html: Column) -> Column:

@@ -9,6 +9,8 @@ from strataweave.functions import text as T
 from strataweave.operators.graph import Graph, import_edges
 
 SIZE = 1000
+#: No document has so many chunks or code examples, so ids of one never meet another's.
+PER_DOCUMENT = 1_000_000_000
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,7 +35,7 @@ def chunks(spark: SparkSession, d: str, markdown: bool = False) -> DataFrame:
     rows = T.chunk(pages_of_documents(spark, d, markdown), "text", SIZE)
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_number"), "embedding")
     meta = F.to_json(F.struct(F.col("source_id").alias("source"), "source_id", F.struct(F.col("chunk_number").alias("index")).alias("chunk")))
-    return rows.join(vectors, ["doc_id", "chunk_number"], "left").select((F.col("doc_id") * 1000 + F.col("chunk_number")).alias("id"), "url", "chunk_number", "content", meta.alias("metadata"), "source_id", "embedding")
+    return rows.join(vectors, ["doc_id", "chunk_number"], "left").select((F.col("doc_id") * PER_DOCUMENT + F.col("chunk_number")).alias("id"), "url", "chunk_number", "content", meta.alias("metadata"), "source_id", "embedding")
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +44,7 @@ def examples(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("block"), "embedding")
     met = blocks.join(vectors, ["doc_id", "block"], "left")
     summary = F.concat(F.lit("Code example of "), "source_id")
-    return met.select((F.col("doc_id") * 1000 + F.col("block")).alias("id"), "url", F.col("block").alias("chunk_number"), F.col("code").alias("content"), summary.alias("summary"), F.to_json(F.struct(F.col("source_id").alias("source"), "language")).alias("metadata"), "source_id", "embedding")
+    return met.select((F.col("doc_id") * PER_DOCUMENT + F.col("block")).alias("id"), "url", F.col("block").alias("chunk_number"), F.col("code").alias("content"), summary.alias("summary"), F.to_json(F.struct(F.col("source_id").alias("source"), "language")).alias("metadata"), "source_id", "embedding")
 
 
 def query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
@@ -97,7 +99,7 @@ spans AS (
 ), numbered AS (
   SELECT doc_id, content, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS chunk_number FROM pieces WHERE content <> '' OR final
 ), chunks AS (
-  SELECT doc_id * 1000 + chunk_number AS id, url, chunk_number, content, source_id, embedding::DOUBLE[] AS embedding
+  SELECT doc_id * {PER_DOCUMENT} + chunk_number AS id, url, chunk_number, content, source_id, embedding::DOUBLE[] AS embedding
   FROM numbered JOIN page_docs USING (doc_id) LEFT JOIN embeddings ON vec_id = doc_id AND chunk_number = 0
 )"""
 

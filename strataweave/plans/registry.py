@@ -66,7 +66,7 @@ EXAMPLES = f"""WITH RECURSIVE {D.MARKDOWN_SQL}, lines AS (
 ), kept AS (
   SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS block FROM blocks WHERE length(code) >= 200
 ), examples AS (
-  SELECT doc_id * 1000 + block AS id, url, block AS chunk_number, code AS content, 'Code example of ' || source_id AS summary, source_id, language, embedding::DOUBLE[] AS embedding
+  SELECT doc_id * {D.PER_DOCUMENT} + block AS id, url, block AS chunk_number, code AS content, 'Code example of ' || source_id AS summary, source_id, language, embedding::DOUBLE[] AS embedding
   FROM kept LEFT JOIN embeddings ON vec_id = doc_id AND block = 0
 )"""
 
@@ -728,7 +728,7 @@ def flt_08_rag_13_vector_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {D.chunks_sql(True, 5000)}, r AS (
-  SELECT url, chunk_number, '# Document ' || (id // 1000) || chr(10) || '---' || chr(10) || content AS content, content AS raw_content, source_id || '.example.com' AS source_id,
+  SELECT url, chunk_number, '# Document ' || (id // {D.PER_DOCUMENT}) || chr(10) || '---' || chr(10) || content AS content, content AS raw_content, source_id || '.example.com' AS source_id,
     len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> ''))::INT AS word_count FROM chunks
 ), w AS (SELECT url, chunk_number, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS w FROM r),
 n AS (SELECT url, chunk_number, (('0x' || substr(md5(w), 1, 8))::UBIGINT % 16)::INT AS slot, count(*) AS n FROM w GROUP BY ALL),
@@ -960,23 +960,27 @@ def src_01_single_pages(spark: SparkSession, d: str) -> DataFrame:
     return found.distinct().orderBy("url")
 
 
-@query("""SELECT 's' || doc_id || '.py' AS script, CASE doc_id % 7 WHEN 3 THEN 0.65 WHEN 4 THEN 0.7 ELSE 0.85 END::DOUBLE AS confidence, 5::BIGINT AS total, CASE WHEN doc_id % 7 IN (3, 4) THEN 3 ELSE 4 END::BIGINT AS valid,
-  CASE doc_id % 7 WHEN 3 THEN 'METHOD_NOT_FOUND send3 lib.' || coalesce(lang, 'xx') || '.Client3' WHEN 4 THEN 'ATTRIBUTE_NOT_FOUND name4 lib.' || coalesce(lang, 'xx') || '.Client4' END AS missing FROM documents""")
-def val_17_18_whole_scripts(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's script against a library of one module, in which one class lacks its method and one its attribute; other languages' modules are found by the repository's name."""
-    from strataweave.plans import tools
-
+def library(spark: SparkSession) -> graph.Graph:
+    """One module with a class for each script's client, of which one lacks its method and one its attribute."""
     classes = [(f"lib.en.Client{i}", i) for i in range(7)]
     signature = "class_name string, name string, full_name string, params_list array<string>, params_detailed array<string>, return_type string"
     methods = [(c, n, f"{c}.{n}", p, p, "") for c, i in classes for n, p in ((f"send{i}", ["text:str"]), ("open", [])) if n != "send3"]
     attributes = [(c, f"name{i}", f"{c}.name{i}", "str") for c, i in classes if i != 4]
-    g = graph.Graph(
+    return graph.Graph(
         spark.createDataFrame([("lib",)], "name string"), spark.createDataFrame([("lib", "lib/en.py", "lib.en", 9)], "repo_name string, path string, module_name string, line_count int"),
         spark.createDataFrame([("lib", "lib/en.py", c, c.rpartition(".")[2]) for c, _ in classes], "repo_name string, file_path string, full_name string, name string"),
         spark.createDataFrame(methods, signature), spark.createDataFrame(attributes, "class_name string, name string, full_name string, type string"),
         spark.createDataFrame([], "repo_name string, file_path string, name string, full_name string, params_list array<string>, params_detailed array<string>, return_type string"),
     )
-    got = tools.check_scripts(scripts(spark, d), g)
+
+
+@query("""SELECT 's' || doc_id || '.py' AS script, CASE doc_id % 7 WHEN 3 THEN 0.65 WHEN 4 THEN 0.7 ELSE 0.85 END::DOUBLE AS confidence, 5::BIGINT AS total, CASE WHEN doc_id % 7 IN (3, 4) THEN 3 ELSE 4 END::BIGINT AS valid,
+  CASE doc_id % 7 WHEN 3 THEN 'METHOD_NOT_FOUND send3 lib.' || coalesce(lang, 'xx') || '.Client3' WHEN 4 THEN 'ATTRIBUTE_NOT_FOUND name4 lib.' || coalesce(lang, 'xx') || '.Client4' END AS missing FROM documents""")
+def val_17_18_whole_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's script against a library of one module, in which one class lacks its method and one its attribute; other languages' modules are found by the repository's name."""
+    from strataweave.plans import tools
+
+    got = tools.check_scripts(scripts(spark, d), library(spark))
     missing = got["hallucinations"].select("script", F.concat_ws(" ", "type", "name", "object_type").alias("missing"))
     found = got["confidence"].join(got["summary"], "script").join(missing, "script", "left")
     return six(found.select("script", "confidence", "total", "valid", "missing"), "confidence")
@@ -995,3 +999,117 @@ def src_12_url_lists(spark: SparkSession, d: str) -> DataFrame:
     listed.select("block", whole.alias("value")).write.partitionBy("block").text(place)
     found = files.url_list(spark, f"{place}/*/*.txt")
     return found.select(F.regexp_extract("url", r"#(\d+)$", 1).cast("bigint").alias("c_custkey"), "url")
+
+
+@query("""SELECT 's' || doc_id || '.py' AS script, 5::BIGINT AS total, CASE WHEN doc_id % 7 IN (3, 4) THEN 1 ELSE 0 END::BIGINT AS n_missing, CASE doc_id % 7 WHEN 3 THEN 'send3' WHEN 4 THEN 'name4' END AS missing, 5::BIGINT AS n_details FROM documents""")
+def snk_08_script_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Every script's report, written as JSON and read from it."""
+    from strataweave.plans import tools
+
+    made = tools.reports(tools.check_scripts(scripts(spark, d), library(spark)))
+    field = lambda name, kind: F.get_json_object("report", f"$.{name}").cast(kind)
+    many = lambda name: F.coalesce(F.json_array_length(F.get_json_object("report", f"$.{name}")), F.lit(0)).cast("bigint")
+    return made.select("script", field("total", "bigint").alias("total"), many("hallucinations").alias("n_missing"), field("hallucinations[0].name", "string").alias("missing"), many("details").alias("n_details"))
+
+
+@query("""SELECT list, value FROM (SELECT url, rtrim(ltrim(replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/', '_'), '_'), '_') AS n FROM pages WHERE url IS NOT NULL),
+  LATERAL (VALUES ('urls', url), ('sitemap', url), ('local_urls', 'file://' || n || CASE WHEN ends_with(n, '.html') THEN '' ELSE '.html' END)) v(list, value)""")
+def snk_09_src_14_side_files(spark: SparkSession, d: str) -> DataFrame:
+    """All pages' URLs as a JSON table, as names of saved pages and as a sitemap, written and read back."""
+    from strataweave.plans import tools
+
+    place = shared.fresh_path(spark, "side-files")
+    tools.write_url_lists(D.table(spark, d, "pages").filter("url IS NOT NULL"), place)
+    lists = [spark.read.json(f"{place}/urls", schema="url string").toDF("value"), spark.read.text(f"{place}/local_urls"), spark.read.text(f"{place}/sitemap")]
+    named = [df.select(F.lit(name).alias("list"), "value") for name, df in zip(("urls", "local_urls", "sitemap"), lists, strict=True)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+#: Nation keys and names as small text files, one of them blank.
+NOTES = "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN '  ' ELSE '# ' || n_name || chr(10) || 'caf\u00e9 ' || n_nationkey END AS note FROM nation"
+
+
+def write_notes(spark: SparkSession, d: str) -> str:
+    place, k = shared.fresh_path(spark, "notes"), F.col("n_nationkey")
+    note = F.when(k == 3, "  ").otherwise(F.concat(F.lit("# "), "n_name", F.lit("\ncaf\u00e9 "), k.cast("string")))
+    D.table(spark, d, "nation").select(k, note.alias("value")).write.partitionBy("n_nationkey").text(place)
+    return place
+
+
+@query(f"SELECT n_nationkey, note || chr(10) AS markdown FROM ({NOTES})")
+def src_06_text_files(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each text file, of blanks or not."""
+    from strataweave.sources import files
+
+    found = files.text_pages(spark, f"{write_notes(spark, d)}/*/*.txt")
+    return found.select(F.regexp_extract("url", r"n_nationkey=(\d+)/", 1).cast("int").alias("n_nationkey"), "markdown")
+
+
+@query(f"SELECT n_nationkey, 'txt' AS kind, strlen(note)::BIGINT + 1 AS length, note || chr(10) AS source FROM ({NOTES})")
+def src_16_source_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Every file of a suffix below a folder, in whatever subfolder."""
+    from strataweave.sources import files
+
+    found = files.source_tree(spark, write_notes(spark, d), (".txt",))
+    return found.select(F.regexp_extract("path", r"n_nationkey=(\d+)/", 1).cast("int").alias("n_nationkey"), "kind", "length", "source")
+
+
+@query(f"""{EXAMPLES}, w AS (SELECT id, unnest(regexp_extract_all(lower(content || chr(10) || chr(10) || 'Summary: '), '[a-z0-9]+')) AS w FROM examples)
+SELECT url, chunk_number, content, source_id || '.example.com' AS source_id, language, length(content)::BIGINT AS char_count, (SELECT count(*) FROM w WHERE w.id = examples.id)::DOUBLE AS words FROM examples""")
+def snk_02_rag_17_code_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The code examples that an ingest stores; a vector counts the words of code and summary, and the summary's are taken off."""
+    from strataweave.plans.config import EngineConfig
+    from strataweave.plans.ingest import ingest
+
+    pages = D.pages_of_documents(spark, d, True).select("url", F.col("text").alias("markdown"))
+    made = ingest(pages, EngineConfig(agentic_rag=True, code_block_least=200), embedding.HashedWords(8)).code_examples
+    own = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x) - F.regexp_count(F.lower("summary"), F.lit("[a-z0-9]+"))
+    return made.select("url", "chunk_number", "content", "source_id", F.get_json_object("metadata", "$.language").alias("language"), F.get_json_object("metadata", "$.char_count").cast("bigint").alias("char_count"), own.alias("words"))
+
+
+@query(f"""WITH RECURSIVE {D.chunks_sql(True, 5000)} SELECT url, chunk_number, source_id || '.example.com' AS source, 'webpage' AS crawl_type, chunk_number AS chunk_index, true AS contextual,
+  length('# Document ' || (id // {D.PER_DOCUMENT}) || chr(10) || '---' || chr(10) || content)::BIGINT AS chunk_size, true AS timed FROM chunks""")
+def jsn_01_dat_01_chunk_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What an ingest notes about each chunk, but for when it was made."""
+    from strataweave.plans.config import EngineConfig
+    from strataweave.plans.ingest import ingest
+
+    pages = D.pages_of_documents(spark, d, True).select("url", F.col("text").alias("markdown"))
+    made = ingest(pages, EngineConfig(contextual_embeddings=True), embedding.HashedWords(4)).chunks
+    field = lambda name, kind="string": F.get_json_object("metadata", f"$.{name}").cast(kind)
+    return made.select("url", "chunk_number", field("source").alias("source"), field("crawl_type").alias("crawl_type"), field("chunk_index", "int").alias("chunk_index"), field("contextual_embedding", "boolean").alias("contextual"), field("chunk_size", "bigint").alias("chunk_size"), field("crawl_time", "timestamp").isNotNull().alias("timed"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) % 7 = 0 THEN [0.0, 0.0] ELSE [length(text), length(text) - length(replace(text, 'e', ''))] END::DOUBLE[] AS embedding FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+def rag_14_15_model_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A remote model that is never there, and a local one that refuses some texts: their groups are embedded text by text, and they get zeros."""
+
+    def remote():
+        raise ConnectionError("no network")
+
+    def local():
+        def model(texts: list[str]) -> list[list[float]]:
+            if any(len(t) % 7 == 0 for t in texts):
+                raise ValueError("a text is refused")
+            return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+        return model
+
+    chain = embedding.ModelEmbedder(remote, 2, local, delays=(0.0,))
+    return D.table(spark, d, "documents").select("doc_id", chain(F.col("text")).alias("embedding"))
+
+
+@query(f"{CHUNKS} SELECT table_name, n AS row_count FROM (SELECT 'sources' AS table_name, 0::BIGINT AS n UNION ALL SELECT 'chunks', count(*) FROM chunks UNION ALL SELECT 'code_examples', 0)")
+def snk_06_11_tables_made_and_emptied(spark: SparkSession, d: str) -> DataFrame:
+    """Tables are made once, filled, and one of them is emptied again; what was there before is left alone."""
+    import uuid
+
+    name = f"made_{uuid.uuid4().hex}"
+    store.create_tables(spark, name)
+    known = D.table(spark, d, "documents").groupBy(F.col("source").alias("source_id")).agg(F.lit("").alias("summary"), F.count(F.lit(1)).cast("int").alias("n"))
+    known.select("source_id", "summary", "n", F.current_timestamp().alias("a"), F.current_timestamp().alias("b")).write.insertInto(f"{name}.sources")
+    rows = D.chunks(spark, d).select("id", "url", "chunk_number", "content", "metadata", F.col("embedding").cast("array<float>"), F.current_timestamp().alias("t"), "source_id")
+    rows.write.insertInto(f"{name}.chunks")
+    store.truncate(spark, f"{name}.sources")
+    store.create_tables(spark, name)
+    return store.counts({t: spark.table(f"{name}.{t}") for t in ("sources", "chunks", "code_examples")})

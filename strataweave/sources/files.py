@@ -16,8 +16,8 @@ LARGEST_FILE = 500_000
 
 
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
-    """url, markdown of text or markdown files; blank ones are left out."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("markdown")).filter(F.trim("markdown") != "")
+    """url, markdown of text or markdown files; empty ones are left out, blank ones are not."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("markdown")).filter(F.col("markdown") != "")
 
 
 def html_pages(spark: SparkSession, folder: str) -> DataFrame:
