@@ -88,7 +88,8 @@ def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", r
     total = docs.count()
     if not total:
         return [Measured(r, 0.0, 0.0) for r in rules]
-    sample = prepared(docs.select(text).sample(fraction=min(1.0, rows / total), seed=seed), text).coalesce(1).cache()
+    # All tasks scan for the sample; only the few documents that it holds meet in one.
+    sample = prepared(docs.select(text).sample(fraction=min(1.0, rows / total), seed=seed).repartition(1), text).cache()
 
     def timed(rule: Column) -> tuple[float, int]:
         hits = sample.select(F.sum(rule.cast("int")).alias("n"))
