@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import chunk_reuse, html_text, mixing, neighbours, oracle, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc, whitening
+from strataweave.llm import chunk_reuse, hard_negatives, html_text, mixing, neighbours, oracle, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc, whitening
 from strataweave.llm.tables import load
 
 
@@ -81,12 +81,18 @@ def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_reuse.encode_documents(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_token_counts, op3_approximate_nearest_neighbours, op4_warc, op5_quality_rules,
         op6_quality_classifier, op7_sharding, op8_simhash_near_dedup, op9_mixing, op10_html_extraction,
         op11_embedding_whitening, op12_bpe_encoding,
+        op13_hard_negatives,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": oracle.OP5, "op7_sharding": oracle.OP7, "op4_warc": oracle.OP4}

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from strataweave.llm import whitening
+from strataweave.llm import hard_negatives, whitening
 from strataweave.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -92,3 +93,77 @@ def test_merging_is_pairwise_exact():
     centred = x - x.mean(axis=0)
     assert merged.n == 1000 and [int(v) for v in merged.sums] == x.sum(axis=0).tolist()
     assert np.allclose(merged.scatter, centred.T @ centred, rtol=1e-12, atol=1e-6)
+
+
+# --- 13 hard negatives -------------------------------------------------------------
+
+
+def mined(vectors, anchors, k=5):
+    """Brute force over rows (id, vector, label)."""
+    rows = {(i, tuple(int(np.floor(256 * float(np.float32(x)))) for x in v), label) for i, v, label in vectors}
+    out = set()
+    for i, x, label in rows:
+        if i not in anchors:
+            continue
+        scored = [(-sum(p * q for p, q in zip(x, y, strict=True)), j, other) for j, y, other in rows if j != i]
+        same = sorted(r for r in scored if r[2] == label)[:k]
+        others = sorted(r for r in scored if r[2] != label)
+        for s, positive, _ in same:
+            fits = [r for r in others if 80 * -s <= 100 * -r[0] <= 100 * -s]
+            out |= {(i, positive, n + 1, r[1], -s, -r[0]) for n, r in enumerate(fits[:k])}
+    return out
+
+
+def check_mined(rows, want):
+    got = [tuple(r) for r in rows]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hard_negatives_of_the_table(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    vectors = [(r["vec_id"], r["embedding"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"]) for r in rows]
+    want = mined(vectors, {i for i, _, _ in vectors if i % 100 == 0})
+    assert want
+    check_mined(QUERIES["op13_hard_negatives"](spark, DATA).collect(), want)
+
+
+@pytest.mark.parametrize("shape", ["clusters", "ties", "few"])
+def test_hard_negatives_of_awkward_rows(spark, monkeypatch, shape):
+    monkeypatch.setattr(hard_negatives, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(hard_negatives, "PART_ROWS", 3)
+    monkeypatch.setattr(hard_negatives, "PAIRS", 64)
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 2) for _ in range(7)] for _ in range(5)]
+    if shape == "clusters":
+        good = [(i, [c + rng.gauss(0, 0.1) for c in centres[i % 5]], rng.randint(0, 2)) for i in range(300)]
+    elif shape == "ties":  # few different vectors, many of them alike
+        good = [(i, [float(x) for x in centres[0 if i % 3 else i % 4]], i % 4) for i in range(200)]
+    else:  # fewer rows than asked for, anchors without a partner
+        good = [(i, [rng.gauss(0, 1) for _ in range(7)], 0 if i < 8 else i) for i in range(12)]
+    repeated = [good[0], good[1], (good[2][0], good[2][1], 1)]
+    bad = [(900, None, 1), (901, good[0][1], None), (902, [1.0] * 6 + [None], 1), (903, [NAN] * 7, 1), (904, [INF] * 7, 1), (905, [1.0], 1), (906, [], 1), (None, good[0][1], 1)]
+    both = [*good, *repeated, *bad]
+    rng.shuffle(both)
+    rows = hard_negatives.mine(table(spark, both).repartition(3), F.col("vec_id") % 10 == 0).collect()
+    check_mined(rows, mined(good + repeated, set(range(0, 300, 10))))
+
+
+def test_hard_negatives_of_nothing(spark):
+    assert hard_negatives.mine(table(spark, []), F.col("vec_id") == 1).count() == 0
+    assert hard_negatives.mine(table(spark, [(1, [1.0], 1)]), F.col("vec_id") == 1).count() == 0
+    assert hard_negatives.mine(table(spark, [(1, [1.0], 1), (2, [1.0], 1)]), F.col("vec_id") > 5).count() == 0
+
+
+def test_bounds_hold():
+    """No score lies outside the codes' sum plus and minus the bound, and the bound excludes most pairs."""
+    rng = np.random.default_rng(7)
+    x = np.floor(256 * rng.normal(0, 0.125, (3000, 64)))
+    quantiser = hard_negatives.Quantiser(x[:1000])
+    codes, slack = quantiser.codes(x)
+    q = x[:50]
+    rough = sum(rows[codes[:, m]] for m, rows in enumerate(quantiser.table(q)))
+    edge = slack[:, None] * np.sqrt((q * q).sum(axis=1))
+    exact = x @ q.T
+    assert (np.abs(rough - exact) <= edge).all()
+    best = np.sort(exact, axis=0)[-6]
+    assert (rough + edge >= best).mean() < 0.3
