@@ -6,6 +6,7 @@ import html as entities
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -731,6 +732,37 @@ def test_markup(body, text):
     assert html_text.text_of(page(body), None) == text
 
 
+STORY = "<p>A long story that goes on and on and on, in more words than all of the rest.</p>"
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<div class='wrapper nav-collapsed'><nav>n</nav><article>{STORY}</article></div>", STORY),
+        (f"<div class='site ad-free'><article>{STORY}</article></div>", STORY),
+        (f"<article>{STORY}<section id='binary-search'><p>more</p></section></article>", STORY + "more"),
+        (f"<div class=story>{STORY}</div><article><p>Card one</p></article><article><p>Card two</p></article>", STORY + "Card one Card two"),
+        (f"<div class=story>{STORY * 4}</div><article><p>Card one</p></article>", STORY * 4 + "Card one"),
+        (f"<form id=aspnet><div class=menu>m</div><article>{STORY}</article><footer>f</footer></form>", STORY),  # a form around the page
+        (f"<div class=widget><p>{STORY}</p></div><nav>n</nav>", STORY),  # nothing else is text
+        (f"<article>{STORY}<div class='comments'>{STORY * 3}</div></article>", STORY),  # longer than the article
+        (f"<aside><article>Card</article></aside><div>{STORY}</div>", STORY),
+        (f"<article>{STORY}</article><article><p>Second</p></article>", STORY + "Second"),
+        (f"<article>{STORY}<p>in <span class=ad>no</span>line</p></article>", STORY + "in line"),
+        ("<nav>Only a menu</nav>", ""),
+    ],
+)
+def test_names_mislead(body, text):
+    assert html_text.text_of(page(body), None) == " ".join(re.sub("<[^>]*>", " ", text).split())
+
+
+@pytest.mark.parametrize("body", ["<b>" * 20_000 + "</i>" * 20_000, "<div><p>" + "<b>" * 20_000 + "<p></p>" * 20_000, "<li><ul>" * 10_000 + "<li>" * 20_000, "</x>" * 40_000, "<div class=ad>" * 20_000, "<article>" * 20_000])
+def test_long_pages_take_time_in_proportion(body):
+    start = time.perf_counter()
+    assert html_text.text_of(f"<article>x</article>{body}", None) == "x"
+    assert time.perf_counter() - start < 3
+
+
 def test_lcs():
     rng = random.Random(4)
     for _ in range(200):
