@@ -21,7 +21,7 @@ def _within(document: Column, path: str, wanted: Mapping) -> Column:
         if isinstance(value, Mapping):
             held &= _within(document, at, value)
             continue
-        expected = value if isinstance(value, str) else json.dumps(value)
+        expected = value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))
         held &= F.coalesce(F.get_json_object(document, at) == F.lit(expected), F.lit(False))
     return held
 

@@ -351,17 +351,6 @@ def stm_02_throttled_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{place}/rows").select("client", F.unix_micros("ts").alias("micros"), "throttled", "errors", "backoff_s")
 
 
-@query(f"{CHUNKS} SELECT url, chunk_number, content FROM chunks")
-def stm_01_streamed_upserts(spark: SparkSession, d: str) -> DataFrame:
-    """All documents as a stream into a table of chunks, in buckets by URL."""
-    place = shared.fresh_path(spark, "upserts")
-    docs = D.stream(spark, d, "documents")
-    pages = docs.select(F.concat(F.lit("https://"), "source", F.lit(".example.com/doc/"), F.col("doc_id").cast("string")).alias("url"), "text")
-    incremental.stream_upserts(pages, f"{place}/chunks", f"{place}/log", D.SIZE).awaitTermination()
-    schema = spark.read.parquet(f"{place}/chunks").drop("version").schema
-    return incremental.current(spark, f"{place}/chunks", schema).select("url", "chunk_number", "content")
-
-
 @query(f"{CHUNKS} SELECT id, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS running, ((row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) // 20)::BIGINT AS batch FROM chunks")
 def win_02_07_running_index_and_batches(spark: SparkSession, d: str) -> DataFrame:
     """The running index is local order plus the sizes of the sources before, so no window spans the table."""

@@ -6,70 +6,39 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from strataweave.functions.text import chunk
-from strataweave.operators.store import latest, upsert
+from strataweave.operators.chunk_store import ChunkStore
+from strataweave.operators.store import latest
 
-BUCKETS = 64
+CHUNKS = "url string, chunk_number int, content string"
 
 
-def stream_upserts(documents: DataFrame, folder: str, checkpoint: str, size: int = 5000, buckets: int = BUCKETS) -> StreamingQuery:
-    """documents (a stream of url, text): chunks of each batch replace those of
-    the same (url, chunk_number) in folder; current() reads them.
+def stream_upserts(documents: DataFrame, store: ChunkStore, checkpoint: str, size: int = 5000, order: str | None = None, replace: bool = True, compact_after: int = 32) -> StreamingQuery:
+    """documents (a stream of url, text) into a store of chunks; of a URL the last text stands.
 
-    The table is dealt into buckets by URL, and a batch writes a version of the
-    buckets it touches, named by its number, from versions before it. So a batch
-    that runs again writes the same again, and what a batch costs is bounded by
-    the buckets of its own URLs. As many buckets on every call, please.
+    Within a batch that is the one of the highest order (a column; of equal or no
+    orders, the one that comes last), whatever its length, and batches follow one
+    another. With replace, all earlier chunks of a batch's URLs go; without,
+    chunks replace those of their number, and a shorter text leaves the longer
+    one's last chunks. A batch is one commit, loaded once even if it runs again.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = chunk(latest(batch, ["url"], [F.desc(F.length("text"))]), "text", size)
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
-        # At most as many rows as there are buckets.
-        touched = [r[0] for r in batch.select(F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")).distinct().collect()]
-        if not touched:
-            return
-        before = current(spark, folder, rows.schema, number).filter(F.col("bucket").isin(*touched))
-        made = upsert(before, rows).withColumn("version", F.lit(number).cast("bigint"))
-        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(folder)
+        newest = [*([F.col(order).desc_nulls_last()] if order else []), F.desc("_at")]
+        rows = chunk(latest(batch.withColumn("_at", F.monotonically_increasing_id()), ["url"], newest), "text", size)
+        version = store.load(rows, deletes=batch.select("url") if replace else None, stream=(checkpoint, number))
+        if len(version.batches) >= compact_after:
+            store.compact()
+            store.forget()
 
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _path(spark: SparkSession, folder: str) -> tuple[Any, Any]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def current(spark: SparkSession, folder: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """The chunks of a folder that stream_upserts() writes: each bucket's last
-    version, or its last before a batch's. schema: the chunks' own, with bucket."""
-    path, store = _path(spark, folder)
-    if not store.exists(path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(StructType(schema.fields + [StructField("version", LongType())])).parquet(folder)
-    rows = rows if before is None else rows.filter(F.col("version") < before)
-    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # a row per bucket
-    return rows.join(F.broadcast(last), ["bucket", "version"]).select(*schema.names)
-
-
-def expire(spark: SparkSession, folder: str) -> None:
-    """Deletes versions but the last two of each bucket (the last batch may run again, from the one before)."""
-    path, store = _path(spark, folder)
-    for bucket in store.listStatus(path):
-        if bucket.isDirectory() and bucket.getPath().getName().startswith("bucket="):
-            versions = sorted((v.getPath() for v in store.listStatus(bucket.getPath())), key=lambda v: int(v.getName().partition("=")[2]))
-            for old in versions[:-2]:
-                store.delete(old, True)
-
-
 def throttle(requests: DataFrame, per_minute: int = 60, burst: int = 10) -> DataFrame:
     """A stream of client, ts, ok, status (and id, for the order of equal times):
     for each request whether it comes too soon, and the wait after errors

@@ -131,22 +131,6 @@ def test_sources(spark, tmp_path):
     assert {r["kind"] for r in files.source_tree(spark, str(repo)).collect()} == {"python"}
 
 
-def test_streamed_upserts(spark, tmp_path):
-    src, out = tmp_path / "in", tmp_path / "out"
-    for i, text in enumerate(("first text", "second text")):
-        spark.createDataFrame([("u", text), (f"v{i}", "other")], "url string, text string").coalesce(1).write.mode("append").parquet(str(src))
-        stream = spark.readStream.schema("url string, text string").parquet(str(src))
-        incremental.stream_upserts(stream, str(out), str(tmp_path / "check")).awaitTermination()
-    schema = spark.read.parquet(str(out)).drop("version").schema
-    want = [("u", "second text"), ("v0", "other"), ("v1", "other")]
-    read = lambda **more: sorted((r["url"], r["content"]) for r in incremental.current(spark, str(out), schema, **more).collect())
-    assert read() == want and read(before=1) == [("u", "first text"), ("v0", "other")]
-    # Only the buckets of the second batch's URLs have a second version.
-    assert {r["bucket"] for r in spark.read.parquet(str(out)).filter("version = 1").collect()} < {r["bucket"] for r in spark.read.parquet(str(out)).collect()}
-    incremental.expire(spark, str(out))
-    assert read() == want
-
-
 def test_throttle_twins_agree(spark, tmp_path):
     at = dt.datetime(2026, 1, 1)
     rows = [(i, 1, at + dt.timedelta(seconds=s), ok, 200 if ok else 429) for i, (s, ok) in enumerate([(0, True), (1, False), (2, False), (30, True), (61, False), (62, True)])]

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strataweave.plans import registry
+from strataweave.plans import everything as registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
