@@ -1,13 +1,14 @@
 """Rule-based quality filter as a short-circuit cascade [native].
 
-Every rule is a Boolean expression that is true for documents to reject. On a
-sample of about SAMPLE_ROWS documents the planner measures what each rule
-costs (seconds over the sample, beyond those of a rule that does nothing; the
-least of RUNS) and how often it rejects, then orders the rules by rejection
-per cost, so that a cheap rule that rejects much runs first; a CASE then stops
-at the first rule that rejects. Costs count in powers of two, so that noise
-seldom changes the order. The order changes the work only: a document is kept
-if no rule rejects it, in whatever order.
+Every rule is a Boolean expression that is true for documents to reject, with
+one for its work on a document: the characters or words that it goes through,
+times what one of them costs. In one job over a sample of about SAMPLE_ROWS
+documents the planner estimates each rule's cost and how often it rejects, then
+orders the rules by rejection per cost, so that a cheap rule that rejects much
+runs first; a CASE then stops at the first rule that rejects. Work is counted
+rather than timed, so that the same documents give the same order whatever else
+the machines do. The order changes the work only: a document is kept if no rule
+rejects it, in whatever order.
 
 Defined results: null text counts as empty and fails the length rule; an
 empty table gives an empty result; repeated rows are judged row by row; extra
@@ -16,8 +17,6 @@ columns are kept as they are, whatever their names.
 
 from __future__ import annotations
 
-import math
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,18 +28,25 @@ from strataweave.llm.tables import boxed
 
 #: The planner's sample holds about so many documents, whatever the input's size.
 SAMPLE_ROWS = 3000
-RUNS = 2
-#: Costs below this many seconds are noise, and count as this.
-LEAST_COST = 1 / 64
+
+
+def characters(nanoseconds: float) -> Callable[[], Column]:
+    return lambda: F.octet_length("_text") * nanoseconds
+
+
+def words(nanoseconds: float) -> Callable[[], Column]:
+    return lambda: F.size("_words") * nanoseconds
 
 
 @dataclass(frozen=True)
 class Rule:
     """reject builds an expression over the columns of prepared(), which
-    stands alone in a CASE: nothing of it is computed before its turn."""
+    stands alone in a CASE: nothing of it is computed before its turn. work
+    gives its nanoseconds on a document, as measured once on invented prose."""
 
     name: str
     reject: Callable[[], Column]
+    work: Callable[[], Column] = lambda: F.lit(20.0)
 
 
 def n_exclaims() -> Column:
@@ -53,15 +59,15 @@ def n_upper() -> Column:
 
 BASE_RULES = (
     Rule("too_short", lambda: S.n_words() < 20),
-    Rule("repetitive", lambda: 100 * S.n_repeat_words() > 30 * S.n_words()),
+    Rule("repetitive", lambda: 100 * S.n_repeat_words() > 30 * S.n_words(), words(320)),
 )
 OWN_RULES = (
-    Rule("symbols", lambda: 10 * S.n_symbols() > S.n_words()),
-    Rule("shouting", lambda: 10 * n_upper() > 4 * S.word_chars()),
-    Rule("exclaims", lambda: 10 * n_exclaims() > 3 * S.n_words()),
-    Rule("stutter", lambda: 10 * S.n_adjacent_repeats() > 2 * S.n_words()),
-    Rule("same_lines", lambda: 10 * S.n_dup_lines() > 5 * S.n_lines()),
-    Rule("word_length", lambda: S.let(S.word_chars(), lambda n: (n < 2 * S.n_words()) | (n > 25 * S.n_words()))),
+    Rule("symbols", lambda: 10 * S.n_symbols() > S.n_words(), characters(60)),
+    Rule("shouting", lambda: 10 * n_upper() > 4 * S.word_chars(), characters(44)),
+    Rule("exclaims", lambda: 10 * n_exclaims() > 3 * S.n_words(), characters(10)),
+    Rule("stutter", lambda: 10 * S.n_adjacent_repeats() > 2 * S.n_words(), words(320)),
+    Rule("same_lines", lambda: 10 * S.n_dup_lines() > 5 * S.n_lines(), characters(33)),
+    Rule("word_length", lambda: S.let(S.word_chars(), lambda n: (n < 2 * S.n_words()) | (n > 25 * S.n_words())), characters(20)),
 )
 RULES = BASE_RULES + OWN_RULES
 FIGURES = {"n_words": S.n_words, "word_chars": S.word_chars, "n_symbols": S.n_symbols, "n_dup_lines": S.n_dup_lines, "n_repeat_words": S.n_repeat_words}
@@ -75,37 +81,23 @@ def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
 @dataclass(frozen=True)
 class Measured:
     rule: Rule
-    cost_s: float
+    cost_ns: float
     rejection: float
 
     @property
     def rank(self) -> float:
-        return self.rejection / 2.0 ** round(math.log2(max(self.cost_s, LEAST_COST)))
+        return self.rejection / max(self.cost_ns, 1.0)
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Measured]:
     """Rules by rejection per cost, best first; ties keep the given order."""
     total = docs.count()
-    if not total:
-        return [Measured(r, 0.0, 0.0) for r in rules]
-    # All tasks scan for the sample; only the few documents that it holds meet in one.
-    sample = prepared(docs.select(text).sample(fraction=min(1.0, rows / total), seed=seed).repartition(1), text).cache()
-
-    def timed(rule: Column) -> tuple[float, int]:
-        hits = sample.select(F.sum(rule.cast("int")).alias("n"))
-        took = []
-        for _ in range(RUNS + 1):  # the first run compiles the expression
-            began = time.perf_counter()
-            n = hits.collect()[0]["n"] or 0
-            took.append(time.perf_counter() - began)
-        return min(took[1:]), n
-
-    try:
-        seen = max(sample.count(), 1)
-        nothing, _ = timed(F.isnull("_text"))
-        measured = [Measured(rule, max(took - nothing, 0.0), n / seen) for rule in rules for took, n in [timed(rule.reject())]]
-    finally:
-        sample.unpersist()
+    # The sample is dealt over all tasks, so long texts don't meet in one; a row of sums comes from each.
+    drawn = docs.select(text).sample(fraction=min(1.0, rows / max(total, 1)), seed=seed)
+    sample = prepared(drawn.repartition(docs.sparkSession.sparkContext.defaultParallelism), text)
+    sums = [F.sum(x).alias(f"{n}{i}") for i, r in enumerate(rules) for n, x in (("cost", r.work()), ("hits", r.reject().cast("int")))]
+    seen = sample.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    measured = [Measured(r, (seen[f"cost{i}"] or 0) / max(seen["n"], 1), (seen[f"hits{i}"] or 0) / max(seen["n"], 1)) for i, r in enumerate(rules)]
     return sorted(measured, key=lambda m: -m.rank)
 
 
