@@ -127,13 +127,14 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], budget: float | None = No
         # Documents are dealt into SLICES by the next bits of their place; sums of whole slices tell
         # which lie before the budget's end, and the slice in which it ends goes on to the next level.
         part = part.withColumn("_slice", F.floor(F.col("_place") / F.lit(2**62 // SLICES**level)).cast("bigint") % SLICES)
-        sums = part.groupBy("_leaf", "_slice").agg(F.sum("tokens").alias("t"))
+        sums = part.groupBy("_leaf", "_slice").agg(F.sum("tokens").alias("t"), F.first("_rest").alias("_rest"))
         before = F.sum("t").over(Window.partitionBy("_leaf").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-        sums = sums.select("_leaf", "_slice", F.coalesce(before, F.lit(0)).alias("_start"), (F.coalesce(before, F.lit(0)) + F.col("t")).alias("_stop"))
-        # A leaf has SLICES slices at most, so this table is bounded by the tree.
-        met = part.join(F.broadcast(sums), ["_leaf", "_slice"]).filter(F.col("_start") < F.col("_rest"))
-        chosen = chosen.unionByName(met.filter(F.col("_stop") <= F.col("_rest")).select(*keep))
-        part = met.filter(F.col("_stop") > F.col("_rest")).withColumn("_rest", F.col("_rest") - F.col("_start")).drop("_start", "_stop", "_slice")
+        sums = sums.withColumn("_start", F.coalesce(before, F.lit(0))).filter(F.col("_start") + F.col("t") > F.col("_rest"))
+        # One row for each leaf at most: the slice in which its budget ends, and what the slices before hold.
+        ends = sums.groupBy("_leaf").agg(F.min(F.struct("_slice", "_start")).alias("_end"))
+        met = part.join(F.broadcast(ends), "_leaf", "left")
+        chosen = chosen.unionByName(met.filter(F.col("_end").isNull() | (F.col("_slice") < F.col("_end._slice"))).select(*keep))
+        part = met.filter(F.col("_slice") == F.col("_end._slice")).withColumn("_rest", F.col("_rest") - F.col("_end._start")).drop("_end", "_slice")
         if level < LEVELS:
             part = stored(part, "mixing-edge")
     running = F.sum("tokens").over(Window.partitionBy("_leaf").orderBy("_place", "_nth").rowsBetween(Window.unboundedPreceding, -1))
