@@ -7,17 +7,19 @@ queue ordered by margin, nearest leaf first, until the leaves seen hold
 `share` of the sample; candidates are all vectors of those leaves, wherever
 they lie, and are reranked exactly (cosine in double precision).
 
-A vector travels once, not once per tree: the table lies in cells, the leaves
-of the first tree, and a vector carries its leaves in the other trees. A query
-goes to the cells in which some leaf that it visits occurs, and there meets
-each vector that shares a visited leaf with it, in whatever trees, once. So the
-work is a scan's at most, and a small part of it on clustered vectors.
+A vector doesn't travel once per tree: the table lies in cells, the leaves of
+the first tree, and a vector carries its leaves in the other trees. A query
+goes to the cells in which some leaf that it visits occurs, with those of its
+leaves that occur there, and meets each vector that shares a visited leaf with
+it, in whatever trees, once. So the work is a scan's at most, and a small part
+of it on clustered vectors.
 
 Skew. Equal vectors form one class: it is indexed and searched once, and only
 its k + 1 smallest ids can be answers, so no more travel. Cells are dealt out
 in chunks of about CHUNK_ROWS and queries in parts of about QUERY_ROWS, and a
 task scores one chunk against one part, so neither a large cell nor many
-queries make a large task. No pair leaves a task but each query's best few in
+queries make a large task. A vector goes to those parts only that hold a query
+for its cell. No pair leaves a task but each query's best few in
 the chunk.
 
 Defined results: vectors that are null, zero, empty, of another length than
@@ -167,6 +169,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     occurs: dict[int, list[int]] = {}
     for r in placed.select("cell", F.explode("leaves").alias("leaf")).distinct().collect():
         occurs.setdefault(r["leaf"], []).append(r["cell"])
+    inside: dict[int, set[int]] = {}
+    for leaf, held in occurs.items():
+        for cell in held:
+            inside.setdefault(cell, set()).add(leaf)
 
     # The class of every query row, then each class searched once.
     asked = rows.filter("q").select(F.col("id").alias("query_id"), "h", F.col("v").alias("qv")).distinct()
@@ -180,19 +186,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
             for i, q in enumerate(_unit(_matrix(batch.column("v")))):
                 seen = forest.visit(q, share)
                 for x in sorted({y for leaf in seen for y in occurs.get(leaf, ())}):
+                    here = [leaf for leaf in seen if leaf in inside[x]]
                     for part in range(chunks[x]):
                         row.append(i)
                         cell.append(x)
                         chunk.append(part)
-                        visited.append(seen)
+                        visited.append(here)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(chunk, pa.int32()), pa.array(visited, pa.list_(pa.int32())), batch.column("c").take(at), batch.column("v").take(at)], names=["cell", "chunk", "visited", "c", "v"])
 
     part = F.pmod(F.xxhash64("c"), F.lit(max(parts, 1))).cast("int")
     probes = queries.mapInArrow(visit, "cell int, chunk int, visited array<int>, c bigint, v array<double>").withColumn("part", part)
     deal = F.create_map(*(x for cell, m in sorted(chunks.items()) for x in (F.lit(cell), F.lit(m))))
-    # Each chunk meets each part of the queries.
-    dealt = placed.withColumn("chunk", F.pmod(F.hash("c"), deal[F.col("cell")])).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))))
+    # Vectors go where a query waits for them, and nowhere else.
+    wanted = probes.select(*(F.col(c).alias(f"_{c}") for c in ("cell", "chunk", "part"))).distinct()
+    chunked = placed.withColumn("chunk", F.pmod(F.hash("c"), deal[F.col("cell")]))
+    dealt = chunked.join(wanted, (F.col("cell") == F.col("_cell")) & (F.col("chunk") == F.col("_chunk"))).select(*chunked.columns, F.col("_part").alias("part"))
     leaves_in_all = len(forest.members)
 
     def score(base: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
