@@ -360,17 +360,25 @@ def unlinked(posts: DataFrame, nodes: DataFrame, roots: DataFrame, close: Callab
     posts: bucket and node; nodes: node and what close reads. A pair within a
     bucket's largest group is linked already, so members are compared with
     those outside it only, CELL with CELL at a time: a bucket of many copies
-    and a few others costs its size, not its square. Only close pairs become rows.
+    and a few others costs its size, not its square. Two cells meet under a key
+    of their own, so a large bucket is no large task. Only close pairs become rows.
     """
     at = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
     mixed = groups.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     at = at.join(mixed.select("bucket", "all", F.col("all") - F.col("top.m"), F.col("top.root")).toDF("bucket", "all", "others", "top").hint("merge"), "bucket")
     at = stored(at.join(nodes.hint("merge"), "node"), "unlinked-posts")
-    cell = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col(n) / CELL)).alias("cell")
     member = F.struct("node", "root", (F.col("root") == F.col("top")).alias("in_top"), *(c for c in nodes.columns if c != "node"))
-    held = lambda rows, n, seed, name: rows.groupBy("bucket", cell(n, seed)).agg(F.collect_list(member).alias(name)).drop("cell")
-    met = held(at, "all", 0, "xs").join(held(at.filter("root != top"), "others", 1, "ys").hint("merge"), "bucket")
+    cells = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+
+    def held(rows: DataFrame, own: str, opposite: str, seed: int, names: tuple[str, str, str]) -> DataFrame:
+        """Cells of members under each cell that they meet: members (first name), own and opposite cell (the others)."""
+        mine = F.pmod(F.xxhash64("node", F.lit(seed)), cells(own)).cast("int").alias(names[1])
+        grouped = rows.groupBy("bucket", mine, cells(opposite).alias("_n")).agg(F.collect_list(member).alias(names[0]))
+        return grouped.select("bucket", *names[:2], F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(names[2]))
+
+    xs = held(at, "all", "others", 0, ("xs", "cx", "cy"))
+    met = xs.join(held(at.filter("root != top"), "others", "all", 1, ("ys", "cy", "cx")).hint("merge"), ["bucket", "cx", "cy"])
     pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
     once = lambda x, y: x["in_top"] | (x["node"] < y["node"])
     found = F.flatten(F.transform("ys", lambda y: F.transform(F.filter("xs", lambda x: (x["root"] != y["root"]) & once(x, y) & close(x, y)), lambda x: pair(x, y))))
