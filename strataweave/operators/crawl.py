@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
+import re
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions import urls
+from strataweave.shared import kept
 
 
-def crawl(links: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
+def crawl(links: DataFrame, starts: DataFrame, max_depth: int = 3, results: DataFrame | None = None) -> DataFrame:
     """url and depth of pages reached in at most max_depth levels; starts (url) are level 0.
 
-    links: src, dst. One level is a join and an anti-join against what was
-    seen; the loop runs max_depth times and keeps the frontier distributed.
+    links: src, dst. results: what a fetch of a URL gives (url, result_url,
+    ok), where that isn't the page itself; a URL without a result fails. Failed
+    pages have no links and aren't returned, but count as visited, and pages
+    count by the URL of their result: one that is redirected is asked for again
+    if a link names it so on a later level.
+
+    A level is one join of the frontier with the links and one anti-join with
+    what was visited. It is kept in the shared folder, so the next starts from
+    there and no level is computed twice; it ends with the first empty one.
     """
-    edges = links.select(urls.defragmented(F.col("src")).alias("src"), urls.defragmented(F.col("dst")).alias("dst")).filter("dst IS NOT NULL").distinct()
-    frontier = starts.select(urls.defragmented(F.col("url")).alias("url")).filter("url IS NOT NULL").distinct().withColumn("depth", F.lit(0))
-    seen = frontier
-    for level in range(1, max_depth):
-        step = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        frontier = step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level))
-        seen = seen.unionByName(frontier)
-    return seen
+    spark = links.sparkSession
+    plain = lambda c: urls.defragmented(F.col(c)).alias(c)
+    edges = kept(links.select(plain("src"), plain("dst")).filter("dst IS NOT NULL").distinct(), "links")
+    given = None if results is None else results.select(plain("url"), urls.defragmented(F.col("result_url")).alias("result"), "ok").dropDuplicates(["url"])
+
+    def fetched(frontier: DataFrame) -> DataFrame:
+        """The frontier's results: result, ok."""
+        if given is None:
+            return frontier.select(F.col("url").alias("result"), F.lit(True).alias("ok"))
+        return frontier.join(given, "url", "left").select(F.coalesce("result", "url").alias("result"), F.coalesce("ok", F.lit(False)).alias("ok"))
+
+    frontier, visited = starts.select(plain("url")).filter("url IS NOT NULL").distinct(), None
+    for level in range(max_depth):
+        if visited is not None:
+            reached = last.filter("ok").join(edges, F.col("result") == F.col("src")).select(F.col("dst").alias("url")).distinct()
+            frontier = reached.join(visited.select(F.col("result").alias("url")), "url", "left_anti")
+        last = kept(fetched(frontier).groupBy("result").agg(F.bool_or("ok").alias("ok")).withColumn("depth", F.lit(level)), "crawled")
+        visited = last if visited is None else visited.unionByName(last)
+        if last.isEmpty():
+            break
+    if visited is None:
+        return spark.createDataFrame([], "url string, depth int")
+    return visited.filter("ok").groupBy(F.col("result").alias("url")).agg(F.min("depth").alias("depth"))
 
 
 def fetched(frontier: DataFrame, pages: DataFrame) -> DataFrame:
@@ -50,7 +77,19 @@ def index_links(html: Column, base: str) -> Column:
 
 
 def sitemap_links(xml: Column) -> Column:
-    """All loc elements, whatever their namespace; none where the XML is malformed."""
-    complete = F.coalesce(F.trim(xml), F.lit("")).rlike(r"(?s)</(?:[\w.-]+:)?(?:urlset|sitemapindex)\s*>$")
-    found = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:[\w.-]+:)?loc(?:\s[^>]*)?>\s*(.*?)\s*</(?:[\w.-]+:)?loc\s*>"), F.lit(1))
-    return F.when(complete, F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))).otherwise(F.array().cast("array<string>"))
+    """The texts of all loc elements, whatever their namespace, without white space around them; none where the XML is malformed."""
+
+    @F.pandas_udf("array<string>")
+    def parsed(documents: pd.Series) -> pd.Series:
+        return documents.map(_locs)
+
+    return parsed(xml)
+
+
+def _locs(text: str | None) -> list[str]:
+    try:
+        # As text: what encoding the file says it has is past.
+        tree = ElementTree.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", text or ""))
+    except (ElementTree.ParseError, ValueError):
+        return []
+    return [(loc.text or "").strip() for loc in tree.findall(".//{*}loc")]

@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.operators.validation import CLASS_PATTERNS
+
 STRUCTURE = "path string, kind string, name string, full_name string, owner string, line int, args array<string>, params_detailed array<string>, type string"
-USAGE = "path string, kind string, name string, full_name string, target string, object string, line int, end_line int, seq int, args array<string>, kwargs map<string,string>"
+USAGE = "path string, kind string, name string, full_name string, target string, object string, line int, end_line int, seq int, args array<string>, kwargs map<string,string>, object_type string, instance boolean, imported array<string>"
 
 
 def rendered(node: ast.AST | None, default: str = "Any") -> str:
@@ -81,15 +83,6 @@ def structure_of(source: str, module: str) -> Iterator[tuple]:
             yield "import", name, name, module, node.lineno, [], [], ""
 
 
-def dotted(node: ast.AST) -> str:
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        before = dotted(node.value)
-        return f"{before}.{node.attr}" if before else node.attr
-    return ""
-
-
 def shown(node: ast.AST) -> str:
     """An argument as text."""
     if isinstance(node, ast.Constant):
@@ -97,49 +90,129 @@ def shown(node: ast.AST) -> str:
     if isinstance(node, ast.Name):
         return node.id
     if isinstance(node, ast.Attribute):
-        return dotted(node) or "<?>"
+        return chain(node) or "<?>"
     if isinstance(node, ast.Call):
-        return f"{dotted(node.func) or '<?>'}(...)"
+        return f"{chain(node.func) or 'call'}(...)"
     return f"<{type(node).__name__}>"
 
 
-def usage_of(source: str) -> Iterator[tuple]:
-    """Imports, calls (assigned or not), attribute uses and with-scopes, in order of the walk."""
-    tree = ast.parse(source)
-    aliases: dict[str, str] = {}
-    called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
-    assigned = {id(n.value): n.targets[0].id for n in ast.walk(tree) if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name) and isinstance(n.value, ast.Call)}
-
-    def full(name: str) -> str | None:
+#: Types of what methods and context managers give, and of an agent's streamed result.
+METHOD_RESULT, CONTEXT_RESULT, STREAMED = "method_result", "context_manager_result", "pydantic_ai.StreamedRunResult"
+
+
+class _Usage:
+    """What a script uses, in one walk by breadth, with a table of the types of names as it stands at each visit.
+
+    A name takes the class (or function) that it was last assigned a call of, a
+    placeholder for results of methods and of `with` on methods, and, between
+    the lines of an `async with` on run_stream of an agent, a streamed result's
+    type. What had no type when it was visited takes the scope's or else the
+    last one of all. Imports count from the start, wherever they stand.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.aliases: dict[str, str] = {}
+        self.types: dict[str, str] = {}
+        self.scopes: dict[str, tuple[int, int, str]] = {}
+        self.done: set[int] = set()  # calls that their assignment or with has taken
+        self.methods: set[int] = set()  # attributes that a call of their own has taken
+        self.rows: list[list] = []
+        nodes = list(ast.walk(ast.parse(source)))
+        for node in nodes:
+            if isinstance(node, (ast.Import, ast.ImportFrom)):
+                self._import(node)
+        self.imported = sorted({(r[2] or r[1]).partition(".")[0] for r in self.rows})
+        for node in nodes:
+            self._visit(node)
+        for row in self.rows:
+            name, line = row[OBJECT], row[LINE]
+            if name is not None and not row[TYPE]:
+                first, last, kind = self.scopes.get(name, (1, 0, ""))
+                row[TYPE] = kind if first <= line <= last else self.types.get(name)
+            row.append(self.imported)
+
+    def _full(self, name: str) -> str | None:
         top, dot, rest = name.partition(".")
-        return aliases[top] + dot + rest if top in aliases else None
+        return self.aliases.get(name) or (self.aliases[top] + dot + rest if dot and top in self.aliases else None)
 
-    for seq, node in enumerate(ast.walk(tree)):
+    def _row(self, kind: str, name: str, node: ast.AST, full: str | None = None, target: str | None = None, owner: str | None = None, call: ast.Call | None = None, instance: bool = False) -> None:
         line, end = getattr(node, "lineno", 0), getattr(node, "end_lineno", 0) or 0
-        if isinstance(node, ast.Import):
-            for a in node.names:
-                aliases[a.asname or a.name] = a.name
-                yield "import", a.name, a.name, a.asname or a.name, None, line, end, seq, [], {}
-        elif isinstance(node, ast.ImportFrom):
-            module = "." * node.level + (node.module or "")
-            for a in node.names:
-                aliases[a.asname or a.name] = f"{module}.{a.name}" if module else a.name
-                yield "import_from", a.name, module, a.asname or a.name, None, line, end, seq, [], {}
-        elif isinstance(node, ast.Call):
-            args, kwargs = [shown(a) for a in node.args], {k.arg: shown(k.value) for k in node.keywords if k.arg}
-            target = assigned.get(id(node))
+        args = [shown(a) for a in call.args] if call else []
+        kwargs = {k.arg: shown(k.value) for k in call.keywords if k.arg} if call else {}
+        self.rows.append([kind, name, full, target, owner, line, end, len(self.rows), args, kwargs, self.types.get(owner) if owner else None, instance])
+
+    def _import(self, node: ast.Import | ast.ImportFrom) -> None:
+        module = (node.module or "") if isinstance(node, ast.ImportFrom) else None
+        for a in node.names:
+            alias = a.asname or a.name
+            self.aliases[alias] = f"{module}.{a.name}" if module else a.name
+            self._row("import" if module is None else "import_from", a.name, node, a.name if module is None else module, alias)
+
+    def _method(self, call: ast.Call, target: str | None = None) -> None:
+        owner, name = chain(call.func.value), chain(call.func)
+        if owner:
+            self._row("method_call", call.func.attr, call, self._full(name), target, owner, call)
+
+    def _assign(self, node: ast.Assign) -> None:
+        target, call = node.targets[0].id, node.value
+        self.done.add(id(call))
+        if isinstance(call.func, ast.Name):
+            self._row("call", call.func.id, node, self._full(call.func.id), target, call=call, instance=True)
+            self.types[target] = self._full(call.func.id) or call.func.id
+        else:
+            self.types[target] = METHOD_RESULT
+            self._method(call, target)
+
+    def _with(self, node: ast.With | ast.AsyncWith) -> None:
+        for item in node.items:
+            call, target = item.context_expr, item.optional_vars
+            if not (isinstance(target, ast.Name) and isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute)):
+                continue
+            self.done.add(id(call))
+            self._method(call, target.id)
+            if isinstance(node, ast.With):
+                self.types[target.id] = CONTEXT_RESULT
+            elif call.func.attr == "run_stream" and "pydantic_ai" in self.types.get(chain(call.func.value) or "", ""):
+                self.scopes[target.id] = node.lineno, node.end_lineno or node.lineno, STREAMED
+
+    def _visit(self, node: ast.AST) -> None:
+        if isinstance(node, ast.Assign):
+            if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Call) and isinstance(node.value.func, (ast.Name, ast.Attribute)):
+                self._assign(node)
+        elif isinstance(node, (ast.With, ast.AsyncWith)):
+            self._with(node)
+        elif isinstance(node, ast.Call) and id(node) not in self.done:
             if isinstance(node.func, ast.Attribute):
-                name = dotted(node.func)
-                yield "method_call", node.func.attr, full(name), target, dotted(node.func.value), line, end, seq, args, kwargs
+                self._method(node)
+                self.methods.add(id(node.func))
             elif isinstance(node.func, ast.Name):
-                yield "call", node.func.id, full(node.func.id), target, None, line, end, seq, args, kwargs
-        elif isinstance(node, ast.Attribute) and id(node) not in called:
-            yield "attribute", node.attr, full(dotted(node)), None, dotted(node.value), line, end, seq, [], {}
-        elif isinstance(node, (ast.With, ast.AsyncWith)):
-            for item in node.items:
-                if isinstance(item.context_expr, ast.Call) and isinstance(item.optional_vars, ast.Name):
-                    name = dotted(item.context_expr.func)
-                    yield "scope", name.rpartition(".")[2], full(name), item.optional_vars.id, name.rpartition(".")[0] or None, line, end, seq, [], {}
+                full = self._full(node.func.id)
+                self._row("call", node.func.id, node, full, call=node, instance=makes_object(node.func.id, full))
+        elif isinstance(node, ast.Attribute) and id(node) not in self.methods:
+            owner = chain(node.value)
+            if owner:
+                self._row("attribute", node.attr, node, self._full(chain(node)), owner=owner)
+
+
+OBJECT, LINE, TYPE = 4, 5, 10
+
+
+def chain(node: ast.AST) -> str | None:
+    """A name with its attributes, if nothing else is in it."""
+    if isinstance(node, ast.Name):
+        return node.id
+    before = chain(node.value) if isinstance(node, ast.Attribute) else None
+    return f"{before}.{node.attr}" if before else None
+
+
+def makes_object(name: str, full_name: str | None) -> bool:
+    """As validation.is_class_call."""
+    return name[:1].isupper() or any(p in (full_name or "") for p in CLASS_PATTERNS)
+
+
+def usage_of(source: str) -> list[list]:
+    """Imports, calls (assigned or not) and attribute uses, with the types of the objects that they are of."""
+    return _Usage(source).rows
 
 
 def _parsed(files: DataFrame, of, extra: tuple[str, ...], schema: str) -> DataFrame:
@@ -168,7 +241,7 @@ def _mapped(row: tuple) -> list:
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
     fields = [f.strip().split(" ", 1) for f in schema.replace("map<string,string>", "map<string;string>").split(",")]
     return pa.schema([(n, kinds[k.replace(";", ",")]) for n, k in fields])
 
@@ -179,26 +252,12 @@ def structure(files: DataFrame) -> DataFrame:
 
 
 def usage(scripts: DataFrame) -> DataFrame:
-    """scripts: path, source. One row per import, call, attribute use and scope."""
+    """scripts: path, source. One row per import, call and attribute use, in order of
+    their visit (seq), with object_type, for calls whether they make an object (instance),
+    and the first segments of all that the script imports (imported)."""
     return _parsed(scripts, usage_of, (), USAGE)
 
 
-def typed(uses: DataFrame) -> DataFrame:
-    """uses with object_type: the class a variable was last made from, unless a
-    with-scope around the line gives it another. Results of methods and of
-    context managers have placeholder types; run_stream gives StreamedRunResult."""
-    from strataweave.operators.validation import is_class_call
-
-    made = uses.filter(F.col("target").isNotNull() & F.col("kind").isin("call", "method_call"))
-    kind = F.when((F.col("kind") == "call") & is_class_call(F.col("name"), F.col("full_name")), F.coalesce("full_name", "name"))
-    kind = kind.when(F.col("kind") == "method_call", F.when(is_class_call(F.col("name"), F.col("full_name")), F.coalesce("full_name", "name")).otherwise("method_result"))
-    types = made.withColumn("t", kind).filter(F.col("t").isNotNull()).groupBy("path", F.col("target").alias("object")).agg(F.max_by("t", "seq").alias("by_name"))
-    scope_type = F.when(F.col("name") == "run_stream", F.lit("pydantic_ai.result.StreamedRunResult")).otherwise(F.when(is_class_call(F.col("name"), F.col("full_name")), F.coalesce("full_name", "name")).otherwise("context_manager_result"))
-    scopes = uses.filter(F.col("kind") == "scope").select("path", F.col("target").alias("object"), F.col("line").alias("from"), F.col("end_line").alias("to"), scope_type.alias("by_scope"))
-    inner = uses.join(scopes, ["path", "object"]).filter(F.col("line").between(F.col("from"), F.col("to"))).groupBy("path", "seq").agg(F.max_by("by_scope", "from").alias("by_scope"))
-    return uses.join(types, ["path", "object"], "left").join(inner, ["path", "seq"], "left").withColumn("object_type", F.coalesce("by_scope", "by_name")).drop("by_name", "by_scope")
-
-
 def module_name(path: Column, package_dirs: Column) -> Column:
     """The dotted module of a file: from its outermost package folder, else
     without leading source folders. package_dirs: folders with an __init__.py."""

@@ -55,7 +55,7 @@ def create_tables(spark: SparkSession, database: str) -> None:
     """Empty tables of sources, chunks and code examples where there are none."""
     chunk = "id BIGINT, url STRING NOT NULL, chunk_number INT NOT NULL, content STRING NOT NULL, metadata STRING, source_id STRING NOT NULL, embedding ARRAY<FLOAT>, created_at TIMESTAMP"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.sources (source_id STRING, summary STRING, total_word_count INT, created_at TIMESTAMP, updated_at TIMESTAMP) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.sources (source_id STRING, summary STRING, total_word_count BIGINT, created_at TIMESTAMP, updated_at TIMESTAMP) USING parquet")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.chunks ({chunk}) USING parquet PARTITIONED BY (source_id)")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.code_examples ({chunk}, summary STRING) USING parquet PARTITIONED BY (source_id)")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.functions.text import percent
+
 VALID, INVALID, UNCERTAIN, NOT_FOUND = "VALID", "INVALID", "UNCERTAIN", "NOT_FOUND"
 # Words in the names of modules whose calls make objects.
 CLASS_PATTERNS = ("Model", "Provider", "Client", "Agent", "Manager", "Handler", "Builder", "Factory", "Service", "Controller", "Processor")
@@ -207,21 +209,26 @@ def summary(validations: DataFrame) -> DataFrame:
     return counted.withColumn("hallucination_rate", bad / F.greatest(F.lit(1), F.col("valid") + bad))
 
 
+def advice(methods: Column, attributes: Column, parameters: Column, confidence: Column) -> Column:
+    """Lines of advice for numbers of missing methods and attributes and of calls that don't fit."""
+    line = lambda test, *parts: F.when(test, F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)))
+    text = lambda c: c.cast("string")
+    lines = F.array(
+        line(methods > 0, text(methods), " methods are not in the known libraries: look them up in the documentation."),
+        line(attributes > 0, text(attributes), " attributes are not in the known classes: check their names."),
+        line(parameters > 0, text(parameters), " calls have parameters that do not fit: check their signatures."),
+        line((methods + attributes + parameters) == 0, "Nothing wrong was found in the known libraries."),
+        line(confidence < 0.7, "Confidence is moderate: most usage is of libraries that are not known here."),
+    )
+    return F.filter(lines, lambda x: x.isNotNull())
+
+
 def recommendations(found: DataFrame, confidence: DataFrame) -> DataFrame:
     """script and lines of advice. found: hallucinations; confidence: script, confidence."""
     n = lambda t: F.count_if(F.col("type") == t)
     counts = found.groupBy("script").agg(n("METHOD_NOT_FOUND").alias("m"), n("ATTRIBUTE_NOT_FOUND").alias("a"), n("INVALID_PARAMETERS").alias("p"))
     met = confidence.join(counts, "script", "left").na.fill(0)
-    line = lambda test, *parts: F.when(test, F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)))
-    text = lambda c: F.col(c).cast("string")
-    lines = F.array(
-        line(F.col("m") > 0, text("m"), " methods are not in the known libraries: look them up in the documentation."),
-        line(F.col("a") > 0, text("a"), " attributes are not in the known classes: check their names."),
-        line(F.col("p") > 0, text("p"), " calls have parameters that do not fit: check their signatures."),
-        line((F.col("m") + F.col("a") + F.col("p")) == 0, "Nothing wrong was found in the known libraries."),
-        line(F.col("confidence") < 0.7, "Confidence is moderate: most usage is of libraries that are not known here."),
-    )
-    return met.select("script", F.filter(lines, lambda x: x.isNotNull()).alias("recommendations"))
+    return met.select("script", advice(F.col("m"), F.col("a"), F.col("p"), F.col("confidence")).alias("recommendations"))
 
 
 def libraries(usages: DataFrame) -> DataFrame:
@@ -229,9 +236,75 @@ def libraries(usages: DataFrame) -> DataFrame:
     return usages.groupBy("module").agg(F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind") == "method").alias("methods"), F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("status") == VALID).alias("valid"), F.array_sort(F.collect_set("name")).alias("names"))
 
 
-def markdown(script: str, counts: dict, found: list[dict], advice: list[str]) -> str:
-    """A report for one script."""
-    total = max(1, counts.get("total", 0))
-    rows = [f"- {name}: {counts.get(name, 0)} ({counts.get(name, 0) / total:.1%})" for name in ("valid", "invalid", "uncertain", "not_found")]
-    items = [f"- line {h['line']}: {h['type'].replace('_', ' ').title()} `{h['name']}`" for h in found]
-    return "\n".join([f"# {script}", "", "## Summary", *rows, "", "## Findings", *(items or ["- none"]), "", "## Advice", *(f"- {a}" for a in advice)]) + "\n"
+def verdict(kind: Column, owner: Column, full_name: Column, known: Column, found: Column, check: Column) -> Column:
+    """status and confidence of a usage of any kind, as check_methods(), check_attributes() and check_named() have them."""
+    member, invalid = kind.isin("method", "attribute"), (kind != "attribute") & (check["status"] == INVALID)
+    outside = F.when(kind == "function", full_name.isNotNull() & ~known).otherwise(~known)
+    untyped = member & owner.isNull()
+    missing = F.when(kind == "method", 0.1).otherwise(0.2)
+    return F.struct(
+        F.when(untyped | outside, UNCERTAIN).when(~found, NOT_FOUND).when(invalid, INVALID).otherwise(VALID).alias("status"),
+        F.when(untyped, 0.3).when(outside, 0.8).when(~found, missing).when(invalid, check["confidence"]).otherwise(F.when(kind == "method", 0.9).otherwise(0.8)).alias("confidence"),
+    )
+
+
+#: Items of a report, in the order in which they are sorted.
+ITEM = ("seq", "line", "kind", "name", "of", "status", "confidence", "in_graph")
+
+
+def by_script(usages: DataFrame, scripts: DataFrame) -> DataFrame:
+    """A row per script (of usages: script and ITEM; scripts: script), by one shuffle of the usages: items
+    (imports among them), counts, confidence, hallucinations, advice and libraries, all from the items' array."""
+    item = F.struct(*ITEM)
+    every = usages.select("script", item.alias("item")).unionByName(scripts.select("script", F.lit(None).cast(usages.select(item.alias("i")).schema["i"].dataType).alias("item")))
+    rows = every.groupBy("script").agg(F.sort_array(F.collect_list("item")).alias("items"))  # nulls aren't listed
+    of = lambda test: F.filter("used", test)
+    n = lambda s: F.size(of(lambda x: x["status"] == s)).cast("bigint")
+    known = of(lambda x: x["in_graph"])
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x["confidence"]) / F.size(known)
+    said = lambda x, kind: F.struct(x["line"].alias("line"), F.lit(kind).alias("type"), x["name"].alias("name"), x["of"].alias("object_type"))
+    found = lambda kind, status, name: F.transform(of(lambda x: (x["kind"] == kind) & (x["status"] == status)), lambda x: said(x, name))
+    missing = F.array_distinct(found("method", NOT_FOUND, "METHOD_NOT_FOUND"))
+    # A usage is reported once, as a method rather than an attribute.
+    wrong = F.array_except(found("attribute", NOT_FOUND, "METHOD_NOT_FOUND"), missing)
+    wrong = F.transform(wrong, lambda x: F.struct(x["line"].alias("line"), F.lit("ATTRIBUTE_NOT_FOUND").alias("type"), x["name"].alias("name"), x["object_type"].alias("object_type")))
+    rows = rows.withColumn("used", F.filter("items", lambda x: x["kind"] != "import"))
+    rows = rows.withColumns({
+        "total": F.size("used").cast("bigint"), "valid": n(VALID), "invalid": n(INVALID), "uncertain": n(UNCERTAIN), "not_found": n(NOT_FOUND),
+        "confidence": F.when(F.size(known) > 0, mean).otherwise(F.lit(1.0)), "hallucinations": F.concat(missing, wrong, found("method", INVALID, "INVALID_PARAMETERS")),
+    })
+    bad = F.col("invalid") + F.col("not_found")
+    count = lambda kind: F.size(F.filter("hallucinations", lambda h: h["type"] == kind))
+    modules = F.array_sort(F.array_distinct(F.transform(F.filter("items", lambda x: x["in_graph"]), lambda x: head(x["of"]))))
+    names = lambda module, kind: F.array_distinct(F.transform(F.filter("items", lambda x: x["in_graph"] & (head(x["of"]) == module) & (x["kind"] == kind)), lambda x: F.struct(x["name"].alias("name"), x["status"].alias("status"), x["confidence"].alias("confidence"))))
+    library = lambda m: F.struct(m.alias("module"), *(names(m, k).alias(p) for k, p in (("class", "classes"), ("method", "methods"), ("attribute", "attributes"), ("function", "functions"))))
+    rows = rows.withColumn("hallucination_rate", bad / F.greatest(F.lit(1), F.col("valid") + bad)).withColumn("libraries", F.transform(modules, library))
+    return rows.withColumn("recommendations", advice(count("METHOD_NOT_FOUND"), count("ATTRIBUTE_NOT_FOUND"), count("INVALID_PARAMETERS"), F.col("confidence"))).drop("used")
+
+
+#: Valid items that a report as text lists; it counts the others.
+LISTED = 10
+
+
+def markdown(rows: DataFrame) -> DataFrame:
+    """script and its report as text, from by_script()."""
+    total = F.greatest(F.lit(1), F.col("total"))
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    counts = [text(f"- {c}: ", F.col(c).cast("string"), " (", percent(F.col(c) / total), ")") for c in ("valid", "invalid", "uncertain", "not_found")]
+    title = lambda name: F.initcap(F.replace(F.lower(name), F.lit("_"), F.lit(" ")))
+    line = lambda x: text("- line ", x["line"].cast("string"), ": ", x["kind"], " `", x["name"], "`", F.when(x["of"].isNull(), "").otherwise(text(" of `", x["of"], "`")), ", ", percent(x["confidence"]))
+    known = lambda status: F.filter("items", lambda x: x["in_graph"] & (x["status"] == status))
+    valid, more = known(VALID), F.size(known(VALID)) - LISTED
+    either = lambda lines, none: F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(none)))
+    uses = lambda lib, kind: F.transform(lib[kind], lambda u: text("  - ", F.lit(kind.removesuffix("es") if kind == "classes" else kind.removesuffix("s")), " `", u["name"], "`: ", F.lower(u["status"]), ", ", percent(u["confidence"])))
+    libraries = F.flatten(F.transform("libraries", lambda lib: F.concat(F.array(text("- `", lib["module"], "`")), uses(lib, "classes"), uses(lib, "methods"), uses(lib, "attributes"), uses(lib, "functions"))))
+    lines = F.concat(
+        F.array(text("# ", F.col("script")), F.lit(""), text("Confidence: ", percent(F.col("confidence"))), F.lit(""), F.lit("## Summary"), text("- total: ", F.col("total").cast("string")), *counts, text("- hallucination rate: ", percent(F.col("hallucination_rate")))),
+        F.array(F.lit(""), F.lit("## Findings")), either(F.transform("hallucinations", lambda h: text("- line ", h["line"].cast("string"), ": ", title(h["type"]), " `", h["name"], "`")), "- none"),
+        F.array(F.lit(""), F.lit("## Libraries")), either(libraries, "- none"),
+        F.array(F.lit(""), F.lit("## Not found")), either(F.transform(known(NOT_FOUND), line), "- none"),
+        F.array(F.lit(""), F.lit("## Invalid")), either(F.transform(known(INVALID), line), "- none"),
+        F.array(F.lit(""), F.lit("## Valid")), either(F.transform(F.slice(valid, 1, LISTED), line), "- none"), F.when(more > 0, F.array(text("- and ", more.cast("string"), " more"))).otherwise(F.array().cast("array<string>")),
+        F.array(F.lit(""), F.lit("## Advice")), F.transform("recommendations", lambda r: text("- ", r)),
+    )
+    return rows.select("script", text(F.array_join(lines, "\n"), "\n").alias("report"))

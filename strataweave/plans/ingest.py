@@ -24,9 +24,12 @@ def ingest(pages: DataFrame, config: EngineConfig, embedder: E.Embedder, crawl_t
     """pages: url, markdown. Chunks of a URL are numbered from 0; a source's words
     are counted over all of its chunks; code examples only where asked for."""
     held = pages.withColumn("source_id", urls.source_id(F.col("url")))
-    rows = T.with_section_info(T.chunk(held.withColumn("document", F.substring("markdown", 1, 25000)), "markdown", config.chunk_size))
     if config.contextual_embeddings:
-        context = E.first_sentence(F.col("document"), F.lit(""))
+        # Found before chunking: what goes into every chunk's row is the sentence, not the document.
+        held = held.withColumn("context", E.first_sentence(F.substring("markdown", 1, 25000), F.lit("")))
+    rows = T.with_section_info(T.chunk(held, "markdown", config.chunk_size))
+    if config.contextual_embeddings:
+        context = F.col("context")
         rows = rows.withColumn("raw_content", F.col("content")).withColumn("content", F.when(context == "", F.col("content")).otherwise(T.contextual_text(context, F.col("content"))))
     else:
         rows = rows.withColumn("raw_content", F.col("content"))
@@ -42,7 +45,7 @@ def ingest(pages: DataFrame, config: EngineConfig, embedder: E.Embedder, crawl_t
 
 
 def source_table(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    counts = rows.groupBy("source_id").agg(F.sum("word_count").cast("int").alias("total_word_count"))
+    counts = rows.groupBy("source_id").agg(F.sum("word_count").alias("total_word_count"))
     first = pages.groupBy("source_id").agg(F.min_by(F.substring("markdown", 1, 5000), "url").alias("text"))
     summary = E.first_sentence(F.col("text"), F.concat(F.lit("Content from "), "source_id"))
     return counts.join(first, "source_id").select("source_id", summary.alias("summary"), "total_word_count")

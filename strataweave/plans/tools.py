@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave import shared
 from strataweave.functions import text as T
 from strataweave.functions import urls
 from strataweave.operators import crawl, graph, python_code, retrieval, validation
@@ -111,45 +112,72 @@ def parse_repository(spark: SparkSession, root: str, name: str) -> graph.Graph:
     )
 
 
-def check_scripts(scripts: DataFrame, g: graph.Graph) -> dict[str, DataFrame]:
-    """scripts: path, source. All scripts in one plan: validations, findings, summary, confidence, recommendations."""
-    uses = python_code.typed(python_code.usage(scripts)).withColumnRenamed("path", "script").cache()
-    call = [F.size("args").alias("n_args"), F.map_keys("kwargs").alias("kwargs")]
-    imports = uses.filter(F.col("kind").isin("import", "import_from")).select("script", F.when(F.col("full_name") != "", F.col("full_name")).otherwise(F.col("name")).alias("module")).distinct()
-    checked = validation.check_imports(imports, g.file)
-    modules = validation.known_modules(checked.withColumn("module", validation.head(F.col("module"))))
+KINDS = {"method_call": "method", "attribute": "attribute", "import": "import", "import_from": "import"}
+
+
+def usages_checked(scripts: DataFrame, g: graph.Graph) -> DataFrame:
+    """script, seq, line, kind, name, of, status, confidence, in_graph of every usage and import.
+
+    A script's own facts (types, imports) come with its rows from the parse. The
+    graph is asked once for each distinct (kind, owner, member), not for each
+    usage, and its answers, far fewer, are joined to the usages as they lie.
+    """
+    uses = python_code.usage(scripts).filter("kind <> 'error'").withColumnRenamed("path", "script")
+    kind = F.coalesce(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("kind")], F.when(F.col("instance"), "class").otherwise("function"))
+    member = kind.isin("method", "attribute")
     called = F.coalesce(F.nullif("full_name", F.lit("")), "name")
-    repositories = graph.repositories_for(g, uses.select(F.explode(F.array("object_type", called)).alias("n")).select(validation.module_of(F.col("n")).alias("module"))).cache()
+    uses = uses.select("script", "seq", "line", kind.alias("kind"), "name", "full_name", F.when(member, F.col("object_type")).otherwise(called).alias("owner"), F.when(member, F.col("name")).otherwise("").alias("member"), "args", "kwargs", "imported")
+    uses = shared.kept(uses, "usages")
+    wanted = uses.select("kind", "owner", "member").filter("owner IS NOT NULL").distinct()
     of_class = g.class_.select(F.col("full_name").alias("class_name"), "repo_name").distinct()
     methods = g.method.select("class_name", "name", graph.parameters().alias("params")).join(of_class, "class_name")
-    m = validation.check_methods(uses.filter("kind = 'method_call'").select("script", "line", "object_type", "name", *call), modules, methods, repositories).cache()
-    a = validation.check_attributes(uses.filter("kind = 'attribute'").select("script", "line", "object_type", "name"), modules, g.attribute.join(of_class, "class_name"), methods, repositories).cache()
-    is_class = validation.is_class_call(F.col("name"), F.col("full_name"))
-    calls = uses.filter("kind = 'call'").withColumn("is_class", is_class)
-    wanted = ["script", "line", "full_name", "name", *call]
+    held = lambda df, kind, owner, name, params: df.select(F.lit(kind).alias("kind"), F.col(owner).alias("owner"), name.alias("member"), params.alias("params"), "repo_name")
+    none, no_name = F.lit(None).cast("array<string>"), F.lit("")
     inits = methods.filter("name = '__init__'").select(F.col("class_name").alias("full_name"), "params")
-    classes = g.class_.select("full_name", "repo_name").join(inits, "full_name", "left")
-    c = validation.check_named(calls.filter("is_class").select(*wanted), modules, classes, True, repositories)
-    f = validation.check_named(calls.filter(~F.col("is_class")).select(*wanted), modules, g.function.select("full_name", "repo_name", graph.parameters().alias("params")), False, repositories)
-    pick = lambda df, kind, what: df.select("script", "line", F.lit(kind).alias("kind"), F.col(what).alias("of"), "name", "status", "confidence")
-    rows = pick(m, "method", "object_type").unionByName(pick(a, "attribute", "object_type")).unionByName(pick(c, "class", "full_name")).unionByName(pick(f, "function", "full_name"))
-    rows = rows.join(modules, "script", "left").withColumn("in_graph", validation.is_known(F.col("of"), F.coalesce("modules", F.array().cast("array<string>")))).drop("modules")
-    every = scripts.select(F.col("path").alias("script")).distinct()
-    confidence = every.join(validation.overall_confidence(rows), "script", "left").na.fill(1.0, ["confidence"])
-    found = validation.hallucinations(m, a)
+    members = held(methods, "method", "class_name", F.col("name"), F.col("params"))
+    members = members.unionByName(held(methods.select("class_name", "name", "repo_name").unionByName(g.attribute.join(of_class, "class_name").select("class_name", "name", "repo_name")).distinct(), "attribute", "class_name", F.col("name"), none))
+    members = members.unionByName(held(g.class_.join(inits, "full_name", "left"), "class", "full_name", no_name, F.col("params")))
+    members = members.unionByName(held(g.function.withColumn("params", graph.parameters()), "function", "full_name", no_name, F.col("params")))
+    repositories = graph.repositories_for(g, wanted.select(validation.module_of(F.col("owner")).alias("module")))
+    found = validation.looked_up(wanted, "owner", members, repositories, ("kind", "member"))
+    tops = g.file.select(validation.head(F.col("module_name")).alias("_top")).distinct().withColumn("_in_graph", F.lit(True))
+    top = F.when(F.col("owner").contains("."), validation.head(F.col("owner"))).otherwise(F.col("owner"))
+    answers = found.withColumn("_top", top).join(tops, "_top", "left").select("kind", "owner", "member", "params", "found", F.col("_top").alias("top"), F.coalesce("_in_graph", F.lit(False)).alias("top_known"))
+    met = uses.join(shared.kept(answers, "answers"), ["kind", "owner", "member"], "left")
+    # As known modules go, an import is of its first segment, whatever its name.
+    imports = F.col("kind") == "import"
+    known = F.when(imports, F.coalesce("top_known", F.lit(False))).otherwise(F.coalesce(F.col("top_known") & F.array_contains("imported", F.col("top")), F.lit(False)))
+    met = met.withColumn("known", known)
+    check = validation.parameter_check(F.col("params"), F.size("args"), F.map_keys("kwargs"))
+    judged = validation.verdict(F.col("kind"), F.col("owner"), F.col("full_name"), F.col("known"), F.coalesce("found", F.lit(False)), check)
+    of = F.when(F.col("kind").isin("class", "function"), F.col("full_name")).otherwise(F.col("owner"))
+    return met.select(
+        "script", "seq", "line", "kind", "name", of.alias("of"), F.when(imports, F.when(F.col("known"), validation.VALID).otherwise(validation.UNCERTAIN)).otherwise(judged["status"]).alias("status"),
+        F.when(imports, F.when(F.col("known"), 0.9).otherwise(0.8)).otherwise(judged["confidence"]).alias("confidence"), (F.col("known") & of.isNotNull()).alias("in_graph"),
+    )
+
+
+def check_scripts(scripts: DataFrame, g: graph.Graph) -> dict[str, DataFrame]:
+    """scripts: path, source. All scripts at once: `scripts` is a row per script with all that a report holds,
+    kept in the shared folder; imports, validations, hallucinations, summary, confidence, recommendations and libraries are read from it."""
+    done = shared.kept(validation.by_script(usages_checked(scripts, g), scripts.select(F.col("path").alias("script")).distinct()), "checked-scripts")
+    items = done.select("script", F.explode("items").alias("i")).select("script", "i.*")
+    rows = items.filter("kind <> 'import'").drop("seq")
+    imports = items.filter("kind = 'import'").select("script", F.coalesce(F.nullif("of", F.lit("")), "name").alias("module"), "in_graph", "status", "confidence").distinct()
     return {
-        "imports": checked, "validations": rows, "hallucinations": found, "summary": validation.summary(rows), "confidence": confidence,
-        "recommendations": validation.recommendations(found, confidence),
-        "libraries": validation.libraries(rows.filter("in_graph").withColumn("module", validation.head(F.col("of")))),
+        "scripts": done, "imports": imports, "validations": rows, "hallucinations": done.select("script", F.explode("hallucinations").alias("h")).select("script", "h.*"),
+        "summary": done.select("script", "total", "valid", "invalid", "uncertain", "not_found", "hallucination_rate"), "confidence": done.select("script", "confidence"),
+        "recommendations": done.select("script", "recommendations"), "libraries": validation.libraries(rows.filter("in_graph").withColumn("module", validation.head(F.col("of")))),
     }
 
 
-def reports(results: dict[str, DataFrame]) -> DataFrame:
-    """script and its report as JSON."""
-    items = lambda df, name: df.groupBy("script").agg(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c != "script")))).alias(name))
-    made = results["confidence"].join(results["summary"], "script", "left").join(items(results["hallucinations"], "hallucinations"), "script", "left")
-    made = made.join(results["recommendations"], "script", "left").join(items(results["validations"], "details"), "script", "left")
-    return made.select("script", F.to_json(F.struct(*(c for c in made.columns))).alias("report"))
+def reports(results: dict[str, DataFrame], text: bool = False) -> DataFrame:
+    """script and its report as JSON, or as Markdown."""
+    if text:
+        return validation.markdown(results["scripts"])
+    listed = lambda test: F.transform(F.filter("items", test), lambda x: x.dropFields("seq"))
+    made = results["scripts"].withColumn("imports", listed(lambda x: (x["kind"] == "import") & x["in_graph"])).withColumn("details", listed(lambda x: x["kind"] != "import")).drop("items")
+    return made.select("script", F.to_json(F.struct(*made.columns)).alias("report"))
 
 
 def query_graph(g: graph.Graph, command: str) -> DataFrame:

@@ -21,9 +21,9 @@ def text_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def html_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """url (file name), html of the .html files of a folder, not of its subfolders."""
+    """file_name, html of the .html files of a folder, not of its subfolders; bytes that aren't UTF-8 are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "false").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", "utf-8").alias("html"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), _utf8("content").alias("html"))
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +34,7 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".dml", ".py")) -> DataFrame:
-    """path, kind, source of files of these suffixes under root; bytes that aren't UTF-8 are replaced."""
+    """path, kind, source of files of these suffixes under root; bytes that aren't UTF-8 are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(root)
     kind = F.when(F.col("path").endswith(".py"), "python").otherwise(F.regexp_extract("path", r"\.([^.]+)$", 1))
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), kind.alias("kind"), F.col("length"), _utf8("content").alias("source"))

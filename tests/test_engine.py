@@ -52,14 +52,35 @@ def test_embedder_falls_back_to_zeros(spark):
 
 def test_crawl_levels(spark):
     links = spark.createDataFrame([("a", "b#x"), ("b", "a"), ("b", "c"), ("c", "d")], "src string, dst string")
-    got = {r["url"]: r["depth"] for r in crawl.crawl(links, spark.createDataFrame([("a#top",)], "url string"), 3).collect()}
+    start = spark.createDataFrame([("a#top",)], "url string")
+    got = {r["url"]: r["depth"] for r in crawl.crawl(links, start, 3).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
+    assert crawl.crawl(links, start, 0).count() == 0
+    # b is redirected to B, whose links count; c fails, and so do its links; B is visited, b isn't.
+    results = spark.createDataFrame([("a", "a", True), ("b", "B", True), ("c", "c", False), ("e", "e", True)], "url string, result_url string, ok boolean")
+    more = links.unionByName(spark.createDataFrame([("B", "c"), ("B", "e"), ("e", "b"), ("e", "lost")], "src string, dst string"))
+    got = sorted((r["url"], r["depth"]) for r in crawl.crawl(more, start, 6, results).collect())
+    assert got == [("B", 1), ("a", 0), ("e", 2)]
+
+
+def test_crawl_jobs_grow_with_depth_only(spark):
+    """Levels are kept, so a level's plan holds no other level's."""
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)], "src string, dst string")
+    got = {r["url"]: r["depth"] for r in crawl.crawl(chain, spark.createDataFrame([("n0",)], "url string"), 25).collect()}
+    assert got == {f"n{i}": i for i in range(25)}
 
 
 def test_sitemap(spark):
-    good = '<urlset xmlns="x"><url><loc> https://h/a?b=1&amp;c=2 </loc></url><n:loc>https://h/b</n:loc></urlset>'
-    df = spark.createDataFrame([(good,), ("<urlset><loc>x</loc>",), (None,)], "x string")
-    assert [list(r[0]) for r in df.select(crawl.sitemap_links(F.col("x"))).collect()] == [["https://h/a?b=1&c=2", "https://h/b"], [], []]
+    good = '<urlset xmlns="x" xmlns:n="y"><url><loc> https://h/a?b=1&amp;c=2 </loc></url><n:loc>https://h/b</n:loc><loc/></urlset>'
+    df = spark.createDataFrame([(good,), ("<urlset><loc>x</loc>",), (None,), ("<n:a><n:loc>unbound</n:loc></n:a>",)], "x string")
+    assert [list(r[0]) for r in df.select(crawl.sitemap_links(F.col("x"))).collect()] == [["https://h/a?b=1&c=2", "https://h/b", ""], [], [], []]
+
+
+def test_a_page_that_is_not_utf8(spark, tmp_path):
+    (tmp_path / "bad.html").write_bytes(b"<p>caf\xe9 \xff ok</p>")
+    (tmp_path / "good.html").write_text("<p>caf\u00e9</p>")
+    got = {r["file_name"]: r["html"] for r in files.html_pages(spark, str(tmp_path)).collect()}
+    assert got == {"bad.html": "<p>caf  ok</p>", "good.html": "<p>caf\u00e9</p>"}
 
 
 SOURCE = '''
@@ -91,15 +112,6 @@ def test_structure(spark):
     assert [r["path"] for r in rows if r["kind"] == "error"] == ["b.py"]
 
 
-def test_usage_and_types(spark):
-    uses = python_code.typed(python_code.usage(spark.createDataFrame([("s.py", SCRIPT)], "path string, source string"))).collect()
-    kinds = sorted((r["kind"], r["name"]) for r in uses)
-    assert ("call", "C") in kinds and ("method_call", "send") in kinds and ("attribute", "name") in kinds and ("scope", "open") in kinds
-    types = {r["name"]: r["object_type"] for r in uses if r["kind"] in ("method_call", "attribute")}
-    assert types["send"] == types["name"] == "lib.core.Client"
-    assert types["read"] == "context_manager_result"
-
-
 def test_parameter_check_order(spark):
     check = lambda expected, n, kw: spark.range(1).select(validation.parameter_check(F.array(*map(F.lit, expected)).cast("array<string>"), F.lit(n), F.array(*map(F.lit, kw)).cast("array<string>")).alias("c")).first()["c"][:]
     assert check([], 1, []) == ("UNCERTAIN", 0.5)
@@ -110,11 +122,6 @@ def test_parameter_check_order(spark):
     assert check(["a:int", "[keyword_only] k:int"], 1, []) == ("INVALID", 0.8)
 
 
-def test_report_text():
-    text = validation.markdown("s.py", {"total": 4, "valid": 3, "not_found": 1}, [{"line": 3, "type": "METHOD_NOT_FOUND", "name": "x"}], ["look"])
-    assert "- valid: 3 (75.0%)" in text and "Method Not Found" in text
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "p.html").write_text("<html><head><title>t</title></head><body><h1>Head</h1><p>One <b>two</b>.</p><pre>x = 1</pre></body></html>")
     (tmp_path / "urls.json").write_text('{"urls": ["a", "b"]}')
