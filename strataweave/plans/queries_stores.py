@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave import shared
-from strataweave.operators import metadata_index, retrieval, vector_index
+from strataweave.operators import graph_store, metadata_index, retrieval, vector_index
 from strataweave.operators.chunk_store import ChunkStore
 from strataweave.plans import derived as D
 from strataweave.plans.registry import CHUNKS, QUERY, SIM, query, requests, six
@@ -121,3 +121,44 @@ def stm_02_released_requests(spark: SparkSession, d: str) -> DataFrame:
     with limiter.state_store(spark):
         made.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{place}/rows").filter("id >= 0").select("id", "client", F.unix_micros("released_at").alias("released"))
+
+
+# --- a graph that is kept -----------------------------------------------------------------
+
+#: A module of each document: a class with two methods, of which one is there twice, a function, and an import of another document's.
+MODULE = "from mod{o} import A{o}\nimport os\nclass A{n}:\n    x: int = {v}\n    def go(self, a, b=2): ...\n    def go(self): ...\n    def stop{v}(self): ...\ndef top(n): ...\n"
+
+
+def modules(spark: SparkSession, d: str, version: int) -> DataFrame:
+    """path and source for each document; the second version changes every third and leaves every fifth out."""
+    docs = D.table(spark, d, "documents").select("doc_id")
+    docs = docs if version == 1 else docs.filter("doc_id % 5 <> 4")
+    v = F.when((F.col("doc_id") % 3 == 0) & F.lit(version == 2), "2").otherwise("1")
+    source = F.replace(F.replace(F.replace(F.lit(MODULE), F.lit("{n}"), F.col("doc_id").cast("string")), F.lit("{o}"), (F.col("doc_id") + 1).cast("string")), F.lit("{v}"), v)
+    return docs.select(F.concat(F.lit("mod"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), source.alias("source"))
+
+
+@query("""WITH n AS (SELECT count(*) AS a, count_if(doc_id % 5 <> 4) AS b, count_if(doc_id % 3 = 0 AND doc_id % 5 <> 4) AS c FROM documents)
+SELECT unnest(['first', 'second', 'again']) AS run, unnest([a, b, b])::BIGINT AS files, unnest([a, c, 0])::BIGINT AS parsed, unnest([0, a - b, 0])::BIGINT AS removed, unnest([a, b, b])::BIGINT AS classes, unnest([3 * a, 3 * b, 3 * b])::BIGINT AS methods, unnest([a, b, b])::BIGINT AS functions, unnest([2 * a, 2 * b, 2 * b])::BIGINT AS imports FROM n""")
+def kg_19_agg_15_analyses(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' modules as a repository, analysed, changed and analysed twice more: only what changed is parsed."""
+    store = graph_store.GraphStore(spark, shared.fresh_path(spark, "graph"))
+    runs = [store.analyse(modules(spark, d, v), "docs").withColumn("run", F.lit(name)).collect()[0] for name, v in (("first", 1), ("second", 2), ("again", 2))]  # a row each
+    return spark.createDataFrame(runs, "repo_name string, files bigint, parsed bigint, removed bigint, classes bigint, methods bigint, functions bigint, imports bigint, run string").drop("repo_name")
+
+
+@query("""WITH f AS (SELECT doc_id, 'mod' || doc_id AS m, CASE WHEN doc_id % 3 = 0 THEN '2' ELSE '1' END AS v FROM documents WHERE doc_id % 5 <> 4)
+SELECT 'class' AS kind, m || '.A' || doc_id AS owner, '' AS member, '' AS params FROM f UNION ALL SELECT 'method', m || '.A' || doc_id, 'go', 'a:Any,b:Any=2' FROM f UNION ALL SELECT 'method', m || '.A' || doc_id, 'stop' || v, '' FROM f
+UNION ALL SELECT 'attribute', m || '.A' || doc_id, 'x', '' FROM f UNION ALL SELECT 'function', m || '.top', '', 'n:Any' FROM f
+UNION ALL SELECT DISTINCT 'import', a.m || '.py', b.m || '.py', '' FROM f a JOIN f b ON starts_with(b.m, 'mod' || (a.doc_id + 1))""")
+def snk_04_kept_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The graph after a change, with a second repository that came and was cleared: nodes merged, the first of a name standing, and import edges by prefix."""
+    store = graph_store.GraphStore(spark, shared.fresh_path(spark, "graph"))
+    store.analyse(modules(spark, d, 1), "docs")
+    store.analyse(modules(spark, d, 1), "other")
+    store.analyse(modules(spark, d, 2), "docs")
+    store.clear("other")
+    g = store.graph()
+    row = lambda df, kind, owner, member=None, params=None: df.select(F.lit(kind).alias("kind"), F.col(owner).alias("owner"), (F.col(member) if member else F.lit("")).alias("member"), (F.array_join(params, ",") if params else F.lit("")).alias("params"))
+    return row(g.class_, "class", "full_name").unionByName(row(g.method, "method", "class_name", "name", "params_detailed")).unionByName(row(g.attribute, "attribute", "class_name", "name")).unionByName(
+        row(g.function, "function", "full_name", None, "params_detailed")).unionByName(row(g.imports, "import", "src_path", "dst_path"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataweave import shared
 from strataweave.functions import text as T
 from strataweave.functions import urls
-from strataweave.operators import crawl, graph, python_code, retrieval, validation
+from strataweave.operators import crawl, graph, graph_store, python_code, retrieval, validation
 from strataweave.operators import embedding as E
 from strataweave.plans.config import EngineConfig
 from strataweave.plans.ingest import Corpus, ingest
@@ -94,22 +94,7 @@ def query_code(corpus: Corpus, question: str, embedder: E.Embedder, source: str
 
 def parse_repository(spark: SparkSession, root: str, name: str) -> graph.Graph:
     """The graph of a local checkout."""
-    found = files.repository(spark, root)
-    folders = found.filter(F.col("path").endswith("/__init__.py")).agg(F.array_sort(F.collect_set(F.regexp_replace("path", "/__init__.py$", ""))).alias("dirs"))
-    named = found.crossJoin(F.broadcast(folders)).withColumn("module", python_code.module_name(F.col("path"), F.col("dirs")))  # one row
-    rows = python_code.structure(named.select("path", "source", "module")).cache()
-    repo = F.lit(name).alias("repo_name")
-    file = named.select(repo, "path", F.col("module").alias("module_name"), T.line_count(F.col("source")).alias("line_count"))
-    of = lambda kind: rows.filter(F.col("kind") == kind)
-    callables = lambda kind, owner: of(kind).select(*owner, "name", "full_name", F.col("args").alias("params_list"), "params_detailed", F.col("type").alias("return_type"))
-    imports = of("import").select("path", F.col("name").alias("module"))
-    top = F.array_sort(F.collect_set(F.split_part("module_name", F.lit("."), F.lit(1)))).alias("tops")
-    internal = imports.crossJoin(F.broadcast(file.agg(top))).filter(validation.is_internal_import(F.col("module"), F.col("tops")))  # one row
-    return graph.Graph(
-        spark.createDataFrame([(name,)], "name string"), file, of("class").select(repo, F.col("path").alias("file_path"), "full_name", "name"),
-        callables("method", [F.col("owner").alias("class_name")]), of("attribute").select(F.col("owner").alias("class_name"), "name", "full_name", "type"),
-        callables("function", [repo, F.col("path").alias("file_path")]), graph.import_edges(internal, file),
-    )
+    return graph_store.assembled(shared.kept(graph_store.parsed(graph_store.named(files.repository(spark, root)), name), "repository"))
 
 
 KINDS = {"method_call": "method", "attribute": "attribute", "import": "import", "import_from": "import"}
