@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.operators.text_index import containing
+
 LIMIT = 20
 
 
@@ -141,7 +143,7 @@ def repository_for(g: Graph, module: str) -> DataFrame:
 def repositories_for(g: Graph, modules: DataFrame) -> DataFrame:
     """module, repo_name: what repository_for finds, for every row of modules (module) at once.
 
-    A name that holds another meets it on its substrings, so no pair of names is compared that has nothing in common.
+    A name that holds another meets it on the rarest trigram of the shorter one.
     """
     wanted = modules.filter(F.col("module") != "").select("module").distinct()
     files = g.file.select("repo_name", "path", F.explode(F.array_distinct(prefixes(F.col("module_name"), True))).alias("module"))
@@ -149,8 +151,8 @@ def repositories_for(g: Graph, modules: DataFrame) -> DataFrame:
     inside = files.join(wanted, "module").groupBy("module", "repo_name").agg(F.count(F.lit(1)).alias("n")).select("module", *ranked, (-F.col("n")).alias("order"))
     rest = wanted.join(inside.select("module").distinct(), "module", "left_anti").withColumn("like", normalised(F.col("module")))
     names = g.repository.select(F.col("name").alias("repo_name"), normalised(F.col("name")).alias("like"))
-    spread = lambda df: df.withColumn("like", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("like")), lambda i: prefixes(F.substr("like", i)))))))
-    longer, shorter = spread(rest.filter("like <> ''")).join(names, "like"), spread(names.filter("like <> ''")).join(rest, "like")
+    as_ = lambda df, name: df.withColumnRenamed("like", name)
+    longer, shorter = containing(as_(rest, "long"), as_(names, "short")), containing(as_(names, "long"), as_(rest, "short"))
     tier = F.when(F.col("repo_name") == F.col("module"), 1).when(normalised(F.col("repo_name")) == normalised(F.col("module")), 2).otherwise(3)
     alike = longer.select("module", "repo_name").unionByName(shorter.select("module", "repo_name")).select("module", tier.alias("tier"), "repo_name", F.lit(0).cast("bigint").alias("order"))
     return inside.unionByName(alike).groupBy("module").agg(F.min_by("repo_name", F.struct("tier", "order", "repo_name")).alias("repo_name"))

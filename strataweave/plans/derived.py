@@ -22,6 +22,11 @@ def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
 
+def as_pages(docs: DataFrame) -> DataFrame:
+    """documents with the URLs that pages_of_documents() gives them."""
+    return docs.withColumn("url", F.concat(F.lit("https://"), "source", F.lit(".example.com/doc/"), F.col("doc_id").cast("string")))
+
+
 def pages_of_documents(spark: SparkSession, d: str, markdown: bool = False) -> DataFrame:
     docs = table(spark, d, "documents")
     text = F.col("text")

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave import shared
-from strataweave.operators import graph_store, metadata_index, retrieval, vector_index
+from strataweave.operators import graph_store, metadata_index, retrieval, text_index, vector_index
 from strataweave.operators.chunk_store import ChunkStore
+from strataweave.operators import embedding
 from strataweave.plans import derived as D
+from strataweave.plans import resumable
+from strataweave.plans.config import EngineConfig
 from strataweave.plans.registry import CHUNKS, QUERY, SIM, query, requests, six
 from strataweave.streaming import incremental, limiter
 
@@ -48,6 +51,15 @@ def rag_01_match_by_indexed_metadata(spark: SparkSession, d: str) -> DataFrame:
     return six(retrieval.match(index.find(rows, {"source": "src3"}), D.query_vector(spark, d), 10).select("id", "similarity"), "similarity")
 
 
+@query(f"{CHUNKS} SELECT 'plain' AS how, id FROM chunks WHERE content ILIKE '%anes%' UNION ALL SELECT 'wild', id FROM chunks WHERE content ILIKE '%the %_nd %' UNION ALL SELECT 'short', id FROM chunks WHERE content ILIKE '%qu%'")
+def rag_05_indexed_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """All chunks in posting lists of trigrams, asked for a part of a word, for parts with wildcards between, and for too short a part to have a trigram."""
+    rows = D.chunks(spark, d).select("id", "content")
+    index = text_index.build(rows, shared.fresh_path(spark, "trigrams"))
+    found = [index.find(rows, q).select(F.lit(how).alias("how"), "id") for how, q in (("plain", "ANES"), ("wild", "the %_nd "), ("short", "qu"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 # --- the chunk store -------------------------------------------------------------------
 
 STORED = "url string, chunk_number int, content string"
@@ -162,3 +174,25 @@ def snk_04_kept_graph(spark: SparkSession, d: str) -> DataFrame:
     row = lambda df, kind, owner, member=None, params=None: df.select(F.lit(kind).alias("kind"), F.col(owner).alias("owner"), (F.col(member) if member else F.lit("")).alias("member"), (F.array_join(params, ",") if params else F.lit("")).alias("params"))
     return row(g.class_, "class", "full_name").unionByName(row(g.method, "method", "class_name", "name", "params_detailed")).unionByName(row(g.attribute, "attribute", "class_name", "name")).unionByName(
         row(g.function, "function", "full_name", None, "params_detailed")).unionByName(row(g.imports, "import", "src_path", "dst_path"))
+
+
+# --- ingest that goes on ----------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {D.chunks_sql().replace("text FROM documents)", "text FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN 'Again. ' || text ELSE text END AS text) FROM documents WHERE doc_id % 5 <> 4))")},
+s AS (SELECT source_id || '.example.com' AS source_id, sum(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')))::BIGINT AS n FROM chunks GROUP BY 1)
+SELECT 'chunk' AS kind, url AS name, chunk_number::BIGINT AS n, content FROM chunks UNION ALL SELECT 'source', source_id, n, '' FROM s""")
+def rag_24_resumed_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as pages; then a third of them changed and a fifth gone, in a run that stops between two steps and is taken up by the next."""
+    place = shared.fresh_path(spark, "ingest")
+    made = lambda: resumable.Ingest(spark, place, EngineConfig(chunk_size=D.SIZE), embedding.HashedWords(8))
+    docs = D.table(spark, d, "documents")
+    pages = lambda rows: D.as_pages(rows).select("url", F.col("text").alias("markdown"))
+    made().run(pages(docs))
+    later = docs.filter("doc_id % 5 <> 4").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Again. "), "text")).otherwise(F.col("text")))
+    stopped = made().steps(pages(later))
+    next(stopped), next(stopped)
+    made().run()
+    found = made().corpus()
+    chunks = found.chunks.select(F.lit("chunk").alias("kind"), F.col("url").alias("name"), F.col("chunk_number").cast("bigint").alias("n"), "content")
+    return chunks.unionByName(found.sources.select(F.lit("source").alias("kind"), F.col("source_id").alias("name"), F.col("total_word_count").alias("n"), F.lit("").alias("content")))

@@ -10,6 +10,7 @@ from strataweave.functions import text as T
 from strataweave.functions import urls
 from strataweave.operators import crawl, graph, graph_store, python_code, retrieval, validation
 from strataweave.operators import embedding as E
+from strataweave.plans import resumable
 from strataweave.plans.config import EngineConfig
 from strataweave.plans.ingest import Corpus, ingest
 from strataweave.sources import files
@@ -177,15 +178,16 @@ def write_url_lists(links: DataFrame, folder: str) -> None:
 
 
 def offline_pipeline(spark: SparkSession, index_html: DataFrame, base: str, saved_pages: str, folder: str, config: EngineConfig, embedder: E.Embedder, skip: tuple[str, ...] = (), limit: int | None = None) -> Corpus | None:
-    """Extract links of an index page, list them, ingest saved pages, store the tables. skip: extract, crawl, store."""
+    """Extract links of an index page, list them, ingest saved pages into stores that follow them (changed pages only,
+    and what an earlier run has left undone). skip: extract, crawl, store."""
     if "extract" not in skip:
         links = index_html.select(F.explode(crawl.index_links(F.col("html"), base)).alias("url")).distinct().orderBy("url")
         write_url_lists(links if limit is None else links.limit(limit), folder)
     if "crawl" in skip:
         return None
     pages = files.html_pages(spark, saved_pages).withColumn("url", F.concat(F.lit("local://"), F.regexp_replace("file_name", r"\.html$", "")))
-    corpus = ingest(files.with_markdown(pages).select("url", "markdown"), config, embedder)
-    if "store" not in skip:
-        for name in ("chunks", "sources", "code_examples"):
-            getattr(corpus, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-    return corpus
+    if "store" in skip:
+        return ingest(files.with_markdown(pages).select("url", "markdown"), config, embedder)
+    kept_tables = resumable.Ingest(spark, f"{folder}/tables", config, embedder)
+    kept_tables.run(pages)
+    return kept_tables.corpus()

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataweave.functions import json
-from strataweave.operators import metadata_index, vector_index
+from strataweave.operators import metadata_index, text_index, vector_index
 from strataweave.operators.chunk_store import ChunkStore, Conflict
-from strataweave.operators.retrieval import match
+from strataweave.operators.retrieval import has_keyword, match
 from strataweave.streaming import incremental, limiter
 
 # --- vector index --------------------------------------------------------------------
@@ -130,6 +130,28 @@ def test_metadata_is_parsed_for_candidates_only(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in scans or "PartitionFilters: [bucket" in scans
 
 
+# --- substrings ---------------------------------------------------------------------------------
+
+
+def test_text_index_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcAB %_é") for _ in range(rng.randint(0, 30))), None if i % 7 == 0 else "ab c") for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, None, None)], "id bigint, content string, summary string")
+    index = text_index.build(df, str(tmp_path / "t"), ("content", "summary"), buckets=8)
+    for query in ("abc", "ABCA", "a%b", "ab_ab", "b c", "é a", "abcabcabcabc", "a", "", "bc%ab"):
+        want = sorted(r["id"] for r in df.filter(has_keyword(query, ("content", "summary"))).collect())
+        assert sorted(r["id"] for r in index.find(df, query).collect()) == want, query
+    assert index.candidates(text_index.wanted("abcab")).count() < 40
+
+
+def test_names_that_hold_others(spark):
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choice("abc_") for _ in range(rng.randint(0, 9))) for _ in range(150)})
+    long, short = names[::2], names[1::2]
+    got = text_index.containing(spark.createDataFrame([(x, i) for i, x in enumerate(long)], "long string, i int"), spark.createDataFrame([(x, -i) for i, x in enumerate(short)], "short string, j int"))
+    assert sorted((r["long"], r["short"]) for r in got.collect()) == sorted((x, y) for x in long for y in short if y and y in x)
+
+
 # --- chunk store --------------------------------------------------------------------------------
 
 STORED = "url string, chunk_number int, content string"

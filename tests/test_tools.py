@@ -1,10 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataweave.operators import embedding as E
 from strataweave.operators import store
-from strataweave.plans import tools
+from strataweave.plans import resumable, tools
 from strataweave.plans.config import EngineConfig
 from strataweave.plans.ingest import ingest
 
@@ -86,10 +87,57 @@ def test_offline_pipeline(spark, tmp_path):
     index = spark.createDataFrame([('<a href="./p.html">p</a>',)], "html string")
     corpus = tools.offline_pipeline(spark, index, "https://h/docs/index.html", str(saved), str(tmp_path / "out"), EngineConfig(), E.HashedWords(8))
     assert corpus.chunks.count() == 1
-    assert spark.read.parquet(str(tmp_path / "out/chunks")).first()["content"].startswith("# Head")
+    assert corpus.chunks.first()["content"].startswith("# Head") and corpus.sources.count() == 1
     assert tools.offline_pipeline(spark, index, "https://h/docs/index.html", str(saved), str(tmp_path / "out"), EngineConfig(), E.HashedWords(8), skip=("extract", "crawl")) is None
 
 
+def tables(ingest_):
+    c = ingest_.corpus()
+    return [sorted(map(tuple, df.collect()), key=repr) for df in (c.chunks.select("id", "url", "chunk_number", "content", "source_id"), c.sources, c.code_examples.select("id", "url", "content"))]
+
+
+def test_ingest_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    code = "\n\n```py\n" + "x = 1\n" * 200 + "```\n"
+    first = [(f"http://h{i % 2}/{i}", f"Page {i}. " + "word " * 200 + code * (i % 2)) for i in range(6)]
+    second = [(u, t if i % 3 else t + " more") for i, (u, t) in enumerate(first) if i != 5] + [("http://new/x", "New page.")]
+    pages = lambda rows: spark.createDataFrame(rows, "url string, markdown string")
+    make = lambda name: resumable.Ingest(spark, str(tmp_path / name), EngineConfig(agentic_rag=True, chunk_size=500), E.HashedWords(8))
+    whole = make("whole")
+    whole.run(pages(second))
+    want = tables(whole)
+    assert want[0] and want[1] and want[2]
+    for stop in (1, 3):  # stopped after so many steps of the second run
+        name = f"stopped{stop}"
+        make(name).run(pages(first))
+        steps = make(name).steps(pages(second))
+        for _ in range(stop):
+            next(steps)
+        made = make(name).run()
+        assert tables(make(name)) == want, stop
+        assert (made["chunks"] > 0) == (stop < 2) and (made["sources"] > 0) == (stop < 3)
+    assert set(make("stopped3").run(pages(second)).values()) == {0}  # the same pages again
+    again = make("stopped3")
+    with monkeypatch.context() as m:  # a step that fails leaves what was
+        m.setattr(resumable, "source_table", lambda *_: pages(first).select(F.raise_error(F.lit("lost")).alias("x")))
+        with pytest.raises(Exception, match="lost"):
+            again.run(pages(first))
+    assert tables(again)[1] == want[1]
+    again.run()
+    assert {r["url"] for r in again.corpus().chunks.collect()} == {u for u, _ in first}
+    before = tables(again)
+    again.tidy()
+    assert tables(again) == before and len(again.chunks.versions()) == 1
+
+
+def test_only_changed_pages_are_converted(spark, tmp_path):
+    html = lambda rows: spark.createDataFrame(rows, "url string, html string")
+    held = resumable.Ingest(spark, str(tmp_path / "i"), EngineConfig(), E.HashedWords(8))
+    assert held.run(html([("a", "<p>A</p>"), ("b", "<p>B</p>"), (None, "x"), ("empty", None)]))["pages"] == 3
+    assert held.run(html([("a", "<p>A</p>"), ("b", "<p>C</p>"), ("empty", None)])) == {"pages": 1, "chunks": 1, "sources": 1, "code_examples": 0}
+    assert sorted((r["url"], r["content"]) for r in held.corpus().chunks.collect()) == [("a", "A"), ("b", "C")]
+    assert held.run(html([("c", "<p>D</p>")]), part=True)["chunks"] == 1 and held.corpus().chunks.count() == 3
+
+
 def test_ingest_flags(spark):
     pages = spark.createDataFrame([("http://h/a", "First sentence. " + "word " * 300)], "url string, markdown string")
     plain = ingest(pages, EngineConfig(chunk_size=500), E.HashedWords(8)).chunks
