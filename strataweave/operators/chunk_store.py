@@ -25,6 +25,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Columns of the batches' files beside the chunks' own.
 ORDER = "_batch bigint, _position bigint, _deletes boolean"
@@ -47,7 +48,9 @@ class Version:
 
 class ChunkStore:
     def __init__(self, spark: SparkSession, folder: str, schema: str, url: str = "url", key: Sequence[str] = ("url", "chunk_number")) -> None:
-        self.spark, self.folder, self.schema, self.url, self.key = spark, folder.rstrip("/"), schema, url, tuple(key)
+        self.spark, self.folder, self.url, self.key = spark, folder.rstrip("/"), url, tuple(key)
+        self.schema = StructType.fromDDL(schema)
+        self.written = StructType([*self.schema.fields, *StructType.fromDDL(ORDER).fields])
 
     # --- versions ------------------------------------------------------------------
 
@@ -68,7 +71,10 @@ class ChunkStore:
         number = (known[-1] if known else 0) if number is None else number
         if number == 0:
             return Version(0, None, (), {})
-        held = json.loads(self.spark.read.text(f"{self.folder}/versions/{number:012d}.json", wholetext=True).first()[0])
+        at, store = self._files(f"{self.folder}/versions/{number:012d}.json")
+        source = store.open(at)
+        held = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        source.close()
         return Version(number, held["base"], tuple((n, p) for n, p in held["batches"]), held["streams"])
 
     def _commit(self, made: Version) -> Version:
@@ -86,13 +92,13 @@ class ChunkStore:
     # --- reading ---------------------------------------------------------------------
 
     def _part(self, *paths: str) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, {ORDER}").parquet(*paths)
+        return self.spark.read.schema(self.written).parquet(*paths)
 
     def rows(self, number: int | None = None) -> DataFrame:
         """The table as of the last version, or of an earlier one."""
         v = self.version(number)
-        columns = [c.name for c in self._part_schema()]
-        base = self._part(v.base) if v.base else self.spark.createDataFrame([], f"{self.schema}, {ORDER}")
+        columns = self.schema.names
+        base = self._part(v.base) if v.base else self.spark.createDataFrame([], self.written)
         if not v.batches:
             return base.select(*columns)
         later = self._part(*(path for _, path in v.batches))
@@ -101,6 +107,8 @@ class ChunkStore:
         newest = Window.partitionBy(*self.key).orderBy(F.desc("_batch"), F.desc("_position"))
         last = later.filter("NOT _deletes").withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
         alive = last.join(gone, last[self.url].eqNullSafe(gone["_url"]), "left").filter(F.col("_gone").isNull() | (at > F.col("_gone")))
+        if not v.base:
+            return alive.select(*columns)
         old = base.join(gone.select("_url"), base[self.url].eqNullSafe(F.col("_url")), "left_anti")
         keys = last.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(self.key)))
         same = F.lit(True)
@@ -108,9 +116,6 @@ class ChunkStore:
             same &= old[c].eqNullSafe(F.col(f"_k{i}"))
         return old.join(keys, same, "left_anti").select(*columns).unionByName(alive.select(*columns))
 
-    def _part_schema(self) -> Any:
-        return self.spark.createDataFrame([], self.schema).schema
-
     # --- writing -----------------------------------------------------------------------
 
     def load(self, rows: DataFrame, position: Column | None = None, replace: bool = False, deletes: DataFrame | None = None, stream: tuple[str, int] | None = None) -> Version:
@@ -126,13 +131,13 @@ class ChunkStore:
             return before
         number = before.number + 1
         path = f"{self.folder}/batches/{number:012d}"
-        names = [c.name for c in self._part_schema()]
+        names = self.schema.names
         order = F.monotonically_increasing_id() if position is None else position.cast("bigint")
         made = rows.select(*names, F.lit(number).cast("bigint").alias("_batch"), order.alias("_position"), F.lit(False).alias("_deletes"))
         going = [x for x in (rows.select(F.col(self.url)) if replace else None, deletes.select(F.col(self.url)) if deletes is not None else None) if x is not None]
         for urls in going:
             # Position: before any row of the batch.
-            marks = urls.distinct().select(*(F.col(self.url) if c == self.url else F.lit(None).cast(self._part_schema()[c].dataType).alias(c) for c in names), F.lit(number).cast("bigint").alias("_batch"), F.lit(-(2**63)).cast("bigint").alias("_position"), F.lit(True).alias("_deletes"))
+            marks = urls.distinct().select(*(F.col(self.url) if c == self.url else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in names), F.lit(number).cast("bigint").alias("_batch"), F.lit(-(2**63)).cast("bigint").alias("_position"), F.lit(True).alias("_deletes"))
             made = made.unionByName(marks)
         made.write.mode("overwrite").parquet(path)  # what a load that failed has left is overwritten
         return self._commit(Version(number, before.base, (*before.batches, (number, path)), before.streams | dict([stream] if stream else [])))
