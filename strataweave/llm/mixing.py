@@ -18,6 +18,7 @@ Defined results: null lang, source or domain is a leaf name of its own; null
 text has no tokens; documents without tokens are left out; a weight that is
 not given is 1, a node of weight 0 gets nothing; repeated rows are documents
 of their own; an empty table or budget 0 gives no rows.
+Columns other than those named, whatever their names, only tell rows apart.
 """
 
 from __future__ import annotations

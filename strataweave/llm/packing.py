@@ -12,6 +12,7 @@ one frequent length does not land in one task.
 
 Defined results: null text is a text of no tokens, which still ends with the
 separator; repeated rows are packed row by row; an empty table gives no rows.
+Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ bits of a second hash, which tells rows apart.
 
 Defined results: null text has no bytes; a null id hashes as an empty string;
 repeated rows go by the second hash, as above; an empty table gives no rows.
+Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

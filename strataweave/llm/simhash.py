@@ -18,6 +18,7 @@ Defined results: null text counts as empty; a text of fewer words than a
 shingle is one shingle; a text of no words has fingerprint zero and links like
 any other; repeated rows get the same result; a group whose ids are all null
 has a null component; an empty table gives no rows.
+Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

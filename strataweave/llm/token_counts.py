@@ -12,6 +12,7 @@ Defined results: two separators in a row close an empty document; tokens
 after a file's last separator are a document that is not closed; a file
 without a separator is one such document; empty blocks and null tokens hold
 nothing; no blocks give no rows.
+Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ Defined results: null html is an empty payload; a null url is an empty target;
 rows without an id are never referred to, and are responses if no row of
 their payload has an id; repeated rows of the largest id are all responses;
 payloads under `least` bytes are all responses; an empty table gives no rows.
+Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
