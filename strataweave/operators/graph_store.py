@@ -54,9 +54,11 @@ def assembled(rows: DataFrame) -> graph.Graph:
     methods = merged(of("method"), ["owner", "name"], full_name="full_name", **signature).withColumnRenamed("owner", "class_name")
     attributes = merged(of("attribute"), ["owner", "name"], full_name="full_name", type="type").withColumnRenamed("owner", "class_name")
     functions = merged(of("function"), ["repo_name", "path", "name"], full_name="full_name", **signature).withColumnRenamed("path", "file_path")
-    tops = file.groupBy("repo_name").agg(F.array_sort(F.collect_set(F.split_part("module_name", F.lit("."), F.lit(1)))).alias("tops"))
-    imports = of("import").select("repo_name", "path", F.col("name").alias("module")).join(tops, "repo_name")
-    internal = imports.filter(validation.is_internal_import(F.col("module"), F.col("tops"))).select("path", "module")
+    imports = of("import").select("repo_name", "path", F.col("name").alias("module")).withColumn("_own", validation.own_import(F.col("module")))
+    # What the name alone doesn't tell: whether it begins with the first segment of a module, met by its prefixes.
+    tops = file.select("repo_name", F.split_part("module_name", F.lit("."), F.lit(1)).alias("_top")).distinct()
+    unsure = imports.filter("_own IS NULL").withColumn("_top", F.explode(F.concat(F.array(F.lit("")), graph.prefixes(F.col("module")))))
+    internal = imports.filter("_own").select("path", "module").unionByName(unsure.join(tops, ["repo_name", "_top"], "left_semi").select("path", "module").distinct())
     return graph.Graph(
         rows.select(F.col("repo_name").alias("name")).distinct(), file, of("class").select("repo_name", F.col("path").alias("file_path"), "full_name", "name").distinct(),
         methods, attributes, functions, graph.import_edges(internal, file),
@@ -68,14 +70,16 @@ class GraphStore:
         self.store = ChunkStore(spark, folder, ROWS, url="file", key=("file", "nth"))
 
     def graph(self, version: int | None = None) -> graph.Graph:
-        return assembled(self.store.rows(version))
+        """Each of the graph's tables reads the rows, so they are merged once."""
+        return assembled(kept(self.store.rows(version), "graph"))
 
     def analyse(self, files: DataFrame, repo: str) -> DataFrame:
         """Brings a repository up to its files (path, source). One row: repo_name, files, parsed (files that
         were), removed, and classes, methods, functions and imports that the repository has now."""
         now = named(files)
         known = self.store.rows().filter((F.col("repo_name") == repo) & (F.col("kind") == "file")).select("path", "hash")
-        changed = now.join(known, ["path", "hash"], "left_anti")
+        # Parsing costs far more than moving sources: a table that is one split is parsed by all cores.
+        changed = now.join(known, ["path", "hash"], "left_anti").repartition(3 * files.sparkSession.sparkContext.defaultParallelism, "path")
         gone = known.join(now.select("path"), "path", "left_anti")
         made = kept(parsed(changed, repo), "parsed")
         dropped = kept(gone.select(F.concat(F.lit(repo + "::"), "path").alias("file")), "gone")

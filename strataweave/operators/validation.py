@@ -34,14 +34,16 @@ def head(name: Column) -> Column:
     return F.split_part(name, F.lit("."), F.lit(1))
 
 
-def is_internal_import(name: Column, project_modules: Column) -> Column:
-    """Whether an import is likely of the project itself; project_modules is an array."""
+def own_import(name: Column) -> Column:
+    """Whether an import is likely of the project itself, by its name; null where the project's modules decide."""
     top = head(name)
     odd = F.lower(top).rlike("test|mock|fake") | top.startswith("_") | (F.length(top) <= 2)
-    return (
-        F.when(F.coalesce(name, F.lit("")) == "", False).when(name.startswith("."), True).when(top.isin(*EXTERNAL), False)
-        .when(F.exists(project_modules, lambda m: name.startswith(m)), True).otherwise(~odd)
-    )
+    return F.when(F.coalesce(name, F.lit("")) == "", False).when(name.startswith("."), True).when(top.isin(*EXTERNAL), False).when(~odd, True)
+
+
+def is_internal_import(name: Column, project_modules: Column) -> Column:
+    """Whether an import is likely of the project itself; project_modules is an array."""
+    return F.coalesce(own_import(name), F.exists(project_modules, lambda m: name.startswith(m)), F.lit(False))
 
 
 def is_class_call(name: Column, full_name: Column) -> Column:

@@ -323,3 +323,24 @@ def test_limiter_across_batches(spark, tmp_path):
     assert got == want and max(want[i] - ts for c in rows for ts, i, _, _ in rows[c]) > 60  # they do wait
     past = spark.read.format("statestore").option("stateVarName", "past").load(str(tmp_path / "log"))
     assert {r["key"]["client"] for r in past.select("key").collect()} <= {9}  # idle clients leave no state
+
+
+# --- the kept graph ----------------------------------------------------------------------
+
+
+def test_imports_meet_top_modules_by_prefix_not_by_a_list(spark):
+    from strataweave.operators import graph_store
+
+    made = [("a/x.py", "import my_mocks.deep\nimport zz\nimport os\nimport far\nfrom . import y\n"), ("my/z.py", ""), ("far/w.py", "")]
+    files = spark.createDataFrame(made, "path string, source string")
+    rows = graph_store.parsed(graph_store.named(files), "r").unionByName(graph_store.parsed(graph_store.named(spark.createDataFrame([("zz.py", "import my_mocks\n")], "path string, source string")), "other"))
+    seen = {}
+    keep = graph_store.graph.import_edges
+    graph_store.graph.import_edges = lambda internal, file: seen.setdefault("internal", internal)
+    try:
+        graph_store.assembled(rows)
+    finally:
+        graph_store.graph.import_edges = keep
+    assert sorted(tuple(r) for r in seen["internal"].collect()) == [("a/x.py", "."), ("a/x.py", "far"), ("a/x.py", "my_mocks.deep")]
+    # A list of all modules beside every import is quadratic.
+    assert "collect_set" not in seen["internal"]._jdf.queryExecution().optimizedPlan().toString().replace("collect_set(regexp_replace", "")
