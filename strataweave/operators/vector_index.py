@@ -20,16 +20,21 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strataweave.functions import vectors as V
 from strataweave.operators.retrieval import match
+from strataweave.shared import kept
 
 SAMPLE_ROWS = 20_000
 APART = -1
+#: Rows and queries that a task multiplies at once.
+BLOCK = 8192
 
 
 def unit(v: Column, dimensions: int) -> Column:
@@ -37,7 +42,9 @@ def unit(v: Column, dimensions: int) -> Column:
     values = V.doubles(v)
     finite = F.forall(values, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     length = V.norm(v)
-    return F.when((F.size(values) == dimensions) & finite & (length > 0) & (length < float("inf")), F.transform(values, lambda x: x / length))
+    # The length as a variable: written into the inner function it would be summed up again for each component.
+    once = F.transform(F.array(length), lambda n: F.transform(values, lambda x: x / n))[0]
+    return F.when((F.size(values) == dimensions) & finite & (length > 0) & (length < float("inf")), once)
 
 
 @dataclass(frozen=True)
@@ -100,7 +107,7 @@ class VectorIndex:
             held += sizes[need]
             need += 1
         first = asked.select("query_id", "_q", F.explode(F.slice("_near", 1, max(need, 1))).alias("_l")).select("query_id", "_q", F.col("_l.list").alias("list"))
-        best = self._best(first, k)
+        best = kept(self._best(first, k), "nearest")
         least = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("similarity")).alias("_least"))
         beat = F.coalesce(F.col("_least"), F.lit(-2.0)) - 1e-9
         rest = asked.join(least, "query_id", "left").select("query_id", "_q", F.explode(F.filter(F.slice("_near", max(need, 1) + 1, len(known) + 1), lambda x: x["radius"] - x["away"] >= beat)).alias("_l"))
@@ -109,9 +116,45 @@ class VectorIndex:
         return best.unionByName(more).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
 
     def _best(self, probes: DataFrame, k: int) -> DataFrame:
-        met = self.rows().filter(F.col("list") != APART).join(probes, "list").withColumn("similarity", V.cosine_similarity(F.col("embedding"), F.col("_q")))
+        """The k best of the lists that each query probes: products in blocks of rows and queries, each block of bounded size."""
+        known = {c: n for c, (n, _) in self.lists().items() if c != APART}
+        parts = F.create_map(*(F.lit(x) for c, n in known.items() for x in (c, -(-n // BLOCK))))[F.col("list")] if known else F.lit(1)
+        ways = max(1, -(-probes.select("query_id").distinct().count() // BLOCK))
+        table = self.rows().filter(F.col("list") != APART).join(probes.select("list").distinct(), "list", "left_semi")
+        table = table.withColumn("_b", F.pmod(F.xxhash64("id", "embedding"), parts).cast("int")).withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+        asked = probes.withColumn("_w", F.pmod(F.xxhash64("query_id"), F.lit(ways)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), parts - 1)))
+        taken = [f for f in table.schema.fields if f.name not in ("embedding", "list", "_b", "_w")]
+        made = StructType([*taken, probes.schema["query_id"], StructField("similarity", DoubleType())])
+        names = [f.name for f in taken]
+        met = table.groupBy("list", "_b", "_w").cogroup(asked.groupBy("list", "_b", "_w")).applyInArrow(lambda rows, queries: _nearest(rows, queries, names, k), made)
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        return met.drop("_q", "embedding", "list").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+        return met.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return pa.concat_arrays(column.chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _nearest(rows: pa.Table, queries: pa.Table, names: list[str], k: int) -> pa.Table:
+    """The k best rows for each query. A product picks those that may be among them; their similarity is summed in V.dot's order, so equal vectors tie."""
+    blank = rows.select(names).slice(0, 0).append_column("query_id", queries["query_id"].slice(0, 0)).append_column("similarity", pa.array([], pa.float64()))
+    if not len(rows) or not len(queries):
+        return blank
+    vectors, asked = _matrix(rows["embedding"]), _matrix(queries["_q"])
+    dot = lambda a, b: sum((a[:, j] * b[..., j] for j in range(a.shape[1])), 0.0)
+    norms, ids = np.sqrt(dot(vectors, vectors)), rows["id"].to_numpy()
+    units, own = vectors / norms[:, None], np.sqrt(dot(asked, asked))
+    picked, of, found = [], [], []
+    for start in range(0, len(asked), 256):
+        rough = asked[start : start + 256] @ units.T
+        least = np.partition(rough, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(rough), -np.inf)
+        for i, r in enumerate(rough, start):
+            near = np.flatnonzero(r >= least[i - start] - 1e-9)
+            score = dot(vectors[near], asked[i]) / (norms[near] * own[i])
+            best = np.lexsort((ids[near], -score))[:k]
+            picked.append(near[best]), found.append(score[best]), of.append(np.full(len(best), i))
+    held = rows.select(names).take(np.concatenate(picked))
+    return held.append_column("query_id", queries["query_id"].take(np.concatenate(of))).append_column("similarity", pa.array(np.concatenate(found)))
 
 
 def _write(model: KMeansModel, chunks: DataFrame, folder: str, vector: str, mode: str) -> None:
@@ -123,7 +166,7 @@ def _write(model: KMeansModel, chunks: DataFrame, folder: str, vector: str, mode
     distance = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)) * (1 + 1e-9) + 1e-9
     rows = fine.select(*chunks.columns, F.col("list"), distance.alias("_d"))
     rest = held.filter("_unit IS NULL").select(*chunks.columns, F.lit(APART).alias("list"), F.lit(0.0).alias("_d"))
-    listed = rows.unionByName(rest)
+    listed = kept(rows.unionByName(rest), "listed")
     # One shuffle puts a list's rows together; lists of many rows take several files.
     listed.drop("_d").repartition("list", F.pmod(F.xxhash64(F.col(vector)), F.lit(4))).write.mode(mode).partitionBy("list").parquet(f"{folder}/rows")
     listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("radius")).write.mode(mode).parquet(f"{folder}/sizes")

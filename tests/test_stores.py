@@ -344,3 +344,23 @@ def test_imports_meet_top_modules_by_prefix_not_by_a_list(spark):
     assert sorted(tuple(r) for r in seen["internal"].collect()) == [("a/x.py", "."), ("a/x.py", "far"), ("a/x.py", "my_mocks.deep")]
     # A list of all modules beside every import is quadratic.
     assert "collect_set" not in seen["internal"]._jdf.queryExecution().optimizedPlan().toString().replace("collect_set(regexp_replace", "")
+
+
+def test_vectors_are_scaled_by_a_length_that_is_summed_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([1.0],)], "v array<double>").select(vector_index.unit(F.col("v"), 2).alias("u"))
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], None, None, None]
+    assert "/ sqrt" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_all_queries_meet_all_rows_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "BLOCK", 7)  # several blocks of rows and of queries
+    rng = np.random.default_rng(4)
+    made = rng.normal(0, 1, (90, 6)).astype(np.float32).astype(float)
+    made[50:80] = made[3]  # a crowd of copies ties, the smallest ids standing
+    rows = spark.createDataFrame([(i, f"s{i}", [float(x) for x in v]) for i, v in enumerate(made)], "id bigint, source_id string, embedding array<double>")
+    index = vector_index.build(rows, f"file://{tmp_path}/blocks", lists=4)
+    got = index.match_all(rows.filter("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 4)
+    unit = made / np.linalg.norm(made, axis=1)[:, None]
+    want = {q: sorted(range(90), key=lambda i: (-round(float(unit[i] @ unit[q]), 9), i))[:4] for q in range(10)}
+    assert {q: [r["id"] for r in sorted((r for r in got.collect() if r["query_id"] == q), key=lambda r: (-r["similarity"], r["id"]))] for q in range(10)} == want
+    assert "source_id" in got.columns
