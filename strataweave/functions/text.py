@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,6 +192,16 @@ def percent(share: Column, digits: int = 1) -> Column:
     return F.concat(F.format_number(share * 100, digits), F.lit("%"))
 
 
+def hundredths(number: Column, digits: int = 1) -> Column:
+    """A number of hundredths as text, of its exact binary value: large ones with all their digits, and nan and inf."""
+
+    @F.pandas_udf("string")
+    def written(numbers: pd.Series) -> pd.Series:
+        return numbers.map(lambda x: f"{x:,.{digits}f}%")
+
+    return F.when(number.isNotNull(), written(number))
+
+
 def title(name: Column) -> Column:
     return F.initcap(F.lower(F.replace(name, F.lit("_"), F.lit(" "))))
 

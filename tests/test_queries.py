@@ -65,3 +65,9 @@ def test_first_write_wins_with_nulls_and_ties(spark, tmp_path):
 def test_page_links_of_pages_that_share_a_url(spark, tmp_path):
     made = """(1, 'https://h.org/a', '<a href="/x#q"><a href="https://h.org/abs"><a href="r">'), (2, 'https://h.org/a', '<a href="/y">'), (3, NULL, '<a href="/n">'), (4, 'https://h.org/a', NULL), (5, 'bare', '<a href="//o.org/">')"""
     as_sql(spark, tmp_path, "src_08_page_links", pages=f"SELECT a::BIGINT AS page_id, b AS url, c AS html FROM (VALUES {made}) t(a, b, c)")
+
+
+def test_labels_of_ties_and_of_numbers_that_are_large_or_none(spark, tmp_path):
+    prices = "('1500'), ('-487500'), ('-1250'), ('1e27'), ('123456789012345678'), ('nan'), ('inf'), ('-inf'), ('-1'), (NULL)"
+    ties = "SELECT (500 * i)::DOUBLE FROM range(-1000, 1000) t(i)"
+    as_sql(spark, tmp_path, "str_19_20_labels", orders=f"SELECT row_number() OVER () AS o_orderkey, x AS o_totalprice, CASE WHEN x > 0 THEN 'F' END AS o_orderstatus FROM (SELECT p::DOUBLE AS x FROM (VALUES {prices}) t(p) UNION ALL {ties})")
