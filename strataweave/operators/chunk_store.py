@@ -139,15 +139,19 @@ class ChunkStore:
             # Position: before any row of the batch.
             marks = urls.distinct().select(*(F.col(self.url) if c == self.url else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in names), F.lit(number).cast("bigint").alias("_batch"), F.lit(-(2**63)).cast("bigint").alias("_position"), F.lit(True).alias("_deletes"))
             made = made.unionByName(marks)
-        made.write.mode("overwrite").parquet(path)  # what a load that failed has left is overwritten
+        made.write.mode("overwrite").parquet(path, compression="zstd")  # what a load that failed has left is overwritten
         return self._commit(Version(number, before.base, (*before.batches, (number, path)), before.streams | dict([stream] if stream else [])))
 
+    def loaded(self, made: Version) -> int:
+        """How many rows the last load of a version brought."""
+        return self._part(made.batches[-1][1]).filter("NOT _deletes").count()
+
     def compact(self) -> Version:
         """The same rows as one part, ordered by key within files."""
         before = self.version()
         path = f"{self.folder}/merged/{before.number + 1:012d}"
         rows = self.rows(before.number).select("*", F.lit(0).cast("bigint").alias("_batch"), F.lit(0).cast("bigint").alias("_position"), F.lit(False).alias("_deletes"))
-        rows.repartition(*self.key).sortWithinPartitions(*self.key).write.mode("overwrite").parquet(path)
+        rows.repartition(*self.key).sortWithinPartitions(*self.key).write.mode("overwrite").parquet(path, compression="zstd")
         return self._commit(Version(before.number + 1, path, (), before.streams))
 
     def forget(self, keep: int = 2) -> None:

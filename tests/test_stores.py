@@ -364,3 +364,12 @@ def test_all_queries_meet_all_rows_in_blocks(spark, tmp_path, monkeypatch):
     want = {q: sorted(range(90), key=lambda i: (-round(float(unit[i] @ unit[q]), 9), i))[:4] for q in range(10)}
     assert {q: [r["id"] for r in sorted((r for r in got.collect() if r["query_id"] == q), key=lambda r: (-r["similarity"], r["id"]))] for q in range(10)} == want
     assert "source_id" in got.columns
+
+
+def test_a_store_keeps_its_rows_compressed(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/zstd", "url string, chunk_number int, content string")
+    made = store.load(spark.createDataFrame([("u", i, "text " * 50) for i in range(20)], "url string, chunk_number int, content string"), deletes=spark.createDataFrame([("v",)], "url string"))
+    assert store.loaded(made) == 20 == store.rows().count()
+    store.compact()
+    files = [p.name for p in (tmp_path / "zstd").rglob("*.parquet") if p.is_file()]
+    assert files and all(".zstd." in n for n in files) and store.rows().count() == 20
