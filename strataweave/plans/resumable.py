@@ -58,11 +58,11 @@ class Ingest:
         changed = now.join(known, ["url", "hash"], "left_anti")
         # Only what changed is converted.
         made = changed.withColumnRenamed("_text", "markdown") if text == "markdown" else files.with_markdown(changed.withColumnRenamed("_text", "html"))
-        made = kept(made.select("url", "hash", "markdown"), "changed-pages")
+        touched = kept(changed.select("url"), "changed-pages")
         gone = kept(known.join(now.select("url"), "url", "left_anti").select("url") if not part else known.limit(0).select("url"), "gone-pages")
-        n = made.count() + gone.count()
+        n = touched.count() + gone.count()
         if n:
-            self.pages.load(made, deletes=gone)
+            self.pages.load(made.select("url", "hash", "markdown"), deletes=gone)
         return n
 
     def _changes(self, store: ChunkStore) -> tuple[int, DataFrame, DataFrame] | None:
@@ -79,9 +79,8 @@ class Ingest:
         if found is None:
             return 0
         last, changed, stale = found
-        made = kept(getattr(self._ingested(changed.filter("markdown <> ''")), name), f"made-{name}")
-        store.load(made, deletes=stale, stream=("pages", last))
-        return made.count()
+        # Written once, into the store itself: texts and vectors are the bulk of it.
+        return store.loaded(store.load(getattr(self._ingested(changed.filter("markdown <> ''")), name), deletes=stale, stream=("pages", last)))
 
     def _follow_sources(self) -> int:
         """Sources of changed pages, summed up anew over all of their chunks."""

@@ -373,3 +373,21 @@ def test_a_store_keeps_its_rows_compressed(spark, tmp_path):
     store.compact()
     files = [p.name for p in (tmp_path / "zstd").rglob("*.parquet") if p.is_file()]
     assert files and all(".zstd." in n for n in files) and store.rows().count() == 20
+
+
+def test_ingest_writes_chunks_once(spark, tmp_path):
+    from pathlib import Path
+
+    from strataweave import shared
+    from strataweave.operators import embedding
+    from strataweave.plans import resumable
+    from strataweave.plans.config import EngineConfig
+
+    tables = Path(shared.session_dir(spark).removeprefix("file://"))
+    before = set(tables.glob("made-*"))
+    made = resumable.Ingest(spark, f"file://{tmp_path}/once", EngineConfig(chunk_size=100), embedding.HashedWords(8))
+    pages = spark.createDataFrame([(f"https://a.com/{i}", "A text of words. " * 20) for i in range(5)], "url string, markdown string")
+    done = made.run(pages)
+    assert done["pages"] == 5 and done["chunks"] == made.corpus().chunks.count() > 5
+    assert not [p for p in set(tables.glob("made-*")) - before if "made-sources" not in p.name]
+    assert set(made.run(pages).values()) == {0}
