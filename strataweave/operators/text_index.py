@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from strataweave.operators.retrieval import has_keyword
 
-BUCKETS, SIZE = 64, 3
+BUCKETS, SIZE, PIECE = 64, 3, 32
 
 
 def grams(text: Column, size: int = SIZE) -> Column:
     """All runs of so many characters, once each; none of a shorter text."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    # A substring is counted off from the start: from that of a short piece, not of the whole text.
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1, F.lit(PIECE)), lambda b: F.substring(text, b, F.lit(PIECE + size - 1)))
+    runs = F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - size + 1), lambda i: F.substring(p, i, F.lit(size))))
+    return F.when(F.length(text) >= size, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
 
 
 def wanted(query: str) -> list[str]:

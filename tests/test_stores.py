@@ -391,3 +391,12 @@ def test_ingest_writes_chunks_once(spark, tmp_path):
     assert done["pages"] == 5 and done["chunks"] == made.corpus().chunks.count() > 5
     assert not [p for p in set(tables.glob("made-*")) - before if "made-sources" not in p.name]
     assert set(made.run(pages).values()) == {0}
+
+
+def test_trigrams_across_pieces_in_time_by_length(spark):
+    texts = ["", "ab", "abc", "é😀x" * 30, "".join(chr(0x4E00 + i) for i in range(101)), "".join(chr(0x4E00 + i % 20000) for i in range(60_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text_index.grams(F.col("t")).alias("g"))
+    for r in df.collect():
+        t = texts[r["i"]]
+        assert r["g"] == list(dict.fromkeys(t[j : j + 3] for j in range(len(t) - 2)))
+    assert "transform(transform" in df._jdf.queryExecution().optimizedPlan().toString()
