@@ -3,16 +3,18 @@
 Within each host, pages are ordered by URL path; each page is paired with the
 neighbour whose path shares the longer prefix with its own. The text lines
 (blocks) of the two are aligned by longest common subsequence, and lines that
-both have are template, not text, and are deleted.
+both have are template, not text, and are deleted. This is done for every page.
 
 Differencing alone can't tell a menu that differs from page to page from text,
-nor a passage that two articles share from template. So markup decides where
-it speaks: elements that are never text (menus, forms, scripts, comment
-sections, ...) go, whether shared or not, and blocks in an article or main
-element stay, whether shared or not. Differencing decides about all lines of
-pages without such an element. A page without a line of its own against its
-neighbour, or whose neighbour has none, is taken for a copy, and nothing is
-deleted. What follows an element without an end belongs to it, as in browsers.
+nor a passage that two articles share from template. So markup is the check of
+what differencing found, line by line (kept): elements that are never text
+(menus, forms, scripts, comment sections, ...) take no part, shared or not; a
+shared line in an article or main element comes back; a line of the page's own
+outside its article goes. On pages without such an element the difference
+stands. A page without a line of its own against its neighbour, or whose
+neighbour has none, is taken for a copy, and nothing is deleted; a page without
+article is aligned with its neighbour's lines outside articles, any other with
+all of them. What follows an element without an end belongs to it, as in browsers.
 
 Names mislead, so they are judged once a page is read. A class or id counts
 only as a whole word ("nav-collapsed" is no menu), and not for an element that
@@ -24,7 +26,10 @@ is no menu either, whatever its name. Articles that hold little of a page
 A page's time grows with its length, however its tags are nested.
 
 The order is global and distributed: pages are range-partitioned by host and
-path, so no host has to fit in one task, and neighbours meet by position.
+path, so no host has to fit in one task; the first and last page of a partition
+also visit the partition beside theirs. Only hashes of lines are ordered and
+paired. Pages are parsed twice, for the hashes and for the text that meets its
+neighbour's hashes, as storing texts and shuffling them takes more disk.
 
 Defined results: null html or html without text gives an empty string; a null
 url takes part as an empty one; repeated rows get the same text; an empty
@@ -35,13 +40,14 @@ from __future__ import annotations
 
 import bisect
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.llm.tables import stored
@@ -70,6 +76,8 @@ CLASS_NAMES = {
     "comment-section", "comments-area", "respond", "disqus", "disqus_thread", "widget", "toolbar", "login", "search", "search-form", "skip", "skip-link", "copyright", "disclaimer",
 }
 CONTENT_NAMES = {"content", "main", "article", "main-content", "article-body", "article-content", "post-content", "post-body", "entry-content", "articlebody"}
+#: Matching pairs of places for each line from which two pages are aligned by bit vectors.
+PAIRS_A_LINE = 32
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 
 
@@ -189,8 +197,8 @@ class Page:
             elif name not in VOID and not (text.endswith("/>") and name not in BLOCK):
                 self._start(name, text)
 
-    def text(self) -> tuple[list[str], list[str]]:
-        """The blocks of the main text, and the others that may be text."""
+    def marked(self) -> list[tuple[str, bool]]:
+        """The blocks that may be text, in page order, each with whether it is in an article or main element."""
         sizes = [[(len(t.strip()), d, m) for t, d, m in line] for line in self.lines]
         total = 0
         for n, doubtful, main in (x for line in sizes for x in line):
@@ -218,22 +226,24 @@ class Page:
         held = sum(self.mains[m].size for m in chosen)
         if not any(self.mains[m].sure for m in chosen) and (4 if len(chosen) == 1 else 2) * held < left:
             chosen = []
-        wanted, main, other = {*chosen}, [], []
+        wanted, found = {*chosen}, []
         for line in self.lines:
             kept = [x for x in line if not no_text[x[1]]]
             joined = " ".join("".join(x[0] for x in kept).split())
             if joined:
-                (main if any(x[2] in wanted for x in kept) else other).append(joined)
-        return main, other
+                found.append((joined, any(x[2] in wanted for x in kept)))
+        return found
 
 
 def blocks(page: str) -> tuple[list[str], list[str]]:
     """The blocks inside article or main elements, and the others that may be text."""
-    return Page(page).text()
+    marked = Page(page).marked()
+    return [x for x, inside in marked if inside], [x for x, inside in marked if not inside]
 
 
 def common(a: list[int], b: list[int]) -> set[int]:
-    """Places of a in a longest common subsequence of a and b (Hunt and Szymanski)."""
+    """Places of a in a longest common subsequence of a and b (Hunt and Szymanski;
+    by bit vectors where lines repeat so often that most pairs of places match)."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -244,6 +254,8 @@ def common(a: list[int], b: list[int]) -> set[int]:
     places: dict[int, list[int]] = {}
     for j in range(len(b) - hi - 1, lo - 1, -1):
         places.setdefault(b[j], []).append(j)
+    if sum(len(places.get(x, ())) for x in a[lo : len(a) - hi]) > PAIRS_A_LINE * (len(a) + len(b)):
+        return found | {lo + i for i in common_by_bits(a[lo : len(a) - hi], b[lo : len(b) - hi])}
     ends: list[int] = []
     chains: list[tuple | None] = []
     for i in range(lo, len(a) - hi):
@@ -262,30 +274,79 @@ def common(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
+def common_by_bits(a: list[int], b: list[int]) -> set[int]:
+    """As common(): a row of the table of lengths is a number whose bit j is 0 where the length grows at b[j].
+
+    Every step-th row is held, those between are made again on the way back.
+    """
+    at: dict[int, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full, step = (1 << len(b)) - 1, math.isqrt(len(a)) + 1
+
+    def rows(row: int, part: list[int]) -> Iterator[int]:
+        for x in part:
+            both = row & at.get(x, 0)
+            row = ((row + both) | (row - both)) & full
+            yield row
+
+    held = [full]
+    for lo in range(0, len(a), step):
+        *_, last = rows(held[-1], a[lo : lo + step])
+        held.append(last)
+    found, j = set(), len(b)
+    for lo in range((len(a) - 1) // step * step, -1, -step):
+        table = [held[lo // step], *rows(held[lo // step], a[lo : lo + step])]
+        i = len(table) - 1
+        while i and j:
+            if table[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if table[i] >> (j - 1) & 1:
+                    found.add(lo + i)
+                    j -= 1
+    return found
+
+
 def line_hash(text: str) -> int:
     h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
     return h - 2**64 if h >= 2**63 else h
 
 
+def template(own: list[int], twin: list[int]) -> set[int]:
+    """Places of own, a page's line hashes, that its neighbour has too."""
+    shared = common(own, twin)
+    return set() if len(shared) in (len(own), len(twin)) else shared  # copies, or one a part of the other
+
+
 def differenced(lines: list[str], twin: list[int] | None) -> list[str]:
     """The lines that a page has of its own, given the line hashes of its neighbour."""
-    if not twin:
-        return lines
-    shared = common([line_hash(x) for x in lines], twin)
-    if len(shared) in (len(lines), len(twin)):  # copies, or one a part of the other
-        return lines
+    shared = template([line_hash(x) for x in lines], twin or [])
     return [x for i, x in enumerate(lines) if i not in shared]
 
 
+def kept(marked: list[tuple[str, bool]], twin: list[int], twin_inside: list[bool]) -> list[str]:
+    """The lines of the main text: those of the page's own, as markup corrects them.
+
+    marked: as Page.marked() gives them; twin and twin_inside: the neighbour's
+    line hashes, and whether each is in an article or main element.
+    """
+    article = any(inside for _, inside in marked)
+    met = [h for h, inside in zip(twin, twin_inside, strict=True) if article or not inside]
+    shared = template([line_hash(x) for x, _ in marked], met)
+    return [x for i, (x, inside) in enumerate(marked) if inside or (i not in shared and not article)]
+
+
 def text_of(page: str, twin: list[int] | None) -> str:
-    """The page's text, given the line hashes of its neighbour."""
-    main, other = blocks(page)
-    return " ".join(main or differenced(other, twin))
+    """The page's text, given the line hashes of its neighbour, none of them in an article."""
+    twin = twin or []
+    return " ".join(kept(Page(page).marked(), twin, [False] * len(twin)))
 
 
-def parsed(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """id, url, host, path, key (a hash of the row), text (null where differencing
-    decides), open (the lines of such a page), lines (hashes of lines outside main elements)."""
+def parsed(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", hashes: bool = False) -> DataFrame:
+    """id, url, host, path, key (a hash of the row), lines (the blocks that may be
+    text, or their hashes), inside (whether each is in an article or main element)."""
     scheme = r"^[A-Za-z][A-Za-z0-9+.-]*://"
     target = F.coalesce(F.col(url), F.lit(""))
     rows = pages.select(
@@ -295,60 +356,55 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, open_, lines = [], [], []
-            for page in batch.column("html"):
-                main, other = blocks(page.as_py())
-                decided = bool(main) or not other
-                text.append(" ".join(main) if decided else None)
-                open_.append(None if decided else other)
-                lines.append([line_hash(x) for x in other])
-            made = [pa.array(text, pa.string()), pa.array(open_, pa.list_(pa.string())), pa.array(lines, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *made], names=["id", "url", "host", "path", "key", "text", "open", "lines"])
+            marked = [Page(page.as_py()).marked() for page in batch.column("html")]
+            lines = pa.array([[line_hash(x) if hashes else x for x, _ in page] for page in marked], pa.list_(pa.int64() if hashes else pa.string()))
+            inside = pa.array([[m for _, m in page] for page in marked], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lines, inside], names=["id", "url", "host", "path", "key", "lines", "inside"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, url string, host string, path string, key bigint, text string, open array<string>, lines array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, url string, host string, path string, key bigint, lines array<{'bigint' if hashes else 'string'}>, inside array<boolean>")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """key and twin, the line hashes of the paired page, for rows whose lines are open.
+    """key, twin and twin_inside for every page: the line hashes of the paired page, null without one.
 
-    rows: as parsed() gives them. Rows of one key are one page.
+    rows: as parsed() gives them with hashes. Rows of one key are one page.
     """
-    spark = rows.sparkSession
-    needy = rows.filter(F.col("open").isNotNull()).select("host").distinct()
-    slim = rows.select("key", "host", "path", F.col("open").isNotNull().alias("asks"), "lines").join(needy, "host", "left_semi").dropDuplicates(["key"])
-    ranged = slim.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    ranged = stored(ranged.withColumn("n", F.monotonically_increasing_id()), "page-lines")
-    part = F.shiftright("n", 33)
-    starts, total = [], 0
-    for r in ranged.groupBy(part.alias("p")).count().orderBy("p").collect():  # as many rows as partitions
-        starts.append((r["p"], total))
-        total += r["count"]
-    offset = spark.createDataFrame(starts, "p bigint, start bigint")
-    placed = ranged.withColumn("p", part).join(F.broadcast(offset), "p").withColumn("at", F.col("start") + F.col("n").bitwiseAND(F.lit(2**33 - 1)))
-    needs = placed.filter("asks").select("key", "host", "path", "at")
-    beside = placed.select("host", F.col("path").alias("their"), F.col("lines").alias("twin"), F.col("at").alias("place"))
-    asked = needs.select("*", F.explode(F.array(F.lit(-1), F.lit(1))).alias("step")).withColumn("place", F.col("at") + F.col("step"))
-    # How far the paths agree: the first place where they differ.
-    agree = F.coalesce(F.array_position(F.zip_with(F.split("path", ""), F.split("their", ""), lambda x, y: x.eqNullSafe(y)), False), F.lit(0))
-    agree = F.when(agree == 0, F.lit(2**31 - 1)).otherwise(agree)
-    met = asked.join(beside, ["place", "host"]).withColumn("agree", agree)
-    return met.groupBy("key").agg(F.max_by("twin", F.struct("agree", -F.col("step"))).alias("twin"))
+    order = ["host", "path", "key"]
+    slim = stored(rows.select(*order, "lines", "inside"), "page-hashes")
+    # A key's rows have one host and path, so they are in one partition already.
+    ranged = slim.repartitionByRange(*order).dropDuplicates(order).sortWithinPartitions(*order)
+    placed = stored(ranged.withColumn("n", F.monotonically_increasing_id()), "page-lines").withColumn("part", F.shiftright("n", 33))
+    ends = placed.groupBy("part").agg(F.min("n").alias("first"), F.max("n").alias("last")).orderBy("part").collect()  # a row a partition
+    guests = [(n, part) for a, b in zip(ends, ends[1:], strict=False) for n, part in ((a["last"], b["part"]), (b["first"], a["part"]))]
+    visits = rows.sparkSession.createDataFrame(guests, "n bigint, visited bigint")
+    visiting = placed.join(F.broadcast(visits), "n").withColumn("part", F.col("visited")).select(*placed.columns, F.lit(True).alias("guest"))
+    both = placed.withColumn("guest", F.lit(False)).unionByName(visiting)
+    by_place = Window.partitionBy("part").orderBy("n")
+    page = F.struct("host", "path", "lines", "inside")
+    beside = both.select("key", "host", "path", "guest", F.lag(page).over(by_place).alias("before"), F.lead(page).over(by_place).alias("after")).filter("not guest")
+
+    def agree(their: Column) -> Column:
+        """How far the paths agree: the first place where they differ; null on another host."""
+        at = F.array_position(F.zip_with(F.split("path", ""), F.split(their["path"], ""), lambda x, y: x.eqNullSafe(y)), False)
+        return F.when(their["host"] == F.col("host"), F.coalesce(F.nullif(at, F.lit(0)), F.lit(2**31 - 1)))
+
+    known = beside.withColumns({"a": agree(F.col("before")), "b": agree(F.col("after"))})
+    twin = F.when(F.col("b").isNotNull() & (F.col("a").isNull() | (F.col("b") > F.col("a"))), F.col("after")).when(F.col("a").isNotNull(), F.col("before"))
+    return known.select("key", twin.alias("t")).select("key", F.col("t.lines").alias("twin"), F.col("t.inside").alias("twin_inside"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """id, url, text and n_chars for every row of pages."""
-    rows = stored(parsed(pages, id_col, url, html), "parsed-pages", compression="zstd")
-    result = lambda made: made.select(F.col("id").alias(id_col), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
-    done, open_ = rows.filter(F.col("open").isNull()), rows.filter(F.col("open").isNotNull())
-    if open_.isEmpty():
-        return result(done)
+    twins = neighbours(parsed(pages, id_col, url, html, hashes=True))
+    met = parsed(pages, id_col, url, html).select("id", "url", "key", "lines", "inside").join(twins.hint("merge"), "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [" ".join(differenced(lines.as_py(), twin.as_py())) for lines, twin in zip(batch.column("open"), batch.column("twin"), strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("lines", "inside", "twin", "twin_inside")), strict=True)
+            out = [" ".join(kept([*zip(lines, inside, strict=True)], twin or [], twin_inside or [])) for lines, inside, twin, twin_inside in rows]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], names=["id", "url", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    met = open_.select("id", "url", "key", "open").join(stored(neighbours(rows), "page-twins"), "key", "left")
-    return result(done).unionByName(result(met.select("id", "url", "open", "twin").mapInArrow(run, f"id {kind}, url string, text string")))
+    made = met.select("id", "url", "lines", "inside", "twin", "twin_inside").mapInArrow(run, f"id {kind}, url string, text string")
+    return made.select(F.col("id").alias(id_col), "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -828,6 +828,44 @@ def test_neighbours_by_path(spark):
         assert got[i] == html_text.text_of(pages[i][1], lines), i
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_every_page_is_differenced(spark, adaptive):
+    """Pages with an article meet their neighbour's lines too, in one partition or several; markup then corrects the difference."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    story = [f"<article><h1>Title {i}</h1><p>{'shared passage' if i in (1, 2) else f'passage {i}'}</p></article>" for i in range(60)]
+    rows = [(i, f"http://h/{i // 10}/{i:02}", page(f"<p>Site head</p>{x}<p>Own tail {i}</p>")) for i, x in enumerate(story)]
+    df = spark.createDataFrame(rows + rows[:5], "page_id bigint, url string, html string")
+    hashed = html_text.parsed(df, hashes=True)
+    twins = {r["id"]: r for r in hashed.select("id", "key").distinct().join(html_text.neighbours(hashed), "key").collect()}
+    assert len(twins) == 60
+    for i, _, _ in rows:
+        twin = i + 1 if i % 10 == 0 else i - 1
+        assert twins[i]["twin"] == [html_text.line_hash(x) for x, _ in html_text.Page(rows[twin][2]).marked()], i
+        assert twins[i]["twin_inside"] == [False, True, True, False]
+    lines = [x for x, _ in html_text.Page(rows[2][2]).marked()]
+    assert html_text.differenced(lines, twins[2]["twin"]) == ["Title 2", "Own tail 2"]
+    got = [(r["page_id"], r["text"]) for r in html_text.extract(df).collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(got) == 65 and dict(got) == {i: " ".join(re.sub("<[^>]*>", " ", x).split()) for i, x in enumerate(story)}
+
+
+def test_lines_that_repeat_are_aligned_by_bits():
+    rng = random.Random(5)
+    for n in (1, 2, 5, 30, 120):
+        for _ in range(20):
+            a, b = ([rng.randrange(2) for _ in range(rng.randrange(1, n + 1))] for _ in range(2))
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            found = sorted(html_text.common_by_bits(a, b))
+            it = iter(b)
+            assert len(found) == best[-1][-1] and all(any(a[i] == y for y in it) for i in found)
+    start = time.perf_counter()
+    assert len(html_text.common([1, *[0] * 20_000, 2], [3, *[0] * 19_000, 4])) == 19_000
+    assert time.perf_counter() - start < 5
+
+
 def test_awkward_pages():
     long = "<article>" + "<p>word</p>" * 50_000 + "</article>"
     assert html_text.text_of(long, None) == " ".join(["word"] * 50_000)
