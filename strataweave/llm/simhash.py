@@ -8,6 +8,13 @@ dealt out by dynamic programming on candidate counts estimated from a bounded
 sample of fingerprints (a group with t_i = -1 is not probed). Groups are
 probed by an equi-join on their bits and each candidate is verified.
 
+Similarities that 64 bits can't resolve take fingerprints of many words and the
+same steps (wide_groups): groups of correlated bits within each word, thresholds
+by the same program. tau is the number of differing bits up to which a pair
+becomes a candidate for certain; it is as large as the asked recall for pairs
+just similar enough needs, which differ in more bits. An exact check by the
+sets of shingles follows.
+
 Skew. Equal fingerprints become one row first. A bucket of more than CROWD
 fingerprints is not expanded into pairs: two fingerprints within two bits of
 each other have a common centre within one bit of both, so its members are
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +46,11 @@ from strataweave.llm.text_stats import only
 CROWD = 48
 #: A probe is a row that is shuffled twice: the work of about so many verifications.
 PROBE_WORK = 8
-#: The same for bands of wide fingerprints, where a bucket's pairs can't be replaced by centres.
+#: The same for wide fingerprints, where a bucket's pairs can't be replaced by centres.
 BAND_CROWD = 16
 #: Members of a crowded bucket are compared in squares of about this side.
 CELL = 256
-#: A band has so many bits more than n fingerprints need to be told apart, and LEAST_BITS at least:
+#: A group of a wide fingerprint has so many bits more than n fingerprints need to be told apart, and LEAST_BITS at least:
 #: chance puts a quarter of another fingerprint into a bucket, whatever n is.
 MARGIN_BITS, LEAST_BITS = 2, 16
 #: Fingerprints from which bit groups and thresholds are planned.
@@ -164,27 +172,38 @@ def _ball(width: int, t: int) -> int:
     return size
 
 
-def allot(sample: np.ndarray, masks: list[np.uint64], tau: int, n: int) -> list[int]:
-    """Thresholds, least in estimated work for n fingerprints, with sum(t + 1) = tau + 1."""
-    work = []
-    x = sample[: len(sample) // 2 * 2].reshape(2, -1)
-    near = [np.bitwise_count((np.concatenate([x[0] ^ np.roll(x[1], s) for s in range(16)]) if x.size else x[0]) & m) for m in masks]
-    for m, d in zip(masks, near, strict=True):
-        width = int(m).bit_count()
-        row = [0.0]
-        for t in range(tau + 1):
-            share = max(_ball(width, t) / 2.0**width, float((d <= t).mean()) if d.size else 0.0)
-            # A crowded bucket costs a member its 65 centres, whatever the bucket's size.
-            row.append(PROBE_WORK * (_ball(width, t) if t else 1) + min(n * share, 65.0))
-        work.append(row)
+def allot(sample: np.ndarray, masks: list[np.uint64], tau: int, n: int, most: float = 65.0) -> list[int]:
+    """Thresholds, least in estimated work for n fingerprints, with sum(t + 1) = tau + 1.
+
+    sample: fingerprints, or a column of them for each mask. most: what a member of a
+    crowded bucket costs at most, its 65 centres by default, whatever the bucket's size.
+    """
+    x = np.broadcast_to(sample if sample.ndim == 2 else sample[:, None], (len(sample), len(masks)))
+    half = len(x) // 2
+    near = []
+    for g, m in enumerate(masks):
+        left, right = x[:half, g], x[half : 2 * half, g]
+        near.append(np.bitwise_count(np.concatenate([left ^ np.roll(right, s) for s in range(16)]) & m))
+
+    def cost(g: int, t: int) -> float:
+        width = int(masks[g]).bit_count()
+        share = max(_ball(width, t) / 2.0**width, float((near[g] <= t).mean()) if near[g].size else 0.0)
+        return PROBE_WORK * (_ball(width, t) if t else 1) + min(n * share, most)
+
+    each, over = divmod(tau + 1, len(masks))
+    even = sum(cost(g, each + (g < over) - 1) for g in range(len(masks)) if each + (g < over))
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for row in work:
+    for g in range(len(masks)):
+        row = [0.0]
+        # A threshold that alone costs more than dealing all evenly is in no best plan; higher ones cost more still.
+        while len(row) < tau + 2 and (c := cost(g, len(row) - 1)) <= even:
+            row.append(c)
         step: dict[int, tuple[float, list[int]]] = {}
-        for used, (cost, chosen) in best.items():
-            for units in range(tau + 2 - used):
-                total = (cost + row[units], [*chosen, units - 1])
-                if used + units not in step or total[0] < step[used + units][0]:
-                    step[used + units] = total
+        for used, (total, chosen) in best.items():
+            for units in range(min(tau + 2 - used, len(row))):
+                found = (total + row[units], [*chosen, units - 1])
+                if used + units not in step or found[0] < step[used + units][0]:
+                    step[used + units] = found
         best = step
     return best[tau + 1][1]
 
@@ -235,14 +254,16 @@ def links(fps: DataFrame, tau: int = 2, fp: str = "fp", crowd: int = CROWD) -> D
 
 
 def band_bits(n: int) -> int:
-    """The width of bands for n fingerprints."""
+    """The bits of a wide fingerprint's group, for n fingerprints."""
     return max(LEAST_BITS, MARGIN_BITS + math.ceil(math.log2(max(n, 1))))
 
 
 def plan_bands(similarity: float, width: int, recall: float = 0.96) -> tuple[int, float]:
-    """(bands of `width` bits, expected share of differing bits): as many as find
-    a pair of just this similarity with the asked probability. More similar
-    pairs are found more surely: 0.992 at 0.85 and 0.999 at 0.9, for 0.8."""
+    """(tau + 1, expected share of differing bits): as many groups of `width` bits
+    with threshold zero as find a pair of just this similarity with the asked
+    probability. More similar pairs are found more surely: 0.992 at 0.85 and
+    0.999 at 0.9, for 0.8. A group of threshold t stands for t + 1 of them and
+    finds a pair at least as surely as they do."""
     cosine = 2 * similarity / (1 + similarity)  # of shingle counts, for a Jaccard similarity
     differs = math.acos(cosine) / math.pi
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** width)), differs
@@ -253,14 +274,43 @@ def _most(share: float, bits: int, deviations: float) -> int:
     return math.ceil(share * bits + deviations * math.sqrt(share * (1 - share) * bits))
 
 
+def wide_groups(sample: np.ndarray, width: int, tau: int, n: int, most: float = math.inf) -> list[tuple[int, np.uint64, int]]:
+    """(word, mask, threshold) of the groups to probe, of `width` bits each, for n wide
+    fingerprints: pairs that differ in tau bits or fewer are within threshold in a group.
+
+    sample: a row of words per fingerprint. Words are independent hashes of the same
+    shingles, so correlated bits are sought, and put together, within a word.
+    most: as allot() takes it.
+    """
+    words, per_word = sample.shape[1], 64 // width
+    groups = [(w, m) for w in range(words) for m in groups_of_bits(sample[:, w], per_word, width)]
+    thresholds = allot(sample[:, [w for w, _ in groups]], [m for _, m in groups], tau, n, most)
+    return [(w, m, t) for (w, m), t in zip(groups, thresholds, strict=True) if t >= 0]
+
+
+def probed(groups: list[tuple[int, np.uint64, int]]) -> Column:
+    """The buckets (bigint) of a wide fingerprint, bits: fingerprints within threshold in a group share one."""
+
+    def around(g: int, word: int, mask: np.uint64, t: int) -> Column:
+        own = [1 << i for i in range(64) if int(mask) >> i & 1]
+        flips = [F.lit(signed(sum(bits))) for k in range(min(t, len(own)) + 1) for bits in combinations(own, k)]
+        key = F.col("bits")[word].bitwiseAND(F.lit(signed(mask)))
+        return F.transform(F.array(*flips), lambda x: F.xxhash64(F.lit(g), key.bitwiseXOR(x)))
+
+    plain = [F.xxhash64(F.lit(g), F.col("bits")[word].bitwiseAND(F.lit(signed(mask)))) for g, (word, mask, t) in enumerate(groups) if not t]
+    return F.concat(F.array(*plain).cast("array<bigint>"), *(around(g, *group) for g, group in enumerate(groups) if group[2]))
+
+
 def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = BAND_CROWD) -> DataFrame:
     """key, id_col and root for every row: rows of equal root are near-duplicates.
 
-    For similarities that 64 bits can't resolve: fingerprints of many words are
-    cut into bands (groups of bits with threshold zero, enough of them for the
-    asked recall, and wide enough for the number of documents), candidates that
-    share a band are verified, first on one word, then on the whole fingerprint,
-    and at last by the exact Jaccard similarity of their sets of shingles.
+    For similarities that 64 bits can't resolve. Fingerprints of many words are
+    cut into groups of correlated bits, wide enough for the number of documents
+    to be told apart; thresholds are dealt out by estimated candidate counts
+    (wide_groups). Candidates that meet in a group's bucket are verified, first
+    on one word, then on the whole fingerprint, and at last by the exact Jaccard
+    similarity of their sets of shingles. Groups are planned from the PLAN_ROWS
+    fingerprints with the smallest hashes, so the plan repeats.
 
     All pairs of a bucket are candidates. In buckets of more than `crowd`
     members each member first meets one hub, the densest member of all its
@@ -269,18 +319,19 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
     group's first fingerprint.
     """
     tagged = docs.select(F.struct(key.alias("k"), F.col(id_col).alias("i")).alias("row"), F.col(text).alias("text"))
-    width = band_bits(docs.count())
-    bands, differs = plan_bands(similarity, width)
-    per_word = 64 // width
-    words = -(-bands // per_word)
+    n = docs.count()
+    width = band_bits(n)
+    units, differs = plan_bands(similarity, width)
+    words = -(-units // (64 // width))
     bits = 64 * words
     few = max(differs, FEW_DIFFER)
     rough, most, most_few = _most(few, 64, 3.5), _most(differs, bits, 3.0), _most(few, bits, 4.5)
     own = stored(fingerprints(tagged, "row", "text", shingle, words, once=True).select("row.k", "row.i", "bits", "n").withColumn("node", F.xxhash64("bits")), "wide-fingerprints")
     nodes = stored(own.groupBy("node").agg(F.min("k").alias("k"), F.min("n").alias("n"), F.first("bits").alias("bits")), "wide-nodes")
-    masks = [np.uint64(((1 << width) - 1) << (width * j)) for j in range(per_word)]
-    buckets = [F.xxhash64(F.lit(b), F.col("bits")[b // per_word].bitwiseAND(F.lit(signed(masks[b % per_word])))) for b in range(bands)]
-    posts = nodes.select("node", F.col("bits")[words - 1].alias("w"), F.explode(F.array(*buckets)).alias("bucket"))
+    chosen = nodes.select("node", "bits").orderBy("node").limit(PLAN_ROWS).collect()
+    sample = np.array([r["bits"] for r in chosen], dtype=np.int64).reshape(-1, words).view(np.uint64)
+    buckets = probed(wide_groups(sample, width, units - 1, n, crowd))  # beyond a crowd, a member first meets one hub
+    posts = nodes.select("node", F.col("bits")[words - 1].alias("w"), F.explode(buckets).alias("bucket"))
     crowded = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > crowd)
     # All posts meet the crowded buckets, few or many, so the work is alike at every size and skew.
     met = posts.join(stored(crowded, "crowded-buckets").hint("merge"), "bucket", "left")

@@ -552,6 +552,47 @@ def test_similar_groups_hold_to_the_similarity(spark):
     assert [simhash.band_bits(n) for n in (0, 1, 2**14, 2**18, 10**10)] == [16, 16, 16, 20, 36]
 
 
+def test_wide_fingerprints_meet_by_the_pigeonhole(spark):
+    """Correlated bits share a group, groups that tell nothing apart aren't probed, and no pair within tau bits is missed."""
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 2**63, (300, 3)).astype(np.uint64) << np.uint64(1)
+    even = np.uint64(0x5555555555555555)
+    fps[:, 0] = fps[:, 0] & even | (fps[:, 0] & even) << np.uint64(1)  # each bit has a twin beside it
+    fps[:, 1] &= np.uint64(0xFF)
+    tau = 8
+    groups = simhash.wide_groups(fps, 16, tau, 10**6)
+    assert sum(t + 1 for _, _, t in groups) == tau + 1 and all(int(m).bit_count() == 16 for _, m, _ in groups)
+    assert all(int(m) & 0x5555555555555555 == int(m) >> 1 & 0x5555555555555555 for w, m, _ in groups if w == 0)
+    assert len({w for w, _, _ in groups}) < 3 and any(t > 0 for _, _, t in groups)
+    for i in range(150):
+        fps[150 + i] = fps[i]
+        for bit in rng.choice(192, tau, replace=False):
+            fps[150 + i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    df = spark.createDataFrame([(i, [simhash.signed(x) for x in row]) for i, row in enumerate(fps)], "id bigint, bits array<bigint>")
+    buckets = {r["id"]: {*r["b"]} for r in df.select("id", simhash.probed(groups).alias("b")).collect()}
+    apart = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum())
+    close = [(i, j) for i in range(300) for j in range(i) if apart(i, j) <= tau]
+    assert len(close) >= 150 and all(buckets[i] & buckets[j] for i, j in close)
+
+
+def test_near_duplicates_follow_the_thresholds(spark, monkeypatch):
+    """The stage probes what the planner deals out, here half of the groups with threshold one."""
+    asked = []
+
+    def deal(sample, masks, tau, n, *more):
+        asked.append((sample.shape, len(masks), tau, n))
+        return [1 if g % 2 else -1 for g in range(len(masks))]
+
+    monkeypatch.setattr(simhash, "allot", deal)
+    rng = random.Random(15)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(60)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(100 + i, " ".join(near(b, rng, 2, "n"))) for i, b in enumerate(base)]
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id")).collect()}
+    units = simhash.plan_bands(0.8, simhash.band_bits(120))[0]
+    assert asked == [((120, -(-units // 4) * 4), -(-units // 4) * 4, units - 1, 120)]
+    assert len(set(got.values())) == 60 and all(got[i] == got[100 + i] for i in range(60))
+
+
 def near(base, rng, changes, mark):
     copy = list(base)
     for at in rng.sample(range(len(base)), changes):
