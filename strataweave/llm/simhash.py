@@ -288,6 +288,12 @@ def wide_groups(sample: np.ndarray, width: int, tau: int, n: int, most: float =
     return [(w, m, t) for (w, m), t in zip(groups, thresholds, strict=True) if t >= 0]
 
 
+def plainly_probed(groups: list[tuple[int, np.uint64, int]], bits: Column) -> Column:
+    """The buckets (bigint) of a wide fingerprint in the groups of threshold zero."""
+    plain = [F.xxhash64(F.lit(g), bits[word].bitwiseAND(F.lit(signed(mask)))) for g, (word, mask, t) in enumerate(groups) if not t]
+    return F.array(*plain).cast("array<bigint>")
+
+
 def probed(groups: list[tuple[int, np.uint64, int]]) -> Column:
     """The buckets (bigint) of a wide fingerprint, bits: fingerprints within threshold in a group share one."""
 
@@ -297,8 +303,7 @@ def probed(groups: list[tuple[int, np.uint64, int]]) -> Column:
         key = F.col("bits")[word].bitwiseAND(F.lit(signed(mask)))
         return F.transform(F.array(*flips), lambda x: F.xxhash64(F.lit(g), key.bitwiseXOR(x)))
 
-    plain = [F.xxhash64(F.lit(g), F.col("bits")[word].bitwiseAND(F.lit(signed(mask)))) for g, (word, mask, t) in enumerate(groups) if not t]
-    return F.concat(F.array(*plain).cast("array<bigint>"), *(around(g, *group) for g, group in enumerate(groups) if group[2]))
+    return F.concat(plainly_probed(groups, F.col("bits")), *(around(g, *group) for g, group in enumerate(groups) if group[2]))
 
 
 def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = BAND_CROWD) -> DataFrame:
@@ -315,8 +320,9 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
     All pairs of a bucket are candidates. In buckets of more than `crowd`
     members each member first meets one hub, the densest member of all its
     buckets (leaders); then it is compared with all members that it is not
-    linked to by then, on whole fingerprints (unlinked). root is a hash of the
-    group's first fingerprint.
+    linked to by then, on whole fingerprints (unlinked). A pair that shares many
+    buckets is a candidate in one of them. root is a hash of the group's first
+    fingerprint.
     """
     tagged = docs.select(F.struct(key.alias("k"), F.col(id_col).alias("i")).alias("row"), F.col(text).alias("text"))
     n = docs.count()
@@ -330,17 +336,18 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
     nodes = stored(own.groupBy("node").agg(F.min("k").alias("k"), F.min("n").alias("n"), F.first("bits").alias("bits")), "wide-nodes")
     chosen = nodes.select("node", "bits").orderBy("node").limit(PLAN_ROWS).collect()
     sample = np.array([r["bits"] for r in chosen], dtype=np.int64).reshape(-1, words).view(np.uint64)
-    buckets = probed(wide_groups(sample, width, units - 1, n, crowd))  # beyond a crowd, a member first meets one hub
-    posts = nodes.select("node", F.col("bits")[words - 1].alias("w"), F.explode(buckets).alias("bucket"))
+    groups = wide_groups(sample, width, units - 1, n, crowd)  # beyond a crowd, a member first meets one hub
+    posts = nodes.select("node", F.col("bits")[words - 1].alias("w"), F.explode(probed(groups)).alias("bucket"))
     crowded = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > crowd)
     # All posts meet the crowded buckets, few or many, so the work is alike at every size and skew.
     met = posts.join(stored(crowded, "crowded-buckets").hint("merge"), "bucket", "left")
 
-    alike_word = lambda x, y: F.bit_count(x["w"].bitwiseXOR(y["w"])) <= rough
+    alike_word = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= rough
     held = only(met, F.col("m").isNull()).groupBy("bucket").agg(F.collect_list(F.struct("node", "w")).alias("held")).filter(F.size("held") > 1)
-    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & alike_word(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & alike_word(x["w"], y["w"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     candidates = held.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
-    hot = stored(only(met, F.col("m").isNotNull()).select("bucket", "node", "m"), "crowded-posts")
+    # A node has as many buckets as the plan has probes, so they are one row, which is joined once.
+    hot = stored(only(met, F.col("m").isNotNull()).groupBy("node").agg(F.collect_list(F.struct("bucket", "m")).alias("posts")), "crowded-nodes")
 
     def close(x: Column, y: Column) -> Column:
         """By size, then by whole fingerprints."""
@@ -348,6 +355,12 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
         apart = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, d: a + d)
         return (small >= similarity * large - 1e-9) & (apart <= F.when(small < FEW, most_few).otherwise(most))
 
+    def due(x: Column, y: Column, bucket: Column) -> Column:
+        """Whether this crowded bucket is the one in which a pair counts: the first that both share. Where that isn't a
+        crowded one the pair was a candidate there, if alike in a word."""
+        shared = F.array_intersect(plainly_probed(groups, x["bits"]), plainly_probed(groups, y["bits"]))
+        return (F.size(shared) == 0) | (F.array_min(shared) == bucket) | ~alike_word(x["bits"][words - 1], y["bits"][words - 1])
+
     left, right = (nodes.select(F.col("node").alias(c), F.col("k").alias(f"k{c}"), F.struct("bits", "n").alias(x)) for c, x in ("ax", "by"))
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -356,22 +369,22 @@ def similar_groups(docs: DataFrame, key: Column, id_col: str = "doc_id", text: s
 
     edges = alike(candidates.unionByName(leaders(hot)))
     roots = components(edges)
-    if not (more := alike(unlinked(hot.select("bucket", "node"), nodes.select("node", "n", "bits"), roots, close))).isEmpty():
+    if not (more := alike(unlinked(hot, nodes.select("node", "n", "bits"), roots, close, due))).isEmpty():
         roots = components(edges.unionByName(more))
     roots = roots.withColumnRenamed("node", "_node")
     joined = own.join(roots, own["node"] == roots["_node"], "left")
     return joined.select(F.col("k").alias("key"), F.col("i").alias(id_col), F.coalesce("root", "node").alias("root"))
 
 
-def leaders(posts: DataFrame) -> DataFrame:
-    """A pair (a, b), a < b, for each node of posts (bucket, node, m, its bucket's size): itself and its hub.
+def leaders(hot: DataFrame) -> DataFrame:
+    """A pair (a, b), a < b, for each node of hot (node, posts: its buckets and their sizes m): itself and its hub.
 
     A text that many others are near to meets more of them in its buckets than
     they meet of each other, so the member with the largest sum of sizes heads
     a bucket. A node's hub is the densest head of its buckets.
     """
-    dense = posts.groupBy("node").agg(F.sum("m").alias("d"))
-    ranked = posts.join(dense, "node")
+    dense = F.aggregate("posts", F.lit(0).cast("bigint"), lambda d, p: d + p["m"])
+    ranked = hot.select("node", dense.alias("d"), F.explode("posts.bucket").alias("bucket"))
     heads = ranked.groupBy("bucket").agg(F.max(F.struct("d", "node")).alias("head"))
     hubs = ranked.join(heads, "bucket").filter(F.col("head.node") != F.col("node")).groupBy("node").agg(F.max("head").alias("head"))
     return hubs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
@@ -406,20 +419,24 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return stored(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "verified-pairs")
 
 
-def unlinked(posts: DataFrame, nodes: DataFrame, roots: DataFrame, close: Callable[[Column, Column], Column]) -> DataFrame:
+def unlinked(hot: DataFrame, nodes: DataFrame, roots: DataFrame, close: Callable[[Column, Column], Column], due: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """Pairs (a, b), a < b, of all nodes that share a bucket, are close and are not of one root yet.
 
-    posts: bucket and node; nodes: node and what close reads. A pair within a
+    hot: as leaders() takes it; nodes: node and what close reads; due: whether a
+    pair counts in this bucket, of all that it shares. A pair within a
     bucket's largest group is linked already, so members are compared with
     those outside it only, CELL with CELL at a time: a bucket of many copies
     and a few others costs its size, not its square. Two cells meet under a key
-    of their own, so a large bucket is no large task. Only close pairs become rows.
+    of their own, so a large bucket is no large task. Only close pairs become rows,
+    once where they are due.
     """
-    at = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = hot.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("posts.bucket").alias("bucket"))
     groups = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
     mixed = groups.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     at = at.join(mixed.select("bucket", "all", F.col("all") - F.col("top.m"), F.col("top.root")).toDF("bucket", "all", "others", "top").hint("merge"), "bucket")
-    at = stored(at.join(nodes.hint("merge"), "node"), "unlinked-posts")
+    at = at.groupBy("node").agg(F.first("root").alias("root"), F.collect_list(F.struct("bucket", "all", "others", "top")).alias("posts"))
+    at = stored(at.join(nodes.hint("merge"), "node"), "unlinked-nodes")
+    at = at.select("root", *nodes.columns, F.inline("posts"))
     member = F.struct("node", "root", (F.col("root") == F.col("top")).alias("in_top"), *(c for c in nodes.columns if c != "node"))
     cells = lambda n: F.ceil(F.col(n) / CELL).cast("int")
 
@@ -433,7 +450,7 @@ def unlinked(posts: DataFrame, nodes: DataFrame, roots: DataFrame, close: Callab
     met = xs.join(held(at.filter("root != top"), "others", "all", 1, ("ys", "cy", "cx")).hint("merge"), ["bucket", "cx", "cy"])
     pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
     once = lambda x, y: x["in_top"] | (x["node"] < y["node"])
-    found = F.flatten(F.transform("ys", lambda y: F.transform(F.filter("xs", lambda x: (x["root"] != y["root"]) & once(x, y) & close(x, y)), lambda x: pair(x, y))))
+    found = F.flatten(F.transform("ys", lambda y: F.transform(F.filter("xs", lambda x: (x["root"] != y["root"]) & once(x, y) & close(x, y) & due(x, y, F.col("bucket"))), lambda x: pair(x, y))))
     return met.select(F.explode(found).alias("e")).select("e.a", "e.b")
 
 

@@ -637,6 +637,33 @@ def test_near_copies_of_one_text_and_of_each_other(spark):
     assert all(want[i] == want[j] for i in got for j in got if got[i] == got[j])
 
 
+def test_a_crowd_is_joined_by_node_and_makes_each_pair_once(spark, monkeypatch):
+    """Members share most of their buckets: joins by node make a row for each, and a pair counts in one bucket."""
+    made, real = [], simhash.unlinked
+    monkeypatch.setattr(simhash, "unlinked", lambda *args: made.append(real(*args)) or made[-1])
+    rng = random.Random(16)
+    hub = [f"h{i}" for i in range(150)]
+    texts = [" ".join(near(hub, rng, rng.choice((1, 2, 3, 4, 5, 6)), f"n{i}x")) for i in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    first = store.executionsCount()
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(df, F.col("doc_id")).collect()}
+    bus.waitUntilEmpty()
+    rows = 0
+    for e in (x.apply(i) for x in [store.executionsList()] for i in range(first, x.size())):
+        nodes, values = store.planGraph(e.executionId()).allNodes(), store.executionMetrics(e.executionId())
+        for node in map(nodes.apply, range(nodes.size())):
+            if re.search(r"Join \[node#\d+L?\], \[node#\d+L?\], Inner", node.desc()):
+                ids = [m.accumulatorId() for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
+                rows += sum(int(values.apply(i).replace(",", "")) for i in ids if values.contains(i))
+    assert 0 < rows <= 200
+    pairs = [tuple(r) for r in made[0].collect()]
+    assert len(pairs) == len(set(pairs)) > 100
+    alike = [(i, j) for i in range(200) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert sum(got[i] == got[j] for i, j in alike) >= 0.95 * len(alike)
+
+
 def test_similar_groups_of_documents(spark):
     """All pairs of the table by brute force: at least nine in ten links found, no other pair linked."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
