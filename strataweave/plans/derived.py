@@ -11,6 +11,8 @@ from strataweave.operators.graph import Graph, import_edges
 SIZE = 1000
 #: No document has so many chunks or code examples, so ids of one never meet another's.
 PER_DOCUMENT = 1_000_000_000
+#: What names a chunk besides its id.
+PLACE = ["doc_id", "chunk_number"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,12 +37,22 @@ def pages_of_documents(spark: SparkSession, d: str, markdown: bool = False) -> D
     return docs.select("doc_id", F.col("source").alias("source_id"), F.concat(F.lit("https://"), "source", F.lit(".example.com/doc/"), F.col("doc_id").cast("string")).alias("url"), text.alias("text"))
 
 
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of documents, by PLACE of their first chunks."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_number"), "embedding")
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """id, PLACE and content of chunks, as chunks() has them, without vectors; documents without an id have none."""
+    rows = T.chunk(pages_of_documents(spark, d).select("doc_id", "text").filter(F.col("doc_id").isNotNull()), "text", SIZE)
+    return rows.select((F.col("doc_id") * PER_DOCUMENT + F.col("chunk_number")).alias("id"), *PLACE, "content")
+
+
 def chunks(spark: SparkSession, d: str, markdown: bool = False) -> DataFrame:
     """id, url, chunk_number, content, metadata, source_id, embedding (on first chunks)."""
     rows = T.chunk(pages_of_documents(spark, d, markdown), "text", SIZE)
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_number"), "embedding")
     meta = F.to_json(F.struct(F.col("source_id").alias("source"), "source_id", F.struct(F.col("chunk_number").alias("index")).alias("chunk")))
-    return rows.join(vectors, ["doc_id", "chunk_number"], "left").select((F.col("doc_id") * PER_DOCUMENT + F.col("chunk_number")).alias("id"), "url", "chunk_number", "content", meta.alias("metadata"), "source_id", "embedding")
+    return rows.join(vectors(spark, d), PLACE, "left").select((F.col("doc_id") * PER_DOCUMENT + F.col("chunk_number")).alias("id"), "url", "chunk_number", "content", meta.alias("metadata"), "source_id", "embedding")
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:

@@ -54,10 +54,11 @@ def rag_01_match_by_indexed_metadata(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{CHUNKS} SELECT 'plain' AS how, id FROM chunks WHERE content ILIKE '%anes%' UNION ALL SELECT 'wild', id FROM chunks WHERE content ILIKE '%the %_nd %' UNION ALL SELECT 'short', id FROM chunks WHERE content ILIKE '%qu%'")
 def rag_05_indexed_keywords(spark: SparkSession, d: str) -> DataFrame:
     """All chunks in posting lists of trigrams, asked for a part of a word, for parts with wildcards between, and for too short a part to have a trigram."""
-    rows = D.chunks(spark, d).select("id", "content")
+    rows = D.texts(spark, d)
     index = text_index.build(rows, shared.fresh_path(spark, "trigrams"))
-    found = [index.find(rows, q).select(F.lit(how).alias("how"), "id") for how, q in (("plain", "ANES"), ("wild", "the %_nd "), ("short", "qu"))]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    found = [index.find(rows, q).select(F.lit(how).alias("how"), "id", *D.PLACE) for how, q in (("plain", "ANES"), ("wild", "the %_nd "), ("short", "qu"))]
+    # A chunk comes as often as it has vectors. They meet what is found, so that texts aren't shuffled.
+    return found[0].unionByName(found[1]).unionByName(found[2]).join(D.vectors(spark, d), D.PLACE, "left").select("how", "id")
 
 
 # --- the chunk store -------------------------------------------------------------------

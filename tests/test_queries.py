@@ -71,3 +71,9 @@ def test_labels_of_ties_and_of_numbers_that_are_large_or_none(spark, tmp_path):
     prices = "('1500'), ('-487500'), ('-1250'), ('1e27'), ('123456789012345678'), ('nan'), ('inf'), ('-inf'), ('-1'), (NULL)"
     ties = "SELECT (500 * i)::DOUBLE FROM range(-1000, 1000) t(i)"
     as_sql(spark, tmp_path, "str_19_20_labels", orders=f"SELECT row_number() OVER () AS o_orderkey, x AS o_totalprice, CASE WHEN x > 0 THEN 'F' END AS o_orderstatus FROM (SELECT p::DOUBLE AS x FROM (VALUES {prices}) t(p) UNION ALL {ties})")
+
+
+def test_indexed_keywords_with_several_vectors_and_missing_ids(spark, tmp_path):
+    texts = "(1, 'Danes and the Qu and  the'), (2, NULL), (3, ''), (NULL, 'planes quit'), (4, repeat('the hand quotes anes. ', 200)), (5, 'İANES quİ ẞ')"
+    docs = f"SELECT a::BIGINT AS doc_id, b AS text, 'en' AS lang, 's' AS source FROM (VALUES {texts}) t(a, b)"
+    as_sql(spark, tmp_path, "rag_05_indexed_keywords", documents=docs, embeddings="SELECT unnest([1, 1, 4, 4, 4, NULL, 9])::BIGINT AS vec_id, [1.0::FLOAT, 2] AS embedding")

@@ -3,6 +3,7 @@
 import datetime as dt
 import json as standard
 import random
+import re
 
 import numpy as np
 import pytest
@@ -144,6 +145,50 @@ def test_text_index_finds_what_a_scan_finds(spark, tmp_path):
     assert index.candidates(text_index.wanted("abcab")).count() < 40
 
 
+def test_text_index_lists_are_small_and_texts_not_shuffled(spark, tmp_path):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(2000)]
+    df = spark.createDataFrame([(i * 10**9, t) for i, t in enumerate(texts)], "id bigint, content string").coalesce(2)
+    index = text_index.build(df, str(tmp_path / "t"))
+    postings = sum(len({t[i : i + 3] for i in range(len(t) - 2)}) for t in texts)
+    assert sum(f.stat().st_size for f in (tmp_path / "t").rglob("*.parquet")) < postings
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.find(df, words[0][:5])
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        assert not re.search(r"\) Exchange.*\nInput.*content", plan) and "Exchange" in plan
+        assert sorted(r["id"] for r in found.collect()) == [i * 10**9 for i, t in enumerate(texts) if words[0][:5] in t]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_text_index_over_blocks_loads_and_kinds_of_ids(spark, tmp_path):
+    # More rows in a task than a block has, and ids that are texts or null.
+    rows = spark.range(70_000).select(F.when(F.col("id") != 5, F.concat(F.lit("r"), F.col("id").cast("string"))).alias("key"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("N"), "id", F.lit(" é😀x"))).alias("t"))
+    index = text_index.build(rows.coalesce(1), str(tmp_path / "a"), ("t",), "key")
+    later = spark.createDataFrame([("r1", "N99999 again"), ("new", "again N1")], "key string, t string")
+    index.add(later, "key")
+    every = rows.filter("NOT key <=> 'r1'").unionByName(later)
+    for query in ("n5 ", "n4_999", "99%é😀", "é😀x", "again", "n1", "none of these"):
+        want = sorted(r["key"] or "" for r in every.filter(has_keyword(query, ("t",))).collect())
+        assert sorted(r["key"] or "" for r in index.find(every, query, "key").collect()) == want, query
+    empty = rows.filter("key = 'nobody'")
+    assert text_index.build(empty, str(tmp_path / "e"), ("t",), "key").find(empty, "n5 ", "key").count() == 0
+
+
+def test_trigram_numbers_of_texts_of_any_length():
+    rng = np.random.default_rng(3)
+    long = "".join(map(chr, rng.integers(0x4E00, 0x4F00, text_index.BLOCK_POSTINGS + 5)))
+    for text in ("", "a", "ab", "abc", "\0\0\0\0", "😀é😀é😀", long[: text_index.BLOCK_POSTINGS + 2], long):
+        want = {ord(text[i]) << 42 | ord(text[i + 1]) << 21 | ord(text[i + 2]) for i in range(len(text) - 2)}
+        got = text_index.keys(text.encode())
+        assert len(got) == len(want) and set(got.tolist()) == want
+    lists, held = np.array([3, 3, 3, 8, 9, 9]), np.array([0, 1, 32767, 300, 0, 255])
+    starts, coded = text_index.gaps(lists, held)
+    assert starts.tolist() == [0, 3, 4] and [text_index.rows_of(x.as_py()).tolist() for x in coded] == [[0, 1, 32767], [300], [0, 255]]
+
+
 def test_names_that_hold_others(spark):
     rng = random.Random(9)
     names = sorted({"".join(rng.choice("abc_") for _ in range(rng.randint(0, 9))) for _ in range(150)})
