@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FENCE = "```"
+AT_ONCE = 500
 #: White space in any script, as Python has it; Java's own class is ASCII.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 INK = r"[^\s\x1c-\x1f\x85\p{Z}]"
@@ -72,7 +73,8 @@ def chunk(docs: DataFrame, text: str = "text", size: int = 5000) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A worker holds the chunks of some documents, not those of a whole batch.
+        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, whole.num_rows, AT_ONCE)):
             rows, numbers, contents = [], [], []
             for row, value in enumerate(batch.column(text)):
                 for number, content in enumerate(chunks_of(value.as_py() or "", size)):

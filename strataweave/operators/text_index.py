@@ -27,9 +27,9 @@ from pyspark.sql.types import DataType
 
 from strataweave.operators.retrieval import has_keyword
 
-BUCKETS, SIZE, PIECE = 64, 3, 32
+BUCKETS, SIZE, PIECE = 16, 3, 32
 #: A block ends with the text that brings it to so many rows or postings.
-BLOCK_ROWS, BLOCK_POSTINGS = 1 << 15, 1 << 21
+BLOCK_ROWS, BLOCK_POSTINGS = 1 << 15, 1 << 19
 #: Where the ids of blocks lie.
 IDS = -1
 #: Candidates are marked in bitmaps of so many bits, at most 8 MiB in all.
@@ -85,7 +85,7 @@ def block(ids: pa.Array, texts: Sequence[Sequence[np.ndarray]], buckets: int) ->
 
     yield batch(1, bucket=pa.array([IDS], pa.int32()), ids=pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
     for c, found in enumerate(texts):
-        held, rows = np.concatenate(found), np.repeat(np.arange(len(found)), [len(k) for k in found])
+        held, rows = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.int32), [len(k) for k in found])
         order = np.argsort(held, kind="stable")
         held, rows = held[order], rows[order]
         starts, coded = gaps(held, rows)
